@@ -198,9 +198,8 @@ def _classified(source: str) -> str:
     starts = " or ".join(f"starts_with(lower(t), {_q(s.lower())})" for s in fixed.ERROR_PAGE_STARTS)
     texts = " or ".join(f"contains(lower(t), {_q(s)})" for s in fixed.ERROR_PAGE_TEXTS)
     return f"""
-  raw as (select *, regexp_replace(decode(unhex(ascii_hex)), '^[ \\t-\\r]+', '') t from (
-    select *, substr(regexp_replace(body_hex, '([89A-F][0-9A-F])|([0-7][0-9A-F])', '\\1\\2', 'g'), 1, 4000) body_start,
-      list_aggregate(list_transform(range(0, least(2000, length(body_hex) // 2)),
+  raw as (select *, regexp_replace(decode(unhex(coalesce(ascii_hex, ''))), '^[ \\t-\\r]+', '') t from (
+    select *, list_aggregate(list_transform(range(0, least(2000, length(body_hex) // 2)),
         lambda i: case when substr(body_hex, 2 * i + 1, 1) >= '8' then '3F' else substr(body_hex, 2 * i + 1, 2) end), 'string_agg', '') ascii_hex
     from {source})),
   sniffed as (select *, ({starts} or {texts} or (starts_with(lower(t), '<?xml') and contains(lower(t), '<html'))) error_page,

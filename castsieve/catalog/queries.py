@@ -28,7 +28,7 @@ def register(query: Query) -> Query:
     return query
 
 
-def _sized(name: str = "extra_attributes") -> list[Column]:
+def _extras(name: str = "extra_attributes") -> list[Column]:
     """A map as comparable text: its entries in order."""
     text = F.array_join(
         F.transform(F.map_entries(name), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";"
@@ -54,9 +54,8 @@ def normalize_url(spark, sf):
     pages = views.table(spark, sf, "pages").select(
         F.lit("page").alias("src"), F.col("page_id").alias("id"), F.col("url").alias("link")
     )
-    return rows.unionByName(pages).select(
-        "src", "id", urls.normalize_url(F.col("link")).alias("normalized")
-    )
+    links = rows.unionByName(pages)
+    return urls.with_normalized_url(links, "link", "normalized").select("src", "id", "normalized")
 
 
 @register
@@ -87,14 +86,13 @@ def probeable_url(spark, sf):
 
 @register
 def normalize_name(spark, sf):
-    return views.channels(spark, sf).select("id", names.normalize_name(F.col("name")).alias("normalized"))
+    return names.with_normalized_name(views.channels(spark, sf), "name", "normalized").select("id", "normalized")
 
 
 @register
 def normalize_document_text(spark, sf):
-    return views.documents(spark, sf).select(
-        "id", F.md5(names.normalize_name(F.col("name")).cast("binary")).alias("digest")
-    )
+    named = names.with_normalized_name(views.documents(spark, sf), "name", "normalized")
+    return named.select("id", F.md5(F.col("normalized").cast("binary")).alias("digest"))
 
 
 @register
@@ -109,11 +107,9 @@ def generic_name(spark, sf):
 
 @register
 def name_eligible(spark, sf):
-    return views.channels(spark, sf).select(
-        "id",
-        names.eligible_name(F.col("name")).alias("eligible"),
-        names.eligible_name(F.col("group_name")).alias("eligible_group"),
-    )
+    rows = names.with_eligible_name(views.channels(spark, sf), "name", "eligible")
+    rows = names.with_eligible_name(rows, "group_name", "eligible_group")
+    return rows.select("id", "eligible", "eligible_group")
 
 
 @register
@@ -153,32 +149,28 @@ _ENTRY_COLUMNS = [
 @register
 def parse_channels(spark, sf):
     numbered = ordering.renumber(_parsed(spark, sf), *[F.asc(c) for c in parse.PLACE])
-    return numbered.select("id", *_ENTRY_COLUMNS, *_sized())
+    return numbered.select("id", *_ENTRY_COLUMNS, *_extras())
 
 
 @register
 def parse_small_playlists(spark, sf):
     links = parse.links_in_texts(views.small_texts(spark, sf))
-    return parse.entries_of_links(links).select(*_ENTRY_COLUMNS, *_sized())
+    return parse.entries_of_links(links).select(*_ENTRY_COLUMNS, *_extras())
 
 
 @register
 def parse_extra_attributes(spark, sf):
-    line = trim(F.col("line"))
-    return (
-        views.lines(spark, sf)
-        .where(entries.is_entry(line))
-        .select("file", "line_no", entries.extra_attributes(line).alias("extra_attributes"))
-        .select("file", "line_no", *_sized())
-    )
+    found = views.lines(spark, sf).withColumn("line", trim(F.col("line"))).where(entries.is_entry(F.col("line")))
+    return entries.with_extra_attributes(found, "line").select("file", "line_no", *_extras())
 
 
 @register
 def named_attributes(spark, sf):
-    line = trim(F.col("line"))
+    line = F.col("line")
     wanted = {"tvg_id": "tvg-id", "tvg_name": "tvg-name", "tvg_logo": "tvg-logo", "group_title": "group-title"}
     return (
         views.lines(spark, sf)
+        .withColumn("line", trim(line))
         .where(entries.is_entry(line))
         .select(
             "file",
@@ -303,12 +295,12 @@ def categorize_documents(spark, sf):
 
 @register
 def detect_language(spark, sf):
-    return enrichment.detect_languages(views.channels(spark, sf)).select("id", *_language())
+    return enrich.with_language(views.channels(spark, sf)).select("id", *_language())
 
 
 @register
 def detect_language_documents(spark, sf):
-    return enrichment.detect_languages(views.documents(spark, sf)).select("id", *_language())
+    return enrich.with_language(views.documents(spark, sf)).select("id", *_language())
 
 
 @register
@@ -370,7 +362,7 @@ def first_epg(spark, sf):
 
 @register
 def stage_counts(spark, sf):
-    rows = enrichment.detect_languages(enrichment.auto_categorize(views.channels(spark, sf)))
+    rows = enrich.with_language(enrichment.auto_categorize(views.channels(spark, sf)))
     return rows.agg(
         groups.group_count().alias("group_count"),
         F.count_if(F.col("category") != "Unknown").alias("categorized_count"),
@@ -434,13 +426,13 @@ def parse_codecs(spark, sf):
 
 @register
 def classify_responses(spark, sf):
-    classified = probe.classify_responses(views.responses(spark, sf))
+    classified = responses.with_verdict(views.responses(spark, sf))
     return classified.select("id", "attempt", "is_alive", *_info())
 
 
 @register
 def resolution(spark, sf):
-    classified = probe.classify_responses(views.responses(spark, sf))
+    classified = responses.with_verdict(views.responses(spark, sf))
     return classified.select("id", "attempt", names.resolution(F.col("stream_info")).alias("resolution"))
 
 
@@ -449,7 +441,7 @@ def resolution(spark, sf):
 def probe_retry(spark, sf):
     # Links that several rows share have one captured answer per row; probe rows.
     by_row = views.responses(spark, sf).withColumn("link", F.concat("link", F.lit("#"), F.col("id")))
-    return probe.probe_results(probe.classify_responses(by_row)).select("link", "is_alive", *_info())
+    return probe.probe_results(responses.with_verdict(by_row)).select("link", "is_alive", *_info())
 
 
 def _one_response_per_link(spark, sf):
@@ -459,7 +451,7 @@ def _one_response_per_link(spark, sf):
 
 
 def _link_probes(spark, sf):
-    return probe.probe_results(probe.classify_responses(_one_response_per_link(spark, sf)))
+    return probe.probe_results(responses.with_verdict(_one_response_per_link(spark, sf)))
 
 
 @register
@@ -506,7 +498,7 @@ def content_duplicate_documents(spark, sf):
 
 @register
 def format_entry(spark, sf):
-    rows = enrichment.detect_languages(load_parsed(_parsed(spark, sf), merging=False))
+    rows = enrich.with_language(load_parsed(_parsed(spark, sf), merging=False))
     return rows.select(
         "id", entries.format_entry().alias("entry"), entries.format_group_line().alias("group_line")
     )
@@ -542,7 +534,7 @@ def clean_validated(spark, sf):
         rows, options, probes=_link_probes(spark, sf), responses=_one_response_per_link(spark, sf)
     ).channels
     return cleaned.select(
-        "id", "name", "link", "group_name", "category", *_language(), *_info(), "content_hash", *_sized()
+        "id", "name", "link", "group_name", "category", *_language(), *_info(), "content_hash", *_extras()
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import PySparkException
 
@@ -16,6 +16,11 @@ _PREFIX_CODE = r"(?U)^([A-Za-z]{2})[\s:|-]+"
 _BRACKET_CODE = r"\[([A-Za-z]{2})\]|\(([A-Za-z]{2})\)"
 
 
+def _keyword_pattern(keywords: list[str], whole_words: bool) -> str:
+    pattern = any_of([k.upper() for k in keywords])
+    return rf"(?U)(?<!\w)(?:{pattern})(?!\w)" if whole_words else pattern
+
+
 def _first_category(folded: Column, table: dict[str, list[str]], whole_words: bool) -> Column:
     """First category, in table order, with a keyword in the folded text."""
     found = None
@@ -25,34 +30,31 @@ def _first_category(folded: Column, table: dict[str, list[str]], whole_words: bo
     return found
 
 
-def _keyword_pattern(keywords: list[str], whole_words: bool) -> str:
-    pattern = any_of([k.upper() for k in keywords])
-    return rf"(?U)(?<!\w)(?:{pattern})(?!\w)" if whole_words else pattern
-
-
-def detect_category(
-    name: Column,
-    tvg_name: Column,
-    group: Column,
-    table: dict[str, list[str]] | None = None,
-    whole_words: bool = False,
-) -> Column:
-    """Category by keyword: the group decides, else all texts, else "Unknown".
+def with_category(
+    df: DataFrame, table: dict[str, list[str]] | None = None, whole_words: bool = False
+) -> DataFrame:
+    """Set ``category`` by keyword: the group decides, else all texts, else "Unknown".
 
     A keyword counts anywhere in the text, also inside a word, unless
-    ``whole_words`` is set.  One cheap test over all keywords keeps rows
-    without any out of the per-category tests.
+    ``whole_words`` is set.  One test over all keywords keeps rows without any
+    out of the per-category tests.
     """
     table = table or CATEGORY_KEYWORDS
-    blank = F.lit("")
-    text = fold(
-        F.concat_ws(" ", F.coalesce(name, blank), F.coalesce(tvg_name, blank), F.coalesce(group, blank))
-    )
+    texts = [F.coalesce(c, F.lit("")) for c in ("name", "tvg_name", "group_name")]
+    group, text = F.col("_folded_group"), F.col("_folded_text")
     any_keyword = _keyword_pattern([k for ks in table.values() for k in ks], whole_words)
     found = F.coalesce(
-        _first_category(fold(group), table, whole_words), _first_category(text, table, whole_words)
+        _first_category(group, table, whole_words), _first_category(text, table, whole_words)
+    )
+    return (
+        df.withColumn("_text", F.concat_ws(" ", *texts))
+        .withColumns({"_folded_text": fold(F.col("_text")), "_folded_group": fold(F.col("group_name"))})
+        .withColumn(
+            "category",
+            F.when(text.rlike(any_keyword), F.coalesce(found, F.lit("Unknown"))).otherwise("Unknown"),
+        )
+        .drop("_text", "_folded_text", "_folded_group")
     )
-    return F.when(text.rlike(any_keyword), F.coalesce(found, F.lit("Unknown"))).otherwise("Unknown")
 
 
 def _language_value(code: str, language: str, country: str | None) -> Column:
@@ -63,37 +65,44 @@ def _language_value(code: str, language: str, country: str | None) -> Column:
     )
 
 
-def detect_language(name: Column, tvg_name: Column, group: Column) -> Column:
-    """Language of a channel as ``struct<code,name,country>``, null if unknown.
+def with_language(df: DataFrame) -> DataFrame:
+    """Set ``language``, a ``struct<code,name,country>``, null if unknown.
 
     Tried in turn: a two-letter prefix, the first bracketed two-letter code, a
     longer mark anywhere in group or name.
     """
-    shown = display_name(name, tvg_name)
-    marks = [mark for mark, *_ in LANGUAGES]
-
-    def known(code: Column) -> Column:
-        return F.when(code.isin([m for m in marks if len(m) == 2]), code)
-
-    prefix = known(F.upper(F.regexp_extract(shown, _PREFIX_CODE, 1)))
-    bracket = known(
-        F.upper(
-            F.concat(
-                F.regexp_extract(shown, _BRACKET_CODE, 1), F.regexp_extract(shown, _BRACKET_CODE, 2)
-            )
-        )
+    shown, text = F.col("_shown"), F.col("_folded_text")
+    codes = [mark for mark, *_ in LANGUAGES if len(mark) == 2]
+    marks = [mark for mark, *_ in LANGUAGES if len(mark) > 2]
+    bracketed = F.concat(
+        F.regexp_extract(shown, _BRACKET_CODE, 1), F.regexp_extract(shown, _BRACKET_CODE, 2)
     )
-    text = fold(F.concat(F.coalesce(group, F.lit("")), F.lit("\x00"), shown))
-    long_marks = [m for m in marks if len(m) > 2]
     anywhere = None
-    for mark in long_marks:
+    for mark in marks:
         hit = F.contains(text, F.lit(mark))
         anywhere = F.when(hit, mark) if anywhere is None else anywhere.when(hit, mark)
-    mark = F.coalesce(prefix, bracket, F.when(text.rlike(any_of(long_marks)), anywhere))
+    found = (
+        F.when(F.col("_prefix").isin(codes), F.col("_prefix"))
+        .when(F.col("_bracketed").isin(codes), F.col("_bracketed"))
+        .when(text.rlike(any_of(marks)), anywhere)
+    )
     table = F.create_map(
         *[part for m, *value in LANGUAGES for part in (F.lit(m), _language_value(*value))]
     )
-    return F.when(mark.isNotNull(), F.try_element_at(table, mark))
+    return (
+        df.withColumn("_shown", display_name(F.col("name"), F.col("tvg_name")))
+        .withColumn("_text", F.concat_ws("\x00", F.coalesce("group_name", F.lit("")), "_shown"))
+        .withColumns(
+            {
+                "_prefix": F.upper(F.regexp_extract(shown, _PREFIX_CODE, 1)),
+                "_bracketed": F.upper(bracketed),
+                "_folded_text": fold(F.col("_text")),
+            }
+        )
+        .withColumn("_mark", found)
+        .withColumn("language", F.when(F.col("_mark").isNotNull(), F.try_element_at(table, F.col("_mark"))))
+        .drop("_shown", "_text", "_prefix", "_bracketed", "_folded_text", "_mark")
+    )
 
 
 def pattern_is_valid(spark: SparkSession, pattern: str) -> bool:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fixed_values import KNOWN_ATTRIBUTES
@@ -40,32 +40,43 @@ def entry_name(line: Column, tvg_name: Column) -> Column:
     return F.coalesce(blank_to_null(F.regexp_extract(line, _DISPLAY_NAME, 1)), tvg_name, line)
 
 
-def extra_attributes(line: Column) -> Column:
-    """All other ``key="value"`` pairs as a map.
+def with_extra_attributes(df: DataFrame, line: str, out: str = "extra_attributes") -> DataFrame:
+    """Add all other ``key="value"`` pairs as a map.
 
     Keys are equal ignoring case: the first spelling and place stay, the last
     value wins.
     """
-    pairs = F.transform(
+    pairs, keys = F.col("_pairs"), F.col("_keys")
+    found = F.transform(
         F.regexp_extract_all(line, F.lit(_ATTRIBUTE), F.lit(0)),
         lambda pair: F.struct(
             F.regexp_replace(F.substring_index(pair, "=", 1), r"(?U)\s+$", "").alias("key"),
             F.substring_index(F.substring_index(pair, '"', 2), '"', -1).alias("value"),
         ),
     )
-    pairs = F.filter(
-        pairs, lambda p: ~F.lower(p["key"]).isin(KNOWN_ATTRIBUTES) & ~is_blank(p["value"])
+    extras = F.filter(
+        found, lambda p: ~F.lower(p["key"]).isin(KNOWN_ATTRIBUTES) & ~is_blank(p["value"])
     )
-    keys = F.array_distinct(F.transform(pairs, lambda p: F.upper(p["key"])))
 
     def merged(key: Column) -> Column:
-        same = F.filter(pairs, lambda p: F.upper(p["key"]) == key)
+        def same(p: Column) -> Column:
+            return F.upper(p["key"]) == key
+
         return F.struct(
-            F.element_at(same, 1)["key"].alias("key"), F.element_at(same, -1)["value"].alias("value")
+            F.element_at(F.filter(pairs, same), 1)["key"].alias("key"),
+            F.element_at(F.filter(pairs, same), -1)["value"].alias("value"),
         )
 
-    return F.when(F.size(keys) == F.size(pairs), F.map_from_entries(pairs)).otherwise(
-        F.map_from_entries(F.transform(keys, merged))
+    return (
+        df.withColumn("_pairs", extras)
+        .withColumn("_keys", F.array_distinct(F.transform(pairs, lambda p: F.upper(p["key"]))))
+        .withColumn(
+            out,
+            F.when(F.size(keys) == F.size(pairs), F.map_from_entries(pairs)).otherwise(
+                F.map_from_entries(F.transform(keys, merged))
+            ),
+        )
+        .drop("_pairs", "_keys")
     )
 
 

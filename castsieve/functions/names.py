@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fixed_values import GENERIC_NAMES, QUALITY_TAGS, UNCATEGORIZED
@@ -13,14 +13,14 @@ _QUALITY_SUFFIX = r"(?U)\s*(?:" + "|".join(QUALITY_TAGS) + r")\s*$"
 _BETWEEN_WORDS = rf"[[^{WORD_CHARS}]\x{{10000}}-\x{{10FFFF}}]+"
 
 
-def normalize_name(name: Column) -> Column:
-    """Lower case, without a trailing quality tag, words joined by one space."""
-    name = F.coalesce(name, F.lit(""))
-    comma = F.instr(name, ",")
-    raw_entry = starts_ci(name, "#EXTINF") & (comma > 1) & (comma < F.length(name))
-    text = F.when(raw_entry, F.substr(name, comma + 1)).otherwise(name)
+def with_normalized_name(df: DataFrame, name: str, out: str) -> DataFrame:
+    """Add a name in lower case, without a trailing quality tag, single-spaced."""
+    text = F.coalesce(name, F.lit(""))
+    comma = F.instr(text, ",")
+    raw_entry = starts_ci(text, "#EXTINF") & (comma > 1) & (comma < F.length(text))
+    text = F.when(raw_entry, F.substr(text, comma + 1)).otherwise(text)
     text = F.regexp_replace(F.lower(trim(text)), _QUALITY_SUFFIX, "")
-    return F.trim(F.regexp_replace(text, _BETWEEN_WORDS, " "))
+    return df.withColumn(out, F.trim(F.regexp_replace(text, _BETWEEN_WORDS, " ")))
 
 
 def is_generic_name(normalized: Column) -> Column:
@@ -28,15 +28,16 @@ def is_generic_name(normalized: Column) -> Column:
     return normalized.isin(GENERIC_NAMES)
 
 
-def eligible_name(name: Column) -> Column:
-    """Normalised name if it identifies a channel, else null."""
-    normalized = normalize_name(name)
-    return F.when((F.length(normalized) > 3) & ~is_generic_name(normalized), normalized)
+def with_eligible_name(df: DataFrame, name: str, out: str) -> DataFrame:
+    """Add the normalised name, null where it does not identify a channel."""
+    normalized = F.col(out)
+    identifying = (F.length(normalized) > 3) & ~is_generic_name(normalized)
+    return with_normalized_name(df, name, out).withColumn(out, F.when(identifying, normalized))
 
 
-def name_key(name: Column) -> Column:
-    """Equal non-null keys mean the same channel name."""
-    return fold(eligible_name(name))
+def with_name_key(df: DataFrame, name: str = "name", out: str = "name_key") -> DataFrame:
+    """Add a key that is equal for the same channel name, null for other names."""
+    return with_eligible_name(df, name, out).withColumn(out, fold(F.col(out)))
 
 
 def display_name(name: Column, tvg_name: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fixed_values import (
@@ -81,51 +81,62 @@ def _number(text: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract(text, pattern, group)
 
 
-def classify_response(link: Column, status: Column, icy_br: Column, body: Column) -> Column:
-    """``struct<is_alive, stream_info>`` of one response.
+def with_verdict(responses: DataFrame) -> DataFrame:
+    """Add ``is_alive`` and ``stream_info`` to captured responses.
 
     The header wins over the body field by field; a manifest with a number that
-    does not fit 32 bits counts as dead.
+    does not fit 32 bits counts as dead; an info without any field is null.
     """
-    text = page_text(body)
-    manifest = F.upper(F.substring(text, 1, 7)) == "#EXTM3U"
-    numbers = {
-        "width": _number(text, _RESOLUTION, 1),
-        "height": _number(text, _RESOLUTION, 2),
-        "bitrate": _number(text, _BANDWIDTH, 1),
+    text, manifest, alive = F.col("_text"), F.col("_manifest"), F.col("is_alive")
+    numbers = {"width": (_RESOLUTION, 1), "height": (_RESOLUTION, 2), "bitrate": (_BANDWIDTH, 1)}
+    digits = {
+        f"_{name}_digits": F.when(manifest, F.regexp_extract(text, pattern, group))
+        for name, (pattern, group) in numbers.items()
     }
     unreadable = reduce(
         lambda a, b: a | b,
-        [(digits != "") & digits.try_cast("int").isNull() for digits in numbers.values()],
+        [
+            (F.coalesce(F.col(f"_{name}_digits"), F.lit("")) != "") & F.col(f"_{name}").isNull()
+            for name in numbers
+        ],
     )
-    sniffed = {name: F.when(manifest, digits.try_cast("int")) for name, digits in numbers.items()}
-    codecs = F.when(manifest, F.regexp_extract(text, _CODECS, 1))
-    start = F.when(F.length(body) >= 3, F.hex(F.substring(body, 1, 3)))
-
-    alive = (
-        is_probeable(link)
-        & is_success(status)
-        & (F.length(body) > 0)
-        & ~is_error_page(text)
-        & ~(manifest & unreadable)
+    success = is_probeable(F.col("link")) & is_success(F.col("status")) & (F.length("body") > 0)
+    fields = {
+        "width": F.col("_width"),
+        "height": F.col("_height"),
+        "bitrate": F.coalesce(F.col("_header_bitrate"), F.col("_bitrate")),
+        "video_codec": F.coalesce(
+            video_codec(F.col("_codecs")),
+            F.when(F.col("_start").startswith("47"), "MPEG-TS"),
+            F.when(F.col("_start") == "464C56", "FLV"),
+        ),
+        "audio_codec": F.coalesce(
+            audio_codec(F.col("_codecs")),
+            F.when(F.col("_start").rlike("^FF[EF]"), "MP3"),
+            F.when(F.col("_start") == "494433", "MP3/AAC"),
+        ),
+    }
+    found = [F.col(f"_found_{name}") for name in fields]
+    info = F.struct(*[F.col(f"_found_{name}").alias(name) for name in fields])
+    judged = (
+        responses.withColumns(
+            {
+                "_text": page_text(F.col("body")),
+                "_start": F.when(F.length("body") >= 3, F.hex(F.substring("body", 1, 3))),
+                "_header_bitrate": header_bitrate(F.col("icy_br")),
+            }
+        )
+        .withColumn("_manifest", F.upper(F.substring(text, 1, 7)) == "#EXTM3U")
+        .withColumns(digits | {"_codecs": F.when(manifest, F.regexp_extract(text, _CODECS, 1))})
+        .withColumns({f"_{name}": F.col(f"_{name}_digits").try_cast("int") for name in numbers})
+        .withColumn("is_alive", F.coalesce(success & ~is_error_page(text) & ~unreadable, F.lit(False)))
+        .withColumns({f"_found_{name}": F.when(alive, field) for name, field in fields.items()})
     )
-    info = F.struct(
-        sniffed["width"].alias("width"),
-        sniffed["height"].alias("height"),
-        F.coalesce(header_bitrate(icy_br), sniffed["bitrate"]).alias("bitrate"),
-        F.coalesce(
-            video_codec(codecs),
-            F.when(start.startswith("47"), "MPEG-TS"),
-            F.when(start == "464C56", "FLV"),
-        ).alias("video_codec"),
-        F.coalesce(
-            audio_codec(codecs),
-            F.when(start.rlike("^FF[EF]"), "MP3"),
-            F.when(start == "494433", "MP3/AAC"),
-        ).alias("audio_codec"),
+    return judged.select(
+        *responses.columns,
+        "is_alive",
+        F.when(reduce(lambda a, b: a | b, [c.isNotNull() for c in found]), info).alias("stream_info"),
     )
-    alive = F.coalesce(alive, F.lit(False))
-    return F.struct(alive.alias("is_alive"), F.when(alive, info).alias("stream_info"))
 
 
 def content_signature(status: Column, body: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fixed_values import LOCAL_HOSTS, NON_MEDIA_EXTENSIONS, STREAM_SCHEMES, TRACKING_PREFIXES
@@ -10,19 +10,25 @@ from .text import fold, quote_regex, trim
 
 _TRACKING = "^(?:" + "|".join(quote_regex(p) for p in TRACKING_PREFIXES) + ")"
 
-# Authority of an absolute link: user info, host name or IPv6 address, port.
+# Parts of an absolute link.
 _LABEL = r"[\p{L}\p{Nd}_][\p{L}\p{Mn}\p{Nd}_-]{0,62}"
-_HOST = rf"(?:{_LABEL}(?:\.{_LABEL})*\.?|\[[0-9a-f:.%]+\])"
-_AUTHORITY = rf"(?:[^/?#\\@]*@)?({_HOST})(?::(\d{{0,5}}))?"
+_HOST_NAME = rf"{_LABEL}(?:\.{_LABEL})*\.?"
+_IPV6 = r"\[[0-9a-f:.%]+\]"
+_USER = r"(?:[^/?#\\@]*@)?"
+# Empty, or a number up to 65535.
+_PORT = r"(?::0*(?:\d{0,4}|[1-5]\d{4}|6[0-4]\d{3}|65[0-4]\d\d|655[0-2]\d|6553[0-5]))?"
+_REST = r"(?:[/?#\\].*)?$"
 
+_NOT_LOCAL = "(?!(?:" + "|".join(quote_regex(h) for h in LOCAL_HOSTS) + r")(?:[:/?#\\]|$))"
+_NOT_NON_MEDIA = r"(?![^?#]*\.(?:" + "|".join(NON_MEDIA_EXTENSIONS) + r")(?:[?#]|$))"
 
-def _absolute(schemes: list[str]) -> str:
-    return rf"(?iu)^(?:{'|'.join(schemes)})://{_AUTHORITY}(?:[/?#\\].*)?$"
-
-
-_STREAM_URL = _absolute(STREAM_SCHEMES)
-_WEB_URL = _absolute(["http", "https"])
-_NON_MEDIA_PATH = r"(?i)^[^/]*//[^/?#\\]*[^?#]*\.(?:" + "|".join(NON_MEDIA_EXTENSIONS) + r")(?:[?#].*)?$"
+# One pass decides: scheme, host of at least three characters and not this
+# machine, port, and a path that does not end like a picture, page or archive.
+_STREAM_URL = (
+    rf"(?iu)^(?:{'|'.join(STREAM_SCHEMES)})://{_USER}{_NOT_LOCAL}"
+    rf"(?:{_IPV6}|(?=[^:/?#\\]{{3}}){_HOST_NAME}){_PORT}{_NOT_NON_MEDIA}{_REST}"
+)
+_WEB_URL = rf"(?iu)^https?://{_USER}(?:{_IPV6}|{_HOST_NAME}){_PORT}{_REST}"
 
 
 def is_tracking_param(param: Column) -> Column:
@@ -30,59 +36,48 @@ def is_tracking_param(param: Column) -> Column:
     return param.rlike(_TRACKING)
 
 
-def normalize_url(url: Column) -> Column:
-    """One spelling per stream: case, slashes, ports, ``www.``, parameter order.
-
-    Tracking parameters go, the others are sorted.  Blank gives "".
-    """
-    lowered = F.rtrim(F.lower(trim(F.coalesce(url, F.lit("")))), F.lit("/"))
-    mark = F.instr(lowered, "?")
-    base = F.substring_index(lowered, "?", 1)
-    params = F.filter(
-        F.split(F.substr(lowered, mark + 1), "&"),
-        lambda p: (p != "") & ~is_tracking_param(p),
-    )
-    ordered = F.transform(
-        F.array_sort(F.transform(params, lambda p: F.struct(fold(p).alias("key"), p.alias("param")))),
-        lambda s: s["param"],
-    )
-    query = F.array_join(ordered, "&")
-    rebuilt = F.when(query == "", base).otherwise(F.concat(base, F.lit("?"), query))
-    kept = F.when(mark > 1, rebuilt).otherwise(lowered)
-    for old, new in ((":80/", "/"), (":443/", "/"), ("://www.", "://")):
-        kept = F.replace(kept, F.lit(old), F.lit(new))
-    return kept
-
+def is_stream_url(url: Column) -> Column:
+    """True for an absolute link that can be a media stream.  Expects trimmed text."""
+    return F.coalesce(url.rlike(_STREAM_URL), F.lit(False))
 
-def link_key(url: Column) -> Column:
-    """Equal keys mean the same stream link."""
-    return fold(normalize_url(url))
 
+def is_probeable(url: Column) -> Column:
+    """True for an absolute http(s) link; nothing else can be fetched."""
+    return F.coalesce(trim(url).rlike(_WEB_URL), F.lit(False))
 
-def _port_ok(url: Column, pattern: str) -> Column:
-    port = F.regexp_extract(url, pattern, 2)
-    return F.when(F.length(port) < 5, F.lit(True)).otherwise(port.cast("int") <= 65535)
 
+def _identifying_params(query: Column) -> Column:
+    """Parameters of a query text without the tracking ones, sorted, joined again."""
+    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~is_tracking_param(p))
+    keyed = F.transform(kept, lambda p: F.struct(F.upper(p).alias("key"), p.alias("param")))
+    return F.array_join(F.transform(F.array_sort(keyed), lambda s: s["param"]), "&")
 
-def url_host(url: Column) -> Column:
-    """Host of a stream link, "" when there is none."""
-    return F.regexp_extract(url, _STREAM_URL, 1)
 
+def with_normalized_url(df: DataFrame, link: str, out: str) -> DataFrame:
+    """Add one spelling per stream: case, slashes, ports, ``www.``, parameter order.
 
-def is_stream_url(url: Column) -> Column:
-    """True for an absolute link that can be a media stream.  Expects trimmed text."""
-    host = url_host(url)
-    valid = (
-        url.rlike(_STREAM_URL)
-        & _port_ok(url, _STREAM_URL)
-        & ~url.rlike(_NON_MEDIA_PATH)
-        & (F.length(host) >= 3)
-        & ~F.lower(host).isin(LOCAL_HOSTS)
+    Tracking parameters go, the others are sorted.  Blank gives "".
+    """
+    mark = F.instr("_url", "?")
+    base = F.substring_index("_url", "?", 1)
+    kept = (
+        F.when(F.col("_query").isNull(), F.col("_url"))
+        .when(F.col("_query") == "", base)
+        .otherwise(F.concat(base, F.lit("?"), F.col("_query")))
+    )
+    for old, new in ((":80/", "/"), (":443/", "/"), ("://www.", "://")):
+        kept = F.replace(kept, F.lit(old), F.lit(new))
+    # Steps of their own: an expression used several times is computed once.
+    return (
+        df.withColumn("_url", F.rtrim(F.lower(trim(F.coalesce(link, F.lit("")))), F.lit("/")))
+        .withColumn(
+            "_query", F.when(mark > 1, _identifying_params(F.substr(F.col("_url"), mark + 1)))
+        )
+        .withColumn(out, kept)
+        .drop("_url", "_query")
     )
-    return F.coalesce(valid, F.lit(False))
 
 
-def is_probeable(url: Column) -> Column:
-    """True for an absolute http(s) link; nothing else can be fetched."""
-    trimmed = trim(url)
-    return F.coalesce(trimmed.rlike(_WEB_URL) & _port_ok(trimmed, _WEB_URL), F.lit(False))
+def with_link_key(df: DataFrame, link: str = "link", out: str = "link_key") -> DataFrame:
+    """Add a key that is equal for links to the same stream."""
+    return with_normalized_url(df, link, out).withColumn(out, fold(F.col(out)))

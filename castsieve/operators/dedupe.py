@@ -10,9 +10,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import effective_group, name_key
+from ..functions.names import effective_group, with_name_key
 from ..functions.text import fold, sort_key
-from ..functions.urls import link_key
+from ..functions.urls import with_link_key
 from ..workspace import materialize
 from .ordering import renumber
 
@@ -28,7 +28,7 @@ def first_per_link(df: DataFrame, order: list[str] | None = None) -> DataFrame:
     """
     first = Window.partitionBy("_link_key").orderBy(*(order or ["id"]))
     return (
-        df.withColumn("_link_key", link_key(F.col("link")))
+        with_link_key(df, "link", "_link_key")
         .withColumn("_rank", F.row_number().over(first))
         .where("_rank = 1")
         .drop("_link_key", "_rank")
@@ -42,14 +42,8 @@ def merge_channels(df: DataFrame) -> DataFrame:
 
 def remove_duplicates(df: DataFrame, plain_rounds: int = PLAIN_ROUNDS) -> DataFrame:
     """Drop rows whose link or eligible name belongs to an earlier kept row."""
-    kept = kept_ids(
-        df.select(
-            "id",
-            link_key(F.col("link")).alias("link_key"),
-            name_key(F.col("name")).alias("name_key"),
-        ),
-        plain_rounds,
-    )
+    keys = with_name_key(with_link_key(df.select("id", "link", "name")))
+    kept = kept_ids(keys, plain_rounds)
     return df.join(kept, "id", "left_semi")
 
 

@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.enrich import (
-    detect_category,
-    detect_language,
     pattern_is_valid,
     rename_literal,
     rename_regex,
+    with_category,
 )
 from ..functions.fixed_values import UNCATEGORIZED
 from ..functions.names import display_name
@@ -27,17 +26,7 @@ def auto_categorize(
     category = F.col("category")
     no_group = (F.col("group_name") == "") | (fold(F.col("group_name")) == UNCATEGORIZED.upper())
     filled = F.when((category != "Unknown") & no_group, category).otherwise(F.col("group_name"))
-    return df.withColumn(
-        "category",
-        detect_category(F.col("name"), F.col("tvg_name"), F.col("group_name"), table, whole_words),
-    ).withColumn("group_name", filled)
-
-
-def detect_languages(df: DataFrame) -> DataFrame:
-    """Set the language, null where it is unknown."""
-    return df.withColumn(
-        "language", detect_language(F.col("name"), F.col("tvg_name"), F.col("group_name"))
-    )
+    return with_category(df, table, whole_words).withColumn("group_name", filled)
 
 
 def rename_channels(

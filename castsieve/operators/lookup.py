@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..workspace import materialize
+
 # A key with fewer rows than this is never worth special treatment.
 HOT_ROWS = 200_000
 # Broadcast at most this many hot keys.  Any other key then holds at most one
@@ -31,8 +33,10 @@ def lookup(
     and is not returned.  Rows of hot keys meet a broadcast of at most
     ``HOT_KEYS`` rows; all others are shuffled by key, where the rows already
     served, and those without a key, spread by ``unique``, a text unique per
-    row.  Both ways give the same result.
+    row.  Both ways give the same result.  The table is written once: it is read
+    twice, and its size tells Spark whether it can be broadcast as a whole.
     """
+    table = materialize(table, "lookup")
     values = [c for c in table.columns if c not in (key, row_count)]
     hot = hot_keys(table, row_count, hot_rows).select(
         F.col(key).alias("_hot_key"), *[F.col(c).alias(f"_hot_{c}") for c in values]

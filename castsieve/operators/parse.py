@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 
 from ..functions.entries import (
     entry_name,
-    extra_attributes,
     header_epg,
     is_entry,
     is_group_override,
     named_attribute,
+    with_extra_attributes,
 )
 from ..functions.fixed_values import LOOK_AHEAD
 from ..functions.text import blank_to_null, trim
@@ -78,9 +78,8 @@ def links_in_lines(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFram
     the size of a file does not matter.  The last lines of a block also go to the
     next one.
     """
-    text = trim(F.col("line"))
     relevant = (
-        lines.withColumn("link_line", text)
+        lines.withColumn("link_line", trim(F.col("line")))
         .withColumn("is_link", is_stream_url(F.col("link_line")))
         .where(
             F.col("is_link") | is_entry(F.col("link_line")) | is_group_override(F.col("link_line"))
@@ -138,10 +137,10 @@ def entries_of_links(links: DataFrame) -> DataFrame:
         "tvg_name": tvg_name,
         "tvg_logo": named_attribute(line, "tvg-logo"),
         "epg_url": F.coalesce(named_attribute(line, "x-tvg-url"), F.col("header_epg")),
-        "extra_attributes": extra_attributes(line),
+        "extra_attributes": F.col("extra_attributes"),
         "category": F.lit("Unknown"),
     }
-    parsed = (
+    staged = (
         links.where(F.exists("before", is_entry))
         .withColumn("_last_link", F.array_max(positions))
         .withColumn("_near", since_last_link)
@@ -158,7 +157,7 @@ def entries_of_links(links: DataFrame) -> DataFrame:
         for f in CHANNEL.fields
         if f.name != "id"
     ]
-    return parsed.select(*PLACE, *channel)
+    return with_extra_attributes(staged, "_entry").select(*PLACE, *channel)
 
 
 def number_channels(parsed: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import CAPTURE_MAX_BYTES, MAX_ATTEMPTS
-from ..functions.responses import classify_response, content_signature
+from ..functions.responses import content_signature, success_rate, with_verdict
 from ..functions.urls import is_probeable
 from ..schema import RESPONSE
 from ..workspace import materialize
@@ -24,20 +24,6 @@ from .lookup import lookup
 Fetch = Callable[[str, float], tuple[int | None, str | None, bytes | None]]
 
 
-def classify_responses(responses: DataFrame) -> DataFrame:
-    """Add ``is_alive`` and ``stream_info`` to every response."""
-    verdict = classify_response(F.col("link"), F.col("status"), F.col("icy_br"), F.col("body"))
-    empty = " and ".join(
-        f"_verdict.stream_info.{f} is null"
-        for f in ("width", "height", "bitrate", "video_codec", "audio_codec")
-    )
-    return responses.withColumn("_verdict", verdict).select(
-        *responses.columns,
-        "_verdict.is_alive",
-        F.when(~F.expr(empty), F.col("_verdict.stream_info")).alias("stream_info"),
-    )
-
-
 def probe_results(classified: DataFrame) -> DataFrame:
     """One row per link: alive if one of the first attempts was; its info."""
     alive_attempt = F.when(F.col("is_alive"), F.col("attempt"))
@@ -88,8 +74,6 @@ def attach_content_hash(channels: DataFrame, responses: DataFrame) -> DataFrame:
 
 def link_counts(channels: DataFrame, results: DataFrame) -> DataFrame:
     """Working and failed rows and the success rate, as one row."""
-    from ..functions.responses import success_rate
-
     flags = results.select("link", F.col("is_alive").alias("_alive"))
     alive = F.coalesce("_alive", F.lit(False))
     return (
@@ -138,7 +122,7 @@ def probe_links(
     for attempt in range(MAX_ATTEMPTS):
         spread = todo.repartition(partitions, "link") if partitions else todo.repartition("link")
         captured = materialize(capture(spread, fetch, attempt, concurrency, timeout), "captured")
-        classified = classify_responses(captured).select("link", "attempt", "is_alive", "stream_info")
+        classified = with_verdict(captured).select("link", "attempt", "is_alive", "stream_info")
         attempts = classified if attempts is None else attempts.unionByName(classified)
         todo = todo.join(classified.where("is_alive").select("link"), "link", "left_anti")
         todo = materialize(todo, "links")

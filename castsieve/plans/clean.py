@@ -6,10 +6,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.enrich import with_language
 from ..operators.dedupe import remove_duplicates
 from ..operators.enrichment import (
     auto_categorize,
-    detect_languages,
     flag_content_duplicates,
     rename_channels,
 )
@@ -73,7 +73,7 @@ def clean_channels(
     if options.categorize:
         chosen = auto_categorize(chosen)
     if options.detect_language:
-        chosen = detect_languages(chosen)
+        chosen = with_language(chosen)
     # Read by the report, by sorting (twice) and by the link join.
     enriched = materialize(chosen, "enriched")
     working = enriched
