@@ -10,50 +10,41 @@ from pyspark.errors import PySparkException
 
 from .fixed_values import CATEGORY_KEYWORDS, LANGUAGES
 from .names import display_name
-from .text import any_of, fold, quote_regex, trim
+from .text import first_position, fold, quote_regex, trim, words_found
 
 _PREFIX_CODE = r"(?U)^([A-Za-z]{2})[\s:|-]+"
 _BRACKET_CODE = r"\[([A-Za-z]{2})\]|\(([A-Za-z]{2})\)"
 
 
-def _keyword_pattern(keywords: list[str], whole_words: bool) -> str:
-    pattern = any_of([k.upper() for k in keywords])
-    return rf"(?U)(?<!\w)(?:{pattern})(?!\w)" if whole_words else pattern
-
-
-def _first_category(folded: Column, table: dict[str, list[str]], whole_words: bool) -> Column:
-    """First category, in table order, with a keyword in the folded text."""
-    found = None
-    for category, keywords in table.items():
-        hit = folded.rlike(_keyword_pattern(keywords, whole_words))
-        found = F.when(hit, category) if found is None else found.when(hit, category)
-    return found
-
-
 def with_category(
     df: DataFrame, table: dict[str, list[str]] | None = None, whole_words: bool = False
 ) -> DataFrame:
     """Set ``category`` by keyword: the group decides, else all texts, else "Unknown".
 
-    A keyword counts anywhere in the text, also inside a word, unless
-    ``whole_words`` is set.  One test over all keywords keeps rows without any
-    out of the per-category tests.
+    The first category of the table with a keyword wins.  A keyword counts
+    anywhere in the text, also inside a word, unless ``whole_words`` is set.
     """
-    table = table or CATEGORY_KEYWORDS
+    category_of = {
+        keyword.upper(): category
+        for category, keywords in reversed((table or CATEGORY_KEYWORDS).items())
+        for keyword in reversed(keywords)
+    }
+    keywords = list(reversed(category_of))
+    categories = F.array(*[F.lit(category_of[keyword]) for keyword in keywords])
     texts = [F.coalesce(c, F.lit("")) for c in ("name", "tvg_name", "group_name")]
-    group, text = F.col("_folded_group"), F.col("_folded_text")
-    any_keyword = _keyword_pattern([k for ks in table.values() for k in ks], whole_words)
-    found = F.coalesce(
-        _first_category(group, table, whole_words), _first_category(text, table, whole_words)
+    in_group = F.when(
+        F.size("_in_text") > 0,
+        first_position(words_found(F.col("_folded_group"), keywords, whole_words), keywords),
     )
+    place = F.coalesce("_in_group", first_position(F.col("_in_text"), keywords))
     return (
         df.withColumn("_text", F.concat_ws(" ", *texts))
         .withColumns({"_folded_text": fold(F.col("_text")), "_folded_group": fold(F.col("group_name"))})
-        .withColumn(
-            "category",
-            F.when(text.rlike(any_keyword), F.coalesce(found, F.lit("Unknown"))).otherwise("Unknown"),
-        )
-        .drop("_text", "_folded_text", "_folded_group")
+        # All texts include the group: without a hit there, there is none in the group.
+        .withColumn("_in_text", words_found(F.col("_folded_text"), keywords, whole_words))
+        .withColumn("_in_group", in_group)
+        .withColumn("category", F.coalesce(F.try_element_at(categories, place.cast("int")), F.lit("Unknown")))
+        .drop("_text", "_folded_text", "_folded_group", "_in_text", "_in_group")
     )
 
 
@@ -71,37 +62,32 @@ def with_language(df: DataFrame) -> DataFrame:
     Tried in turn: a two-letter prefix, the first bracketed two-letter code, a
     longer mark anywhere in group or name.
     """
-    shown, text = F.col("_shown"), F.col("_folded_text")
-    codes = [mark for mark, *_ in LANGUAGES if len(mark) == 2]
-    marks = [mark for mark, *_ in LANGUAGES if len(mark) > 2]
+    shown = F.col("_shown")
+    marks = [mark for mark, *_ in LANGUAGES]
+    listed = F.array(*map(F.lit, marks))
+    languages = F.array(*[_language_value(*value) for _, *value in LANGUAGES])
     bracketed = F.concat(
         F.regexp_extract(shown, _BRACKET_CODE, 1), F.regexp_extract(shown, _BRACKET_CODE, 2)
     )
-    anywhere = None
-    for mark in marks:
-        hit = F.contains(text, F.lit(mark))
-        anywhere = F.when(hit, mark) if anywhere is None else anywhere.when(hit, mark)
-    found = (
-        F.when(F.col("_prefix").isin(codes), F.col("_prefix"))
-        .when(F.col("_bracketed").isin(codes), F.col("_bracketed"))
-        .when(text.rlike(any_of(marks)), anywhere)
-    )
-    table = F.create_map(
-        *[part for m, *value in LANGUAGES for part in (F.lit(m), _language_value(*value))]
+
+    def known(code: Column) -> Column:
+        return F.nullif(F.array_position(listed, F.upper(code)), F.lit(0))
+
+    anywhere = F.coalesce(
+        *[
+            F.when(F.contains("_folded_text", F.lit(mark)), F.lit(place))
+            for place, mark in enumerate(marks, 1)
+            if len(mark) > 2
+        ]
     )
+    place = F.coalesce(known(F.regexp_extract(shown, _PREFIX_CODE, 1)), known(bracketed), anywhere)
     return (
         df.withColumn("_shown", display_name(F.col("name"), F.col("tvg_name")))
         .withColumn("_text", F.concat_ws("\x00", F.coalesce("group_name", F.lit("")), "_shown"))
-        .withColumns(
-            {
-                "_prefix": F.upper(F.regexp_extract(shown, _PREFIX_CODE, 1)),
-                "_bracketed": F.upper(bracketed),
-                "_folded_text": fold(F.col("_text")),
-            }
-        )
-        .withColumn("_mark", found)
-        .withColumn("language", F.when(F.col("_mark").isNotNull(), F.try_element_at(table, F.col("_mark"))))
-        .drop("_shown", "_text", "_prefix", "_bracketed", "_folded_text", "_mark")
+        .withColumn("_folded_text", fold(F.col("_text")))
+        .withColumn("_place", place.cast("int"))
+        .withColumn("language", F.when(F.col("_place").isNotNull(), F.try_element_at(languages, F.col("_place"))))
+        .drop("_shown", "_text", "_folded_text", "_place")
     )
 
 

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from .fixed_values import KNOWN_ATTRIBUTES
 from .names import display_name
-from .text import WORD_CHARS, blank_to_null, contains_ci, is_blank, starts_ci
+from .text import WHITESPACE, WORD_CHARS, blank_to_null, contains_ci, starts_ci
 
 # The grammar of an entry line.
 _DISPLAY_NAME = r"(?iUd)#EXTINF\s*:\s*-?\d+[^,]*,\s*(.+)$"
 _ATTRIBUTE = rf'(?U)[{WORD_CHARS}][-{WORD_CHARS}]*\s*=\s*"[^"]*"'
+# Pairs with a column of their own, or without a value.
+_NO_EXTRA = rf'(?iU)^(?:{"|".join(KNOWN_ATTRIBUTES)})\s*=|"\s*"$'
 
 
 def is_entry(line: Column) -> Column:
@@ -47,16 +49,14 @@ def with_extra_attributes(df: DataFrame, line: str, out: str = "extra_attributes
     value wins.
     """
     pairs, keys = F.col("_pairs"), F.col("_keys")
-    found = F.transform(
-        F.regexp_extract_all(line, F.lit(_ATTRIBUTE), F.lit(0)),
+    found = F.regexp_extract_all(line, F.lit(_ATTRIBUTE), F.lit(0))
+    extras = F.transform(
+        F.filter(found, lambda pair: ~pair.rlike(_NO_EXTRA)),
         lambda pair: F.struct(
-            F.regexp_replace(F.substring_index(pair, "=", 1), r"(?U)\s+$", "").alias("key"),
+            F.rtrim(F.substring_index(pair, "=", 1), F.lit(WHITESPACE)).alias("key"),
             F.substring_index(F.substring_index(pair, '"', 2), '"', -1).alias("value"),
         ),
     )
-    extras = F.filter(
-        found, lambda p: ~F.lower(p["key"]).isin(KNOWN_ATTRIBUTES) & ~is_blank(p["value"])
-    )
 
     def merged(key: Column) -> Column:
         def same(p: Column) -> Column:

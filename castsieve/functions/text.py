@@ -77,12 +77,24 @@ def quote_regex(text: str) -> str:
     return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
-def any_of(words: list[str]) -> str:
-    """A regular expression matching any of the words, grouped by first letter."""
+def words_found(text: Column, words: list[str], whole_words: bool = False) -> Column:
+    """Array of the words found in a text, wherever they start, in one pass.
+
+    Words may overlap.  Where several start at the same place only the first of
+    the list counts, so the earliest word of the list is always among them.
+    """
     by_first: dict[str, list[str]] = {}
     for word in words:
         by_first.setdefault(word[0], []).append(word[1:])
-    return "|".join(
+    pattern = "|".join(
         quote_regex(first) + "(?:" + "|".join(quote_regex(rest) for rest in rests) + ")"
         for first, rests in by_first.items()
     )
+    pattern = rf"(?U)(?<!\w)(?=((?:{pattern})(?!\w)))" if whole_words else f"(?=({pattern}))"
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+
+
+def first_position(found: Column, words: list[str]) -> Column:
+    """Smallest 1-based place in the list of the words found, null for none."""
+    listed = F.array(*map(F.lit, words))
+    return F.array_min(F.transform(found, lambda word: F.array_position(listed, word)))
