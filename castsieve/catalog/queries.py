@@ -17,6 +17,7 @@ from ..operators import dedupe, enrichment, filters, groups, ordering, parse, pr
 from ..plans.clean import CleanOptions, clean_channels
 from ..sources.playlists import load_parsed
 from ..sources.writers import group_playlist_lines, playlist_lines
+from ..workspace import materialize
 from . import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -148,7 +149,8 @@ _ENTRY_COLUMNS = [
 
 @register
 def parse_channels(spark, sf):
-    numbered = ordering.renumber(_parsed(spark, sf), *[F.asc(c) for c in parse.PLACE])
+    parsed = materialize(_parsed(spark, sf), "parsed")
+    numbered = ordering.renumber(parsed, *[F.asc(c) for c in parse.PLACE])
     return numbered.select("id", *_ENTRY_COLUMNS, *_extras())
 
 

@@ -10,10 +10,25 @@ from pyspark.errors import PySparkException
 
 from .fixed_values import CATEGORY_KEYWORDS, LANGUAGES
 from .names import display_name
-from .text import first_position, fold, quote_regex, trim, words_found
+from .text import any_of, fold, quote_regex, trim
 
 _PREFIX_CODE = r"(?U)^([A-Za-z]{2})[\s:|-]+"
-_BRACKET_CODE = r"\[([A-Za-z]{2})\]|\(([A-Za-z]{2})\)"
+_BRACKET_CODE = r"\[[A-Za-z]{2}\]|\([A-Za-z]{2}\)"
+
+
+def _keyword_pattern(keywords: list[str], whole_words: bool) -> str:
+    pattern = any_of([k.upper() for k in keywords])
+    return rf"(?U)(?<!\w)(?:{pattern})(?!\w)" if whole_words else pattern
+
+
+def _first_category(folded: Column, table: dict[str, list[str]], whole_words: bool) -> Column:
+    """First category, in table order, with a keyword in the folded text."""
+    return F.coalesce(
+        *[
+            F.when(folded.rlike(_keyword_pattern(keywords, whole_words)), F.lit(category))
+            for category, keywords in table.items()
+        ]
+    )
 
 
 def with_category(
@@ -21,30 +36,25 @@ def with_category(
 ) -> DataFrame:
     """Set ``category`` by keyword: the group decides, else all texts, else "Unknown".
 
-    The first category of the table with a keyword wins.  A keyword counts
-    anywhere in the text, also inside a word, unless ``whole_words`` is set.
+    A keyword counts anywhere in the text, also inside a word, unless
+    ``whole_words`` is set.  One test over all keywords keeps rows without any
+    out of the per-category tests.
     """
-    category_of = {
-        keyword.upper(): category
-        for category, keywords in reversed((table or CATEGORY_KEYWORDS).items())
-        for keyword in reversed(keywords)
-    }
-    keywords = list(reversed(category_of))
-    categories = F.array(*[F.lit(category_of[keyword]) for keyword in keywords])
+    table = table or CATEGORY_KEYWORDS
     texts = [F.coalesce(c, F.lit("")) for c in ("name", "tvg_name", "group_name")]
-    in_group = F.when(
-        F.size("_in_text") > 0,
-        first_position(words_found(F.col("_folded_group"), keywords, whole_words), keywords),
+    any_keyword = _keyword_pattern([k for ks in table.values() for k in ks], whole_words)
+    found = F.when(
+        F.col("_folded_text").rlike(any_keyword),
+        F.coalesce(
+            _first_category(F.col("_folded_group"), table, whole_words),
+            _first_category(F.col("_folded_text"), table, whole_words),
+        ),
     )
-    place = F.coalesce("_in_group", first_position(F.col("_in_text"), keywords))
     return (
         df.withColumn("_text", F.concat_ws(" ", *texts))
         .withColumns({"_folded_text": fold(F.col("_text")), "_folded_group": fold(F.col("group_name"))})
-        # All texts include the group: without a hit there, there is none in the group.
-        .withColumn("_in_text", words_found(F.col("_folded_text"), keywords, whole_words))
-        .withColumn("_in_group", in_group)
-        .withColumn("category", F.coalesce(F.try_element_at(categories, place.cast("int")), F.lit("Unknown")))
-        .drop("_text", "_folded_text", "_folded_group", "_in_text", "_in_group")
+        .withColumn("category", F.coalesce(found, F.lit("Unknown")))
+        .drop("_text", "_folded_text", "_folded_group")
     )
 
 
@@ -66,9 +76,7 @@ def with_language(df: DataFrame) -> DataFrame:
     marks = [mark for mark, *_ in LANGUAGES]
     listed = F.array(*map(F.lit, marks))
     languages = F.array(*[_language_value(*value) for _, *value in LANGUAGES])
-    bracketed = F.concat(
-        F.regexp_extract(shown, _BRACKET_CODE, 1), F.regexp_extract(shown, _BRACKET_CODE, 2)
-    )
+    bracketed = F.substring(F.regexp_extract(shown, _BRACKET_CODE, 0), 2, 2)
 
     def known(code: Column) -> Column:
         return F.nullif(F.array_position(listed, F.upper(code)), F.lit(0))

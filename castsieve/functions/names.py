@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fixed_values import GENERIC_NAMES, QUALITY_TAGS, UNCATEGORIZED
 from .text import WORD_CHARS, fold, is_blank, starts_ci, trim
 
-_QUALITY_SUFFIX = r"(?U)\s*(?:" + "|".join(QUALITY_TAGS) + r")\s*$"
+_QUALITY_SUFFIX = r"(?U)\s*(?:" + "|".join(QUALITY_TAGS) + r")$"
 # Anything but word characters; characters beyond the basic plane never are.
 _BETWEEN_WORDS = rf"[[^{WORD_CHARS}]\x{{10000}}-\x{{10FFFF}}]+"
 
@@ -19,8 +21,13 @@ def with_normalized_name(df: DataFrame, name: str, out: str) -> DataFrame:
     comma = F.instr(text, ",")
     raw_entry = starts_ci(text, "#EXTINF") & (comma > 1) & (comma < F.length(text))
     text = F.when(raw_entry, F.substr(text, comma + 1)).otherwise(text)
-    text = F.regexp_replace(F.lower(trim(text)), _QUALITY_SUFFIX, "")
-    return df.withColumn(out, F.trim(F.regexp_replace(text, _BETWEEN_WORDS, " ")))
+    tagged = reduce(lambda a, b: a | b, [F.col("_lowered").endswith(tag) for tag in QUALITY_TAGS])
+    untagged = F.when(tagged, F.regexp_replace("_lowered", _QUALITY_SUFFIX, "")).otherwise(F.col("_lowered"))
+    return (
+        df.withColumn("_lowered", F.lower(trim(text)))
+        .withColumn(out, F.trim(F.regexp_replace(untagged, _BETWEEN_WORDS, " ")))
+        .drop("_lowered")
+    )
 
 
 def is_generic_name(normalized: Column) -> Column:

@@ -19,7 +19,8 @@ WHITESPACE = "".join(
 # Letters whose upper case is longer than one character (or leaves the script),
 # which one-to-one case folding keeps as they are.  Each is parked on a private
 # code point while the rest of the text is upper-cased.
-_KEEP = "".join(c for c in map(chr, range(0x80, 0x10000)) if len(c.upper()) > 1) + "ıſ"
+_ONE_TO_ONE = "ıſ"
+_KEEP = "".join(c for c in map(chr, range(0x80, 0x10000)) if len(c.upper()) > 1) + _ONE_TO_ONE
 _PARK = "".join(chr(0xE000 + i) for i in range(len(_KEEP)))
 
 # A word character of the basic plane; everything else separates words.
@@ -49,12 +50,15 @@ def blank_to_null(text: Column) -> Column:
 def fold(text: Column | str) -> Column:
     """Upper-case one character at a time: equal folds mean equal ignoring case.
 
-    Pure ASCII text, the usual case, only pays for ``upper``.
+    Text without any of the exceptional letters only pays for ``upper``.
     """
     text = as_column(text)
-    ascii_only = F.octet_length(text) == F.length(text)
+    upper = F.upper(text)
+    same_length = F.length(upper) == F.length(text)
+    exceptional = [F.contains(text, F.lit(c)) for c in _ONE_TO_ONE]
+    plain = (F.octet_length(text) == F.length(text)) | (same_length & ~exceptional[0] & ~exceptional[1])
     parked = F.upper(F.translate(text, _KEEP, _PARK))
-    return F.when(ascii_only, F.upper(text)).otherwise(F.translate(parked, _PARK, _KEEP))
+    return F.when(plain, upper).otherwise(F.translate(parked, _PARK, _KEEP))
 
 
 def sort_key(text: Column) -> Column:
@@ -77,24 +81,12 @@ def quote_regex(text: str) -> str:
     return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
-def words_found(text: Column, words: list[str], whole_words: bool = False) -> Column:
-    """Array of the words found in a text, wherever they start, in one pass.
-
-    Words may overlap.  Where several start at the same place only the first of
-    the list counts, so the earliest word of the list is always among them.
-    """
+def any_of(words: list[str]) -> str:
+    """A regular expression matching any of the words, grouped by first letter."""
     by_first: dict[str, list[str]] = {}
     for word in words:
         by_first.setdefault(word[0], []).append(word[1:])
-    pattern = "|".join(
+    return "|".join(
         quote_regex(first) + "(?:" + "|".join(quote_regex(rest) for rest in rests) + ")"
         for first, rests in by_first.items()
     )
-    pattern = rf"(?U)(?<!\w)(?=((?:{pattern})(?!\w)))" if whole_words else f"(?=({pattern}))"
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-
-
-def first_position(found: Column, words: list[str]) -> Column:
-    """Smallest 1-based place in the list of the words found, null for none."""
-    listed = F.array(*map(F.lit, words))
-    return F.array_min(F.transform(found, lambda word: F.array_position(listed, word)))
