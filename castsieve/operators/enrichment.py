@@ -14,7 +14,8 @@ from ..functions.enrich import (
 from ..functions.fixed_values import UNCATEGORIZED
 from ..functions.names import display_name
 from ..functions.text import fold
-from .lookup import lookup
+from ..workspace import materialize
+from .lookup import hot_keys, lookup
 
 DUPLICATE_OF = "duplicate-of"
 
@@ -64,6 +65,8 @@ def flag_content_duplicates(df: DataFrame) -> DataFrame:
         )
         .where("_rows > 1")
     )
+    originals = materialize(originals, "originals")
+    hot = hot_keys(originals, "content_hash", "_rows")
     extras = F.coalesce("extra_attributes", F.create_map().cast("map<string,string>"))
     original = F.col("_original")
     flagged = F.when(
@@ -71,7 +74,7 @@ def flag_content_duplicates(df: DataFrame) -> DataFrame:
         F.transform_values(extras, lambda k, v: F.when(k == DUPLICATE_OF, original).otherwise(v)),
     ).otherwise(F.map_concat(extras, F.create_map(F.lit(DUPLICATE_OF), original)))
     return (
-        lookup(df, originals, "content_hash", "_rows", F.col("id"))
+        lookup(df, originals.drop("_rows"), "content_hash", F.col("id"), hot)
         .withColumn(
             "extra_attributes",
             F.when(F.col("id") > F.col("_first_id"), flagged).otherwise(F.col("extra_attributes")),

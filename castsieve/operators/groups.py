@@ -7,15 +7,22 @@ from pyspark.sql import functions as F
 
 from ..functions.names import effective_group
 from ..functions.text import fold, sort_key
+from ..workspace import materialize
 from .dedupe import group_labels
-from .lookup import lookup
+from .lookup import hot_keys, lookup
 from .ordering import renumber
 
 
 def with_group_label(df: DataFrame) -> DataFrame:
     """Add ``group_label``: the first spelling of the row's group."""
-    keyed = df.withColumn("group_key", fold(effective_group(F.col("group_name"))))
-    return lookup(keyed, group_labels(df), "group_key", "rows", F.col("id")).drop("group_key")
+    labels = materialize(group_labels(df), "groups")
+    hot = hot_keys(labels, "group_key", "rows")
+    keyed = (
+        df.withColumn("_group", effective_group(F.col("group_name")))
+        .withColumn("group_key", fold(F.col("_group")))
+        .drop("_group")
+    )
+    return lookup(keyed, labels.drop("rows"), "group_key", F.col("id"), hot).drop("group_key")
 
 
 def split_by_group(df: DataFrame) -> DataFrame:

@@ -9,54 +9,54 @@ from ..workspace import materialize
 
 # A key with fewer rows than this is never worth special treatment.
 HOT_ROWS = 200_000
-# Broadcast at most this many hot keys.  Any other key then holds at most one
-# row in HOT_KEYS of the whole table, so no shuffle partition can run over.
+# At most this many hot keys are broadcast.  Any other key then holds at most
+# one row in HOT_KEYS of the whole table, so no shuffle partition runs over.
 HOT_KEYS = 1_000
 
 
-def hot_keys(counts: DataFrame, rows: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The largest keys of a per-key count table; at most ``HOT_KEYS`` rows."""
-    return counts.where(F.col(rows) >= hot_rows).orderBy(F.desc(rows)).limit(HOT_KEYS)
+def hot_keys(counts: DataFrame, key: str, rows: str) -> DataFrame | None:
+    """The keys with the most rows, at most ``HOT_KEYS`` of them, None without any.
+
+    ``counts`` holds one row per key with its number of rows.
+    """
+    largest = (
+        counts.where(F.col(key).isNotNull() & (F.col(rows) >= HOT_ROWS))
+        .orderBy(F.desc(rows))
+        .limit(HOT_KEYS)
+        .select(key)
+    )
+    largest = materialize(largest, "hot-keys")
+    return None if largest.isEmpty() else largest
 
 
 def lookup(
-    rows: DataFrame,
-    table: DataFrame,
-    key: str,
-    row_count: str,
-    unique: Column,
-    hot_rows: int = HOT_ROWS,
+    rows: DataFrame, table: DataFrame, key: str, unique: Column, hot: DataFrame | None
 ) -> DataFrame:
     """Left join of ``rows`` to ``table``, which has one row per ``key``.
 
-    ``row_count`` names the column of ``table`` with the number of rows per key
-    and is not returned.  Rows of hot keys meet a broadcast of at most
-    ``HOT_KEYS`` rows; all others are shuffled by key, where the rows already
-    served, and those without a key, spread by ``unique``, a text unique per
-    row.  Both ways give the same result.  The table is written once: it is read
-    twice, and its size tells Spark whether it can be broadcast as a whole.
+    Rows of ``hot`` keys meet a broadcast of their few table rows.  All others
+    are joined by key as Spark sees fit; rows already served, and rows without a
+    key, are spread by ``unique``, a value unique per row.  The result does not
+    depend on which keys are hot.
     """
-    table = materialize(table, "lookup")
-    values = [c for c in table.columns if c not in (key, row_count)]
-    hot = hot_keys(table, row_count, hot_rows).select(
-        F.col(key).alias("_hot_key"), *[F.col(c).alias(f"_hot_{c}") for c in values]
-    )
-    cold = table.where(F.col(row_count) > 0).select(
-        F.col(key).alias("_cold_key"), *[F.col(c).alias(f"_cold_{c}") for c in values]
-    )
-    served = F.col("_hot_key").isNotNull() | F.col(key).isNull()
-    spread = F.when(served, F.concat(F.lit("\x00"), unique.cast("string"))).otherwise(F.col(key))
+    values = [c for c in table.columns if c != key]
+
+    def renamed(df: DataFrame, prefix: str) -> DataFrame:
+        return df.select(*[F.col(c).alias(f"{prefix}{c}") for c in (key, *values)])
+
+    served, found = F.col(key).isNull(), {c: F.col(f"_cold_{c}") for c in values}
+    joined = rows
+    if hot is not None:
+        # Read for the hot keys and for the others.
+        table = materialize(table, "lookup")
+        few = hot.join(table, key, "left").select(*table.columns)
+        joined = rows.join(F.broadcast(renamed(few, "_hot_")), F.col(key) == F.col(f"_hot_{key}"), "left")
+        is_hot = F.col(f"_hot_{key}").isNotNull()
+        served = served | is_hot
+        found = {c: F.when(is_hot, F.col(f"_hot_{c}")).otherwise(v) for c, v in found.items()}
+    own = F.concat(F.lit("\x00"), unique.cast("string"))
     return (
-        rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
-        .withColumn("_spread", spread)
-        .join(cold, F.col("_spread") == F.col("_cold_key"), "left")
-        .select(
-            *[F.col(c) for c in rows.columns],
-            *[
-                F.when(F.col("_hot_key").isNotNull(), F.col(f"_hot_{c}"))
-                .otherwise(F.col(f"_cold_{c}"))
-                .alias(c)
-                for c in values
-            ],
-        )
+        joined.withColumn("_spread", F.when(served, own).otherwise(F.col(key)))
+        .join(renamed(table, "_cold_"), F.col("_spread") == F.col(f"_cold_{key}"), "left")
+        .select(*[F.col(c) for c in rows.columns], *[v.alias(c) for c, v in found.items()])
     )

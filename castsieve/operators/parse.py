@@ -24,7 +24,8 @@ from ..functions.fixed_values import LOOK_AHEAD
 from ..functions.text import blank_to_null, trim
 from ..functions.urls import is_stream_url
 from ..schema import CHANNEL
-from .lookup import lookup
+from ..workspace import materialize
+from .lookup import hot_keys, lookup
 from .ordering import renumber
 
 # Lines per block when numbered lines are brought together.
@@ -64,9 +65,10 @@ def links_in_texts(texts: DataFrame) -> DataFrame:
             ).alias("before"),
         ),
     )
-    header = header_epg(F.element_at(split_lines(F.col("text")), 1))
+    first_line = F.regexp_extract("text", r"^[^\r\n]*", 0)
     return (
-        texts.select("src_ord", "file", lines.alias("_lines"), header.alias("header_epg"))
+        texts.select("src_ord", "file", lines.alias("_lines"), first_line.alias("_first_line"))
+        .withColumn("header_epg", header_epg(F.col("_first_line")))
         .select("src_ord", "file", "header_epg", F.inline(with_before))
     )
 
@@ -105,14 +107,17 @@ def links_in_lines(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFram
 
 def _with_headers(found: DataFrame, lines: DataFrame, headers: DataFrame) -> DataFrame:
     key = F.concat_ws("\x00", F.col("src_ord").cast("string"), F.col("file"))
-    sizes = (
+    sized = (
         lines.groupBy("src_ord", "file")
         .agg(F.count("*").alias("rows"))
         .join(headers, ["src_ord", "file"])
         .select(key.alias("_file_key"), "rows", "header_epg")
     )
+    sized = materialize(sized, "headers")
+    hot = hot_keys(sized, "_file_key", "rows")
     place = F.concat_ws("\x00", *[F.col(c).cast("string") for c in PLACE])
-    return lookup(found.withColumn("_file_key", key), sizes, "_file_key", "rows", place).drop("_file_key")
+    keyed = found.withColumn("_file_key", key)
+    return lookup(keyed, sized.drop("rows"), "_file_key", place, hot).drop("_file_key")
 
 
 def entries_of_links(links: DataFrame) -> DataFrame:
@@ -121,11 +126,11 @@ def entries_of_links(links: DataFrame) -> DataFrame:
     positions = F.transform(
         F.col("before"), lambda line, i: F.when(is_stream_url(line), i + 1).otherwise(F.lit(0))
     )
-    entry = F.element_at(F.filter("_near", is_entry), 1)
+    entry = F.try_element_at(F.filter("_near", is_entry), F.lit(1))
     overrides = F.filter(F.col("_after_entry"), is_group_override)
     override = F.when(
         F.size(overrides) > 0,
-        trim(F.substring(F.element_at(overrides, -1), len("#EXTGRP:") + 1, 2**31 - 1)),
+        trim(F.substring(F.try_element_at(overrides, F.lit(-1)), len("#EXTGRP:") + 1, 2**31 - 1)),
     )
     line = F.col("_entry")
     tvg_name = F.col("tvg_name")

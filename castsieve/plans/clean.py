@@ -88,6 +88,9 @@ def clean_channels(
                 raise ValueError("validation needs probe results or a fetch function")
             probes = probe_links(working, fetch, options.concurrency, options.timeout)
         working = filter_working(working, probes)
+    if options.content_duplicates or not options.skip_validation:
+        # Read by the report, the writers and the caller.
+        working = materialize(working, "working")
     if options.export_path and options.split_by_group:
         write_group_playlists(working, options.export_path, options.export_name)
     elif options.export_path:

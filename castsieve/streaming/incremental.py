@@ -30,10 +30,12 @@ def start_cleaning(
     options: CleanOptions = CleanOptions(skip_validation=True),
     probes: Callable[[], DataFrame] | None = None,
     max_files_per_batch: int = 10_000,
+    interval: str | None = None,
 ) -> StreamingQuery:
-    """Clean all playlists that are in the folder or arrive there until stopped.
+    """Clean the playlists that are in the folder and not yet done.
 
-    Each batch merges its new files and replaces its own part of the output
+    With an ``interval`` such as "1 minute" the query goes on watching the folder
+    until it is stopped, else it ends when all files are done.  Each batch merges its new files and replaces its own part of the output
     table, so a batch repeated after a failure leaves no second copy.
     """
     arriving = (
@@ -53,6 +55,6 @@ def start_cleaning(
     return (
         arriving.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**({"processingTime": interval} if interval else {"availableNow": True}))
         .start()
     )
