@@ -1,5 +1,7 @@
 """The entry points, and every query against its comparison SQL."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from oracle_check import connect, difference
 
@@ -8,11 +10,6 @@ import __spark_entry__ as entry
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
-@pytest.fixture(scope="module")
-def databases():
-    return {sf: connect(sf) for sf in (SMALL, MIDDLE)}
-
-
 def test_every_query_has_a_comparison():
     assert set(entry.queries()) == set(entry.oracle_sql())
 
@@ -24,11 +21,22 @@ def test_flagship(spark):
     assert ids == list(range(len(ids))) and len(ids) > 100
 
 
+@pytest.fixture(scope="module")
+def differences(spark):
+    """What differs, by query; several queries run at a time."""
+
+    def check(name):
+        # Duplicate removal only shows its rules on the larger tables.
+        sf = MIDDLE if name.startswith("remove_duplicate") else SMALL
+        return difference(entry.queries()[name](spark, sf), entry.oracle_sql()[name], connect(sf))
+
+    with ThreadPoolExecutor(8) as pool:
+        return dict(zip(entry.queries(), pool.map(check, entry.queries())))
+
+
 @pytest.mark.parametrize("name", sorted(entry.queries()))
-def test_query_equals_comparison(spark, databases, name):
-    # Duplicate removal only shows its rules on the larger tables.
-    sf = MIDDLE if name.startswith("remove_duplicate") else SMALL
-    assert difference(entry.queries()[name](spark, sf), entry.oracle_sql()[name], databases[sf]) is None
+def test_query_equals_comparison(differences, name):
+    assert differences[name] is None
 
 
 def test_known_counts(spark):

@@ -38,44 +38,44 @@ def test_link_key_ignores_case_of_every_script(spark):
     assert got[0] == got[1]
 
 
-@pytest.mark.parametrize(
-    "url, valid",
-    [
-        ("http://a.tv/x", True),
-        ("RTMP://ok.com/z1", True),
-        ("mmsh://ab.c/1", True),
-        ("http://a.tv", True),
-        ("http://user:pw@a.tv:8080/x?y#z", True),
-        ("http://my_host/x|y z", True),
-        ("http://[::1]:80/x", True),
-        ("http://пример.рф/x", True),
-        ("http://a.tv:65535/x", True),
-        ("http://a.tv:/x", True),
-        ("http://a.tv/x.png?y", False),
-        ("http://a.tv/x.PNG", False),
-        ("http://a.tv/x.png/", True),
-        ('http://a.tv/x.png"', True),
-        ("http://a.tv/x?y=.png", True),
-        ("http://archive.gz", True),
-        ("http://a.tv/p.m3u8", True),
-        ("http://a.tv:65536/x", False),
-        ("http://a.tv:x/x", False),
-        ("http://ab/x", False),
-        ("http:///x", False),
-        ("http://a tv/x", False),
-        ("http://LOCALHOST:80/x", False),
-        ("http://127.0.0.1", False),
-        ("http://0.0.0.0/x", False),
-        ("http://localhost.tv/x", True),
-        ("udp://a.tv/x", False),
-        ("ftp://a.tv/x", False),
-        ("a.tv/x", False),
-        ("", False),
-        (None, False),
-    ],
-)
-def test_stream_url(spark, url, valid):
-    assert values(spark, [url], urls.is_stream_url(F.col("x"))) == [valid]
+STREAM_URLS = [
+    ("http://a.tv/x", True),
+    ("RTMP://ok.com/z1", True),
+    ("mmsh://ab.c/1", True),
+    ("http://a.tv", True),
+    ("http://user:pw@a.tv:8080/x?y#z", True),
+    ("http://my_host/x|y z", True),
+    ("http://[::1]:80/x", True),
+    ("http://пример.рф/x", True),
+    ("http://a.tv:65535/x", True),
+    ("http://a.tv:/x", True),
+    ("http://a.tv/x.png?y", False),
+    ("http://a.tv/x.PNG", False),
+    ("http://a.tv/x.png/", True),
+    ('http://a.tv/x.png"', True),
+    ("http://a.tv/x?y=.png", True),
+    ("http://archive.gz", True),
+    ("http://a.tv/p.m3u8", True),
+    ("http://a.tv:65536/x", False),
+    ("http://a.tv:x/x", False),
+    ("http://ab/x", False),
+    ("http:///x", False),
+    ("http://a tv/x", False),
+    ("http://LOCALHOST:80/x", False),
+    ("http://127.0.0.1", False),
+    ("http://0.0.0.0/x", False),
+    ("http://localhost.tv/x", True),
+    ("udp://a.tv/x", False),
+    ("ftp://a.tv/x", False),
+    ("a.tv/x", False),
+    ("", False),
+    (None, False),
+]
+
+
+def test_stream_url(spark):
+    got = values(spark, [url for url, _ in STREAM_URLS], urls.is_stream_url(F.col("x")))
+    assert list(zip([url for url, _ in STREAM_URLS], got)) == STREAM_URLS
 
 
 def test_only_web_links_are_probed(spark):
@@ -154,23 +154,23 @@ def test_header_epg(spark):
     assert values(spark, cases, entries.header_epg(F.col("x"))) == ["a", "b", "c", None, None, None]
 
 
-@pytest.mark.parametrize(
-    "name, tvg, group, expected",
-    [
-        ("x", None, "Sports", ("News", "Sports")),
-        ("ESPN", None, "uncategorized", ("Sports", "Sports")),
-        ("ESPN", None, " ", ("Sports", " ")),
-        ("Comedy", "Central", "", ("Series", "Series")),
-        ("plain", None, "", ("Unknown", "")),
-        ("ACTUALITÉS", None, "g", ("News", "g")),
-        ("news", None, "Kids", ("Kids", "Kids")),
-    ],
-)
-def test_auto_categorize(channels, name, tvg, group, expected):
+CATEGORIES = [
+    ("x", None, "Sports", ("News", "Sports")),
+    ("ESPN", None, "uncategorized", ("Sports", "Sports")),
+    ("ESPN", None, " ", ("Sports", " ")),
+    ("Comedy", "Central", "", ("Series", "Series")),
+    ("plain", None, "", ("Unknown", "")),
+    ("ACTUALITÉS", None, "g", ("News", "g")),
+    ("news", None, "Kids", ("Kids", "Kids")),
+]
+
+
+def test_auto_categorize(channels):
     from castsieve.operators.enrichment import auto_categorize
 
-    row = auto_categorize(channels([{"name": name, "tvg_name": tvg, "group_name": group}])).first()
-    assert (row.category, row.group_name) == expected
+    rows = channels([{"name": n, "tvg_name": t, "group_name": g} for n, t, g, _ in CATEGORIES])
+    got = auto_categorize(rows).orderBy("id").collect()
+    assert [(r.category, r.group_name) for r in got] == [expected for *_, expected in CATEGORIES]
 
 
 def test_whole_word_keywords(channels):
@@ -187,23 +187,23 @@ def test_own_keyword_table(channels):
     assert rows.first().category == "Games"
 
 
-@pytest.mark.parametrize(
-    "name, group, language",
-    [
-        ("In Touch", "", "Hindi"),
-        ("(HD) [IT] x", "", None),
-        ("(it) x", "", "Italian"),
-        ("Jerusalem", "", "English"),
-        ("xx: x", "Persian", "Persian"),
-        ("US", "", None),
-        ("us|x", "", "English"),
-        ("a", "b", None),
-        ("Farsi Greek", "", "Persian"),
-    ],
-)
-def test_language(channels, name, group, language):
-    row = enrich.with_language(channels([{"name": name, "group_name": group}])).first()
-    assert (row.language and row.language.name) == language
+MARKED = [
+    ("In Touch", "", "Hindi"),
+    ("(HD) [IT] x", "", None),
+    ("(it) x", "", "Italian"),
+    ("Jerusalem", "", "English"),
+    ("xx: x", "Persian", "Persian"),
+    ("US", "", None),
+    ("us|x", "", "English"),
+    ("a", "b", None),
+    ("Farsi Greek", "", "Persian"),
+]
+
+
+def test_language(channels):
+    rows = channels([{"name": n, "group_name": g} for n, g, _ in MARKED])
+    got = enrich.with_language(rows).orderBy("id").collect()
+    assert [r.language and r.language.name for r in got] == [language for *_, language in MARKED]
 
 
 def test_rename(channels):
@@ -241,44 +241,46 @@ def response(link="http://a.tv/x", status=200, icy=None, body=b"data"):
     return (link, 0, status, icy, bytes(body))
 
 
-@pytest.mark.parametrize(
-    "row, alive, info",
-    [
-        (response(), True, None),
-        (response(status=404), False, None),
-        (response(status=None), False, None),
-        (response(link="rtmp://a.tv/x"), False, None),
-        (response(body=b""), False, None),
-        (response(body=b" \r\n<!doctype html>"), False, None),
-        (response(body=b"<?xml v?>\n<HTML>"), False, None),
-        (response(body=b"<?xml v?>\n<a>"), True, None),
-        (response(body=b"... Access Denied ..."), False, None),
-        (response(body=b"x" * 1995 + b"not found"), True, None),
-        (response(body=b"\x85<html"), True, None),
-        (response(icy="128"), True, (None, None, 128000, None, None)),
-        (response(icy=" -5 "), True, (None, None, -5000, None, None)),
-        (response(icy="1.5"), True, None),
-        (response(icy="2147484"), True, (None, None, -2147483296, None, None)),
-        (response(body=b"\xff\xf1\x50\x80"), True, (None, None, None, None, "MP3")),
-        (response(body=b"\xff\xe1"), True, None),
-        (response(body=b"G\x00\x00"), True, (None, None, None, "MPEG-TS", None)),
-        (response(body=b"FLV1"), True, (None, None, None, "FLV", None)),
-        (response(body=b"ID3x"), True, (None, None, None, None, "MP3/AAC")),
-        (response(body=b"#EXTM3U BANDWIDTH=9999999999"), False, None),
-        (response(body=b"BANDWIDTH=9999999999"), True, None),
-        (
-            response(icy="64", body=b'#extm3u AVERAGE-BANDWIDTH=5,BANDWIDTH=7,RESOLUTION=1x2,CODECS="hev1.1, ac-3,vp9"'),
-            True,
-            (1, 2, 64000, "VP9", "AC3"),
-        ),
-    ],
-)
-def test_verdict(spark, row, alive, info):
+VERDICTS = [
+    (response(), True, None),
+    (response(status=404), False, None),
+    (response(status=None), False, None),
+    (response(link="rtmp://a.tv/x"), False, None),
+    (response(body=b""), False, None),
+    (response(body=b" \r\n<!doctype html>"), False, None),
+    (response(body=b"<?xml v?>\n<HTML>"), False, None),
+    (response(body=b"<?xml v?>\n<a>"), True, None),
+    (response(body=b"... Access Denied ..."), False, None),
+    (response(body=b"x" * 1995 + b"not found"), True, None),
+    (response(body=b"\x85<html"), True, None),
+    (response(icy="128"), True, (None, None, 128000, None, None)),
+    (response(icy=" -5 "), True, (None, None, -5000, None, None)),
+    (response(icy="1.5"), True, None),
+    (response(icy="2147484"), True, (None, None, -2147483296, None, None)),
+    (response(body=b"\xff\xf1\x50\x80"), True, (None, None, None, None, "MP3")),
+    (response(body=b"\xff\xe1"), True, None),
+    (response(body=b"G\x00\x00"), True, (None, None, None, "MPEG-TS", None)),
+    (response(body=b"FLV1"), True, (None, None, None, "FLV", None)),
+    (response(body=b"ID3x"), True, (None, None, None, None, "MP3/AAC")),
+    (response(body=b"#EXTM3U BANDWIDTH=9999999999"), False, None),
+    (response(body=b"BANDWIDTH=9999999999"), True, None),
+    (
+        response(icy="64", body=b'#extm3u AVERAGE-BANDWIDTH=5,BANDWIDTH=7,RESOLUTION=1x2,CODECS="hev1.1, ac-3,vp9"'),
+        True,
+        (1, 2, 64000, "VP9", "AC3"),
+    ),
+]
+
+
+def test_verdict(spark):
     from castsieve.schema import RESPONSE
 
-    got = responses.with_verdict(spark.createDataFrame([row], RESPONSE)).first()
-    assert got.is_alive == alive
-    assert (got.stream_info and tuple(got.stream_info)) == info
+    # The attempt column carries the place of the case.
+    rows = [(row[0], i, *row[2:4], bytearray(row[4])) for i, (row, *_) in enumerate(VERDICTS)]
+    got = responses.with_verdict(spark.createDataFrame(rows, RESPONSE)).orderBy("attempt").collect()
+    assert [(r.is_alive, r.stream_info and tuple(r.stream_info)) for r in got] == [
+        (alive, info) for _, alive, info in VERDICTS
+    ]
 
 
 def test_content_signature(spark):
