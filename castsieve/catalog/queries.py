@@ -139,7 +139,9 @@ def safe_group_name(spark, sf):
 
 
 def _parsed(spark, sf):
-    return parse.entries_of_links(parse.links_in_lines(views.lines(spark, sf)))
+    # Numbered lines are a written table, as they are when files are read in splits.
+    lines = materialize(views.lines(spark, sf), "lines")
+    return parse.entries_of_links(parse.links_in_lines(lines))
 
 
 _ENTRY_COLUMNS = [

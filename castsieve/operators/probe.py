@@ -103,6 +103,18 @@ def capture(links: DataFrame, fetch: Fetch, attempt: int, concurrency: int, time
     return links.select("link").mapInPandas(run, RESPONSE)
 
 
+def capture_once(
+    channels: DataFrame, fetch: Fetch, concurrency: int = 10, timeout: float = 10.0
+) -> DataFrame:
+    """One written response for each distinct link of the channels."""
+    links = channels.where(is_probeable(F.col("link"))).select("link").distinct().repartition("link")
+    return materialize(capture(links, fetch, 0, _bounded(concurrency), timeout), "captured")
+
+
+def _bounded(concurrency: int) -> int:
+    return max(1, min(50, concurrency))
+
+
 def probe_links(
     channels: DataFrame,
     fetch: Fetch,
@@ -116,12 +128,11 @@ def probe_links(
     it is judged, so that a lost executor repeats requests but never mixes two
     answers.  Requests in flight: partitions running times ``concurrency``.
     """
-    concurrency = max(1, min(50, concurrency))
     todo = materialize(channels.where(is_probeable(F.col("link"))).select("link").distinct(), "links")
     attempts = None
     for attempt in range(MAX_ATTEMPTS):
         spread = todo.repartition(partitions, "link") if partitions else todo.repartition("link")
-        captured = materialize(capture(spread, fetch, attempt, concurrency, timeout), "captured")
+        captured = materialize(capture(spread, fetch, attempt, _bounded(concurrency), timeout), "captured")
         classified = with_verdict(captured).select("link", "attempt", "is_alive", "stream_info")
         attempts = classified if attempts is None else attempts.unionByName(classified)
         todo = todo.join(classified.where("is_alive").select("link"), "link", "left_anti")

@@ -16,7 +16,13 @@ from ..operators.enrichment import (
 from ..operators.filters import filter_channels
 from ..operators.groups import processing_report
 from ..operators.ordering import sort_channels
-from ..operators.probe import Fetch, attach_content_hash, filter_working, probe_links
+from ..operators.probe import (
+    Fetch,
+    attach_content_hash,
+    capture_once,
+    filter_working,
+    probe_links,
+)
 from ..sources.playlists import read_playlists
 from ..sources.writers import write_group_playlists, write_playlist
 from ..workspace import materialize
@@ -61,9 +67,9 @@ def clean_channels(
 ) -> CleanResult:
     """Clean numbered channels.
 
-    Links are judged by ``probes`` (one row per link), or by fetching.  Content
-    signatures come from ``responses``.  Duplicates go before the filters, as a
-    filtered-out row can still push out a later one.
+    Links are judged by ``probes`` (one row per link), content signatures come
+    from ``responses``; what is not given is fetched.  Duplicates go before the
+    filters, as a filtered-out row can still push out a later one.
     """
     kept = remove_duplicates(loaded) if options.remove_doubles else loaded
     chosen = filter_channels(kept, options.group_filter, options.name_filter, options.use_regex)
@@ -79,7 +85,9 @@ def clean_channels(
     working = enriched
     if options.content_duplicates:
         if responses is None:
-            raise ValueError("content duplicates need captured responses")
+            if fetch is None:
+                raise ValueError("content duplicates need captured responses or a fetch function")
+            responses = capture_once(working, fetch, options.concurrency, options.timeout)
         working = flag_content_duplicates(attach_content_hash(working, responses))
     working = sort_channels(working, options.sort_by, options.descending)
     if not options.skip_validation:

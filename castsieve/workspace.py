@@ -30,6 +30,7 @@ def shared_folder(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write the rows once and continue from the written table."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/castsieve/{label}-{uuid.uuid4().hex}"
+    run = f"{shared_folder(spark)}/castsieve/{spark.sparkContext.applicationId}"
+    path = f"{run}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

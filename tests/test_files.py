@@ -221,6 +221,9 @@ def test_run_flags_equal_content(spark, channels):
     options = CleanOptions(content_duplicates=True, skip_validation=True)
     got = clean_channels(rows, options, responses=answers).channels.orderBy("id").collect()
     assert [r.extra_attributes for r in got] == [{}, {}, {"duplicate-of": "name 0"}]
+    fetch = lambda link, timeout: (200, None, b"ab"[int(link[-1]) % 2 :][:1] * 9000)
+    fetched = clean_channels(rows, options, fetch=fetch).channels.orderBy("id").collect()
+    assert [r.extra_attributes for r in fetched] == [r.extra_attributes for r in got]
     with pytest.raises(ValueError):
         clean_channels(rows, options)
     with pytest.raises(ValueError):
