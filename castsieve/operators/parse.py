@@ -21,7 +21,7 @@ from ..functions.entries import (
     with_extra_attributes,
 )
 from ..functions.fixed_values import LOOK_AHEAD
-from ..functions.text import blank_to_null, trim
+from ..functions.text import trim
 from ..functions.urls import is_stream_url
 from ..schema import CHANNEL
 from ..workspace import materialize
@@ -76,6 +76,7 @@ def links_in_texts(texts: DataFrame) -> DataFrame:
 def links_in_lines(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
     """Link lines with the lines before them, from ``src_ord, file, line_no, line``.
 
+    A column ``header_epg``, if there is one, saves reading texts for headers.
     Only entry, group and link lines are shuffled, by file and block of lines, so
     the size of a file does not matter.  The last lines of a block also go to the
     next one.
@@ -97,9 +98,11 @@ def links_in_lines(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFram
         .where(F.col("is_link") & (F.col("_block") == own))
         .select(*PLACE, "link_line", "before")
     )
+    known = "header_epg" in lines.columns
+    epg = F.col("header_epg") if known else header_epg(F.col("line"))
     headers = (
         lines.where("line_no = 0")
-        .select("src_ord", "file", header_epg(F.col("line")).alias("header_epg"))
+        .select("src_ord", "file", epg.alias("header_epg"))
         .where("header_epg is not null")
     )
     return _with_headers(found, lines, headers)

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.entries import header_epg
 from ..operators.dedupe import first_per_link
 from ..operators.parse import (
     PLACE,
@@ -62,7 +63,9 @@ def read_texts(spark: SparkSession, sources: list[str], max_bytes: int = WHOLE_F
 def read_numbered_lines(
     spark: SparkSession, sources: list[str], min_bytes: int = WHOLE_FILE_BYTES
 ) -> DataFrame | None:
-    """``src_ord, file, line_no, line`` of the files above a size, None without any.
+    """``src_ord, file, line_no, line, header_epg`` of the files above a size.
+
+    None without such files.
 
     Such files are read in splits.  The lines are written once with the mark of
     their place in the scan; the number of lines per split then gives every line
@@ -79,7 +82,10 @@ def read_numbered_lines(
     scan = _per_source(sources, read)
     if scan.isEmpty():
         return None
-    written = materialize(scan.withColumn("mark", F.monotonically_increasing_id()), "lines")
+    marked = scan.withColumn("mark", F.monotonically_increasing_id()).withColumn(
+        "header_epg", header_epg(F.make_valid_utf8("line"))
+    )
+    written = materialize(marked, "lines")
     earlier = Window.partitionBy("src_ord", "file").orderBy("split").rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -104,6 +110,7 @@ def read_numbered_lines(
             F.when((F.col("line_no") == 0) & wide, refused.cast("string"))
             .otherwise(F.make_valid_utf8("line"))
             .alias("line"),
+            "header_epg",
         )
     )
 
