@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontamination import find_passages
 from .exact_dedup import exact_duplicates
 from .sharding import shard_rows
 
@@ -41,6 +42,20 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
 
 
+@register
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of all benchmark items in all documents."""
+    found = find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        "items_sha256",
+        "contaminated",
+    )
+
+
 ORACLE["op6_exact_dedup"] = """
 select doc_id,
        max(doc_id) over same as keep_id,
