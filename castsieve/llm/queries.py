@@ -11,6 +11,7 @@ from .common import table
 from .decontamination import find_passages
 from .exact_dedup import exact_duplicates
 from .sharding import shard_rows
+from .token_files import read_tokens, write_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,6 +23,12 @@ def register(query: Query) -> Query:
     return query
 
 
+@register
+def op3_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token files, read back."""
+    return read_tokens(write_tokens(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", end_id=2))
+
+
 @register
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards whose numbers of rows differ by one at most."""
