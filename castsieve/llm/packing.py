@@ -153,12 +153,18 @@ def configurations(counts: dict[int, int], capacity: int, rounds: int = ROUNDS)
 
     if capacity in left:
         use(((capacity, 1),), left[capacity])
-    if left:
+    # Rounding leaves a part of the pieces; the program is solved for these again
+    # as long as it places a good part of them.
+    placed = 1.0
+    while left and rounds and placed > 0.1:
+        before = sum(left.values())
+        shares = fractional(left, capacity, rounds)
         # Fullest configurations first, so that over-covered lengths go where they fit best.
-        for key, share in sorted(fractional(left, capacity, rounds).items(), key=lambda x: (-sum(n * k for n, k in x[0]), x)):
+        for key, share in sorted(shares.items(), key=lambda x: (-sum(n * k for n, k in x[0]), x)):
             times = min([int(share), *(left.get(n, 0) // often for n, often in key)])
             if times:
                 use(key, times)
+        placed = 1 - sum(left.values()) / before
     while left:
         key = _best_fit(left, capacity)
         use(key, min(left[n] // often for n, often in key))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontamination import find_passages
 from .exact_dedup import exact_duplicates
+from .packing import cut, pack
 from .sharding import shard_rows
 from .token_files import read_tokens, write_tokens
 
@@ -63,6 +64,14 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+@register
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048 tokens at most."""
+    pieces = cut(table(spark, sf_dir, "documents"), 2048, "word_bpe_49k.json", end_id=0)
+    columns = ["_id", "piece", "start", "length", "ids_crc32"]
+    return pack(pieces, 2048, columns).withColumnRenamed("_id", "doc_id")
+
+
 ORACLE["op6_exact_dedup"] = """
 select doc_id,
        max(doc_id) over same as keep_id,
