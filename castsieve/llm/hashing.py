@@ -104,3 +104,13 @@ def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
     for k in range(n):
         out = mix(out * np.uint64(_BASE) + hashes[k : len(hashes) - n + 1 + k])
     return out
+
+
+def gram_bins(codes: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """The hash bin of the n-gram that starts at each place but the last n - 1."""
+    size = max(0, len(codes) - n + 1)
+    h = np.full(size, n, dtype=np.uint32)
+    for k in range(n):
+        h = (h ^ codes[k : k + size]) * np.uint32(0x01000193)
+        h ^= h >> np.uint32(15)
+    return (h * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontamination import find_passages
 from .exact_dedup import exact_duplicates
+from .language import fit, held_out, predict
 from .packing import cut, pack
 from .sharding import shard_rows
 from .token_files import read_tokens, write_tokens
@@ -72,6 +73,14 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces, 2048, columns).withColumnRenamed("_id", "doc_id")
 
 
+@register
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    codes = fit(docs.where(~held_out()).select("doc_id", "text", "lang"))
+    return predict(docs, codes, keep=["doc_id", held_out().alias("held_out")])
+
+
 ORACLE["op6_exact_dedup"] = """
 select doc_id,
        max(doc_id) over same as keep_id,
