@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import licenses, quality
 from .common import table
 from .decontamination import find_passages
 from .exact_dedup import exact_duplicates
@@ -25,6 +26,15 @@ def register(query: Query) -> Query:
     return query
 
 
+@register
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licences among all documents and their lines."""
+    return licenses.scan(table(spark, sf_dir, "documents")).withColumn("notices", F.array_join("notices", ","))
+
+
+ORACLE["op1_license_scans"] = licenses.comparison_sql()
+
+
 @register
 def op3_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token files, read back."""
@@ -51,6 +61,13 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
 
 
+@register
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents by the scorer trained on weak labels."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs), keep=["doc_id"])
+
+
 @register
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of all benchmark items in all documents."""
