@@ -12,6 +12,7 @@ from .common import table
 from .decontamination import find_passages
 from .exact_dedup import exact_duplicates
 from .language import fit, held_out, predict
+from .ngram_join import similar_groups
 from .packing import cut, pack
 from .sharding import shard_rows
 from .token_files import read_tokens, write_tokens
@@ -35,6 +36,12 @@ def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op1_license_scans"] = licenses.comparison_sql()
 
 
+@register
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents by 3-word shingles and a similarity of 0.9."""
+    return similar_groups(table(spark, sf_dir, "documents"), 3, 90).drop("first")
+
+
 @register
 def op3_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token files, read back."""
