@@ -12,6 +12,7 @@ from .common import table
 from .decontamination import find_passages
 from .exact_dedup import exact_duplicates
 from .language import fit, held_out, predict
+from .line_dedup import repeated_lines
 from .ngram_join import similar_groups
 from .packing import cut, pack
 from .sharding import shard_rows
@@ -62,6 +63,13 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of all documents that repeat an earlier line, exactly or nearly."""
+    found = repeated_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
+
+
 @register
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal texts of all documents; the largest doc_id stays."""
