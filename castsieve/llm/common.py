@@ -28,6 +28,12 @@ def crc32(value: Column) -> Column:
     return F.crc32(value.cast("binary"))
 
 
+def text_key(text: str = "text") -> Column:
+    """A short stand-in for a text, from two 64-bit hashes; null counts as empty."""
+    value = whole_text(text)
+    return F.concat(F.hex(F.xxhash64(value)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), value)))
+
+
 def importable_on_executors(spark: SparkSession) -> None:
     """Let Python workers on this machine find the package.
 

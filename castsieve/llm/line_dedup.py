@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ordering import renumber
 from ..workspace import materialize
-from .common import whole_text
+from .common import text_key, whole_text
 
 # Lines of fewer different words stay.
 LEAST = 3
@@ -73,7 +73,7 @@ def without_repeated_lines(
     )
     names = {c: f"_{k}" for k, c in enumerate(docs.columns)}
     rows = docs.select(
-        *[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.col(f"`{id_column}`").alias("_id"), _key(text)
+        *[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.col(f"`{id_column}`").alias("_id"), text_key(text).alias("_key")
     )
     same = Window.partitionBy("_id", "_key").orderBy(F.lit(0))
     rows = rows.withColumn("_copy", F.row_number().over(same))
@@ -92,11 +92,6 @@ def without_repeated_lines(
     return kept.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
-def _key(text: str) -> Column:
-    value = whole_text(text)
-    return F.concat(F.hex(F.xxhash64(value)), F.hex(F.xxhash64(F.lit(1), value))).alias("_key")
-
-
 def _lines(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     """``_id``, ``k``, ``line`` of every line."""
     return docs.select(F.col(id_column).alias("_id"), F.posexplode(F.split(whole_text(text), "\n", -1)).alias("k", "line"))
@@ -116,7 +111,7 @@ def _decided(docs: DataFrame, id_column: str, text: str, percent: int, least: in
     )
     rows = materialize(
         docs.select(
-            F.monotonically_increasing_id().alias("_row"), F.col(id_column).alias("_id"), _key(text), per_line.alias("lines")
+            F.monotonically_increasing_id().alias("_row"), F.col(id_column).alias("_id"), text_key(text).alias("_key"), per_line.alias("lines")
         ),
         "lines",
     )

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..workspace import materialize
-from .common import importable_on_executors, slices
+from .common import importable_on_executors, slices, text_key
 from .components import components
 from .hashing import SPACED, shingles, words
 
@@ -57,6 +57,12 @@ def similar_groups(
     its ids are.  Other columns are ignored, whatever their names.  An empty table
     gives an empty result.
     """
+    return _grouped(docs, n, percent, id_column, text).select(
+        F.col("_id").alias(id_column), F.col("n").alias("n_shingles"), "component_id", "first"
+    )
+
+
+def _grouped(docs: DataFrame, n: int, percent: int, id_column: str, text: str) -> DataFrame:
     sets, classes = _classes(docs, n, percent, id_column, text)
     links = _links(sets, classes, percent)
     found = components(links)
@@ -69,11 +75,12 @@ def similar_groups(
     named = named.join(named.groupBy("root").agg(best), "root").select(
         "sig", F.col("best.first_id").alias("component_id"), F.col("best.first_row").alias("_first")
     )
-    rows = sets.select("_row", "_id", "n", "sig")
+    rows = sets.select("_row", "_id", "_key", "n", "sig")
     alone = F.col("n") == 0
     return rows.join(named, "sig", "left").select(
-        F.col("_id").alias(id_column),
-        F.col("n").alias("n_shingles"),
+        "_id",
+        "_key",
+        "n",
         F.when(alone, F.col("_id")).otherwise(F.col("component_id")).alias("component_id"),
         (alone | (F.col("_row") == F.col("_first"))).alias("first"),
     )
@@ -86,23 +93,26 @@ def _classes(docs: DataFrame, n: int, percent: int, id_column: str, text: str) -
     kind = docs.schema[id_column].dataType.simpleString()
     id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     rows = docs.select(
-        F.monotonically_increasing_id().alias("_row"), F.col(id_column).alias("_id"), F.col(text).alias("_text")
+        F.monotonically_increasing_id().alias("_row"),
+        F.col(id_column).alias("_id"),
+        text_key(text).alias("_key"),
+        F.col(text).alias("_text"),
     )
-    names = ["_row", "_id", "n", "sig", "set"]
-    types = [pa.int64(), id_type, pa.int64(), pa.binary(), pa.binary()]
+    names = ["_row", "_id", "_key", "n", "sig", "set"]
+    types = [pa.int64(), id_type, pa.string(), pa.int64(), pa.binary(), pa.binary()]
 
     def describe(batches):
         for values in slices(batches):
             found = words(values["_text"], SPACED)
             out = []
-            for i, (row, doc_id) in enumerate(zip(values["_row"], values["_id"])):
+            for i, (row, doc_id, key) in enumerate(zip(values["_row"], values["_id"], values["_key"])):
                 tokens = np.unique(shingles(found.hashes[found.first[i] : found.first[i + 1]], n))
                 data = tokens.astype("<u8").tobytes()
                 sig = hashlib.blake2b(data, digest_size=16).digest() if data else None
-                out.append((row, doc_id, len(tokens), sig, data))
+                out.append((row, doc_id, key, len(tokens), sig, data))
             yield _batch(out, names, types)
 
-    sets = materialize(rows.mapInArrow(describe, f"_row long, _id {kind}, n long, sig binary, set binary"), "sets")
+    sets = materialize(rows.mapInArrow(describe, f"_row long, _id {kind}, _key string, n long, sig binary, set binary"), "sets")
     order = spark.sparkContext.broadcast(_rarity(sets))
 
     def prefixes(batches):
@@ -264,3 +274,36 @@ def _verified(pairs: DataFrame, sets: DataFrame, classes: DataFrame, percent: in
         whole.select(F.col("_row").alias("y"), F.col("set").alias("set_y")), "y"
     )
     return materialize(loaded.select("x", "y", "set_x", "set_y").mapInArrow(compare, "x long, y long"), "links")
+
+
+def without_similar(
+    docs: DataFrame, n: int = 5, percent: int = 80, id_column: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """One row of every component of similar rows, the one of the smallest id, with all its columns.
+
+    Rows that are linked with nothing stay, null and wordless texts among them.  Of
+    repeated rows one stays, as far as they have words.
+    """
+    found = materialize(_grouped(docs, n, percent, id_column, text), "groups")
+    # Rows of equal id and text are told apart by nothing: all go, or one of them stays.
+    equal = found.where("n > 0").groupBy("_id", "_key").agg(
+        F.max("first").alias("stays"), (F.count(F.lit(1)) > 1).alias("repeated")
+    )
+    names = {c: f"_{k}" for k, c in enumerate(docs.columns)}
+    rows = docs.select(
+        *[F.col(f"`{c}`").alias(name) for c, name in names.items()],
+        F.col(f"`{id_column}`").alias("_id"),
+        text_key(text).alias("_key"),
+    )
+    judged = materialize(equal.where("not stays or repeated"), "judged")
+
+    def among(keys: DataFrame, how: str, rows: DataFrame) -> DataFrame:
+        keys = keys.select(F.col("_id").alias("i"), F.col("_key").alias("k"))
+        keys = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+        return rows.join(keys, rows["_id"].eqNullSafe(keys["i"]) & (rows["_key"] == keys["k"]), how)
+
+    kept = among(judged, "left_anti", rows)
+    repeated = judged.where("stays")
+    if not repeated.isEmpty():
+        kept = kept.unionByName(among(repeated, "left_semi", rows).dropDuplicates(["_id", "_key"]))
+    return kept.select(*[F.col(name).alias(c) for c, name in names.items()])

@@ -6,7 +6,7 @@ import re
 import pytest
 
 from castsieve.llm.components import components
-from castsieve.llm.ngram_join import similar_groups
+from castsieve.llm.ngram_join import similar_groups, without_similar
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -73,6 +73,9 @@ def test_equals_all_pairs(spark, seed, n, percent):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=str) == expected
     assert sum(r.first for r in found) == groups
     assert any(r.component_id != r.doc_id for r in found if r.doc_id is not None)
+    kept = without_similar(df, n, percent)
+    assert kept.schema == df.schema
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((r.doc_id for r in found if r.first), key=str)
 
 
 def test_given_documents(spark):
