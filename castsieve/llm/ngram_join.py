@@ -39,8 +39,8 @@ COUNTER_BITS = 20
 _BLOCKS = 1024
 # Longs of the bitmap that bounds an overlap.
 _BITMAP = 8
-# Up to this many candidates, their identifiers (8 bytes each) are broadcast.
-BROADCAST_ROWS = 1_000_000
+# Up to this many identifiers (8 bytes each) are broadcast, more are joined by shuffle.
+BROADCAST_ROWS = 2_000_000
 
 
 def similar_groups(
@@ -194,14 +194,16 @@ def _links(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     # The shorter of two sets needs a shorter prefix only.
     inner = F.col("n") - F.ceil(2 * percent * F.col("n") / F.lit(100 + percent)) + 1
     postings = postings.withColumn("rest", F.col("n") - F.col("at")).withColumn("inner", F.col("at") < inner)
-    lists = postings.groupBy("token").agg(
-        F.count(F.lit(1)).alias("k"), F.min(F.struct("n", "c", "rest", "inner")).alias("head")
-    )
-    shared = materialize(postings.join(lists.where("k > 1").drop("k"), "token"), "shared")
+    # Most tokens of a prefix are in no other; only those that are shared go on, by broadcast if they are few.
+    several = postings.groupBy("token").count().where("count > 1").select("token")
+    several = materialize(several, "tokens")
+    several = F.broadcast(several) if several.count() <= BROADCAST_ROWS else several
+    shared = materialize(postings.join(several, "token", "left_semi"), "shared")
+    lists = shared.groupBy("token").agg(F.min(F.struct("n", "c", "rest", "inner")).alias("head"))
 
     # Step 2: groups around the smallest class of every token.
     head = F.col("head")
-    near = shared.where(
+    near = shared.join(lists, "token").where(
         (F.col("c") != head["c"])
         & head["inner"]
         & (100 * head["n"] >= percent * F.col("n"))
@@ -212,7 +214,7 @@ def _links(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     # Step 3: the matrix of tokens and groups.
     members = materialize(
-        shared.drop("head").join(groups, "c", "left").withColumn("root", F.coalesce("root", "c")), "members"
+        shared.join(groups, "c", "left").withColumn("root", F.coalesce("root", "c")), "members"
     )
     matrix = members.groupBy("token", "root").agg(
         F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest")
