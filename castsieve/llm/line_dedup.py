@@ -5,20 +5,19 @@ or not, has a Jaccard similarity of ``percent`` or more with it; lines come in t
 order of document id and place.  Lines of fewer than ``least`` different words take
 no part and stay.
 
-1. Words are counted over all lines, by hash in 2^20 counters, a table of fixed
+1. Words are counted over all texts, by hash in 2^18 counters, a table of fixed
    size; this makes a global order, rare words first.
-2. Lines of equal sets form a class, numbered by its first line.  All other lines
-   of a class go, so frequent lines cost nothing further.
+2. Lines of equal text form a class, placed at its first line; all its other lines
+   go, so frequent lines cost nothing further.  A class keeps the rarest words of
+   its line, as many as its length asks for, its number of words and a 64-bit sketch.
 3. Families of similar lines are settled around their first class: each class is
-   compared with the earliest class that shares one of its three least word hashes.
-   Classes found to go need no other partner; this keeps large families from being
-   paired among themselves.
-4. For the rest, classes are joined on the words of their prefixes in the global
-   order, filtered in the join by length, by the positions of the word in both
-   lines, and by a 64-bit sketch that bounds the overlap.
-5. What passes is verified on the whole sets.
-
-Everything is column work.  No list of partners is cut off.
+   compared with the earliest class that shares one of its two least word hashes.
+   Classes found to go are not paired with each other any more; this keeps large
+   families from being paired among themselves.
+4. Classes are joined on the words of their prefixes, filtered in the join by
+   length, by the positions of the word in both lines, and by the sketch, which
+   bounds the overlap.
+5. What passes is verified on the whole sets of words.
 """
 
 from __future__ import annotations
@@ -33,15 +32,24 @@ from .common import text_key, whole_text
 # Lines of fewer different words stay.
 LEAST = 3
 # Only the order of words depends on these counters, never the result.
-COUNTER_BITS = 20
-# Up to this many lines to compare, their places (about 40 bytes each) are broadcast.
-BROADCAST_ROWS = 500_000
+COUNTER_BITS = 18
+# Up to this many rows of keys (some 40 bytes each) are broadcast, more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+# Words whose hashes are the least of a line, by which families are found.
+_LEAST_WORDS = 2
+
+
+def _plain(text: str) -> Column:
+    """A text in lower case with blanks for other white space inside lines."""
+    value = F.lower(whole_text(text))
+    for blank in "\t\r\f\v":
+        value = F.replace(value, F.lit(blank), F.lit(" "))
+    return value
 
 
 def _words(line: Column) -> Column:
-    """The different words of a line as sorted 64-bit hashes."""
-    parts = F.split(F.translate(F.lower(line), "\t\r\f\v", "    "), " ")
-    hashes = F.transform(F.array_remove(parts, ""), lambda w: F.xxhash64(w))
+    """The different words of a plain line as sorted 64-bit hashes."""
+    hashes = F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w))
     return F.sort_array(F.array_distinct(hashes))
 
 
@@ -93,75 +101,41 @@ def without_repeated_lines(
 
 
 def _lines(docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    """``_id``, ``k``, ``line`` of every line."""
-    return docs.select(F.col(id_column).alias("_id"), F.posexplode(F.split(whole_text(text), "\n", -1)).alias("k", "line"))
+    """``_id``, ``k``, ``line`` and its signature ``s1``, ``s2`` for every line."""
+    lines = docs.select(F.col(id_column).alias("_id"), F.posexplode(F.split(_plain(text), "\n", -1)).alias("k", "line"))
+    return lines.select("_id", "k", "line", F.xxhash64("line").alias("s1"), F.xxhash64(F.lit(1), "line").alias("s2"))
 
 
 def _decided(docs: DataFrame, id_column: str, text: str, percent: int, least: int) -> DataFrame:
-    levels = _levels(docs, text)
-    signature = [F.xxhash64("t").alias("s1"), F.xxhash64(F.lit(1), "t").alias("s2")]
-
     # One row per document with the signatures of its lines.
-    per_line = F.transform(
-        F.split(whole_text(text), "\n", -1),
-        lambda line: F.transform(
-            F.array(_words(line)),
-            lambda t: F.struct(F.xxhash64(t).alias("s1"), F.xxhash64(F.lit(1), t).alias("s2"), F.size(t).alias("n")),
-        )[0],
-    )
+    signature = lambda line: F.struct(F.xxhash64(line).alias("s1"), F.xxhash64(F.lit(1), line).alias("s2"))
     rows = materialize(
         docs.select(
-            F.monotonically_increasing_id().alias("_row"), F.col(id_column).alias("_id"), text_key(text).alias("_key"), per_line.alias("lines")
+            F.monotonically_increasing_id().alias("_row"),
+            F.col(id_column).alias("_id"),
+            text_key(text).alias("_key"),
+            F.transform(F.split(_plain(text), "\n", -1), signature).alias("lines"),
         ),
         "lines",
     )
-    lines = rows.select("_row", "_id", F.posexplode("lines").alias("k", "line")).select("_row", "_id", "k", "line.*")
-    lines = lines.where(F.col("n") >= least)
-
-    # Classes of equal sets, numbered in the order of their first lines.
-    first = lines.groupBy("s1", "s2").agg(F.min(F.struct("_id", "_row", "k")).alias("first"))
-    classes = renumber(
-        first.select("s1", "s2", F.col("first._id").alias("f_id"), F.col("first._row").alias("f_row"), F.col("first.k").alias("f_k")),
-        F.asc("f_id"), F.asc("f_row"), F.asc("f_k"),
-        id_column="c",
-    )
-
-    # Prefixes of the classes, from their first lines.
-    worded = _lines(docs, id_column, text).select("_id", "k", _words(F.col("line")).alias("t")).where(F.size("t") >= least)
-    worded = worded.select("_id", "k", "t", *signature)
-    own = worded.join(classes.select("s1", "s2", "f_id", "f_k", "c"), ["s1", "s2"])
-    own = own.where(F.col("_id").eqNullSafe(F.col("f_id")) & (F.col("k") == F.col("f_k")))
-    # Words meet their level and come back to their class, which is still in one partition.
-    placed = own.select("s1", "s2", "c", F.slice("t", 1, 3).alias("least"), F.explode("t").alias("w")).join(F.broadcast(levels), _slot(F.col("w")) == F.col("slot"))
-    bit = F.expr("shiftleft(1L, cast(w & 63 as int))")
-    ordered = placed.groupBy("s1", "s2").agg(
-        F.first("c").alias("c"),
-        F.sort_array(F.collect_list(_ordered(F.col("level"), F.col("w")))).alias("o"),
-        F.first("least").alias("least"),
-        F.bit_xor(bit).alias("sketch"),
-    )
-    n = F.size("o")
-    length = (n - F.ceil(percent * n / 100) + 1).cast("int")
-    prefixes = materialize(
-        ordered.select(
-            "c", n.alias("n"), F.slice("o", F.lit(1), length).alias("prefix"), "least", "sketch"
-        ),
-        "prefixes",
-    )
-
-    compared = _Comparison(docs, id_column, text, classes, percent, least)
-    heads = prefixes.select("c", "n", "sketch", F.explode("least").alias("w"))
-    head = heads.groupBy("w").agg(F.min(F.struct("c", "n", "sketch")).alias("h"))
-    near = heads.join(head, "w").where(F.col("c") != F.col("h.c"))
+    classes = _classes(docs, id_column, text, percent, least)
+    comparison = _Comparison(docs, id_column, text, classes, percent)
+
+    heads = classes.select("s1", "n", "sketch", "place", F.explode("least").alias("w"))
+    several = _shared(heads.select("w"))
+    heads = materialize(heads.join(several, "w", "left_semi"), "heads")
+    head = heads.groupBy("w").agg(F.min(F.struct("place", "s1", "n", "sketch")).alias("h"))
+    near = heads.join(head, "w").where(F.col("s1") != F.col("h.s1"))
     near = near.where(_possible("n", "sketch", "h.n", "h.sketch", percent))
-    settled = compared.later(near.select(F.col("h.c").alias("x"), F.col("c").alias("y")).distinct())
+    settled = comparison.later(near.select(F.col("h.s1").alias("x"), F.col("s1").alias("y")).distinct())
 
-    postings = prefixes.join(settled.withColumn("gone", F.lit(True)), "c", "left").select(
-        F.posexplode("prefix").alias("at", "w"), "c", "n", "sketch", F.coalesce("gone", F.lit(False)).alias("gone")
+    gone = settled.withColumn("gone", F.lit(True))
+    postings = classes.join(gone, ["s1", "s2"], "left").select(
+        F.posexplode("prefix").alias("at", "w"), "s1", "n", "sketch", F.coalesce("gone", F.lit(False)).alias("gone")
     )
-    postings = postings.select("w", "c", F.struct("n", "at", "gone").alias("p"), "sketch")
+    postings = postings.select("w", "s1", F.struct("n", "at", "gone").alias("p"), "sketch")
     a, b = (
-        postings.select("w", F.col("c").alias(f"c_{s}"), F.col("p").alias(f"p_{s}"), F.col("sketch").alias(f"sketch_{s}"))
+        postings.select("w", F.col("s1").alias(f"c_{s}"), F.col("p").alias(f"p_{s}"), F.col("sketch").alias(f"sketch_{s}"))
         for s in "ab"
     )
     na, nb = F.col("p_a.n"), F.col("p_b.n")
@@ -170,17 +144,18 @@ def _decided(docs: DataFrame, id_column: str, text: str, percent: int, least: in
         b,
         (a["w"] == b["w"])
         & (F.col("c_a") < F.col("c_b"))
-        # One that goes already needs no partner; with a term of a, so that both sides stay one shuffle.
-        & ~(F.col("p_b.gone") & (F.col("c_a") >= 0))
+        & ~(F.col("p_a.gone") & F.col("p_b.gone"))
         & (F.least(na - F.col("p_a.at"), nb - F.col("p_b.at")) >= needed)
         & _possible("p_a.n", "sketch_a", "p_b.n", "sketch_b", percent),
     )
-    found = compared.later(pairs.select(F.col("c_a").alias("x"), F.col("c_b").alias("y")).distinct())
+    found = comparison.later(pairs.select(F.col("c_a").alias("x"), F.col("c_b").alias("y")).distinct())
 
     # Lines that go: all but the first of a class, and the first of a class with an earlier partner.
-    gone = settled.unionByName(found).withColumn("gone", F.lit(True))
-    judged = classes.join(gone, "c", "left").select("s1", "s2", "f_row", "f_k", "gone")
-    is_first = (F.col("_row") == F.col("f_row")) & (F.col("k") == F.col("f_k"))
+    lines = rows.select("_row", "_id", F.posexplode("lines").alias("k", "line")).select("_row", "_id", "k", "line.*")
+    firsts = lines.groupBy("s1", "s2").agg(F.min(F.struct("_id", "_row", "k")).alias("first"))
+    gone = settled.unionByName(found).distinct().withColumn("gone", F.lit(True))
+    judged = classes.select("s1", "s2").join(gone, ["s1", "s2"], "left").join(firsts, ["s1", "s2"])
+    is_first = (F.col("_row") == F.col("first._row")) & (F.col("k") == F.col("first.k"))
     removed = lines.join(judged, ["s1", "s2"]).where(~is_first | F.col("gone"))
     removed = removed.groupBy("_row").agg(F.sort_array(F.collect_list("k")).alias("removed"))
     per_row = rows.select("_row", "_id", "_key", F.size("lines").cast("long").alias("n_lines"))
@@ -190,24 +165,64 @@ def _decided(docs: DataFrame, id_column: str, text: str, percent: int, least: in
     ).withColumn("_copy", F.row_number().over(copies))
 
 
-def _levels(docs: DataFrame, text: str) -> DataFrame:
-    """``slot`` and ``level`` of every counter that counted, low for rare words; 2^20 rows at most."""
-    # A word repeated in a line counts once, as in its set.
-    hashes = docs.select(F.explode(F.split(whole_text(text), "\n", -1)).alias("line")).select(
-        F.explode(_words(F.col("line"))).alias("w")
+def _classes(docs: DataFrame, id_column: str, text: str, percent: int, least: int) -> DataFrame:
+    """Classes of equal lines of enough words, written.
+
+    ``s1``, ``s2``, ``place`` (id and number of the first line), ``n`` (words),
+    ``prefix`` (its rarest words), ``least``, ``sketch``.
+    """
+    levels = _levels(docs, text)
+
+    def ordered(word: Column) -> Column:
+        level = F.get(levels, _slot(word).cast("int"))
+        return F.shiftleft(level.cast("long"), 40).bitwiseOR(word.bitwiseAND(F.lit((1 << 40) - 1)))
+
+    # The words of a line are worked out once, as the one element of an array.
+    size = F.size("t")
+    length = (size - F.ceil(percent * size / 100) + 1).cast("int")
+    lines = _lines(docs, id_column, text).select(
+        "_id", "k", "s1", "s2", F.explode(F.array(_words(F.col("line")))).alias("t")
+    )
+    lines = lines.where(size >= least).select(
+        "s1",
+        "s2",
+        F.struct("_id", "k").alias("place"),
+        size.alias("n"),
+        F.slice(F.sort_array(F.transform("t", ordered)), F.lit(1), length).alias("prefix"),
+        F.slice("t", 1, _LEAST_WORDS).alias("least"),
+        F.expr("aggregate(t, 0L, (a, w) -> a ^ shiftleft(1L, cast(w & 63 as int)))").alias("sketch"),
+    )
+    classes = lines.groupBy("s1", "s2").agg(
+        F.min("place").alias("place"), *[F.first(c).alias(c) for c in ("n", "prefix", "least", "sketch")]
     )
-    counts = hashes.groupBy(_slot(F.col("w")).alias("slot")).count()
-    level = F.floor(2 * F.log2("count")).cast("tinyint")
-    return materialize(counts.select("slot", level.alias("level")), "levels")
+    return materialize(classes, "classes")
+
+
+def _levels(docs: DataFrame, text: str) -> Column:
+    """A constant array with the level of every counter, low for rare words.
+
+    Words are counted over all texts; 2^18 numbers reach the driver, whatever the input.
+    """
+    words = docs.select(F.explode(F.split(F.replace(_plain(text), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    slots = words.where("w != ''").groupBy(_slot(F.xxhash64("w")).alias("slot")).count()
+    level = F.floor(2 * F.log2("count")).cast("int")
+    known = {r.slot: r.level for r in slots.select("slot", level.alias("level")).collect()}
+    listed = ",".join(str(known.get(slot, 0)) for slot in range(1 << COUNTER_BITS))
+    return F.split(F.lit(listed), ",").cast("array<int>")
 
 
 def _slot(word: Column) -> Column:
     return F.shiftrightunsigned(word, 64 - COUNTER_BITS)
 
 
-def _ordered(level: Column, word: Column) -> Column:
-    """A number that orders words by level, then by 40 bits of their hash."""
-    return F.shiftleft(level.cast("long"), 40).bitwiseOR(word.bitwiseAND(F.lit((1 << 40) - 1)))
+def _shared(keys: DataFrame) -> DataFrame:
+    """The values of the only column that occur more than once, to be broadcast if they are few."""
+    several = keys.groupBy(*keys.columns).count().where("count > 1").drop("count")
+    return _small(materialize(several, "shared"))
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 def _possible(n: str, sketch: str, m: str, other: str, percent: int) -> Column:
@@ -223,27 +238,25 @@ def _possible(n: str, sketch: str, m: str, other: str, percent: int) -> Column:
 
 
 class _Comparison:
-    """Verification of pairs of classes on their whole sets."""
+    """Verification of pairs of classes, given by ``s1``, on their whole sets."""
 
-    def __init__(self, docs: DataFrame, id_column: str, text: str, classes: DataFrame, percent: int, least: int):
-        self.docs, self.id_column, self.text = docs, id_column, text
-        self.classes, self.percent, self.least = classes, percent, least
+    def __init__(self, docs: DataFrame, id_column: str, text: str, classes: DataFrame, percent: int):
+        self.lines = _lines(docs, id_column, text)
+        self.classes, self.percent = classes.select("s1", "s2", "place"), percent
 
     def later(self, pairs: DataFrame) -> DataFrame:
-        """The classes ``c`` with a similar earlier one among the pairs (x earlier than y); written."""
+        """``s1``, ``s2`` of the classes with a similar earlier one among the pairs; written."""
         pairs = materialize(pairs, "pairs")
-        asked = pairs.select(F.explode(F.array("x", "y")).alias("c")).distinct().join(self.classes, "c")
-        asked = materialize(asked.select("c", "f_id", "f_k", "s1", "s2"), "asked")
-        few = asked.count() <= BROADCAST_ROWS
-        lines = _lines(self.docs, self.id_column, self.text)
-        place = lines["_id"].eqNullSafe(asked["f_id"]) & (lines["k"] == asked["f_k"])
-        found = lines.join(F.broadcast(asked) if few else asked, place).select("c", "s1", "s2", _words(F.col("line")).alias("t"))
-        # Rows of equal id may have other lines at that place.
-        found = found.where((F.xxhash64("t") == F.col("s1")) & (F.xxhash64(F.lit(1), "t") == F.col("s2")))
-        sets = materialize(found.groupBy("c").agg(F.first("t").alias("t")), "compared")
-        both = pairs.join(sets.select(F.col("c").alias("x"), F.col("t").alias("tx")), "x").join(
-            sets.select(F.col("c").alias("y"), F.col("t").alias("ty")), "y"
-        )
+        asked = pairs.select(F.explode(F.array("x", "y")).alias("s1")).distinct().join(self.classes, "s1")
+        asked = materialize(asked, "asked")
+        # Rows of equal id may have other lines at a place, so the signature counts as well.
+        found = self.lines.join(_small(asked), ["s1", "s2"])
+        found = found.where(F.col("_id").eqNullSafe(F.col("place._id")) & (F.col("k") == F.col("place.k")))
+        sets = found.groupBy("s1", "s2").agg(F.first("place").alias("place"), F.first("line").alias("line"))
+        sets = materialize(sets.select("s1", "s2", "place", _words(F.col("line")).alias("t")), "compared")
+        x, y = (sets.select(F.col("s1").alias(s), F.struct("place", "s1", "s2").alias(f"p{s}"), F.col("t").alias(f"t{s}")) for s in "xy")
+        both = pairs.join(x, "x").join(y, "y")
         common = F.size(F.array_intersect("tx", "ty"))
         similar = 100 * common >= self.percent * (F.size("tx") + F.size("ty") - common)
-        return materialize(both.where(similar).select(F.col("y").alias("c")).distinct(), "later")
+        later = both.where(similar).select(F.greatest("px", "py").alias("p")).select("p.s1", "p.s2")
+        return materialize(later.distinct(), "later")
