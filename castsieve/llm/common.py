@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 # Rows of a batch are turned into Python objects this many at a time.
 SLICE_ROWS = 256
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,11 +36,15 @@ def text_key(text: str = "text") -> Column:
 
 
 def importable_on_executors(spark: SparkSession) -> None:
-    """Let Python workers on this machine find the package.
+    """Let Python workers on this machine find the package, and send them short batches.
 
     On a cluster the package is installed or sent with ``--py-files``; there the
-    added folder does not exist and changes nothing.
+    added folder does not exist and changes nothing.  Rows are long here: with
+    Spark's default of 10,000 rows a batch of texts would fill a worker's memory.
+    Another value that the session has set is left alone.
     """
+    if spark.conf.get(_BATCH_ROWS) == "10000":
+        spark.conf.set(_BATCH_ROWS, SLICE_ROWS * 2)
     root = str(pathlib.Path(__file__).resolve().parents[2])
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
