@@ -5,6 +5,7 @@ Exact, by a token-group matrix:
 1. Equal sets of n-grams become one class, so copies of a text cost nothing
    further.  The n-grams of a class are put in a global order, rare ones first;
    two sets that are similar enough share one within short prefixes of this order.
+   Only sets of similar size meet.
 2. Similar documents are partitioned into groups: every class is compared with the
    smallest class of each prefix token, and classes linked that way form a group.
    This is linear in the prefixes and swallows large families of near copies.
@@ -23,6 +24,7 @@ no list of candidates is cut off.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -32,15 +34,16 @@ from pyspark.sql import functions as F
 from ..workspace import materialize
 from .common import importable_on_executors, slices, text_key
 from .components import components
-from .hashing import SPACED, shingles, words
+from .hashing import SPACED, mix, shingles, words
 
 # Counters of n-grams by hash; only the order depends on them, never the result.
 COUNTER_BITS = 20
 _BLOCKS = 1024
 # Longs of the bitmap that bounds an overlap.
 _BITMAP = 8
-# Up to this many identifiers (8 bytes each) are broadcast, more are joined by shuffle.
-BROADCAST_ROWS = 2_000_000
+# Up to this many identifiers (8 bytes each; a quarter of it for ids with a text key) are
+# broadcast, more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def similar_groups(
@@ -63,8 +66,9 @@ def similar_groups(
 
 
 def _grouped(docs: DataFrame, n: int, percent: int, id_column: str, text: str) -> DataFrame:
-    sets, classes = _classes(docs, n, percent, id_column, text)
-    links = _links(sets, classes, percent)
+    given = _Documents(docs, n, id_column, text)
+    rows, classes = _classes(given, percent)
+    links = _links(given, rows, classes, percent)
     found = components(links)
     roots = found.withColumnRenamed("node", "c")
     named = classes.select("sig", "c", "first_id", "first_row").join(roots, "c", "left").withColumn(
@@ -75,9 +79,8 @@ def _grouped(docs: DataFrame, n: int, percent: int, id_column: str, text: str) -
     named = named.join(named.groupBy("root").agg(best), "root").select(
         "sig", F.col("best.first_id").alias("component_id"), F.col("best.first_row").alias("_first")
     )
-    rows = sets.select("_row", "_id", "_key", "n", "sig")
     alone = F.col("n") == 0
-    return rows.join(named, "sig", "left").select(
+    return rows.select("_row", "_id", "_key", "n", "sig").join(named, "sig", "left").select(
         "_id",
         "_key",
         "n",
@@ -86,62 +89,71 @@ def _grouped(docs: DataFrame, n: int, percent: int, id_column: str, text: str) -
     )
 
 
-def _classes(docs: DataFrame, n: int, percent: int, id_column: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """The written sets of all rows, and the written classes of equal sets."""
-    spark = docs.sparkSession
-    importable_on_executors(spark)
-    kind = docs.schema[id_column].dataType.simpleString()
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("_row"),
-        F.col(id_column).alias("_id"),
-        text_key(text).alias("_key"),
-        F.col(text).alias("_text"),
-    )
-    names = ["_row", "_id", "_key", "n", "sig", "set"]
-    types = [pa.int64(), id_type, pa.string(), pa.int64(), pa.binary(), pa.binary()]
+class _Documents:
+    """Texts and their sets of n-grams, worked out anew for every pass instead of stored."""
+
+    def __init__(self, docs: DataFrame, n: int, id_column: str, text: str):
+        importable_on_executors(docs.sparkSession)
+        self.n = n
+        self.kind = docs.schema[id_column].dataType.simpleString()
+        self.id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[self.kind]
+        self.texts = docs.select(F.col(id_column).alias("_id"), text_key(text).alias("_key"), F.col(text).alias("_text"))
+
+
+def _sets(texts: list[str | None], n: int) -> list[np.ndarray]:
+    found = words(texts, SPACED)
+    return [np.unique(shingles(found.hashes[a:b], n)) for a, b in zip(found.first, found.first[1:])]
 
-    def describe(batches):
-        for values in slices(batches):
-            found = words(values["_text"], SPACED)
-            out = []
-            for i, (row, doc_id, key) in enumerate(zip(values["_row"], values["_id"], values["_key"])):
-                tokens = np.unique(shingles(found.hashes[found.first[i] : found.first[i + 1]], n))
-                data = tokens.astype("<u8").tobytes()
-                sig = hashlib.blake2b(data, digest_size=16).digest() if data else None
-                out.append((row, doc_id, key, len(tokens), sig, data))
-            yield _batch(out, names, types)
 
-    sets = materialize(rows.mapInArrow(describe, f"_row long, _id {kind}, _key string, n long, sig binary, set binary"), "sets")
-    order = spark.sparkContext.broadcast(_rarity(sets))
+def _sizes(size: int, percent: int) -> list[int]:
+    """Classes of sizes: sets similar enough have one in common.
 
-    def prefixes(batches):
+    A class spans eight steps of the largest ratio of two sizes; a set in the last
+    step of a class is in the next one as well.
+    """
+    if percent >= 100:
+        return [size]
+    step = math.floor(math.log(size) / math.log(100 / percent) + 1e-9)
+    return [step // 8] + [step // 8 + 1] * (step % 8 == 7)
+
+
+def _classes(given: _Documents, percent: int) -> tuple[DataFrame, DataFrame]:
+    """A written row per document, and the written classes of equal sets."""
+    n = given.n
+    order = given.texts.sparkSession.sparkContext.broadcast(_rarity(given))
+    names = ["_row", "_id", "_key", "n", "sig", "length", "prefix", "bitmap"]
+    types = [pa.int64(), given.id_type, pa.string(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+
+    def describe(batches):
         for values in slices(batches):
             out = []
-            for size, sig, row, doc_id, data in zip(*(values[c] for c in ("n", "sig", "_row", "_id", "set"))):
-                tokens = np.frombuffer(data, dtype="<u8")
+            for row, doc_id, key, tokens in zip(values["_row"], values["_id"], values["_key"], _sets(values["_text"], n)):
+                size = len(tokens)
+                if not size:
+                    out.append((row, doc_id, key, 0, None, 0, [], []))
+                    continue
+                sig = hashlib.blake2b(tokens.astype("<u8").tobytes(), digest_size=16).digest()
                 level = order.value[(tokens >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
                 length = size - -(-percent * size // 100) + 1
-                prefix = tokens[np.lexsort((tokens, level))[:length]]
+                rare = tokens[np.lexsort((tokens, level))[:length]]
+                # Only sets of one class of sizes meet on a token.
+                prefix = np.concatenate([mix(rare + np.uint64(k)) for k in _sizes(size, percent)])
                 bits = np.bincount((tokens % np.uint64(64 * _BITMAP)).astype(np.int64), minlength=64 * _BITMAP) & 1
                 bitmap = np.packbits(bits.astype(np.uint8)).view("<i8")
-                out.append((sig, row, doc_id, size, prefix.astype("<u8").view("<i8").tolist(), bitmap.tolist()))
-            yield _batch(
-                out,
-                ["sig", "row", "id", "n", "prefix", "bitmap"],
-                [pa.binary(), pa.int64(), id_type, pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())],
-            )
-
-    schema = f"sig binary, row long, id {kind}, n long, prefix array<long>, bitmap array<long>"
-    single = sets.where("n > 0").mapInArrow(prefixes, schema)
-    smallest = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
-    classes = single.groupBy("sig").agg(
-        F.min("row").alias("c"), smallest, *[F.first(c).alias(c) for c in ("n", "prefix", "bitmap")]
+                out.append((row, doc_id, key, size, sig, length, prefix.view(np.int64).tolist(), bitmap.tolist()))
+            yield _batch(out, names, types)
+
+    numbered = given.texts.withColumn("_row", F.monotonically_increasing_id())
+    schema = f"_row long, _id {given.kind}, _key string, n long, sig binary, length int, prefix array<long>, bitmap array<long>"
+    rows = materialize(numbered.mapInArrow(describe, schema), "rows")
+    smallest = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("best")
+    classes = rows.where("n > 0").groupBy("sig").agg(
+        F.min("_row").alias("c"), smallest, *[F.first(c).alias(c) for c in ("n", "length", "prefix", "bitmap")]
     )
     classes = classes.select(
-        "sig", "c", F.col("best.id").alias("first_id"), F.col("best.row").alias("first_row"), "n", "prefix", "bitmap"
+        "sig", "c", F.col("best._id").alias("first_id"), F.col("best._row").alias("first_row"), "n", "length", "prefix", "bitmap"
     )
-    return sets, materialize(classes, "classes")
+    return rows, materialize(classes, "classes")
 
 
 def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
@@ -149,19 +161,19 @@ def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
 
-def _rarity(sets: DataFrame) -> np.ndarray:
+def _rarity(given: _Documents) -> np.ndarray:
     """A level per counter, low for rare n-grams, counted over all rows.
 
     Tasks count by hash and send their counters in blocks; the sum has a fixed size.
     """
-    spark = sets.sparkSession
-    width = (1 << COUNTER_BITS) // _BLOCKS
+    n, width = given.n, (1 << COUNTER_BITS) // _BLOCKS
 
     def count(batches):
-        total = np.zeros(1 << COUNTER_BITS, dtype=np.int64)
+        total = np.zeros(1 << COUNTER_BITS, dtype=np.int32)
         for values in slices(batches):
-            tokens = np.frombuffer(b"".join(values["set"]), dtype="<u8")
-            total += np.bincount((tokens >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(total))
+            for tokens in _sets(values["_text"], n):
+                # The hashes of a set are all different, but their counters need not be.
+                np.add.at(total, (tokens >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), 1)
         blocks = [b.astype("<i8").tobytes() for b in total.reshape(_BLOCKS, width)]
         yield pa.RecordBatch.from_pydict({"block": list(range(_BLOCKS)), "counts": blocks}, schema=_COUNTS)
 
@@ -173,7 +185,7 @@ def _rarity(sets: DataFrame) -> np.ndarray:
         found = sorted(sums)
         yield pa.RecordBatch.from_pydict({"block": found, "counts": [sums[b].tobytes() for b in found]}, schema=_COUNTS)
 
-    counted = sets.select("set").mapInArrow(count, "block int, counts binary")
+    counted = given.texts.select("_text").mapInArrow(count, "block int, counts binary")
     summed = counted.repartition("block").mapInArrow(add, "block int, counts binary").collect()
     total = np.zeros((_BLOCKS, width), dtype=np.int64)
     for row in summed:
@@ -189,8 +201,10 @@ def _needed(percent: int, one: Column, other: Column) -> Column:
     return F.ceil(percent * (one + other) / F.lit(100 + percent))
 
 
-def _links(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    postings = classes.select("c", "n", F.posexplode("prefix").alias("at", "token"))
+def _links(given: _Documents, rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    postings = classes.select("c", "n", "length", F.posexplode("prefix").alias("at", "token"))
+    # A prefix may stand there for two classes of sizes.
+    postings = postings.withColumn("at", F.col("at") % F.col("length")).drop("length")
     # The shorter of two sets needs a shorter prefix only.
     inner = F.col("n") - F.ceil(2 * percent * F.col("n") / F.lit(100 + percent)) + 1
     postings = postings.withColumn("rest", F.col("n") - F.col("at")).withColumn("inner", F.col("at") < inner)
@@ -209,7 +223,7 @@ def _links(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         & (100 * head["n"] >= percent * F.col("n"))
         & (F.least("rest", head["rest"]) >= _needed(percent, F.col("n"), head["n"]))
     ).select(head["c"].alias("x"), F.col("c").alias("y"))
-    first = _verified(near.distinct(), sets, classes, percent)
+    first = _verified(near.distinct(), given, rows, classes, percent)
     groups = components(first).withColumnRenamed("node", "c")
 
     # Step 3: the matrix of tokens and groups.
@@ -242,10 +256,10 @@ def _links(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         & (F.least("rest_a", "rest_b") >= _needed(percent, F.col("n_a"), F.col("n_b")))
     )
     pairs = pairs.select(F.least("c_a", "c_b").alias("x"), F.greatest("c_a", "c_b").alias("y")).distinct()
-    return first.unionByName(_verified(pairs, sets, classes, percent))
+    return first.unionByName(_verified(pairs, given, rows, classes, percent))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, given: _Documents, rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs of classes whose whole sets are similar enough; written."""
     def sketch(name: str) -> DataFrame:
         return classes.select(F.col("c").alias(name), F.col("n").alias(f"n_{name}"), F.col("bitmap").alias(f"bitmap_{name}"))
@@ -257,9 +271,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, classes: DataFrame, percent: in
     # Every bit that differs stands for a token that only one of the sets has.
     possible = F.floor((F.col("n_x") + F.col("n_y") - apart) / 2) >= _needed(percent, F.col("n_x"), F.col("n_y"))
     pairs = materialize(both.where(possible).select("x", "y"), "pairs")
-    asked = materialize(pairs.select(F.explode(F.array("x", "y")).alias("_row")).distinct(), "asked")
-    few = asked.count() <= BROADCAST_ROWS
-    whole = sets.select("_row", "set").join(F.broadcast(asked) if few else asked, "_row", "left_semi")
+    asked = pairs.select(F.explode(F.array("x", "y")).alias("_row")).distinct()
+    asked = materialize(asked.join(rows.select("_row", "_id", "_key"), "_row"), "asked")
+    wanted = asked.select(F.col("_row").alias("c"), F.col("_id").alias("i"), F.col("_key").alias("k"))
+    wanted = F.broadcast(wanted) if asked.count() <= BROADCAST_ROWS // 4 else wanted
+    own = given.texts["_id"].eqNullSafe(wanted["i"]) & (given.texts["_key"] == wanted["k"])
+    texts = given.texts.join(wanted, own).select("c", "_text")
+    n = given.n
+
+    def load(batches):
+        for values in slices(batches):
+            tokens = [t.astype("<u8").tobytes() for t in _sets(values["_text"], n)]
+            yield _batch(list(zip(values["c"], tokens)), ["_row", "set"], [pa.int64(), pa.binary()])
+
+    # Rows of equal id and text have one set.
+    whole = texts.mapInArrow(load, "_row long, set binary").groupBy("_row").agg(F.first("set").alias("set"))
     whole = materialize(whole, "compared")
 
     def compare(batches):
