@@ -9,7 +9,7 @@ no part and stay.
    size; this makes a global order, rare words first.
 2. Lines of equal text form a class, placed at its first line; all its other lines
    go, so frequent lines cost nothing further.  A class keeps the rarest words of
-   its line, as many as its length asks for, its number of words and a 64-bit sketch.
+   its line, as many as its length asks for, its number of words and a 128-bit sketch.
 3. Families of similar lines are settled around their first class: each class is
    compared with the earliest class that shares one of its two least word hashes.
    Classes found to go are not paired with each other any more; this keeps large
@@ -190,7 +190,7 @@ def _classes(docs: DataFrame, id_column: str, text: str, percent: int, least: in
         size.alias("n"),
         F.slice(F.sort_array(F.transform("t", ordered)), F.lit(1), length).alias("prefix"),
         F.slice("t", 1, _LEAST_WORDS).alias("least"),
-        F.expr("aggregate(t, 0L, (a, w) -> a ^ shiftleft(1L, cast(w & 63 as int)))").alias("sketch"),
+        F.struct(_half_sketch(0), _half_sketch(64)).alias("sketch"),
     )
     classes = lines.groupBy("s1", "s2").agg(
         F.min("place").alias("place"), *[F.first(c).alias(c) for c in ("n", "prefix", "least", "sketch")]
@@ -198,6 +198,12 @@ def _classes(docs: DataFrame, id_column: str, text: str, percent: int, least: in
     return materialize(classes, "classes")
 
 
+def _half_sketch(bit: int) -> Column:
+    """Half of the bits: each tells whether an odd number of words of ``t`` falls on it."""
+    flipped = "a ^ shiftleft(1L, cast(w & 63 as int))"
+    return F.expr(f"aggregate(t, 0L, (a, w) -> if((w & 64) = {bit}, {flipped}, a))").alias(f"b{bit}")
+
+
 def _levels(docs: DataFrame, text: str) -> Column:
     """A constant array with the level of every counter, low for rare words.
 
@@ -231,7 +237,7 @@ def _possible(n: str, sketch: str, m: str, other: str, percent: int) -> Column:
     Every bit that differs stands for a word that only one of the sets has.
     """
     n, m = F.col(n), F.col(m)
-    apart = F.bit_count(F.col(sketch).bitwiseXOR(F.col(other)))
+    apart = sum(F.bit_count(F.col(f"{sketch}.b{k}").bitwiseXOR(F.col(f"{other}.b{k}"))) for k in (0, 64))
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (
         (100 + percent) * F.floor((n + m - apart) / 2) >= percent * (n + m)
     )
