@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -201,8 +202,17 @@ def _needed(percent: int, one: Column, other: Column) -> Column:
     return F.ceil(percent * (one + other) / F.lit(100 + percent))
 
 
+def _possible(n: str, sketch: str, m: str, other: str, percent: int) -> Column:
+    """Whether sketches leave room for the overlap: a bit that differs is a token of one set only."""
+    apart = sum(F.bit_count(F.col(f"{sketch}.b{k}").bitwiseXOR(F.col(f"{other}.b{k}"))) for k in (0, 1))
+    return F.floor((F.col(n) + F.col(m) - apart) / 2) >= _needed(percent, F.col(n), F.col(m))
+
+
 def _links(given: _Documents, rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    postings = classes.select("c", "n", "length", F.posexplode("prefix").alias("at", "token"))
+    # Two words of a bitmap are folded out of all, to go with every token.
+    folded = [reduce(lambda a, b: a.bitwiseXOR(b), [F.col("bitmap")[k] for k in range(half, _BITMAP, 2)]) for half in (0, 1)]
+    sketch = F.struct(folded[0].alias("b0"), folded[1].alias("b1")).alias("sketch")
+    postings = classes.select("c", "n", "length", sketch, F.posexplode("prefix").alias("at", "token"))
     # A prefix may stand there for two classes of sizes.
     postings = postings.withColumn("at", F.col("at") % F.col("length")).drop("length")
     # The shorter of two sets needs a shorter prefix only.
@@ -213,7 +223,7 @@ def _links(given: _Documents, rows: DataFrame, classes: DataFrame, percent: int)
     several = materialize(several, "tokens")
     several = F.broadcast(several) if several.count() <= BROADCAST_ROWS else several
     shared = materialize(postings.join(several, "token", "left_semi"), "shared")
-    lists = shared.groupBy("token").agg(F.min(F.struct("n", "c", "rest", "inner")).alias("head"))
+    lists = shared.groupBy("token").agg(F.min(F.struct("n", "c", "rest", "inner", "sketch")).alias("head"))
 
     # Step 2: groups around the smallest class of every token.
     head = F.col("head")
@@ -222,6 +232,7 @@ def _links(given: _Documents, rows: DataFrame, classes: DataFrame, percent: int)
         & head["inner"]
         & (100 * head["n"] >= percent * F.col("n"))
         & (F.least("rest", head["rest"]) >= _needed(percent, F.col("n"), head["n"]))
+        & _possible("n", "sketch", "head.n", "head.sketch", percent)
     ).select(head["c"].alias("x"), F.col("c").alias("y"))
     first = _verified(near.distinct(), given, rows, classes, percent)
     groups = components(first).withColumnRenamed("node", "c")
@@ -245,17 +256,19 @@ def _links(given: _Documents, rows: DataFrame, classes: DataFrame, percent: int)
     # Step 4: members of groups that qualify.
     def side(name: str) -> DataFrame:
         return members.select(
-            "token", *[F.col(c).alias(f"{c}_{name}") for c in ("root", "c", "n", "rest", "inner")]
+            "token", *[F.col(c).alias(f"{c}_{name}") for c in ("root", "c", "n", "rest", "inner", "sketch")]
         )
 
-    pairs = meeting.join(side("a"), ["token", "root_a"]).join(side("b"), ["token", "root_b"])
     shorter_a = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("c_a") < F.col("c_b")))
-    pairs = pairs.where(
+    fits = (
         F.when(shorter_a, F.col("inner_a")).otherwise(F.col("inner_b"))
         & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
         & (F.least("rest_a", "rest_b") >= _needed(percent, F.col("n_a"), F.col("n_b")))
+        & _possible("n_a", "sketch_a", "n_b", "sketch_b", percent)
     )
-    pairs = pairs.select(F.least("c_a", "c_b").alias("x"), F.greatest("c_a", "c_b").alias("y")).distinct()
+    opened, right = meeting.join(side("a"), ["token", "root_a"]), side("b")
+    own = (opened["token"] == right["token"]) & (opened["root_b"] == right["root_b"])
+    pairs = opened.join(right, own & fits).select(F.least("c_a", "c_b").alias("x"), F.greatest("c_a", "c_b").alias("y")).distinct()
     return first.unionByName(_verified(pairs, given, rows, classes, percent))
 
 
