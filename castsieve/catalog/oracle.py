@@ -240,7 +240,7 @@ def _probes(by: str) -> str:
 def _hash(hex_body: str, ok: str = "true") -> str:
     return (
         f"case when {ok} and length({hex_body}) >= 512"
-        f" then substr(upper(sha256(unhex(substr({hex_body}, 1, 4096)))), 1, 16) end"
+        f" then substr(upper(sha256(unhex({hex_body}))), 1, 16) end"
     )
 
 
@@ -299,6 +299,12 @@ _sql(
 _ENTRY = "file, line_no, name, link, group_name, tvg_id, tvg_name, tvg_logo, epg_url, extra_attributes"
 _sql("parse_channels", f"select id, {_ENTRY} from numbered", _parse("lines_fx"))
 _sql("parse_small_playlists", f"select {_ENTRY} from parsed", _parse("small_lines_fx"))
+_sql(
+    "read_written_playlists",
+    f"select form, regexp_replace(file, '\\.m3u$', '') playlist, {_ENTRY.removeprefix('file, ')} "
+    "from parsed cross join (values ('whole'), ('lines'), ('gzip')) f(form)",
+    _parse("small_lines_fx"),
+)
 _ENTRIES = f"e as (select file, line_no, {_trim('line')} t from lines_fx where upper(substr({_trim('line')}, 1, 7)) = '#EXTINF')"
 _sql("parse_extra_attributes", f"select file, line_no, {_extras('t')} extra_attributes from e", _ENTRIES)
 _sql(
@@ -324,6 +330,7 @@ def _merged(rows: str, columns: str) -> str:
 
 _sql("merge_playlists", _merged("channels_fx", "name, link, group_name"))
 _sql("merge_parsed_playlists", _merged("numbered", "name, link, epg_url"), _parse("lines_fx"))
+_sql("merge_sources", _merged("numbered", "name, link, epg_url"), _parse("small_lines_fx"))
 _sql(
     "remove_duplicates", "select c.id, name, link from channels_fx c join kept using (id)", _greedy("channels_fx")
 )
@@ -393,6 +400,7 @@ _sql(
     trim(regexp_replace(tvg_name, '(?i)([a-z]+) (\d+)', '\2 \1 <\0> $', 'g')) tvg_name from channels_fx""",
 )
 _sql("rename_bad_regex", "select id, name, tvg_name from channels_fx")
+_sql("rename_empty", "select id, name, tvg_name, replace(name, ' ', '') without_blanks from channels_fx")
 _RENAMED = _trim("regexp_replace(name, '(?i)the ', 'THE* ', 'g')")
 _sql("rename_documents", f"select id, md5({_RENAMED}) digest from documents_fx")
 
@@ -543,6 +551,21 @@ _sql(
     _SPLIT,
 )
 
+_sql(
+    "write_group_playlists",
+    f"""select playlist || '.m3u' playlist, line from (
+    select distinct playlist, '#EXTM3U' line from split union all
+    select playlist, line from ({_lines_of('split', 'playlist')}))""",
+    _LABELS,
+    _SPLIT,
+)
+_sql("write_table", "select id, name, link, group_name, tvg_name, 'Unknown' category from channels_fx")
+_sql(
+    "probe_links",
+    """select link, length(link) % 3 <> 0 is_alive, case when length(link) % 3 = 1 then 128000 end::int bitrate
+    from (select distinct link from channels_fx) where regexp_matches(lower(link), '^https?://')""",
+)
+
 _RENAME = "trim(regexp_replace({0}, '(?i)bolt', 'Bolt TV', 'g'))"
 _sql(
     "clean_unvalidated",
@@ -572,6 +595,15 @@ _sql(
     _LANGUAGE_ROWS,
     _HASHED.replace("from channels_fx c", "from enriched c"),
 )
+_sql(
+    "clean_defaults",
+    f"""select e.id, e.name, e.link, group_name, category, {_LANGUAGE_COLUMNS}, {_INFO}
+    from enriched e join probes p on p.link = e.link and p.is_alive left join languages using (mark)""",
+    _greedy("channels_fx"),
+    _STAGE,
+    *_LINK_PROBES,
+    _LANGUAGE_ROWS,
+)
 _sql(
     "processing_report",
     f"""select (select count(*) from chosen c join probes p on p.link = c.link and p.is_alive) working_count,

@@ -6,6 +6,7 @@ have the same names as in the comparison SQL.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,9 +16,10 @@ from ..functions import entries, enrich, names, responses, urls
 from ..functions.text import trim
 from ..operators import dedupe, enrichment, filters, groups, ordering, parse, probe
 from ..plans.clean import CleanOptions, clean_channels
-from ..sources.playlists import load_parsed
+from ..sources import writers
+from ..sources.playlists import load_parsed, parse_sources, read_playlists
 from ..sources.writers import group_playlist_lines, playlist_lines
-from ..workspace import materialize
+from ..workspace import materialize, shared_folder
 from . import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -162,6 +164,35 @@ def parse_small_playlists(spark, sf):
     return parse.entries_of_links(links).select(*_ENTRY_COLUMNS, *_extras())
 
 
+def _written_playlists(spark, sf, compression: str) -> str:
+    """The small playlists as files, one folder each, in the shared folder; a glob of the folders."""
+    folder = _new_folder(spark, "playlists")
+    texts = views.small_texts(spark, sf).select(F.regexp_replace("file", r"\.m3u$", "").alias("playlist"), "text")
+    texts.write.partitionBy("playlist").option("compression", compression).text(folder)
+    return f"{folder}/playlist=*"
+
+
+@register
+def read_written_playlists(spark, sf):
+    plain, packed = (_written_playlists(spark, sf, c) for c in ("none", "gzip"))
+    forms = {"whole": (plain, 1 << 24), "lines": (plain, 4096), "gzip": (packed, 1 << 24)}
+    rows = None
+    for form, (source, limit) in forms.items():
+        playlist = F.regexp_extract("file", "playlist=([^/]*)", 1)
+        columns = [c for c in _ENTRY_COLUMNS if c != "file"]
+        read = parse_sources(spark, [source], limit).select(
+            F.lit(form).alias("form"), playlist.alias("playlist"), *columns, *_extras()
+        )
+        rows = read if rows is None else rows.unionByName(read)
+    return rows
+
+
+@register
+def merge_sources(spark, sf):
+    sources = [_written_playlists(spark, sf, c) for c in ("gzip", "none")]
+    return read_playlists(spark, sources, merge=True, whole_file_bytes=4096).select("id", "name", "link", "epg_url")
+
+
 @register
 def parse_extra_attributes(spark, sf):
     found = views.lines(spark, sf).withColumn("line", trim(F.col("line"))).where(entries.is_entry(F.col("line")))
@@ -327,6 +358,15 @@ def rename_bad_regex(spark, sf):
     return renamed.select("id", "name", "tvg_name")
 
 
+@register
+def rename_empty(spark, sf):
+    rows = views.channels(spark, sf)
+    kept = enrichment.rename_channels(rows, "", "x").select("id", "name", "tvg_name")
+    # The shown name replaces the name, so only rows without one keep their own.
+    gone = enrichment.rename_channels(rows.withColumn("tvg_name", F.lit(None).cast("string")), " ", None)
+    return kept.join(gone.select("id", F.col("name").alias("without_blanks")), "id")
+
+
 @register
 def rename_documents(spark, sf):
     renamed = enrichment.rename_channels(views.documents(spark, sf), "the ", "THE* ")
@@ -518,6 +558,36 @@ def write_group_lines(spark, sf):
     return group_playlist_lines(views.channels(spark, sf), "out")
 
 
+def _new_folder(spark, label: str) -> str:
+    return f"{shared_folder(spark)}/castsieve/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+@register
+def write_group_playlists(spark, sf):
+    folder = _new_folder(spark, "groups")
+    writers.write_group_playlists(views.channels(spark, sf), folder, "out.m3u")
+    return spark.read.text(folder).select("playlist", F.col("value").alias("line"))
+
+
+@register
+def write_table(spark, sf):
+    folder = _new_folder(spark, "table")
+    writers.write_table(views.channels(spark, sf), folder)
+    return spark.read.parquet(folder).select("id", "name", "link", "group_name", "tvg_name", "category")
+
+
+@register
+def probe_links(spark, sf):
+    def fetch(link, timeout):
+        # The answer follows from the link: dead, with a bitrate, or plain.
+        kind = len(link) % 3
+        return (200 if kind else 404), ("128" if kind == 1 else None), b"media"
+
+    return probe.probe_links(views.channels(spark, sf), fetch).select(
+        "link", "is_alive", F.col("stream_info.bitrate").alias("bitrate")
+    )
+
+
 _CLEAN = CleanOptions(
     name_filter="l", rename_pattern="bolt", rename_replacement="Bolt TV", sort_by="group-name",
     skip_validation=True,
@@ -542,6 +612,13 @@ def clean_validated(spark, sf):
     )
 
 
+@register
+def clean_defaults(spark, sf):
+    options = CleanOptions(export_path=_new_folder(spark, "out"))
+    cleaned = clean_channels(views.channels(spark, sf), options, probes=_link_probes(spark, sf)).channels
+    return cleaned.select("id", "name", "link", "group_name", "category", *_language(), *_info())
+
+
 @register
 def processing_report(spark, sf):
     return clean_channels(

@@ -167,7 +167,6 @@ ERROR_PAGE_TEXTS = ["not found", "access denied"]
 # Bytes looked at for the error-page test and the content signature.
 PAGE_PREFIX_BYTES = 2000
 SIGNATURE_MIN_BYTES = 256
-SIGNATURE_PREFIX_BYTES = 2048
 SIGNATURE_HEX_CHARS = 16
 CAPTURE_MAX_BYTES = 8192
 

@@ -18,7 +18,6 @@ from .fixed_values import (
     PAGE_PREFIX_BYTES,
     SIGNATURE_HEX_CHARS,
     SIGNATURE_MIN_BYTES,
-    SIGNATURE_PREFIX_BYTES,
     VIDEO_CODECS,
 )
 from .text import quote_regex
@@ -77,10 +76,6 @@ def audio_codec(codecs: Column) -> Column:
     return _last_codec(_codec_parts(codecs), AUDIO_CODECS)
 
 
-def _number(text: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(text, pattern, group)
-
-
 def with_verdict(responses: DataFrame) -> DataFrame:
     """Add ``is_alive`` and ``stream_info`` to captured responses.
 
@@ -140,9 +135,8 @@ def with_verdict(responses: DataFrame) -> DataFrame:
 
 
 def content_signature(status: Column, body: Column) -> Column:
-    """Short hash of the first bytes, null for failures and tiny bodies."""
-    prefix = F.substring(body, 1, SIGNATURE_PREFIX_BYTES)
-    digest = F.upper(F.sha2(prefix, 256))
+    """Short hash of all bytes captured, null for failures and tiny bodies."""
+    digest = F.upper(F.sha2(body, 256))
     return F.when(
         is_success(status) & (F.length(body) >= SIGNATURE_MIN_BYTES),
         F.substring(digest, 1, SIGNATURE_HEX_CHARS),

@@ -50,7 +50,8 @@ def blank_to_null(text: Column) -> Column:
 def fold(text: Column | str) -> Column:
     """Upper-case one character at a time: equal folds mean equal ignoring case.
 
-    Text without any of the exceptional letters only pays for ``upper``.
+    Text without any of the exceptional letters only pays for ``upper``; text that
+    has characters of the parking range itself is folded one by one.
     """
     text = as_column(text)
     upper = F.upper(text)
@@ -58,7 +59,15 @@ def fold(text: Column | str) -> Column:
     exceptional = [F.contains(text, F.lit(c)) for c in _ONE_TO_ONE]
     plain = (F.octet_length(text) == F.length(text)) | (same_length & ~exceptional[0] & ~exceptional[1])
     parked = F.upper(F.translate(text, _KEEP, _PARK))
-    return F.when(plain, upper).otherwise(F.translate(parked, _PARK, _KEEP))
+    letters = F.transform(
+        F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)),
+        lambda c: F.when(F.contains(F.lit(_KEEP), c), c).otherwise(F.upper(c)),
+    )
+    return (
+        F.when(plain, upper)
+        .when(text.rlike("[\uE000-\uF8FF]"), F.array_join(letters, ""))
+        .otherwise(F.translate(parked, _PARK, _KEEP))
+    )
 
 
 def sort_key(text: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.names import effective_group, with_name_key
 from ..functions.text import fold, sort_key
 from ..functions.urls import with_link_key
-from ..workspace import materialize
+from ..workspace import materialize, release
 from .ordering import renumber
 
 # Rounds of plain mutual-first matching before chains are followed as well.
@@ -79,12 +79,14 @@ def kept_ids(rows: DataFrame, plain_rounds: int = PLAIN_ROUNDS) -> DataFrame:
             chosen = chosen.unionByName(in_chain)
         chosen = materialize(chosen, "kept")
         rounds.append(chosen.select("id"))
+        before = open_rows
         open_rows = materialize(
             open_rows.join(chosen.select("link_key"), "link_key", "left_anti")
             .join(chosen.select("name_key"), "name_key", "left_anti")
             .select("id", "link_key", "name_key"),
             "open-rows",
         )
+        release(before)
     return reduce(DataFrame.unionByName, rounds)
 
 
@@ -98,20 +100,18 @@ def _mutual_first(open_rows: DataFrame) -> DataFrame:
 def _kept_along_chains(open_rows: DataFrame, free: DataFrame) -> DataFrame:
     """Ids kept because of chains of rows that each wait for exactly one row.
 
-    The second of two rows with a key waits for the first.  A row that waits for
-    one other row is kept exactly if that one is not, so along a chain kept and
-    dropped alternate, starting from a row that waits for nobody (``free``).
+    The second row of a key waits for the first only, whatever comes after it.  A
+    row that waits for one other row is kept exactly if that one is not, so along a
+    chain kept and dropped alternate, starting from a row that waits for nobody
+    (``free``).  Rows that are second in both keys wait for two and are left open.
     Each step joins the chain to itself on unique ids and doubles its strides.
     """
     waits, firsts = {}, {}
     for key in ("link_key", "name_key"):
-        ends = open_rows.groupBy(key).agg(
-            F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last")
-        )
-        firsts[key] = ends.select(F.col("first").alias("id"))
-        waits[key] = ends.where("n = 2").select(
-            F.col("last").alias("id"), F.col("first").alias("target")
-        )
+        ends = open_rows.groupBy(key).agg(F.min("id").alias("target"))
+        firsts[key] = ends.select(F.col("target").alias("id"))
+        later = open_rows.select(key, "id").join(ends, key).where("id > target")
+        waits[key] = later.groupBy(key, "target").agg(F.min("id").alias("id")).select("id", "target")
     single = (
         waits["link_key"]
         .join(firsts["name_key"], "id", "left_semi")
@@ -140,7 +140,9 @@ def _kept_along_chains(open_rows: DataFrame, free: DataFrame) -> DataFrame:
                 F.coalesce("_done", F.lit(True)).alias("done"),
             )
         )
+        before = chain
         chain = materialize(chain.where("done").unionByName(moved), "chain")
+        release(before)
     return chain.where(F.col("free") & (F.col("flips") == 0)).select("id")
 
 

@@ -15,7 +15,7 @@ from ..functions.fixed_values import UNCATEGORIZED
 from ..functions.names import display_name
 from ..functions.text import fold
 from ..workspace import materialize
-from .lookup import hot_keys, lookup
+from .lookup import lookup
 
 DUPLICATE_OF = "duplicate-of"
 
@@ -64,9 +64,9 @@ def flag_content_duplicates(df: DataFrame) -> DataFrame:
             F.count("*").alias("_rows"),
         )
         .where("_rows > 1")
+        .drop("_rows")
     )
     originals = materialize(originals, "originals")
-    hot = hot_keys(originals, "content_hash", "_rows")
     extras = F.coalesce("extra_attributes", F.create_map().cast("map<string,string>"))
     original = F.col("_original")
     flagged = F.when(
@@ -74,7 +74,7 @@ def flag_content_duplicates(df: DataFrame) -> DataFrame:
         F.transform_values(extras, lambda k, v: F.when(k == DUPLICATE_OF, original).otherwise(v)),
     ).otherwise(F.map_concat(extras, F.create_map(F.lit(DUPLICATE_OF), original)))
     return (
-        lookup(df, originals.drop("_rows"), "content_hash", F.col("id"), hot)
+        lookup(df, originals, "content_hash", F.col("id"))
         .withColumn(
             "extra_attributes",
             F.when(F.col("id") > F.col("_first_id"), flagged).otherwise(F.col("extra_attributes")),

@@ -9,20 +9,19 @@ from ..functions.names import effective_group
 from ..functions.text import fold, sort_key
 from ..workspace import materialize
 from .dedupe import group_labels
-from .lookup import hot_keys, lookup
+from .lookup import lookup
 from .ordering import renumber
 
 
 def with_group_label(df: DataFrame) -> DataFrame:
     """Add ``group_label``: the first spelling of the row's group."""
-    labels = materialize(group_labels(df), "groups")
-    hot = hot_keys(labels, "group_key", "rows")
+    labels = materialize(group_labels(df).drop("rows"), "groups")
     keyed = (
         df.withColumn("_group", effective_group(F.col("group_name")))
         .withColumn("group_key", fold(F.col("_group")))
         .drop("_group")
     )
-    return lookup(keyed, labels.drop("rows"), "group_key", F.col("id"), hot).drop("group_key")
+    return lookup(keyed, labels, "group_key", F.col("id")).drop("group_key")
 
 
 def split_by_group(df: DataFrame) -> DataFrame:
@@ -54,17 +53,36 @@ def one_row(figures: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
 
 
 def processing_report(
-    original: DataFrame, deduplicated: DataFrame, enriched: DataFrame, working: DataFrame
+    original: DataFrame,
+    deduplicated: DataFrame,
+    enriched: DataFrame,
+    working: DataFrame,
+    categorized: bool = True,
+    languages: bool = True,
 ) -> DataFrame:
-    """The seven figures of a run as a one-row table."""
+    """The seven figures of a run as a one-row table.
+
+    Categories and languages count what the run added: those after the step less
+    those before, 0 for a step that is off.
+    """
     everything = F.count("*")
+    with_category, with_language = F.count_if(F.col("category") != "Unknown"), F.count("language")
+    figures = {}
+    if categorized:
+        figures |= {"categorized_before": (deduplicated, with_category), "categorized_after": (enriched, with_category)}
+    if languages:
+        figures |= {"languages_before": (deduplicated, with_language), "languages_after": (enriched, with_language)}
+
+    def added(name: str) -> Column:
+        known = f"{name}_after" in figures
+        return (F.col(f"{name}_after") - F.col(f"{name}_before")) if known else F.lit(0).cast("bigint")
+
     report = one_row(
         {
             "working_count": (working, everything),
             "group_count": (working, group_count()),
             "total_count": (enriched, everything),
-            "categorized_count": (enriched, F.count_if(F.col("category") != "Unknown")),
-            "languages_count": (enriched, F.count("language")),
+            **figures,
             "original_count": (original, everything),
             "kept_count": (deduplicated, everything),
         }
@@ -75,6 +93,6 @@ def processing_report(
         (F.col("original_count") - F.col("kept_count")).alias("doubles_removed_count"),
         "original_count",
         "group_count",
-        "categorized_count",
-        "languages_count",
+        added("categorized").alias("categorized_count"),
+        added("languages").alias("languages_count"),
     )

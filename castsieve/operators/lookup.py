@@ -5,58 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..workspace import materialize
 
-# A key with fewer rows than this is never worth special treatment.
-HOT_ROWS = 200_000
-# At most this many hot keys are broadcast.  Any other key then holds at most
-# one row in HOT_KEYS of the whole table, so no shuffle partition runs over.
-HOT_KEYS = 1_000
-
-
-def hot_keys(counts: DataFrame, key: str, rows: str) -> DataFrame | None:
-    """The keys with the most rows, at most ``HOT_KEYS`` of them, None without any.
-
-    ``counts`` holds one row per key with its number of rows.
-    """
-    largest = (
-        counts.where(F.col(key).isNotNull() & (F.col(rows) >= HOT_ROWS))
-        .orderBy(F.desc(rows))
-        .limit(HOT_KEYS)
-        .select(key)
-    )
-    largest = materialize(largest, "hot-keys")
-    return None if largest.isEmpty() else largest
-
-
-def lookup(
-    rows: DataFrame, table: DataFrame, key: str, unique: Column, hot: DataFrame | None
-) -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, key: str, unique: Column) -> DataFrame:
     """Left join of ``rows`` to ``table``, which has one row per ``key``.
 
-    Rows of ``hot`` keys meet a broadcast of their few table rows.  All others
-    are joined by key as Spark sees fit; rows already served, and rows without a
-    key, are spread by ``unique``, a value unique per row.  The result does not
-    depend on which keys are hot.
+    A key that a large share of the rows has is one row of the table, so Spark's
+    adaptive execution splits its rows over tasks and gives each of them that row.
+    Rows without a key, which match nothing, are spread by ``unique``, a value unique
+    per row.
     """
     values = [c for c in table.columns if c != key]
-
-    def renamed(df: DataFrame, prefix: str) -> DataFrame:
-        return df.select(*[F.col(c).alias(f"{prefix}{c}") for c in (key, *values)])
-
-    served, found = F.col(key).isNull(), {c: F.col(f"_cold_{c}") for c in values}
-    joined = rows
-    if hot is not None:
-        # Read for the hot keys and for the others.
-        table = materialize(table, "lookup")
-        few = hot.join(table, key, "left").select(*table.columns)
-        joined = rows.join(F.broadcast(renamed(few, "_hot_")), F.col(key) == F.col(f"_hot_{key}"), "left")
-        is_hot = F.col(f"_hot_{key}").isNotNull()
-        served = served | is_hot
-        found = {c: F.when(is_hot, F.col(f"_hot_{c}")).otherwise(v) for c, v in found.items()}
+    found = table.select(*[F.col(c).alias(f"_found_{c}") for c in (key, *values)])
     own = F.concat(F.lit("\x00"), unique.cast("string"))
     return (
-        joined.withColumn("_spread", F.when(served, own).otherwise(F.col(key)))
-        .join(renamed(table, "_cold_"), F.col("_spread") == F.col(f"_cold_{key}"), "left")
-        .select(*[F.col(c) for c in rows.columns], *[v.alias(c) for c, v in found.items()])
+        rows.withColumn("_spread", F.coalesce(key, own))
+        .join(found, F.col("_spread") == F.col(f"_found_{key}"), "left")
+        .select(*[F.col(c) for c in rows.columns], *[F.col(f"_found_{c}").alias(c) for c in values])
     )

@@ -24,8 +24,7 @@ from ..functions.fixed_values import LOOK_AHEAD
 from ..functions.text import trim
 from ..functions.urls import is_stream_url
 from ..schema import CHANNEL
-from ..workspace import materialize
-from .lookup import hot_keys, lookup
+from .lookup import lookup
 from .ordering import renumber
 
 # Lines per block when numbered lines are brought together.
@@ -73,10 +72,12 @@ def links_in_texts(texts: DataFrame) -> DataFrame:
     )
 
 
-def links_in_lines(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
+def links_in_lines(
+    lines: DataFrame, headers: DataFrame | None = None, block_lines: int = BLOCK_LINES
+) -> DataFrame:
     """Link lines with the lines before them, from ``src_ord, file, line_no, line``.
 
-    A column ``header_epg``, if there is one, saves reading texts for headers.
+    ``headers`` (``src_ord, file, header_epg``), if given, saves a scan of the lines.
     Only entry, group and link lines are shuffled, by file and block of lines, so
     the size of a file does not matter.  The last lines of a block also go to the
     next one.
@@ -98,29 +99,12 @@ def links_in_lines(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFram
         .where(F.col("is_link") & (F.col("_block") == own))
         .select(*PLACE, "link_line", "before")
     )
-    known = "header_epg" in lines.columns
-    epg = F.col("header_epg") if known else header_epg(F.col("line"))
-    headers = (
-        lines.where("line_no = 0")
-        .select("src_ord", "file", epg.alias("header_epg"))
-        .where("header_epg is not null")
-    )
-    return _with_headers(found, lines, headers)
-
-
-def _with_headers(found: DataFrame, lines: DataFrame, headers: DataFrame) -> DataFrame:
+    if headers is None:
+        headers = lines.where("line_no = 0").select("src_ord", "file", header_epg(F.col("line")).alias("header_epg"))
     key = F.concat_ws("\x00", F.col("src_ord").cast("string"), F.col("file"))
-    sized = (
-        lines.groupBy("src_ord", "file")
-        .agg(F.count("*").alias("rows"))
-        .join(headers, ["src_ord", "file"])
-        .select(key.alias("_file_key"), "rows", "header_epg")
-    )
-    sized = materialize(sized, "headers")
-    hot = hot_keys(sized, "_file_key", "rows")
+    known = headers.where("header_epg is not null").select(key.alias("_file_key"), "header_epg")
     place = F.concat_ws("\x00", *[F.col(c).cast("string") for c in PLACE])
-    keyed = found.withColumn("_file_key", key)
-    return lookup(keyed, sized.drop("rows"), "_file_key", place, hot).drop("_file_key")
+    return lookup(found.withColumn("_file_key", key), known, "_file_key", place).drop("_file_key")
 
 
 def entries_of_links(links: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from ..functions.responses import content_signature, success_rate, with_verdict
 from ..functions.urls import is_probeable
 from ..schema import RESPONSE
 from ..workspace import materialize
-from .lookup import hot_keys, lookup
+from .lookup import lookup
 
 # fetch(link, timeout_seconds) -> (status, icy_br, first bytes of the body)
 Fetch = Callable[[str, float], tuple[int | None, str | None, bytes | None]]
@@ -39,8 +39,7 @@ def probe_results(classified: DataFrame) -> DataFrame:
 
 def _per_link(channels: DataFrame, table: DataFrame) -> DataFrame:
     """Join a one-row-per-link table to channels, however often a link occurs."""
-    counts = channels.groupBy("link").agg(F.count("*").alias("_rows"))
-    return lookup(channels, table, "link", F.col("id"), hot_keys(counts, "link", "_rows"))
+    return lookup(channels, table, "link", F.col("id"))
 
 
 def filter_working(channels: DataFrame, results: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,7 @@ from ..operators.probe import (
     filter_working,
     probe_links,
 )
-from ..sources.playlists import read_playlists
+from ..sources.playlists import WHOLE_FILE_BYTES, read_playlists
 from ..sources.writers import write_group_playlists, write_playlist
 from ..workspace import materialize
 
@@ -103,7 +104,8 @@ def clean_channels(
         write_group_playlists(working, options.export_path, options.export_name)
     elif options.export_path:
         write_playlist(working, options.export_path)
-    return CleanResult(working, processing_report(loaded, kept, enriched, working))
+    report = processing_report(loaded, kept, enriched, working, options.categorize, options.detect_language)
+    return CleanResult(working, report)
 
 
 def clean_playlists(
@@ -113,7 +115,12 @@ def clean_playlists(
     probes: DataFrame | None = None,
     responses: DataFrame | None = None,
     fetch: Fetch | None = None,
+    fetch_playlist: Callable[[str], bytes] | None = None,
+    whole_file_bytes: int = WHOLE_FILE_BYTES,
 ) -> CleanResult:
-    """Read, clean and, with an export path, write playlists."""
-    loaded = read_playlists(spark, sources, options.merge)
+    """Read, clean and, with an export path, write playlists.
+
+    Sources may be files, folders, globs and, with ``fetch_playlist``, web links.
+    """
+    loaded = read_playlists(spark, sources, options.merge, whole_file_bytes, fetch_playlist)
     return clean_channels(loaded, options, probes, responses, fetch)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -38,92 +39,223 @@ def decode_text(content: Column) -> Column:
     return F.regexp_replace(text, "^﻿", "")
 
 
-def _per_source(sources: list[str], read: Callable[[str], DataFrame]) -> DataFrame:
-    """One scan per source, in the order given.  A source is any path, folder or
-    glob Spark can read; the files inside one are ordered by path."""
-    for source in sources:
-        if source.lower().startswith(("http://", "https://")):
-            raise ValueError(f"fetch {source} first, see fetched_texts")
-    scans = [read(s).withColumn("src_ord", F.lit(i)) for i, s in enumerate(sources)]
-    return reduce(DataFrame.unionByName, scans)
+# Byte order marks of the encodings with wide characters, as hex.
+WIDE = {"FFFE0000": "UTF-32LE", "0000FEFF": "UTF-32BE", "FFFE": "UTF-16LE", "FEFF": "UTF-16BE"}
 
+# Files that the line reader decompresses by their name.
+_COMPRESSED = r"(?i)\.(gz|bz2|deflate|lz4|snappy|zst)$"
 
-def read_texts(spark: SparkSession, sources: list[str], max_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
-    """``src_ord, file, text`` of the files up to a size.  Larger ones are not opened."""
 
-    def read(source: str) -> DataFrame:
-        files = spark.read.format("binaryFile").load(source).where(F.col("length") <= max_bytes)
-        return files.select(
-            F.col("_metadata.file_path").alias("file"), decode_text(F.col("content")).alias("text")
-        )
+def is_web_link(source: str) -> bool:
+    return source.lower().startswith(("http://", "https://"))
 
-    return _per_source(sources, read).select("src_ord", "file", "text")
 
+def find_files(spark: SparkSession, sources: list[tuple[int, str]]) -> tuple[list[str], list[tuple[int, str]]]:
+    """What Spark has to load, and order and place of every named file or folder.
 
-def read_numbered_lines(
-    spark: SparkSession, sources: list[str], min_bytes: int = WHOLE_FILE_BYTES
-) -> DataFrame | None:
-    """``src_ord, file, line_no, line, header_epg`` of the files above a size.
+    A source is an existing file or folder, whatever characters its name has, or
+    else a glob.  One that yields no readable file is an error, also a file that
+    Spark leaves out because its name begins with "_" or ".".
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    load: dict[str, str] = {}
+    folders = set()
+    places = []
+    for order, source in sources:
+        path = jvm.org.apache.hadoop.fs.Path(source)
+        fs = path.getFileSystem(conf)
+        exists = fs.exists(path)
+        found = [fs.getFileStatus(path)] if exists else list(fs.globStatus(path) or [])
+        usable = 0
+        for status in found:
+            if status.getPath().getName().startswith(("_", ".")):
+                continue
+            inside = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+            if all(s.getPath().getName().startswith(("_", ".")) for s in inside):
+                continue
+            usable += 1
+            name = status.getPath().toString()
+            load[name] = status.getPath().getParent().toString()
+            if status.isDirectory():
+                folders.add(name)
+            place = status.getPath().toUri().toString()
+            places.append((order, re.sub("^([A-Za-z0-9+.-]+):///", r"\1:/", place)))
+        if not usable:
+            raise FileNotFoundError(f"{source}: no file that can be read")
+    # A file named besides its folder is loaded once.
+    names = [name for name, folder in load.items() if folder not in folders or name in folders]
+    return [re.sub(r"([\[\]{}*?\\])", r"\\\1", name) for name in names], places
+
+
+def list_files(spark: SparkSession, load: list[str], places: list[tuple[int, str]], limit: int) -> DataFrame:
+    """``src_ord, file, by_lines`` of all files, one row each time a file is named; written."""
+    file = F.col("_metadata.file_path")
+    files = spark.read.format("binaryFile").load(load).select(
+        file.alias("file"), ((F.col("length") > limit) | file.rlike(_COMPRESSED)).alias("by_lines")
+    )
+    # An empty authority may be written or not.
+    plain = F.regexp_replace("file", "^([A-Za-z0-9+.-]+):///", "$1:/")
+    folder = F.regexp_extract(plain, "^(.*)/[^/]*$", 1)
+    keyed = files.withColumn("place", F.explode(F.array(plain, folder)))
+    named = spark.createDataFrame(places, "src_ord int, place string")
+    return materialize(keyed.join(named, "place").select("src_ord", "file", "by_lines"), "files")
 
-    None without such files.
 
-    Such files are read in splits.  The lines are written once with the mark of
-    their place in the scan; the number of lines per split then gives every line
-    its number.  Only a row per split is aggregated, joined and ordered.
+def read_texts(
+    spark: SparkSession, load: list[str], limit: int, order: int = 0, files: DataFrame | None = None
+) -> DataFrame:
+    """``src_ord, file, text`` of the files up to a size.  Larger and compressed ones are not opened.
+
+    ``files`` gives the order of every file where it is not ``order`` for all.
     """
-    path = F.col("_metadata.file_path")
+    content = spark.read.format("binaryFile").load(load).where(F.col("length") <= limit)
+    texts = content.select(F.col("_metadata.file_path").alias("file"), decode_text(F.col("content")).alias("text"))
+    texts = texts.where(~F.col("file").rlike(_COMPRESSED))
+    if files is None:
+        return texts.select(F.lit(order).alias("src_ord"), "file", "text")
+    return texts.join(files.select("src_ord", "file"), "file").select("src_ord", "file", "text")
+
+
+def _marked_lines(spark: SparkSession, load: list[str], **options: str) -> DataFrame:
+    """Lines with their file, split and the mark of their place in the scan."""
+    return spark.read.options(**options).text(load).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.col("value").alias("line"),
+        F.monotonically_increasing_id().alias("mark"),
+    )
 
-    def read(source: str) -> DataFrame:
-        lines = spark.read.text(source).where(F.col("_metadata.file_size") > min_bytes)
-        return lines.select(
-            path.alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").alias("line")
-        )
 
-    scan = _per_source(sources, read)
-    if scan.isEmpty():
+def read_numbered_lines(spark: SparkSession, load: list[str], files: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """``src_ord, file, line_no, line`` of the files read by lines, and their headers.
+
+    None without such files.
+
+    The lines are written once with the mark of their place in the scan; the number
+    of lines per split then gives every line its number, and the first line of a
+    file its header and its encoding.  Files with wide characters are read once more
+    with theirs.
+    """
+    chosen = files.where("by_lines").select("file").distinct()
+    if chosen.isEmpty():
         return None
-    marked = scan.withColumn("mark", F.monotonically_increasing_id()).withColumn(
-        "header_epg", header_epg(F.make_valid_utf8("line"))
+    scan = _marked_lines(spark, load).join(F.broadcast(chosen), "file")
+    written = materialize(scan.withColumn("header_epg", header_epg(F.make_valid_utf8("line"))), "lines")
+    head = F.hex(F.substring(F.col("line").cast("binary"), 1, 4))
+    splits = materialize(
+        _with_starts(written, F.min_by(head, "mark").alias("head"), F.min_by("header_epg", "mark").alias("header_epg")),
+        "splits",
     )
-    written = materialize(marked, "lines")
-    earlier = Window.partitionBy("src_ord", "file").orderBy("split").rowsBetween(
-        Window.unboundedPreceding, -1
+    wide = F.coalesce(*[F.when(F.col("head").startswith(mark), F.lit(name)) for mark, name in WIDE.items()])
+    first = splits.where("start = 0").select("file", "header_epg", wide.alias("encoding"))
+    encodings = sorted(r[0] for r in first.select("encoding").distinct().collect() if r[0])
+    lines = written.join(splits.drop("head", "header_epg"), ["file", "split"]).select(
+        "file",
+        (F.col("start") + F.col("mark") - F.col("first_mark")).alias("line_no"),
+        F.make_valid_utf8("line").alias("line"),
     )
-    splits = (
-        written.groupBy("src_ord", "file", "split")
-        .agg(F.min("mark").alias("first_mark"), F.count("*").alias("n"))
+    headers = first.where("encoding is null").select("file", "header_epg")
+    if encodings:
+        lines = lines.join(first.where("encoding is null").select("file"), "file", "left_semi")
+    for encoding in encodings:
+        own = materialize(_wide_lines(spark, load, first.where(F.col("encoding") == encoding), encoding), "lines")
+        lines = lines.unionByName(own)
+        top = own.where("line_no = 0").select("file", header_epg(F.col("line")).alias("header_epg"))
+        headers = headers.unionByName(top)
+    named = files.where("by_lines").select("src_ord", "file")
+    return lines.join(named, "file"), headers.join(named, "file")
+
+
+def _with_starts(marked: DataFrame, *more: Column) -> DataFrame:
+    """Per split of a file: its first mark and the number of lines before it."""
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        marked.groupBy("file", "split")
+        .agg(F.min("mark").alias("first_mark"), F.count("*").alias("n"), *more)
         .withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
         .drop("n")
     )
-    line_no = F.col("start") + F.col("mark") - F.col("first_mark")
-    wide = F.hex(F.substring(F.col("line").cast("binary"), 1, 2)).isin("FEFF", "FFFE")
-    refused = F.raise_error(
-        F.concat(F.col("file"), F.lit(": UTF-16 and UTF-32 files are read whole; raise whole_file_bytes"))
+
+
+def _wide_lines(spark: SparkSession, load: list[str], files: DataFrame, encoding: str) -> DataFrame:
+    """``file, line_no, line`` of files whose characters have two or four bytes.
+
+    The line reader looks for the bytes of a line feed and can find them across two
+    characters.  Such a cut leaves pieces that are no whole number of characters;
+    these are joined again before decoding.  Other line ends are split afterwards.
+    """
+    width = 4 if "32" in encoding else 2
+    feed = {"LE": "0A", "BE": "0A".zfill(2 * width)}[encoding[-2:]].ljust(2 * width, "0")
+    scan = _marked_lines(spark, load, encoding=encoding, lineSep="\n").join(F.broadcast(files.select("file")), "file")
+    marked = materialize(scan.withColumn("line", F.col("line").cast("binary")), "wide")
+    pieces = marked.join(_with_starts(marked), ["file", "split"]).select(
+        "file", (F.col("start") + F.col("mark") - F.col("first_mark")).alias("no"), "line"
     )
-    return (
-        written.join(materialize(splits, "splits"), ["src_ord", "file", "split"])
-        .withColumn("line_no", line_no)
-        .select(
-            "src_ord",
-            "file",
-            "line_no",
-            F.when((F.col("line_no") == 0) & wide, refused.cast("string"))
-            .otherwise(F.make_valid_utf8("line"))
-            .alias("line"),
-            "header_epg",
-        )
+    by_no = Window.partitionBy("file").orderBy("no")
+    rest = F.length("line") % width
+    odd = pieces.where(rest != 0).withColumn("whole", F.sum(rest).over(by_no) % width == 0)
+    before = F.count_if("whole").over(by_no.rowsBetween(Window.unboundedPreceding, -1))
+    cuts = odd.withColumn("cut", before).groupBy(F.col("file").alias("f"), "cut").agg(
+        F.min("no").alias("from"), F.max("no").alias("to")
+    )
+    inside = (pieces["file"] == cuts["f"]) & F.col("no").between(F.col("from"), F.col("to"))
+    joined = (
+        pieces.join(cuts, inside, "left")
+        .groupBy("file", F.coalesce("from", "no").alias("no"))
+        .agg(F.array_sort(F.collect_list(F.struct("no", "line"))).alias("parts"))
+    )
+    feed_bytes = F.unhex(F.lit(feed))
+    whole = F.expr("parts[0].line")
+    more = F.aggregate(F.slice("parts", F.lit(2), F.size("parts")), whole, lambda a, p: F.concat(a, feed_bytes, p["line"]))
+    # UTF-32 without a mark is big-endian to Spark.
+    text = F.decode(F.concat(F.unhex(F.lit("FFFE0000")), more), "UTF-32") if encoding == "UTF-32LE" else F.decode(
+        more, "UTF-32" if encoding == "UTF-32BE" else encoding
     )
+    text = F.regexp_replace(text, "^\uFEFF", "")
+    lines = joined.select("file", "no", F.split(F.regexp_replace(text, "\r$", ""), "\r", -1).alias("lines"))
+    # Lines before a row: those of earlier blocks of rows, and of earlier rows of its block.
+    lines = lines.withColumn("block", F.floor(F.col("no") / 65536))
+    blocks = lines.groupBy("file", "block").agg(F.sum(F.size("lines")).alias("n"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("above"))
+    own = Window.partitionBy("file", "block").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
+    placed = lines.withColumn("within", F.coalesce(F.sum(F.size("lines")).over(own), F.lit(0))).join(blocks, ["file", "block"])
+    return placed.select(
+        "file", (F.col("above") + F.col("within")).alias("first"), F.posexplode("lines").alias("at", "line")
+    ).select("file", (F.col("first") + F.col("at")).alias("line_no"), "line")
 
 
 def parse_sources(
-    spark: SparkSession, sources: list[str], whole_file_bytes: int = WHOLE_FILE_BYTES
+    spark: SparkSession,
+    sources: list[str],
+    whole_file_bytes: int = WHOLE_FILE_BYTES,
+    fetch_playlist: Callable[[str], bytes] | None = None,
 ) -> DataFrame:
-    """Channels of all sources with their place, not yet numbered."""
-    parsed = entries_of_links(links_in_texts(read_texts(spark, sources, whole_file_bytes)))
-    lines = read_numbered_lines(spark, sources, whole_file_bytes)
-    if lines is None:
-        return parsed
-    return parsed.unionByName(entries_of_links(links_in_lines(lines)))
+    """Channels of all sources with their place, not yet numbered.
+
+    ``whole_file_bytes`` only chooses how a file is read, never what is found in it.
+    Web links among the sources are fetched by the caller's ``fetch_playlist``.
+    """
+    ordered = list(enumerate(sources))
+    web = [(i, s) for i, s in ordered if is_web_link(s)]
+    parsed = []
+    if web:
+        if fetch_playlist is None:
+            raise ValueError(f"{web[0][1]} needs a fetch_playlist function")
+        links = spark.createDataFrame(web, "src_ord int, url string")
+        parsed.append(entries_of_links(links_in_texts(fetched_texts(links, fetch_playlist))))
+    local = [(i, s) for i, s in ordered if not is_web_link(s)]
+    if local:
+        load, places = find_files(spark, local)
+        files = list_files(spark, load, places, whole_file_bytes)
+        # One source, nothing named twice: all files have its order.
+        single = len(local) == 1 and len(load) == len(places) == 1
+        texts = read_texts(spark, load, whole_file_bytes, local[0][0], None if single else files)
+        parsed.append(entries_of_links(links_in_texts(texts)))
+        by_lines = read_numbered_lines(spark, load, files)
+        if by_lines is not None:
+            parsed.append(entries_of_links(links_in_lines(*by_lines)))
+    return reduce(DataFrame.unionByName, parsed)
 
 
 def read_playlists(
@@ -131,6 +263,7 @@ def read_playlists(
     sources: list[str],
     merge: bool = False,
     whole_file_bytes: int = WHOLE_FILE_BYTES,
+    fetch_playlist: Callable[[str], bytes] | None = None,
 ) -> DataFrame:
     """Numbered channels of the sources.
 
@@ -140,7 +273,7 @@ def read_playlists(
     if not sources:
         raise ValueError("no source given")
     merging = merge and len(sources) > 1
-    parsed = parse_sources(spark, sources if merging else sources[:1], whole_file_bytes)
+    parsed = parse_sources(spark, sources if merging else sources[:1], whole_file_bytes, fetch_playlist)
     return load_parsed(parsed, merging)
 
 
@@ -163,8 +296,10 @@ def fetched_texts(urls: DataFrame, fetch: Callable[[str], bytes]) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # One body in memory at a time.
         for batch in batches:
-            yield batch.assign(content=[fetch(url) for url in batch["url"]])
+            for order, url in zip(batch["src_ord"], batch["url"]):
+                yield pd.DataFrame({"src_ord": [order], "url": [url], "content": [fetch(url)]})
 
     web = F.lower("url").rlike("^https?://")
     checked = urls.select(

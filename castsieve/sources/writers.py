@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,12 +28,15 @@ def playlist_lines(df: DataFrame) -> DataFrame:
     return header.unionByName(_channel_lines(df))
 
 
-def group_playlist_lines(df: DataFrame, base: str = "playlist") -> DataFrame:
+def group_playlist_lines(df: DataFrame, name: str = "playlist") -> DataFrame:
     """``playlist, id, part, line``: one playlist per group, each with its header.
 
+    The group goes between the base and the extension of the name.
+
     Groups whose names become the same file name share one playlist.
     """
-    playlist = F.concat(F.lit(base + "_"), safe_group_name(F.col("group_label")))
+    base, extension = os.path.splitext(name)
+    playlist = F.concat(F.lit(base + "_"), safe_group_name(F.col("group_label")), F.lit(extension))
     named = split_by_group(df).withColumn("playlist", playlist)
     filled = F.coalesce(F.col("epg_url"), F.lit("")) != ""
     headers = (
@@ -54,13 +59,13 @@ def write_playlist(df: DataFrame, path: str, mode: str = "error") -> None:
     ordered.select("line").write.mode(mode).text(path, lineSep="\n")
 
 
-def write_group_playlists(df: DataFrame, path: str, base: str = "playlist", mode: str = "error") -> None:
-    """Write one folder ``playlist={base}_{group}`` of ordered text parts per group.
+def write_group_playlists(df: DataFrame, path: str, name: str = "playlist", mode: str = "error") -> None:
+    """Write one folder ``playlist={base}_{group}{extension}`` of ordered text parts per group.
 
     A large group is spread over several parts instead of one task.
     """
     order = ["playlist", "id", "part"]
-    lines = group_playlist_lines(df, base).repartitionByRange(*order).sortWithinPartitions(*order)
+    lines = group_playlist_lines(df, name).repartitionByRange(*order).sortWithinPartitions(*order)
     lines.select("playlist", "line").write.mode(mode).partitionBy("playlist").text(path, lineSep="\n")
 
 

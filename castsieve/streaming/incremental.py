@@ -12,6 +12,7 @@ from ..operators.parse import entries_of_links, links_in_texts
 from ..plans.clean import CleanOptions, clean_channels
 from ..schema import CHANNEL
 from ..sources.playlists import decode_text, load_parsed
+from ..workspace import scratch
 
 _FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -29,19 +30,21 @@ def start_cleaning(
     checkpoint: str,
     options: CleanOptions = CleanOptions(skip_validation=True),
     probes: Callable[[], DataFrame] | None = None,
-    max_files_per_batch: int = 10_000,
     interval: str | None = None,
 ) -> StreamingQuery:
     """Clean the playlists that are in the folder and not yet done.
 
     With an ``interval`` such as "1 minute" the query goes on watching the folder
-    until it is stopped, else it ends when all files are done.  Each batch merges its new files and replaces its own part of the output
-    table, so a batch repeated after a failure leaves no second copy.
+    until it is stopped, else it takes all files as one batch and ends.
+
+    Every batch is a delivery of its own: all files that have arrived are merged,
+    cleaned and numbered together, whatever their number, and not compared with
+    earlier deliveries.  It replaces its own part of the output table, so a batch
+    repeated after a failure leaves no second copy.
     """
     arriving = (
         spark.readStream.format("binaryFile")
         .schema(_FILE)
-        .option("maxFilesPerTrigger", max_files_per_batch)
         .load(folder)
         .select(
             F.lit(0).alias("src_ord"), F.col("path").alias("file"), decode_text(F.col("content")).alias("text")
@@ -49,8 +52,9 @@ def start_cleaning(
     )
 
     def write(batch: DataFrame, number: int) -> None:
-        cleaned = clean_batch(batch, options, probes() if probes else None)
-        cleaned.select(CHANNEL.names).write.mode("overwrite").parquet(f"{output}/batch={number}")
+        with scratch(batch.sparkSession):
+            cleaned = clean_batch(batch, options, probes() if probes else None)
+            cleaned.select(CHANNEL.names).write.mode("overwrite").parquet(f"{output}/batch={number}")
 
     return (
         arriving.writeStream.foreachBatch(write)

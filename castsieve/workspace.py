@@ -8,11 +8,15 @@ columns they need, and its exact size lets Spark choose broadcast or shuffle.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_written = threading.local()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -20,7 +24,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get(_SETTING, None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.partition("[")[0] == "local":
         raise ValueError(f"set {_SETTING} to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="castsieve-")
     spark.sparkContext.setCheckpointDir(folder)
@@ -33,4 +37,31 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     run = f"{shared_folder(spark)}/castsieve/{spark.sparkContext.applicationId}"
     path = f"{run}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for paths in getattr(_written, "scratch", []):
+        paths.append(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables of ``materialize`` that nothing will read any more."""
+    for table in tables:
+        _remove(table.sparkSession, table._written_to)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove all tables that are written inside, when their results are saved."""
+    stack = _written.__dict__.setdefault("scratch", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        for path in stack.pop():
+            _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

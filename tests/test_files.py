@@ -1,5 +1,6 @@
 """Reading, writing, whole runs and streaming over real files."""
 
+import gzip
 import os
 import random
 
@@ -54,8 +55,8 @@ def test_broken_bytes_become_replacement_characters(spark, tmp_path):
 
 def test_empty_and_missing_sources(spark, tmp_path):
     assert facts(read_playlists(spark, [put(tmp_path, "a.m3u", b"")])) == []
-    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
-        read_playlists(spark, [str(tmp_path / "none.m3u")]).collect()
+    with pytest.raises(FileNotFoundError, match="none.m3u"):
+        read_playlists(spark, [str(tmp_path / "none.m3u")])
     with pytest.raises(ValueError):
         read_playlists(spark, [])
     with pytest.raises(ValueError):
@@ -86,10 +87,66 @@ def test_files_in_splits_equal_files_read_whole(spark, tmp_path):
     assert len(whole) > 1000
 
 
-def test_wide_encodings_are_refused_in_splits(spark, tmp_path):
-    path = put(tmp_path, "a.m3u", SAMPLE.encode("utf-16"))
-    with pytest.raises(Exception, match="whole_file_bytes"):
-        read_playlists(spark, [path], whole_file_bytes=10).collect()
+WIDE = {"utf-16-le": b"\xff\xfe", "utf-16-be": b"\xfe\xff", "utf-32-le": b"\xff\xfe\0\0", "utf-32-be": b"\0\0\xfe\xff"}
+
+
+@pytest.mark.parametrize("breaks", ["\n", "\r\n", "\r"])
+def test_the_size_of_a_file_never_changes_what_is_found(spark, tmp_path, breaks):
+    rng = random.Random(4)
+    text = playlist(rng, 120, "p").replace("pad", "\u0a05\u4e00\u0a00\u000b")
+    text = "\n" + text.replace("\n", breaks) if breaks == "\r" else text.replace("\n", breaks)
+    forms = {name: mark + text.encode(name) for name, mark in WIDE.items()}
+    forms |= {"utf-8": text.encode(), "utf-8-sig": text.encode("utf-8-sig"), "gz.m3u": gzip.compress(text.encode())}
+    forms["utf-16.m3u"] = gzip.compress(WIDE["utf-16-le"] + text.encode("utf-16-le"))
+    expected = None
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        for name, content in forms.items():
+            path = put(tmp_path, f"{name}.m3u" + (".gz" if "m3u" in name else ""), content)
+            for limit in (0, 1 << 24):
+                got = facts(read_playlists(spark, [path], whole_file_bytes=limit))
+                expected = expected or got
+                assert got == expected, (name, limit)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(expected) > 80
+
+
+def test_names_of_sources_are_literal(spark, tmp_path):
+    names = ["list [HD].m3u", "a{b}*.m3u", "x y%20.m3u", "Ü?.m3u"]
+    paths = [put(tmp_path, n, f"#EXTINF:-1,n{i}\nhttp://ok.tv/{i}\n") for i, n in enumerate(names)]
+    for limit in (0, 1 << 20):
+        got = facts(read_playlists(spark, paths[::-1], merge=True, whole_file_bytes=limit))
+        assert [n for _, n, *_ in got] == ["n3", "n2", "n1", "n0"]
+    for hidden in ("_x.m3u", ".y.m3u"):
+        with pytest.raises(FileNotFoundError):
+            read_playlists(spark, [put(tmp_path, hidden, "#EXTINF:-1,a\nhttp://ok.tv/1\n")])
+    # A file named twice, once by its folder, counts at both places; a glob still works.
+    from castsieve.sources.playlists import parse_sources
+
+    twice = parse_sources(spark, [paths[0], str(tmp_path), str(tmp_path / "x*.m3u")])
+    assert sorted((r.src_ord, r.name) for r in twice.collect()) == sorted(
+        [(0, "n0"), *[(1, f"n{i}") for i in range(4)], (2, "n2")]
+    )
+
+
+def test_many_sources_are_one_scan(spark, tmp_path):
+    paths = [put(tmp_path, f"{i}.m3u", f"#EXTINF:-1,n{i}\nhttp://ok.tv/{i % 90}\n") for i in range(100)]
+    merged = read_playlists(spark, paths[::-1], merge=True)
+    assert [n for _, n, *_ in facts(merged)] == [f"n{i}" for i in range(99, 9, -1)]
+
+
+def test_web_links_among_the_sources(spark, tmp_path):
+    path = put(tmp_path, "a.m3u", "#EXTINF:-1,file\nhttp://ok.tv/1\n")
+
+    def fetch(url):
+        return f"#EXTINF:-1,{url[-1]}\nhttp://ok.tv/{url[-1]}\n".encode("utf-16")
+
+    result = clean_playlists(
+        spark, ["http://lists.tv/2", path, "https://lists.tv/1"], CleanOptions(merge=True, skip_validation=True),
+        fetch_playlist=fetch,
+    )
+    assert [r.name for r in result.channels.orderBy("id").collect()] == ["2", "file"]
 
 
 def test_merge_takes_sources_in_the_given_order(spark, tmp_path):
@@ -151,13 +208,13 @@ def test_one_playlist_per_group(channels, tmp_path):
     groups = ["a b", "c/d", "A B", "", "a_b", "c/d"]
     rows = [{"name": f"n{i}", "link": f"http://ok.tv/{i}", "group_name": g} for i, g in enumerate(groups)]
     rows[5]["epg_url"] = "e"
-    writers.write_group_playlists(channels(rows), str(tmp_path / "out"), base="x")
+    writers.write_group_playlists(channels(rows), str(tmp_path / "out"), name="x.m3u")
     folders = sorted(f for f in os.listdir(tmp_path / "out") if f.startswith("playlist="))
-    assert folders == ["playlist=x_Uncategorized", "playlist=x_a_b", "playlist=x_c_d"]
+    assert folders == ["playlist=x_Uncategorized.m3u", "playlist=x_a_b.m3u", "playlist=x_c_d.m3u"]
     links = {f: [l for l in read_parts(str(tmp_path / "out" / f)).split("\n") if l.startswith("http")] for f in folders}
-    assert links["playlist=x_a_b"] == ["http://ok.tv/0", "http://ok.tv/2", "http://ok.tv/4"]
-    assert read_parts(str(tmp_path / "out" / "playlist=x_c_d")).startswith('#EXTM3U x-tvg-url="e"\n')
-    assert read_parts(str(tmp_path / "out" / "playlist=x_a_b")).startswith("#EXTM3U\n#EXTINF")
+    assert links["playlist=x_a_b.m3u"] == ["http://ok.tv/0", "http://ok.tv/2", "http://ok.tv/4"]
+    assert read_parts(str(tmp_path / "out" / "playlist=x_c_d.m3u")).startswith('#EXTM3U x-tvg-url="e"\n')
+    assert read_parts(str(tmp_path / "out" / "playlist=x_a_b.m3u")).startswith("#EXTM3U\n#EXTINF")
 
 
 def test_table_keeps_all_columns(spark, channels, tmp_path):

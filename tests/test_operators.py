@@ -10,13 +10,6 @@ from castsieve.operators import lookup as lookups
 from castsieve.schema import RESPONSE
 
 
-
-@pytest.fixture(params=[lookups.HOT_ROWS, 1], ids=["cold", "hot"])
-def heat(request, monkeypatch):
-    """Run a test with ordinary keys, and with every key treated as hot."""
-    monkeypatch.setattr(lookups, "HOT_ROWS", request.param)
-
-
 # --- parsing ----------------------------------------------------------------
 
 
@@ -91,8 +84,7 @@ def test_overrides_quotes_and_epg(spark):
     ]
 
 
-def test_header_reaches_lines_of_a_hot_file(spark, monkeypatch):
-    monkeypatch.setattr(lookups, "HOT_ROWS", 20)
+def test_header_reaches_all_lines_of_a_file(spark):
     rows = [(0, "f", 0, '#EXTM3U x-tvg-url="e"')]
     for i in range(40):
         rows += [(0, "f", 2 * i + 1, f"#EXTINF:-1,n{i}"), (0, "f", 2 * i + 2, f"http://ok.tv/{i}")]
@@ -222,7 +214,7 @@ def test_first_epg(channels):
     assert ordering.first_epg(df).first().epg_url == "b"
 
 
-def test_split_by_group(channels, heat):
+def test_split_by_group(channels):
     df = channels([{"group_name": g, "link": str(i)} for i, g in enumerate(["b", "", "A", "B", "a"])])
     got = groups.split_by_group(df).orderBy("id").collect()
     assert [(r.id, r.group_label, r.link) for r in got] == [
@@ -230,16 +222,12 @@ def test_split_by_group(channels, heat):
     ]
 
 
-@pytest.mark.parametrize("hot_rows", [1, 3, 10**6])
-def test_lookup_gives_the_same_for_hot_and_cold_keys(spark, monkeypatch, hot_rows):
-    monkeypatch.setattr(lookups, "HOT_ROWS", hot_rows)
+def test_lookup_keeps_every_row(spark):
     rows = spark.createDataFrame(
         [(i, k) for i, k in enumerate(["a"] * 5 + ["b"] * 2 + ["c", None, None])], "id long, k string"
     )
     table = spark.createDataFrame([("a", 5, 1, None), ("b", 2, 2, "x"), ("z", 9, 3, "y")], "k string, n long, v int, w string")
-    hot = lookups.hot_keys(rows.groupBy("k").count(), "k", "count")
-    assert (hot and sorted(r.k for r in hot.collect())) == {1: ["a", "b", "c"], 3: ["a"]}.get(hot_rows)
-    got = lookups.lookup(rows, table.drop("n"), "k", F.col("id"), hot).orderBy("id").collect()
+    got = lookups.lookup(rows, table.drop("n"), "k", F.col("id")).orderBy("id").collect()
     assert [(r.k, r.v, r.w) for r in got] == [("a", 1, None)] * 5 + [("b", 2, "x")] * 2 + [
         ("c", None, None), (None, None, None), (None, None, None),
     ]
@@ -273,7 +261,7 @@ def test_filter(channels, options, ids):
 # --- content and probing ----------------------------------------------------
 
 
-def test_content_duplicates_are_flagged_not_dropped(channels, heat):
+def test_content_duplicates_are_flagged_not_dropped(channels):
     rows = [{"name": n, "content_hash": h, "extra_attributes": x} for n, h, x in [
         ("a", "H", {}), ("b", None, {}), ("c", "H", {"k": "v"}), ("d", None, {}),
         ("e", "H", {"duplicate-of": "old", "z": "1"}), ("f", "I", {}),
@@ -284,7 +272,7 @@ def test_content_duplicates_are_flagged_not_dropped(channels, heat):
     ]
 
 
-def test_retry_and_working_rows(spark, channels, heat):
+def test_retry_and_working_rows(spark, channels):
     from castsieve.functions.responses import with_verdict
 
     rows = [

@@ -44,7 +44,7 @@ def test_merge_keeps_one_row_per_link_before_the_shuffle(rows):
 
 def test_small_files_are_parsed_without_a_shuffle(spark, tmp_path):
     (tmp_path / "a.m3u").write_text("#EXTINF:-1,a\nhttp://ok.tv/1\n")
-    texts = playlists.read_texts(spark, [str(tmp_path)])
+    texts = playlists.read_texts(spark, [str(tmp_path)], 1 << 20)
     plan = plan_of(parse.entries_of_links(parse.links_in_texts(texts)))
     assert "Exchange" not in plan and "Window" not in plan
 
