@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Rows of a batch are turned into Python objects this many at a time.
-SLICE_ROWS = 256
+SLICE_ROWS = 128
 _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 

@@ -13,7 +13,6 @@ move on independently, in array operations.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections import defaultdict
 from collections.abc import Iterator
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..workspace import materialize
-from .common import importable_on_executors, slices, whole_text
+from .common import SLICE_ROWS, importable_on_executors, slices, whole_text
 from .hashing import LETTERS_DIGITS, mix, words
 
 WINDOW = 10
@@ -268,8 +267,8 @@ def without_passages(
     def dropping(shared):
         def keep(batches):
             for batch in batches:
-                for start in range(0, batch.num_rows, 256):
-                    part = batch.slice(start, 256)
+                for start in range(0, batch.num_rows, SLICE_ROWS):
+                    part = batch.slice(start, SLICE_ROWS)
                     clean = [not spans for _, spans, _ in shared.value.scan(part.column(place).to_pylist())]
                     yield part.filter(pa.array(clean, pa.bool_()))
 

@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 
 # Words remembered per worker in each of two generations: when the younger is
 # full it becomes the older, and what the older held is forgotten.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 # Outside these characters classes or cases could differ between libraries.
 _UNUSUAL = regex.compile(r"[^\t\n\r\x20-\x7E¡-ɏ]")
