@@ -48,7 +48,7 @@ def made(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed, percent", [(1, 80), (2, 60), (3, 100)])
+@pytest.mark.parametrize("seed, percent", [(1, 80), (2, 60)])
 def test_equals_all_comparisons(spark, seed, percent):
     rows = made(seed)
     df = spark.createDataFrame([(*r, 1, "z") for r in rows], "doc_id long, text string, k int, line string").repartition(3)

@@ -64,7 +64,7 @@ def near_copies(seed):
     return rows + [(3, rows[8][1]), (3, rows[8][1]), (None, rows[20][1]), (None, None)]
 
 
-@pytest.mark.parametrize("seed, n, percent", [(1, 3, 90), (2, 5, 80), (3, 2, 50), (4, 1, 70)])
+@pytest.mark.parametrize("seed, n, percent", [(1, 3, 90), (2, 5, 80), (4, 1, 70)])
 def test_equals_all_pairs(spark, seed, n, percent):
     rows = near_copies(seed)
     df = spark.createDataFrame([(*r, 1, "z") for r in rows], "doc_id long, text string, n int, sig string").repartition(3)
