@@ -7,7 +7,8 @@ Exact, by a token-group matrix:
    two sets that are similar enough share one within short prefixes of this order.
    Only sets of similar size meet.
 2. Similar documents are partitioned into groups: every class is compared with the
-   smallest class of each prefix token, and classes linked that way form a group.
+   class of each prefix token that has the fewest rarer tokens, and classes linked
+   that way form a group.
    This is linear in the prefixes and swallows large families of near copies.
 3. The matrix holds, for every prefix token, the groups whose union of prefixes
    has it, with their range of sizes and the most tokens that can still follow.
@@ -223,14 +224,14 @@ def _links(given: _Documents, rows: DataFrame, classes: DataFrame, percent: int)
     several = materialize(several, "tokens")
     several = F.broadcast(several) if several.count() <= BROADCAST_ROWS else several
     shared = materialize(postings.join(several, "token", "left_semi"), "shared")
-    lists = shared.groupBy("token").agg(F.min(F.struct("n", "c", "rest", "inner", "sketch")).alias("head"))
+    lists = shared.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("rest")).alias("at"), "n", "c", "rest", "sketch")).alias("head"))
 
-    # Step 2: groups around the smallest class of every token.
+    # Step 2: groups around one class of every token, the one with the fewest rarer tokens of its
+    # own: in a family of near copies that is the one that differs least from the others.
     head = F.col("head")
     near = shared.join(lists, "token").where(
         (F.col("c") != head["c"])
-        & head["inner"]
-        & (100 * head["n"] >= percent * F.col("n"))
+        & (100 * F.least(head["n"], F.col("n")) >= percent * F.greatest(head["n"], F.col("n")))
         & (F.least("rest", head["rest"]) >= _needed(percent, F.col("n"), head["n"]))
         & _possible("n", "sketch", "head.n", "head.sketch", percent)
     ).select(head["c"].alias("x"), F.col("c").alias("y"))
