@@ -66,7 +66,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of all documents that repeat an earlier line, exactly or nearly."""
-    found = repeated_lines(table(spark, sf_dir, "documents"))
+    found = repeated_lines(table(spark, sf_dir, "documents"), least=1)
     return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
