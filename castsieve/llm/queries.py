@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, quality
+from . import licenses, quality, vector_codes
 from .common import table
 from .decontamination import find_passages
 from .exact_dedup import exact_duplicates
@@ -113,6 +113,16 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, codes, keep=["doc_id", held_out().alias("held_out")])
 
 
+@register
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings as four-byte codes, with their errors and the digest of the codebooks."""
+    codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    found = vector_codes.with_label_error(codes)
+    return found.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+ORACLE["op12_vector_codes"] = vector_codes.comparison_sql()
+
 ORACLE["op6_exact_dedup"] = """
 select doc_id,
        max(doc_id) over same as keep_id,
