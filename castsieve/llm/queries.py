@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import hard_negatives as negatives
 from . import licenses, quality, vector_codes
 from .common import table
 from .decontamination import find_passages
@@ -123,6 +124,17 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE["op12_vector_codes"] = vector_codes.comparison_sql()
 
+
+@register
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every 50th embedding; every seventh row has the next label."""
+    rows = table(spark, sf_dir, "embeddings")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", shifted))
+
+
+ORACLE["op13_hard_negatives"] = negatives.comparison_sql()
+
 ORACLE["op6_exact_dedup"] = """
 select doc_id,
        max(doc_id) over same as keep_id,
