@@ -56,3 +56,8 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
     for batch in batches:
         for start in range(0, batch.num_rows, SLICE_ROWS):
             yield batch.slice(start, SLICE_ROWS).to_pydict()
+
+
+def kept_columns(docs: DataFrame, keep: list[str | Column] | None, made: list[str]) -> list[str | Column]:
+    """The columns to carry: ``keep``, or all of ``docs`` but those named like a result."""
+    return [F.col(f"`{c}`") for c in docs.columns if c not in made] if keep is None else keep

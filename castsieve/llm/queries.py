@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hard_negatives as negatives
-from . import licenses, quality, vector_codes
+from . import language_model, licenses, quality, vector_codes
 from .common import table
 from .decontamination import find_passages
 from .exact_dedup import exact_duplicates
@@ -114,6 +114,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, codes, keep=["doc_id", held_out().alias("held_out")])
 
 
+@register
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-likelihoods of all documents, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    held = language_model.held_out()
+    fitted = language_model.fit(docs.where(~held))
+    return language_model.score(docs, fitted, keep=["doc_id", held.alias("held_out")])
+
+
 @register
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings as four-byte codes, with their errors and the digest of the codebooks."""
