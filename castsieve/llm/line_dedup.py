@@ -3,21 +3,23 @@
 A line is the set of its lower-cased words.  A line goes if an earlier line, kept
 or not, has a Jaccard similarity of ``percent`` or more with it; lines come in the
 order of document id and place.  Lines of fewer than ``least`` different words take
-no part and stay.
-
-1. Words are counted over all texts, by hash in 2^18 counters, a table of fixed
-   size; this makes a global order, rare words first.
-2. Lines of equal text form a class, placed at its first line; all its other lines
-   go, so frequent lines cost nothing further.  A class keeps the rarest words of
-   its line, as many as its length asks for, its number of words and a 128-bit sketch.
-3. Families of similar lines are settled around their first class: each class is
-   compared with the earliest class that shares one of its two least word hashes.
-   Classes found to go are not paired with each other any more; this keeps large
-   families from being paired among themselves.
-4. Classes are joined on the words of their prefixes, filtered in the join by
-   length, by the positions of the word in both lines, and by the sketch, which
-   bounds the overlap.
-5. What passes is verified on the whole sets of words.
+no part and stay; by default every line with a word takes part.
+
+1. Words are counted over all texts, by hash in counters whose number grows with
+   the number of texts; this makes a global order, rare words first.
+2. Every line is cut once: its signature, number of words and prefix, the rarest
+   words, as many as its length asks for.  A word that occurs once in all texts
+   cannot be shared and is left out of the prefix.
+3. Lines of equal text form a class, placed at its first line; all its other lines
+   go, so frequent lines cost nothing further.
+4. Families of similar lines are settled around their first class: each class is
+   compared with one earlier class only, the earliest that shares one of its two
+   least word hashes.  Classes found to go need no other partner.
+5. The classes still open are joined with all others on the words of their prefixes,
+   filtered in the join by length and by the positions of the word in both lines.
+   A pair counts only if its later class is open.
+6. Before a pair is verified, the words that the two prefixes share bound the overlap
+   of the whole sets.  What passes is verified on all words of both lines.
 """
 
 from __future__ import annotations
@@ -25,18 +27,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.ordering import renumber
-from ..workspace import materialize
+from ..workspace import materialize, release
 from .common import text_key, whole_text
 
 # Lines of fewer different words stay.
-LEAST = 3
-# Only the order of words depends on these counters, never the result.
-COUNTER_BITS = 18
+LEAST = 1
+# Counters, as a power of two: about 16 per text within these bounds, four bits each.
+# Only the order of words depends on them, never the result.
+COUNTER_BITS = (10, 22)
 # Up to this many rows of keys (some 40 bytes each) are broadcast, more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 # Words whose hashes are the least of a line, by which families are found.
 _LEAST_WORDS = 2
+# Bits of a word's hash below its level.
+_HASH_BITS = 59
 
 
 def _plain(text: str) -> Column:
@@ -49,8 +53,8 @@ def _plain(text: str) -> Column:
 
 def _words(line: Column) -> Column:
     """The different words of a plain line as sorted 64-bit hashes."""
-    hashes = F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w))
-    return F.sort_array(F.array_distinct(hashes))
+    hashes = F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
+    return F.sort_array(F.array_distinct(F.array_remove(hashes, F.xxhash64(F.lit("")))))
 
 
 def repeated_lines(
@@ -100,169 +104,195 @@ def without_repeated_lines(
     return kept.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
-def _lines(docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    """``_id``, ``k``, ``line`` and its signature ``s1``, ``s2`` for every line."""
-    lines = docs.select(F.col(id_column).alias("_id"), F.posexplode(F.split(_plain(text), "\n", -1)).alias("k", "line"))
-    return lines.select("_id", "k", "line", F.xxhash64("line").alias("s1"), F.xxhash64(F.lit(1), "line").alias("s2"))
+def _signature(line: Column) -> list[Column]:
+    return [F.xxhash64(line).alias("s1"), F.xxhash64(F.lit(1), line).alias("s2")]
 
 
 def _decided(docs: DataFrame, id_column: str, text: str, percent: int, least: int) -> DataFrame:
-    # One row per document with the signatures of its lines.
-    signature = lambda line: F.struct(F.xxhash64(line).alias("s1"), F.xxhash64(F.lit(1), line).alias("s2"))
-    rows = materialize(
-        docs.select(
-            F.monotonically_increasing_id().alias("_row"),
-            F.col(id_column).alias("_id"),
-            text_key(text).alias("_key"),
-            F.transform(F.split(_plain(text), "\n", -1), signature).alias("lines"),
-        ),
-        "lines",
+    """``_id``, ``_key``, ``_row``, ``n_lines``, ``removed`` and ``_copy`` per row, written."""
+    levels, bits = _levels(docs, text)
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("_row"),
+        F.col(f"`{id_column}`").alias("_id"),
+        text_key(f"`{text}`").alias("_key"),
+        F.transform(F.split(_plain(f"`{text}`"), "\n", -1), lambda x: _described(x, levels, bits, percent)).alias("lines"),
+    )
+    rows = materialize(rows, "lines")
+    lines = rows.select("_id", "_row", F.posexplode("lines").alias("k", "line"))
+    classes = lines.where(F.col("line.n") >= max(1, least)).groupBy("line.s1", "line.s2").agg(
+        F.min(F.struct("_id", "_row", "k")).alias("place"),
+        F.count("k").alias("times"),
+        *[F.first(f"line.{c}").alias(c) for c in ("n", "least", "prefix")],
     )
-    classes = _classes(docs, id_column, text, percent, least)
+    classes = materialize(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
     comparison = _Comparison(docs, id_column, text, classes, percent)
 
-    heads = classes.select("s1", "n", "sketch", "place", F.explode("least").alias("w"))
-    several = _shared(heads.select("w"))
-    heads = materialize(heads.join(several, "w", "left_semi"), "heads")
-    head = heads.groupBy("w").agg(F.min(F.struct("place", "s1", "n", "sketch")).alias("h"))
-    near = heads.join(head, "w").where(F.col("s1") != F.col("h.s1"))
-    near = near.where(_possible("n", "sketch", "h.n", "h.sketch", percent))
-    settled = comparison.later(near.select(F.col("h.s1").alias("x"), F.col("s1").alias("y")).distinct())
-
-    gone = settled.withColumn("gone", F.lit(True))
-    postings = classes.join(gone, ["s1", "s2"], "left").select(
-        F.posexplode("prefix").alias("at", "w"), "s1", "n", "sketch", F.coalesce("gone", F.lit(False)).alias("gone")
-    )
-    postings = postings.select("w", "s1", F.struct("n", "at", "gone").alias("p"), "sketch")
-    a, b = (
-        postings.select("w", F.col("s1").alias(f"c_{s}"), F.col("p").alias(f"p_{s}"), F.col("sketch").alias(f"sketch_{s}"))
-        for s in "ab"
-    )
-    na, nb = F.col("p_a.n"), F.col("p_b.n")
-    needed = F.ceil(percent * (na + nb) / F.lit(100 + percent))
-    pairs = a.join(
-        b,
-        (a["w"] == b["w"])
-        & (F.col("c_a") < F.col("c_b"))
-        & ~(F.col("p_a.gone") & F.col("p_b.gone"))
-        & (F.least(na - F.col("p_a.at"), nb - F.col("p_b.at")) >= needed)
-        & _possible("p_a.n", "sketch_a", "p_b.n", "sketch_b", percent),
-    )
-    found = comparison.later(pairs.select(F.col("c_a").alias("x"), F.col("c_b").alias("y")).distinct())
+    settled = comparison.later(_family_heads(classes))
+    rest = comparison.later(_sharing(classes, settled, percent), settled)
 
     # Lines that go: all but the first of a class, and the first of a class with an earlier partner.
-    lines = rows.select("_row", "_id", F.posexplode("lines").alias("k", "line")).select("_row", "_id", "k", "line.*")
-    firsts = lines.groupBy("s1", "s2").agg(F.min(F.struct("_id", "_row", "k")).alias("first"))
-    gone = settled.unionByName(found).distinct().withColumn("gone", F.lit(True))
-    judged = classes.select("s1", "s2").join(gone, ["s1", "s2"], "left").join(firsts, ["s1", "s2"])
-    is_first = (F.col("_row") == F.col("first._row")) & (F.col("k") == F.col("first.k"))
+    gone = settled.unionByName(rest).withColumn("gone", F.lit(True))
+    judged = classes.select("c", "s1", "s2", "times", "place").join(gone, "c", "left")
+    judged = judged.where((F.col("times") > 1) | F.col("gone")).select("s1", "s2", "place", "gone")
+    lines = lines.select("_row", "k", "line.s1", "line.s2")
+    is_first = (F.col("_row") == F.col("place._row")) & (F.col("k") == F.col("place.k"))
     removed = lines.join(judged, ["s1", "s2"]).where(~is_first | F.col("gone"))
     removed = removed.groupBy("_row").agg(F.sort_array(F.collect_list("k")).alias("removed"))
     per_row = rows.select("_row", "_id", "_key", F.size("lines").cast("long").alias("n_lines"))
     copies = Window.partitionBy("_id", "_key").orderBy("_row")
-    return per_row.join(removed, "_row", "left").select(
+    decided = per_row.join(removed, "_row", "left").select(
         "_id", "_key", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), "_row"
-    ).withColumn("_copy", F.row_number().over(copies))
+    )
+    decided = materialize(decided, "decided")
+    release(rows, classes, settled, rest)
+    return decided.withColumn("_copy", F.row_number().over(copies))
 
 
-def _classes(docs: DataFrame, id_column: str, text: str, percent: int, least: int) -> DataFrame:
-    """Classes of equal lines of enough words, written.
+def _described(line: Column, levels: Column, bits: int, percent: int) -> Column:
+    """``s1``, ``s2``, ``n`` (different words), ``least`` and ``prefix`` of a plain line.
 
-    ``s1``, ``s2``, ``place`` (id and number of the first line), ``n`` (words),
-    ``prefix`` (its rarest words), ``least``, ``sketch``.
+    Words are cut down to 31 bits where they only have to find partners.
     """
-    levels = _levels(docs, text)
 
     def ordered(word: Column) -> Column:
-        level = F.get(levels, _slot(word).cast("int"))
-        return F.shiftleft(level.cast("long"), 40).bitwiseOR(word.bitwiseAND(F.lit((1 << 40) - 1)))
-
-    # The words of a line are worked out once, as the one element of an array.
-    size = F.size("t")
-    length = (size - F.ceil(percent * size / 100) + 1).cast("int")
-    lines = _lines(docs, id_column, text).select(
-        "_id", "k", "s1", "s2", F.explode(F.array(_words(F.col("line")))).alias("t")
-    )
-    lines = lines.where(size >= least).select(
-        "s1",
-        "s2",
-        F.struct("_id", "k").alias("place"),
-        size.alias("n"),
-        F.slice(F.sort_array(F.transform("t", ordered)), F.lit(1), length).alias("prefix"),
-        F.slice("t", 1, _LEAST_WORDS).alias("least"),
-        F.struct(_half_sketch(0), _half_sketch(64)).alias("sketch"),
-    )
-    classes = lines.groupBy("s1", "s2").agg(
-        F.min("place").alias("place"), *[F.first(c).alias(c) for c in ("n", "prefix", "least", "sketch")]
+        # Levels are 4 bits wide, 16 of them in a number of the constant array.
+        slot = F.shiftrightunsigned(word, 64 - bits)
+        sixteen = F.get(levels, F.shiftright(slot, 4).cast("int"))
+        level = F.call_function("shiftright", sixteen, (4 * slot.bitwiseAND(F.lit(15))).cast("int")).bitwiseAND(F.lit(15))
+        return F.shiftleft(level, _HASH_BITS).bitwiseOR(F.shiftrightunsigned(word, 64 - _HASH_BITS))
+
+    def short(word: Column) -> Column:
+        return word.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+
+    def with_words(t: Column) -> Column:
+        size = F.size(t)
+        length = (size - F.ceil(percent * size / 100) + 1).cast("int")
+        prefix = F.slice(F.sort_array(F.transform(t, ordered)), F.lit(1), F.when(size > 0, length).otherwise(0))
+        several = F.filter(prefix, lambda o: o >= (1 << _HASH_BITS))
+        return F.struct(
+            *_signature(line),
+            size.alias("n"),
+            F.transform(F.slice(t, 1, _LEAST_WORDS), short).alias("least"),
+            F.transform(several, short).alias("prefix"),
+        )
+
+    # A list of one element, so that the words are worked out once.
+    return F.get(F.transform(F.array(_words(line)), with_words), F.lit(0))
+
+
+def _levels(docs: DataFrame, text: str) -> tuple[Column, int]:
+    """A constant array with the levels of all counters, 0 for one occurrence, and how many bits a counter's number has.
+
+    Words are counted over all texts; a sixteenth as many numbers as counters reach
+    the driver, 2^18 at most.
+    """
+    bits = min(max(docs.count().bit_length() + 4, COUNTER_BITS[0]), COUNTER_BITS[1])
+    words = docs.select(F.explode(F.split(F.replace(_plain(f"`{text}`"), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    slot = F.shiftrightunsigned(F.xxhash64("w"), 64 - bits).alias("slot")
+    level = F.least(F.floor(F.log2("count")), F.lit(15)).cast("long")
+    slots = words.where("w != ''").groupBy(slot).count().select("slot", level.alias("level"))
+    packed = slots.groupBy(F.shiftright("slot", 4).cast("int").alias("at")).agg(
+        F.bit_or(F.expr("shiftleft(level, cast(4 * (slot & 15) as int))")).alias("levels")
     )
-    return materialize(classes, "classes")
-
+    known = {r["at"]: r["levels"] for r in packed.collect()}
+    listed = ",".join(str(known.get(at, 0)) for at in range(1 << (bits - 4)))
+    return F.split(F.lit(listed), ",").cast("array<long>"), bits
 
-def _half_sketch(bit: int) -> Column:
-    """Half of the bits: each tells whether an odd number of words of ``t`` falls on it."""
-    flipped = "a ^ shiftleft(1L, cast(w & 63 as int))"
-    return F.expr(f"aggregate(t, 0L, (a, w) -> if((w & 64) = {bit}, {flipped}, a))").alias(f"b{bit}")
 
+def _family_heads(classes: DataFrame) -> DataFrame:
+    """``x``, ``y``: every class ``y`` with the earliest class ``x`` that shares one of its two least words."""
+    keys = classes.select("c", "place", F.explode("least").alias("w"))
+    heads = keys.groupBy("w").agg(F.min(F.struct("place", "c")).alias("h"), F.count("c").alias("n")).where("n > 1")
+    heads = materialize(heads.select("w", "h"), "heads")
+    near = keys.join(heads, "w").where(F.col("c") != F.col("h.c"))
+    return near.groupBy(F.col("c").alias("y")).agg(F.min("h").alias("h")).select(F.col("h.c").alias("x"), "y")
 
-def _levels(docs: DataFrame, text: str) -> Column:
-    """A constant array with the level of every counter, low for rare words.
 
-    Words are counted over all texts; 2^18 numbers reach the driver, whatever the input.
-    """
-    words = docs.select(F.explode(F.split(F.replace(_plain(text), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
-    slots = words.where("w != ''").groupBy(_slot(F.xxhash64("w")).alias("slot")).count()
-    level = F.floor(2 * F.log2("count")).cast("int")
-    known = {r.slot: r.level for r in slots.select("slot", level.alias("level")).collect()}
-    listed = ",".join(str(known.get(slot, 0)) for slot in range(1 << COUNTER_BITS))
-    return F.split(F.lit(listed), ",").cast("array<int>")
+def _sharing(classes: DataFrame, settled: DataFrame, percent: int) -> DataFrame:
+    """``x``, ``y``: pairs of classes, not both settled, that share a word of their prefixes at fitting positions."""
+    gone = settled.withColumn("gone", F.lit(True))
+    dropped = _prefix_length("n", percent) - F.size("prefix")
+    postings = classes.select("c", "n", "prefix").join(gone, "c", "left").select(
+        F.posexplode("prefix").alias("at", "w"), "c", "n", F.coalesce("gone", F.lit(False)).alias("gone"), dropped.alias("dropped")
+    )
+    postings = postings.select("w", "c", "n", (F.col("at") + F.col("dropped")).alias("at"), "gone")
+    a, b = (postings.select("w", *[F.col(c).alias(f"{c}_{s}") for c in ("c", "n", "at", "gone")]) for s in "ab")
+    na, nb = F.col("n_a"), F.col("n_b")
+    pairs = a.join(
+        b,
+        (a["w"] == b["w"])
+        & (F.col("c_a") < F.col("c_b"))
+        & ~(F.col("gone_a") & F.col("gone_b"))
+        & (F.least(na - F.col("at_a"), nb - F.col("at_b")) >= _needed(na, nb, percent))
+        & (100 * F.least(na, nb) >= percent * F.greatest(na, nb)),
+    )
+    return pairs.select(F.col("c_a").alias("x"), F.col("c_b").alias("y")).distinct()
 
 
-def _slot(word: Column) -> Column:
-    return F.shiftrightunsigned(word, 64 - COUNTER_BITS)
+def _prefix_length(n: str, percent: int) -> Column:
+    return (F.col(n) - F.ceil(percent * F.col(n) / 100) + 1).cast("int")
 
 
-def _shared(keys: DataFrame) -> DataFrame:
-    """The values of the only column that occur more than once, to be broadcast if they are few."""
-    several = keys.groupBy(*keys.columns).count().where("count > 1").drop("count")
-    return _small(materialize(several, "shared"))
+def _needed(n: Column, m: Column, percent: int) -> Column:
+    """How many words sets of n and m words must share."""
+    return F.ceil(percent * (n + m) / F.lit(100 + percent))
 
 
 def _small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def _possible(n: str, sketch: str, m: str, other: str, percent: int) -> Column:
-    """Whether two sets can be similar enough, by their sizes and sketches.
-
-    Every bit that differs stands for a word that only one of the sets has.
-    """
-    n, m = F.col(n), F.col(m)
-    apart = sum(F.bit_count(F.col(f"{sketch}.b{k}").bitwiseXOR(F.col(f"{other}.b{k}"))) for k in (0, 64))
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (
-        (100 + percent) * F.floor((n + m - apart) / 2) >= percent * (n + m)
-    )
-
-
 class _Comparison:
-    """Verification of pairs of classes, given by ``s1``, on their whole sets."""
+    """Verification of pairs of classes on their whole sets."""
 
     def __init__(self, docs: DataFrame, id_column: str, text: str, classes: DataFrame, percent: int):
-        self.lines = _lines(docs, id_column, text)
-        self.classes, self.percent = classes.select("s1", "s2", "place"), percent
-
-    def later(self, pairs: DataFrame) -> DataFrame:
-        """``s1``, ``s2`` of the classes with a similar earlier one among the pairs; written."""
-        pairs = materialize(pairs, "pairs")
-        asked = pairs.select(F.explode(F.array("x", "y")).alias("s1")).distinct().join(self.classes, "s1")
-        asked = materialize(asked, "asked")
+        self.docs = docs.select(F.col(f"`{id_column}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
+        self.classes, self.percent = classes, percent
+
+    def later(self, pairs: DataFrame, settled: DataFrame | None = None) -> DataFrame:
+        """``c`` of the classes that are similar to an earlier one of their pair, but for those settled; written."""
+        open_pairs = self._possible(pairs, settled)
+        asked = open_pairs.select(F.explode(F.array("x", "y")).alias("c")).distinct()
+        asked = materialize(asked.join(self.classes.select("c", "s1", "s2", "place"), "c"), "asked")
+        # Only documents that hold the first line of a class asked for are cut into lines.
         # Rows of equal id may have other lines at a place, so the signature counts as well.
-        found = self.lines.join(_small(asked), ["s1", "s2"])
+        small = _small(asked)
+        ids = _small(asked.select(F.col("place._id").alias("_asked")).distinct())
+        held = self.docs.join(ids, F.col("_id").eqNullSafe(F.col("_asked")), "left_semi")
+        lines = held.select("_id", F.posexplode(F.split(_plain("_text"), "\n", -1)).alias("k", "line"))
+        lines = lines.select("_id", "k", "line", *_signature(F.col("line")))
+        found = lines.join(small, ["s1", "s2"])
         found = found.where(F.col("_id").eqNullSafe(F.col("place._id")) & (F.col("k") == F.col("place.k")))
-        sets = found.groupBy("s1", "s2").agg(F.first("place").alias("place"), F.first("line").alias("line"))
-        sets = materialize(sets.select("s1", "s2", "place", _words(F.col("line")).alias("t")), "compared")
-        x, y = (sets.select(F.col("s1").alias(s), F.struct("place", "s1", "s2").alias(f"p{s}"), F.col("t").alias(f"t{s}")) for s in "xy")
-        both = pairs.join(x, "x").join(y, "y")
+        sets = found.groupBy("c").agg(F.first("line").alias("line"))
+        sets = materialize(sets.select("c", _words(F.col("line")).alias("t")), "compared")
+        x, y = (sets.select(F.col("c").alias(s), F.col("t").alias(f"t{s}")) for s in "xy")
+        both = open_pairs.join(x, "x").join(y, "y")
         common = F.size(F.array_intersect("tx", "ty"))
         similar = 100 * common >= self.percent * (F.size("tx") + F.size("ty") - common)
-        later = both.where(similar).select(F.greatest("px", "py").alias("p")).select("p.s1", "p.s2")
-        return materialize(later.distinct(), "later")
+        later = materialize(both.where(similar).select(F.col("y").alias("c")).distinct(), "later")
+        release(open_pairs, asked, sets)
+        return later
+
+    def _possible(self, pairs: DataFrame, settled: DataFrame | None) -> DataFrame:
+        """The pairs, the earlier class as ``x``, whose prefixes share enough words; written.
+
+        Of two prefixes in the same order of words, one ends first: up to there all
+        common words are in both, beyond it there are only the rest of its words.
+        Words that are equal in their 31 bits only are allowed for.
+        """
+        length = _prefix_length("n", self.percent)
+        facts = self.classes.select("c", F.struct("place", "c", "n", "prefix", (F.col("n") - length).alias("rest")).alias("f"))
+        x, y = (facts.select(F.col("c").alias(s), F.col("f").alias(f"f{s}")) for s in "xy")
+        both = pairs.join(x, "x").join(y, "y")
+        shared = F.size(F.array_intersect("fx.prefix", "fy.prefix"))
+        alike = [F.size(f"f{s}.prefix") - F.size(F.array_distinct(f"f{s}.prefix")) for s in "xy"]
+        n, m = F.col("fx.n"), F.col("fy.n")
+        bound = shared + F.least(*alike) + F.greatest("fx.rest", "fy.rest")
+        both = both.where((bound >= _needed(n, m, self.percent)) & (100 * F.least(n, m) >= self.percent * F.greatest(n, m)))
+        swapped = F.col("fy.place") < F.col("fx.place")
+        placed = both.select(
+            F.when(swapped, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(swapped, F.col("x")).otherwise(F.col("y")).alias("y")
+        )
+        if settled is not None:
+            placed = placed.join(settled.select(F.col("c").alias("y")), "y", "left_anti")
+        return materialize(placed.select("x", "y"), "pairs")

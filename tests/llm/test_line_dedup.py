@@ -13,14 +13,14 @@ def line_set(line):
     return frozenset(w for w in line.lower().split(" ") if w)
 
 
-def plain(rows, percent=80, least=3):
+def plain(rows, percent=80, least=1):
     """(id, number of lines, removed) per row; rows in order of id."""
     seen, out = [], []
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
         removed, lines = [], (text or "").split("\n")
         for k, line in enumerate(lines):
             own = line_set(line)
-            if len(own) < least:
+            if len(own) < max(1, least):
                 continue
             if any(100 * len(own & other) >= percent * len(own | other) for other in seen):
                 removed.append(k)
@@ -78,8 +78,11 @@ def test_repeated_rows_and_empty_tables(spark):
     rows = [(1, text), (1, text), (None, text), (1, "five six seven\nnew words are here"), (2, "a b"), (3, "a b")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     kept = sorted((tuple(r) for r in without_repeated_lines(df).collect()), key=str)
-    assert kept == sorted([(None, text), (1, "new words are here"), (2, "a b"), (3, "a b")], key=str)
+    assert kept == sorted([(None, text), (1, "new words are here"), (2, "a b")], key=str)
     removed = sorted(len(r.removed) for r in repeated_lines(df).collect())
+    assert removed == [0, 0, 1, 1, 2, 2]
+    # A floor is an option.
+    removed = sorted(len(r.removed) for r in repeated_lines(df, least=3).collect())
     assert removed == [0, 0, 0, 1, 2, 2]
     assert repeated_lines(df.limit(0)).count() == 0
     assert without_repeated_lines(df.limit(0)).count() == 0
