@@ -16,8 +16,8 @@ no part and stay; by default every line with a word takes part.
    compared with one earlier class only, the earliest that shares one of its two
    least word hashes.  Classes found to go need no other partner.
 5. The classes still open are joined with all others on the words of their prefixes,
-   filtered in the join by length and by the positions of the word in both lines.
-   A pair counts only if its later class is open.
+   filtered in the join by length, by the positions of the word in both lines and by
+   a sketch of all words that bounds the overlap.  A pair counts only if its later class is open.
 6. Before a pair is verified, the words that the two prefixes share bound the overlap
    of the whole sets.  What passes is verified on all words of both lines.
 """
@@ -32,9 +32,9 @@ from .common import text_key, whole_text
 
 # Lines of fewer different words stay.
 LEAST = 1
-# Counters, as a power of two: about 16 per text within these bounds, four bits each.
+# Counters, as a power of two: about 16 per text within these bounds.
 # Only the order of words depends on them, never the result.
-COUNTER_BITS = (10, 22)
+COUNTER_BITS = (10, 20)
 # Up to this many rows of keys (some 40 bytes each) are broadcast, more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 # Words whose hashes are the least of a line, by which families are found.
@@ -122,7 +122,7 @@ def _decided(docs: DataFrame, id_column: str, text: str, percent: int, least: in
     classes = lines.where(F.col("line.n") >= max(1, least)).groupBy("line.s1", "line.s2").agg(
         F.min(F.struct("_id", "_row", "k")).alias("place"),
         F.count("k").alias("times"),
-        *[F.first(f"line.{c}").alias(c) for c in ("n", "least", "prefix")],
+        *[F.first(f"line.{c}").alias(c) for c in ("n", "least", "prefix", "sketch")],
     )
     classes = materialize(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
     comparison = _Comparison(docs, id_column, text, classes, percent)
@@ -155,15 +155,16 @@ def _described(line: Column, levels: Column, bits: int, percent: int) -> Column:
     """
 
     def ordered(word: Column) -> Column:
-        # Levels are 4 bits wide, 16 of them in a number of the constant array.
-        slot = F.shiftrightunsigned(word, 64 - bits)
-        sixteen = F.get(levels, F.shiftright(slot, 4).cast("int"))
-        level = F.call_function("shiftright", sixteen, (4 * slot.bitwiseAND(F.lit(15))).cast("int")).bitwiseAND(F.lit(15))
-        return F.shiftleft(level, _HASH_BITS).bitwiseOR(F.shiftrightunsigned(word, 64 - _HASH_BITS))
+        level = levels.getItem(F.shiftrightunsigned(word, 64 - bits))
+        return F.shiftleft(level.cast("long"), _HASH_BITS).bitwiseOR(F.shiftrightunsigned(word, 64 - _HASH_BITS))
 
     def short(word: Column) -> Column:
         return word.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
 
+    def flipped(bits: Column, word: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), word.bitwiseAND(F.lit(63)).cast("int"))
+        return bits.bitwiseXOR(bit)
+
     def with_words(t: Column) -> Column:
         size = F.size(t)
         length = (size - F.ceil(percent * size / 100) + 1).cast("int")
@@ -174,6 +175,8 @@ def _described(line: Column, levels: Column, bits: int, percent: int) -> Column:
             size.alias("n"),
             F.transform(F.slice(t, 1, _LEAST_WORDS), short).alias("least"),
             F.transform(several, short).alias("prefix"),
+            # Every bit tells whether an odd number of words falls on it.
+            F.reduce(t, F.lit(0).cast("long"), flipped).alias("sketch"),
         )
 
     # A list of one element, so that the words are worked out once.
@@ -181,22 +184,24 @@ def _described(line: Column, levels: Column, bits: int, percent: int) -> Column:
 
 
 def _levels(docs: DataFrame, text: str) -> tuple[Column, int]:
-    """A constant array with the levels of all counters, 0 for one occurrence, and how many bits a counter's number has.
+    """A constant array with the level of every counter, 0 for one occurrence, and the bits of a counter's number.
 
-    Words are counted over all texts; a sixteenth as many numbers as counters reach
-    the driver, 2^18 at most.
+    Words are counted over all texts; at most 2^20 levels reach the driver, packed by the thousand.
     """
     bits = min(max(docs.count().bit_length() + 4, COUNTER_BITS[0]), COUNTER_BITS[1])
     words = docs.select(F.explode(F.split(F.replace(_plain(f"`{text}`"), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     slot = F.shiftrightunsigned(F.xxhash64("w"), 64 - bits).alias("slot")
-    level = F.least(F.floor(F.log2("count")), F.lit(15)).cast("long")
-    slots = words.where("w != ''").groupBy(slot).count().select("slot", level.alias("level"))
-    packed = slots.groupBy(F.shiftright("slot", 4).cast("int").alias("at")).agg(
-        F.bit_or(F.expr("shiftleft(level, cast(4 * (slot & 15) as int))")).alias("levels")
+    level = F.least(F.floor(F.log2("count")), F.lit(15)).cast("int").alias("level")
+    slots = words.where("w != ''").groupBy(slot).count().select("slot", level)
+    packed = slots.groupBy(F.shiftright("slot", 10).cast("int").alias("at")).agg(
+        F.array_join(F.collect_list(F.concat_ws(":", F.col("slot").bitwiseAND(F.lit(1023)), "level")), " ").alias("levels")
     )
-    known = {r["at"]: r["levels"] for r in packed.collect()}
-    listed = ",".join(str(known.get(at, 0)) for at in range(1 << (bits - 4)))
-    return F.split(F.lit(listed), ",").cast("array<long>"), bits
+    known = ["0"] * (1 << bits)
+    for row in packed.collect():
+        for pair in row["levels"].split(" "):
+            slot, level = pair.split(":")
+            known[(row["at"] << 10) + int(slot)] = level
+    return F.split(F.lit(",".join(known)), ",").cast("array<int>"), bits
 
 
 def _family_heads(classes: DataFrame) -> DataFrame:
@@ -212,11 +217,11 @@ def _sharing(classes: DataFrame, settled: DataFrame, percent: int) -> DataFrame:
     """``x``, ``y``: pairs of classes, not both settled, that share a word of their prefixes at fitting positions."""
     gone = settled.withColumn("gone", F.lit(True))
     dropped = _prefix_length("n", percent) - F.size("prefix")
-    postings = classes.select("c", "n", "prefix").join(gone, "c", "left").select(
-        F.posexplode("prefix").alias("at", "w"), "c", "n", F.coalesce("gone", F.lit(False)).alias("gone"), dropped.alias("dropped")
+    postings = classes.select("c", "n", "prefix", "sketch").join(gone, "c", "left").select(
+        F.posexplode("prefix").alias("at", "w"), "c", "n", "sketch", F.coalesce("gone", F.lit(False)).alias("gone"), dropped.alias("dropped")
     )
-    postings = postings.select("w", "c", "n", (F.col("at") + F.col("dropped")).alias("at"), "gone")
-    a, b = (postings.select("w", *[F.col(c).alias(f"{c}_{s}") for c in ("c", "n", "at", "gone")]) for s in "ab")
+    postings = postings.select("w", "c", "n", "sketch", (F.col("at") + F.col("dropped")).alias("at"), "gone")
+    a, b = (postings.select("w", *[F.col(c).alias(f"{c}_{s}") for c in ("c", "n", "sketch", "at", "gone")]) for s in "ab")
     na, nb = F.col("n_a"), F.col("n_b")
     pairs = a.join(
         b,
@@ -224,7 +229,9 @@ def _sharing(classes: DataFrame, settled: DataFrame, percent: int) -> DataFrame:
         & (F.col("c_a") < F.col("c_b"))
         & ~(F.col("gone_a") & F.col("gone_b"))
         & (F.least(na - F.col("at_a"), nb - F.col("at_b")) >= _needed(na, nb, percent))
-        & (100 * F.least(na, nb) >= percent * F.greatest(na, nb)),
+        & (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
+        # A bit that differs stands for a word of one line only.
+        & (F.floor((na + nb - F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b")))) / 2) >= _needed(na, nb, percent)),
     )
     return pairs.select(F.col("c_a").alias("x"), F.col("c_b").alias("y")).distinct()
 
