@@ -155,7 +155,7 @@ def _described(line: Column, levels: Column, bits: int, percent: int) -> Column:
     """
 
     def ordered(word: Column) -> Column:
-        level = levels.getItem(F.shiftrightunsigned(word, 64 - bits))
+        level = levels[F.shiftrightunsigned(word, 64 - bits)]
         return F.shiftleft(level.cast("long"), _HASH_BITS).bitwiseOR(F.shiftrightunsigned(word, 64 - _HASH_BITS))
 
     def short(word: Column) -> Column:
