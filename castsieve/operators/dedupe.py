@@ -40,9 +40,21 @@ def merge_channels(df: DataFrame) -> DataFrame:
     return renumber(first_per_link(df), F.asc("id")).select(*df.columns)
 
 
-def remove_duplicates(df: DataFrame, plain_rounds: int = PLAIN_ROUNDS) -> DataFrame:
-    """Drop rows whose link or eligible name belongs to an earlier kept row."""
-    keys = with_name_key(with_link_key(df.select("id", "link", "name")))
+def row_keys(df: DataFrame) -> DataFrame:
+    """The rows with ``link_key`` and ``name_key``, 16 bytes each; no name key where the name does not count."""
+    keyed = with_name_key(with_link_key(df))
+    return keyed.withColumns({k: F.unhex(F.md5(F.col(k).cast("binary"))) for k in ("link_key", "name_key")})
+
+
+def remove_duplicates(df: DataFrame, plain_rounds: int = PLAIN_ROUNDS, earlier: DataFrame | None = None) -> DataFrame:
+    """Drop rows whose link or eligible name belongs to an earlier kept row.
+
+    ``earlier`` holds ``link_key, name_key`` of rows kept before all of these.
+    """
+    keys = row_keys(df.select("id", "link", "name")).select("id", "link_key", "name_key")
+    if earlier is not None:
+        for key in ("link_key", "name_key"):
+            keys = keys.join(earlier.select(key).where(F.col(key).isNotNull()), key, "left_anti")
     kept = kept_ids(keys, plain_rounds)
     return df.join(kept, "id", "left_semi")
 
@@ -63,7 +75,7 @@ def kept_ids(rows: DataFrame, plain_rounds: int = PLAIN_ROUNDS) -> DataFrame:
     """
     # Equal link and name: only the first can ever be kept.  A row without a
     # name gets one of its own afterwards.
-    own_name = F.concat(F.lit("\x00"), F.col("id").cast("string"))
+    own_name = F.concat(F.lit("\x00no name of row "), F.col("id").cast("string")).cast(rows.schema["name_key"].dataType)
     open_rows = materialize(
         rows.groupBy("link_key", "name_key")
         .agg(F.min("id").alias("id"))

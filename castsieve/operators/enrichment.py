@@ -48,9 +48,12 @@ def rename_channels(
     )
 
 
-def flag_content_duplicates(df: DataFrame) -> DataFrame:
+def flag_content_duplicates(df: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
     """Mark every later row with a content hash already seen; drop none.
 
+    ``earlier`` holds ``content_hash, name`` of first rows that came before all of
+    these.
+
     The mark is an attribute with the name of the first row.  First rows are
     found by a partially aggregated group-by, so equal content in a large share
     of the rows does not gather in one task.
@@ -63,9 +66,16 @@ def flag_content_duplicates(df: DataFrame) -> DataFrame:
             F.min_by("name", "id").alias("_original"),
             F.count("*").alias("_rows"),
         )
-        .where("_rows > 1")
-        .drop("_rows")
     )
+    if earlier is None:
+        originals = originals.where("_rows > 1").drop("_rows")
+    else:
+        before = earlier.select("content_hash", F.col("name").alias("_before"), F.lit(True).alias("_seen"))
+        originals = originals.join(before, "content_hash", "left").where("_rows > 1 or _seen").select(
+            "content_hash",
+            F.when(F.col("_seen"), F.lit(-1)).otherwise(F.col("_first_id")).cast("long").alias("_first_id"),
+            F.when(F.col("_seen"), F.col("_before")).otherwise(F.col("_original")).alias("_original"),
+        )
     originals = materialize(originals, "originals")
     extras = F.coalesce("extra_attributes", F.create_map().cast("map<string,string>"))
     original = F.col("_original")

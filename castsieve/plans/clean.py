@@ -53,10 +53,22 @@ class CleanOptions:
     export_name: str = "playlist"
 
 
+@dataclass(frozen=True)
+class Earlier:
+    """What runs before this one have kept: ``link_key, name_key``, and ``content_hash, name`` of flagged contents."""
+
+    kept: DataFrame
+    contents: DataFrame
+
+
 @dataclass(frozen=True)
 class CleanResult:
+    """``kept`` is what duplicates have left, ``flagged`` the rows with content signatures; None if not asked for."""
+
     channels: DataFrame
     report: DataFrame
+    kept: DataFrame | None = None
+    flagged: DataFrame | None = None
 
 
 def clean_channels(
@@ -65,14 +77,18 @@ def clean_channels(
     probes: DataFrame | None = None,
     responses: DataFrame | None = None,
     fetch: Fetch | None = None,
+    earlier: Earlier | None = None,
 ) -> CleanResult:
-    """Clean numbered channels.
+    """Clean numbered channels, as a continuation of ``earlier`` runs if given.
 
     Links are judged by ``probes`` (one row per link), content signatures come
     from ``responses``; what is not given is fetched.  Duplicates go before the
     filters, as a filtered-out row can still push out a later one.
     """
-    kept = remove_duplicates(loaded) if options.remove_doubles else loaded
+    kept = remove_duplicates(loaded, earlier=earlier.kept if earlier else None) if options.remove_doubles else loaded
+    if earlier:
+        # Read for this run and for those that continue it.
+        kept = materialize(kept, "kept-rows")
     chosen = filter_channels(kept, options.group_filter, options.name_filter, options.use_regex)
     chosen = rename_channels(
         chosen, options.rename_pattern, options.rename_replacement, options.use_regex
@@ -89,7 +105,8 @@ def clean_channels(
             if fetch is None:
                 raise ValueError("content duplicates need captured responses or a fetch function")
             responses = capture_once(working, fetch, options.concurrency, options.timeout)
-        working = flag_content_duplicates(attach_content_hash(working, responses))
+        working = flag_content_duplicates(attach_content_hash(working, responses), earlier.contents if earlier else None)
+    flagged = working
     working = sort_channels(working, options.sort_by, options.descending)
     if not options.skip_validation:
         if probes is None:
@@ -105,7 +122,7 @@ def clean_channels(
     elif options.export_path:
         write_playlist(working, options.export_path)
     report = processing_report(loaded, kept, enriched, working, options.categorize, options.detect_language)
-    return CleanResult(working, report)
+    return CleanResult(working, report, kept if options.remove_doubles else None, flagged)
 
 
 def clean_playlists(

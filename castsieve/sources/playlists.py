@@ -78,13 +78,22 @@ def find_files(spark: SparkSession, sources: list[tuple[int, str]]) -> tuple[lis
             load[name] = status.getPath().getParent().toString()
             if status.isDirectory():
                 folders.add(name)
-            place = status.getPath().toUri().toString()
-            places.append((order, re.sub("^([A-Za-z0-9+.-]+):///", r"\1:/", place)))
+            places.append((order, _plain_path(status.getPath().toUri().toString())))
         if not usable:
             raise FileNotFoundError(f"{source}: no file that can be read")
     # A file named besides its folder is loaded once.
     names = [name for name, folder in load.items() if folder not in folders or name in folders]
-    return [re.sub(r"([\[\]{}*?\\])", r"\\\1", name) for name in names], places
+    return [_escaped(name) for name in names], places
+
+
+def _escaped(name: str) -> str:
+    """A name without characters that a glob would read otherwise."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", name)
+
+
+def _plain_path(place: str) -> str:
+    """An empty authority may be written or not."""
+    return re.sub("^([A-Za-z0-9+.-]+):///", r"\1:/", place)
 
 
 def list_files(spark: SparkSession, load: list[str], places: list[tuple[int, str]], limit: int) -> DataFrame:
@@ -246,18 +255,30 @@ def parse_sources(
         parsed.append(entries_of_links(links_in_texts(fetched_texts(links, fetch_playlist))))
     local = [(i, s) for i, s in ordered if not is_web_link(s)]
     if local:
-        load, places = find_files(spark, local)
-        files = list_files(spark, load, places, whole_file_bytes)
-        # One source, nothing named twice: all files have its order.
-        single = len(local) == 1 and len(load) == len(places) == 1
-        texts = read_texts(spark, load, whole_file_bytes, local[0][0], None if single else files)
-        parsed.append(entries_of_links(links_in_texts(texts)))
-        by_lines = read_numbered_lines(spark, load, files)
-        if by_lines is not None:
-            parsed.append(entries_of_links(links_in_lines(*by_lines)))
+        parsed.append(_parse_found(spark, *find_files(spark, local), whole_file_bytes))
     return reduce(DataFrame.unionByName, parsed)
 
 
+def parse_files(spark: SparkSession, paths: list[str], whole_file_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
+    """Channels of existing files, given by full paths as Spark lists them, in this order."""
+    places = [(i, _plain_path(path)) for i, path in enumerate(paths)]
+    return _parse_found(spark, [_escaped(path) for path in paths], places, whole_file_bytes)
+
+
+def _parse_found(
+    spark: SparkSession, load: list[str], places: list[tuple[int, str]], whole_file_bytes: int
+) -> DataFrame:
+    files = list_files(spark, load, places, whole_file_bytes)
+    # One source, nothing named twice: all files have its order.
+    single = len(load) == len(places) == 1
+    texts = read_texts(spark, load, whole_file_bytes, places[0][0], None if single else files)
+    parsed = entries_of_links(links_in_texts(texts))
+    by_lines = read_numbered_lines(spark, load, files)
+    if by_lines is not None:
+        parsed = parsed.unionByName(entries_of_links(links_in_lines(*by_lines)))
+    return parsed
+
+
 def read_playlists(
     spark: SparkSession,
     sources: list[str],
