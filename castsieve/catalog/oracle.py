@@ -580,6 +580,18 @@ _sql(
       from merged join kept using (id) where contains(lower(name), 'l') or coalesce(contains(lower(tvg_name), 'l'), false))""",
     _LANGUAGE_ROWS,
 )
+_sql(
+    "stream_playlists",
+    f"""select id, name, link, tvg_name, group_name, category, {_LANGUAGE_COLUMNS}
+    from (select id, name, link, tvg_name, {_GROUP} group_name, category, {_mark('name', 'tvg_name', _GROUP)} mark
+      from ({_categorized('renamed')})) left join languages using (mark)""",
+    _parse("small_lines_fx"),
+    f"merged as ({_merged('numbered', 'name, link, group_name, tvg_name')})",
+    _greedy("merged"),
+    f"""renamed as (select id, {_RENAME.format('coalesce(tvg_name, name)')} "name", link, group_name, {_RENAME.format('tvg_name')} tvg_name
+      from merged join kept using (id) where contains(lower(name), 'l') or coalesce(contains(lower(tvg_name), 'l'), false))""",
+    _LANGUAGE_ROWS,
+)
 _STAGE = f"""enriched as (select id, name, link, tvg_name, {_GROUP} group_name, category, {_mark('name', 'tvg_name', _GROUP)} mark
   from ({_categorized('(select c.* from channels_fx c join kept using (id))')}))"""
 _sql(

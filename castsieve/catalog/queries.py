@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from ..plans.clean import CleanOptions, clean_channels
 from ..sources import writers
 from ..sources.playlists import load_parsed, parse_sources, read_playlists
 from ..sources.writers import group_playlist_lines, playlist_lines
+from ..streaming.incremental import start_cleaning
 from ..workspace import materialize, shared_folder
 from . import views
 
@@ -600,6 +602,19 @@ def clean_unvalidated(spark, sf):
     return cleaned.select("id", "name", "link", "tvg_name", "group_name", "category", *_language())
 
 
+@register
+def stream_playlists(spark, sf):
+    """Two deliveries of compressed playlists to a watched folder, the second cleaned against the first."""
+    folder, out, mark = (_new_folder(spark, name) for name in ("arriving", "cleaned", "mark"))
+    options = replace(_CLEAN, sort_by="none")
+    texts = views.small_texts(spark, sf).select(F.regexp_replace("file", r"\.m3u$", "").alias("playlist"), "text")
+    for delivery in (F.col("playlist") < "small5", F.col("playlist") >= "small5"):
+        texts.where(delivery).write.mode("append").partitionBy("playlist").option("compression", "gzip").text(folder)
+        start_cleaning(spark, folder, out, mark, options).awaitTermination()
+    cleaned = spark.read.parquet(out)
+    return cleaned.select("id", "name", "link", "tvg_name", "group_name", "category", *_language())
+
+
 @register
 def clean_validated(spark, sf):
     options = CleanOptions(content_duplicates=True, sort_by="name", descending=True)
