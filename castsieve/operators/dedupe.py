@@ -5,8 +5,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from .ordering import renumber
 
 # Rounds of plain mutual-first matching before chains are followed as well.
 PLAIN_ROUNDS = 3
+# Rows with the smallest open ids that one task decides in every further round, some 60 bytes each.
+PREFIX_ROWS = 200_000
 
 
 def first_per_link(df: DataFrame, order: list[str] | None = None) -> DataFrame:
@@ -69,9 +73,12 @@ def kept_ids(rows: DataFrame, plain_rounds: int = PLAIN_ROUNDS) -> DataFrame:
     among them in both its link and its name is kept, and all rows that share a
     key with a kept row are out.
 
-    Random input takes a handful of rounds.  Rows that hold each other up in a
-    long chain are decided together once the plain rounds are over, by following
-    the chain with doubled strides.  The loop ends when nothing is open.
+    Random input takes a handful of rounds.  Once the plain rounds are over, rows
+    that hold each other up in a long chain are decided together, by following the
+    chain with doubled strides; and the ``PREFIX_ROWS`` smallest open ids, whose
+    decisions depend on none behind them, are decided one after the other by one
+    task.  So n rows that are still open then take ``n / PREFIX_ROWS`` more rounds
+    at most, however they depend on each other.  The loop ends when nothing is open.
     """
     # Equal link and name: only the first can ever be kept.  A row without a
     # name gets one of its own afterwards.
@@ -87,8 +94,9 @@ def kept_ids(rows: DataFrame, plain_rounds: int = PLAIN_ROUNDS) -> DataFrame:
         chosen = _mutual_first(open_rows)
         if len(rounds) >= plain_rounds:
             chosen = materialize(chosen, "mutual-first")
+            prefix = _kept_of_first(open_rows, PREFIX_ROWS)
             in_chain = open_rows.join(_kept_along_chains(open_rows, chosen), "id", "left_semi")
-            chosen = chosen.unionByName(in_chain)
+            chosen = chosen.unionByName(prefix).unionByName(in_chain).dropDuplicates(["id"])
         chosen = materialize(chosen, "kept")
         rounds.append(chosen.select("id"))
         before = open_rows
@@ -109,6 +117,25 @@ def _mutual_first(open_rows: DataFrame) -> DataFrame:
     return by_link.join(by_name, "id").select("id", "link_key", "name_key")
 
 
+def _kept_of_first(open_rows: DataFrame, number: int) -> DataFrame:
+    """Of the smallest open ids those that are kept, found row by row in one task."""
+
+    def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        links, names = set(), set()
+        for frame in frames:
+            kept = []
+            for link, name in zip(frame["link_key"], frame["name_key"]):
+                free = link not in links and name not in names
+                if free:
+                    links.add(link)
+                    names.add(name)
+                kept.append(free)
+            yield frame[kept]
+
+    first = open_rows.orderBy("id").limit(number).select(open_rows.columns)
+    return materialize(first.mapInPandas(decide, open_rows.schema), "first-rows")
+
+
 def _kept_along_chains(open_rows: DataFrame, free: DataFrame) -> DataFrame:
     """Ids kept because of chains of rows that each wait for exactly one row.
 
