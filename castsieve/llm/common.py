@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows of a batch are turned into Python objects this many at a time.
+# Rows of a batch are turned into Python objects this many at a time, fewer of long rows.
 SLICE_ROWS = 128
+SLICE_BYTES = 1 << 20
 _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -51,11 +52,22 @@ def importable_on_executors(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
 
 
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of bounded rows and bytes, one row at least."""
+    start = 0
+    while start < batch.num_rows:
+        size = SLICE_ROWS
+        while size > 1 and batch.slice(start, size).nbytes > SLICE_BYTES:
+            size //= 2
+        yield batch.slice(start, size)
+        start += size
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
     """Batches as short lists of Python values, so that few texts are held at once."""
     for batch in batches:
-        for start in range(0, batch.num_rows, SLICE_ROWS):
-            yield batch.slice(start, SLICE_ROWS).to_pydict()
+        for part in parts(batch):
+            yield part.to_pydict()
 
 
 def kept_columns(docs: DataFrame, keep: list[str | Column] | None, made: list[str]) -> list[str | Column]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, importable_on_executors, slices
+from .common import importable_on_executors, kept_columns, parts, slices
 from .hashing import gram_bins
 from .linear import fit_logistic, probability
 
@@ -155,21 +155,20 @@ def predict(docs: DataFrame, codes: Codes, text: str = "text", keep: list[str |
 
     Only the text is looked at.  Null texts and texts without a letter are
     ``und`` with score 0; so is everything when nothing could be learned.  Equal
-    texts get equal results.  Other columns, whatever their names, are carried or
-    ignored.  An empty table gives an empty result.
+    texts get equal results.  Without ``keep`` all columns of ``docs`` are carried but
+    those named like a result.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
     importable_on_executors(spark)
     shared = spark.sparkContext.broadcast(codes)
     result = "struct<lang_pred:string,score:double,ambiguous:boolean>"
-    kept = F.struct(*(keep or docs.columns))
+    kept = F.struct(*kept_columns(docs, keep, ["lang_pred", "score", "ambiguous"]))
     rows = docs.select(kept.alias("_kept"), F.col(text).alias("_text"))
     kind = rows.schema["_kept"].dataType.simpleString()
 
     def decode(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(start, SLICE_ROWS)
+            for part in parts(batch):
                 found = shared.value.predict(part.column(1).to_pylist())
                 made = pa.array(
                     [dict(zip(("lang_pred", "score", "ambiguous"), f)) for f in found],

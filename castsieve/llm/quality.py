@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, importable_on_executors, slices
+from .common import importable_on_executors, kept_columns, parts, slices
 from .hashing import SPACED, gram_bins, words
 from .linear import fit_logistic, probability
 
@@ -61,23 +61,31 @@ def _classes() -> np.ndarray:
 _CLASS = _classes()
 
 
-def describe(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per text: number of words, fired labellers as bits, hashed features."""
+@dataclass
+class Signals:
+    """Per text: number of words, fired labellers as bits, and the measures that are features as well."""
+
+    words: np.ndarray
+    fired: np.ndarray
+    measures: np.ndarray
+
+
+def signals(texts: list[str | None]) -> Signals:
+    """What the labellers look at, without the hashed features."""
     found = words(texts, SPACED)
     n = np.diff(found.first)
     has_symbol = np.concatenate([[0], np.cumsum(_SYMBOL[found.data], dtype=np.int64)])
     symbol_word = has_symbol[found.ends] > has_symbol[found.starts]
     ends = np.isin(found.data[found.ends - 1], list(b".!?:;|")) if len(found.ends) else np.zeros(0, bool)
     same = np.concatenate([found.hashes[1:] == found.hashes[:-1], [False]]) if len(found.hashes) else np.zeros(0, bool)
-    features = np.zeros((len(texts), (1 << BITS) + 4), dtype=np.float32)
+    measures = np.zeros((len(texts), 4), dtype=np.float32)
     fired = np.zeros(len(texts), dtype=np.int32)
     for i, text in enumerate(texts):
         low, high = found.first[i], found.first[i + 1]
         if low == high:
             continue
         count = int(n[i])
-        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-        seen = np.bincount(raw, minlength=256)
+        seen = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8), minlength=256)
         letters = max(1, int(seen[_LETTER].sum()))
         black = max(1, int(seen.sum() - seen[32] - seen[9:14].sum()))
         lines = [line for line in text.split("\n") if line.strip()]
@@ -97,14 +105,25 @@ def describe(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         }
         for bit, (signal, limit) in enumerate(LABELLERS.values()):
             fired[i] |= int(value[signal] > limit) << bit
-        codes = _CLASS[raw]
+        measures[i] = (adjacent, sameness, value["lines"], value["symbols"])
+    return Signals(n, fired, measures)
+
+
+def describe(texts: list[str | None]) -> tuple[Signals, np.ndarray]:
+    """The signals and the hashed features of texts; no features without words."""
+    found = signals(texts)
+    features = np.zeros((len(texts), (1 << BITS) + 4), dtype=np.float32)
+    for i, text in enumerate(texts):
+        if not found.words[i]:
+            continue
+        codes = _CLASS[np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)]
         for k in (2, 3, 4):
             bins = gram_bins(codes, k, BITS)
             if len(bins):
                 features[i, : 1 << BITS] += np.bincount(bins, minlength=1 << BITS)
         features[i] = np.sqrt(features[i] / max(1.0, features[i].sum()))
-        features[i, 1 << BITS :] = (adjacent, sameness, value["lines"], value["symbols"])
-    return n, fired, features
+        features[i, 1 << BITS :] = found.measures[i]
+    return found, features
 
 
 @dataclass
@@ -160,8 +179,8 @@ class Scorer:
 
     def quality(self, texts: list[str | None]) -> np.ndarray:
         """Probability of a sound text; 0 without words."""
-        n, _, features = describe(texts)
-        return np.where(n > 0, 1 - probability(features, self.model)[:, 0], 0.0)
+        found, features = describe(texts)
+        return np.where(found.words > 0, 1 - probability(features, self.model)[:, 0], 0.0)
 
 
 def fit(docs: DataFrame, id_column: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Scorer:
@@ -178,8 +197,8 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text: str = "text", sample:
 
     def label(batches):
         for values in slices(batches):
-            n, fired, _ = describe(values["_text"])
-            found, times = np.unique(fired[n > 0], return_counts=True)
+            seen = signals(values["_text"])
+            found, times = np.unique(seen.fired[seen.words > 0], return_counts=True)
             yield pa.RecordBatch.from_pydict({"fired": found.astype(np.int32), "n": times.astype(np.int64)})
 
     counted = rows.select("_text").mapInArrow(label, "fired int, n long").groupBy("fired").agg(F.sum("n"))
@@ -192,16 +211,18 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text: str = "text", sample:
 
     def choose(batches):
         for values in slices(batches):
-            n, fired, features = describe(values["_text"])
+            found, features = describe(values["_text"])
             out = {"_hash": [], "poor": [], "row": []}
-            for key, words_, f, row in zip(values["_hash"], n, fired.tolist(), features):
+            for key, words_, f, row in zip(values["_hash"], found.words, found.fired.tolist(), features):
                 if words_ and key % every[poor.get(f, 0.0) > 0.5] == 0:
                     out["_hash"].append(key)
                     out["poor"].append(poor.get(f, 0.0))
                     out["row"].append(row.tobytes())
             yield pa.RecordBatch.from_pydict(out, schema=_SAMPLE_SCHEMA)
 
-    taken = rows.mapInArrow(choose, "_hash long, poor double, row binary").limit(2 * sample).collect()
+    # Only texts that one of the halves may take are described.
+    may_be_taken = (F.col("_hash") % every[0] == 0) | (F.col("_hash") % every[1] == 0)
+    taken = rows.where(may_be_taken).mapInArrow(choose, "_hash long, poor double, row binary").limit(2 * sample).collect()
     taken = sorted((r._hash, r.poor, bytes(r.row)) for r in taken)
     width = (1 << BITS) + 4
     matrix = np.frombuffer(b"".join(row for _, _, row in taken), dtype=np.float32).reshape(len(taken), width)
@@ -221,20 +242,19 @@ def score(docs: DataFrame, scorer: Scorer, text: str = "text", keep: list[str |
     """``quality`` (0 to 1) and ``accepted`` (0.5 or more) for every row, with the columns in ``keep``.
 
     Null texts and texts without words have quality 0 and are rejected.  Equal
-    texts get equal results.  Other columns, whatever their names, are carried or
-    ignored.  An empty table gives an empty result.
+    texts get equal results.  Without ``keep`` all columns of ``docs`` are carried but
+    those named like a result.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
     importable_on_executors(spark)
     shared = spark.sparkContext.broadcast(scorer)
-    kept = F.struct(*(keep or docs.columns))
+    kept = F.struct(*kept_columns(docs, keep, ["quality", "accepted"]))
     rows = docs.select(kept.alias("_kept"), F.col(text).alias("_text"))
     kind = rows.schema["_kept"].dataType.simpleString()
 
     def decide(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(start, SLICE_ROWS)
+            for part in parts(batch):
                 quality = pa.array(shared.value.quality(part.column(1).to_pylist()), pa.float64())
                 yield pa.RecordBatch.from_arrays([part.column(0), quality], names=["_kept", "_quality"])
 
@@ -251,8 +271,7 @@ def accepted(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
 
     def keep(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(start, SLICE_ROWS)
+            for part in parts(batch):
                 yield part.filter(pa.array(shared.value.quality(part.column(place).to_pylist()) >= 0.5))
 
     return docs.mapInArrow(keep, docs.schema)

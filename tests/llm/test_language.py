@@ -24,7 +24,8 @@ def test_held_out_accuracy(learned):
 def test_only_the_text_counts(spark, learned):
     _, codes = learned
     rows = [(1, None, "en", 1), (2, "", None, 2), (3, "12 !? 3\n", "fr", 3), (4, "la de les", "x", 4), (None, "la de les", "de", 5)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int").drop("score")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
+    assert predict(df, codes).columns == ["doc_id", "text", "lang", "lang_pred", "score", "ambiguous"]
     found = {r.doc_id: r for r in predict(df, codes).collect()}
     assert [found[k].lang_pred for k in (1, 2, 3)] == ["und"] * 3 and found[1].score == 0
     assert found[4][-3:] == found[None][-3:]

@@ -56,6 +56,8 @@ def test_odd_rows(spark):
     found = quality.score(df, scorer, keep=["doc_id"]).collect()
     by = {r.doc_id: r for r in found}
     assert len(found) == len(rows)
+    # A column named like a result gives way to it.
+    assert quality.score(df, scorer).columns == ["doc_id", "text", "quality", "accepted"]
     assert all(by[k].quality == 0 for k in (300, 301, 302))
     assert not any(by[k].accepted for k in (300, 301, 302, 405))
     assert all(by[k].accepted for k in (None, 5, 17, 303))
