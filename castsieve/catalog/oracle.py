@@ -559,6 +559,15 @@ _sql(
     _LABELS,
     _SPLIT,
 )
+_sql(
+    "write_group_files",
+    f"""select playlist || '.m3u' file_name, strlen(content)::bigint length, md5(content) md5 from (
+    select playlist, string_agg(line || chr(10), '' order by id, part) content from (
+    select distinct playlist, -1::bigint id, 0::int part, '#EXTM3U' line from split union all {_lines_of('split', 'playlist')})
+    group by playlist)""",
+    _LABELS,
+    _SPLIT,
+)
 _sql("write_table", "select id, name, link, group_name, tvg_name, 'Unknown' category from channels_fx")
 _sql(
     "probe_links",

@@ -571,6 +571,17 @@ def write_group_playlists(spark, sf):
     return spark.read.text(folder).select("playlist", F.col("value").alias("line"))
 
 
+@register
+def write_group_files(spark, sf):
+    """One file per group: names, sizes and contents."""
+    folder = _new_folder(spark, "group-files")
+    writers.write_group_files(views.channels(spark, sf), folder, "out.m3u")
+    content = F.col("content")
+    return spark.read.format("binaryFile").load(folder).select(
+        F.col("_metadata.file_name").alias("file_name"), "length", F.md5(content).alias("md5")
+    )
+
+
 @register
 def write_table(spark, sf):
     folder = _new_folder(spark, "table")

@@ -25,7 +25,7 @@ from ..operators.probe import (
     probe_links,
 )
 from ..sources.playlists import WHOLE_FILE_BYTES, read_playlists
-from ..sources.writers import write_group_playlists, write_playlist
+from ..sources.writers import write_group_files, write_group_playlists, write_playlist
 from ..workspace import materialize
 
 
@@ -49,6 +49,8 @@ class CleanOptions:
     concurrency: int = 10
     timeout: float = 10.0
     split_by_group: bool = False
+    # One file per group instead of one folder of parts.
+    group_files: bool = False
     export_path: str | None = None
     export_name: str = "playlist"
 
@@ -117,7 +119,9 @@ def clean_channels(
     if options.content_duplicates or not options.skip_validation:
         # Read by the report, the writers and the caller.
         working = materialize(working, "working")
-    if options.export_path and options.split_by_group:
+    if options.export_path and options.split_by_group and options.group_files:
+        write_group_files(working, options.export_path, options.export_name)
+    elif options.export_path and options.split_by_group:
         write_group_playlists(working, options.export_path, options.export_name)
     elif options.export_path:
         write_playlist(working, options.export_path)

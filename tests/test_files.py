@@ -11,6 +11,7 @@ from castsieve import CleanOptions, clean_playlists, read_playlists
 from castsieve.plans.clean import clean_channels
 from castsieve.schema import RESPONSE
 from castsieve.sources import playlists, writers
+from castsieve.sources.writers import write_group_files, write_group_playlists
 from castsieve.streaming.incremental import start_cleaning
 
 SAMPLE = '#EXTM3U x-tvg-url="epg"\n#EXTINF:-1 group-title="Grüße",Ünï\nhttp://ok.tv/1\n'
@@ -297,3 +298,37 @@ def test_playlists_arriving_in_a_folder(spark, tmp_path):
     table = spark.read.parquet(out)
     assert sorted((r.batch, r.name) for r in table.collect())[-1] == (1, "New")
     assert table.count() == 4 and table.where(F.col("category") == "News").count() == 1
+
+
+@pytest.mark.parametrize("partitions", ["1", "7"])
+def test_one_file_per_group(spark, channels, tmp_path, partitions):
+    """Exact names, also odd ones; contents equal those written as folders; nothing else stays."""
+    groups = ["News", "news", "a/b c", "x=y%", "Größe", "", "Big"]
+    rows = channels([{"name": f"n{i}", "link": f"http://a.tv/{i}", "group_name": groups[min(i, 6)]} for i in range(900)])
+    out, parts = str(tmp_path / "files"), str(tmp_path / "folders")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        write_group_files(rows, out, "list.v1.m3u")
+        write_group_playlists(rows, parts, "list.v1.m3u")
+        with pytest.raises(FileExistsError):
+            write_group_files(rows, out, "list.v1.m3u")
+        write_group_files(rows, out, "list.v1.m3u", mode="overwrite")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    files = sorted(f for f in os.listdir(out) if not f.endswith(".crc"))
+    assert files == sorted(f"list.v1_{g}.m3u" for g in ("News", "a_b_c", "x=y%", "Größe", "Uncategorized", "Big"))
+    for file in files:
+        expected = spark.read.text(parts).where(F.col("playlist") == file).collect()
+        text = open(f"{out}/{file}", encoding="utf-8").read()
+        assert text.endswith("\n") and sorted(text.split("\n")[:-1]) == sorted(r.value for r in expected)
+    big = open(f"{out}/list.v1_Big.m3u").read().split("\n")
+    links = [int(x.rsplit("/", 1)[1]) for x in big if x.startswith("http")]
+    assert big[0] == "#EXTM3U" and links == list(range(6, 900))
+
+
+def test_a_failed_attempt_leaves_nothing(spark, channels, tmp_path, monkeypatch):
+    rows = channels([{"name": "a", "link": "http://a.tv/1", "group_name": "G"}])
+    monkeypatch.setattr(writers, "_part_files", lambda fs, folder: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        write_group_files(rows, str(tmp_path / "out"))
+    assert os.listdir(tmp_path / "out") == []
