@@ -1,23 +1,25 @@
 """Exact duplicates by a tree merge of sorted digest runs.
 
-Every input partition reduces its rows to a run: one row per digest, with the
-identifier to keep and a count.  Runs are merged in rounds.  In each round the
-runs of ``FAN_IN`` neighbouring nodes of the tree are exchanged by (parent node,
-digest), sorted and merged, until one node is left.  A digest that a third of
-all rows share is one row per run after the first step, and at most ``FAN_IN``
-rows per parent in every later one, so no task ever gathers a group of copies.
-The way back down is a join by (run, digest), which splits the same group over
-its runs.
+Every input partition reduces its rows to a run: one row per digest, sorted by
+digest, with the identifier to keep and a count.  Runs are merged up a binomial
+tree, four of its rounds at a time: in each step the runs of ``FAN_IN`` neighbouring
+nodes are exchanged by (parent node, digest), sorted together by digest and
+identifier, and merged by going along the sorted rows: of equal digests the first
+identifier stays, with the sum of the counts.  A digest that a third of all rows
+share is one row per run after the first step, and at most ``FAN_IN`` rows per
+parent in every later one, so no task ever gathers a group of copies.  The way back
+down is a join by (run, digest), which splits the same group over its runs.
 
 Two texts count as equal only if their SHA-256, their length and a 64-bit hash of
-another family agree; all three are part of the key at every level, so a row that
-differs in one of them is never merged.  By the birthday bound, 10^12 texts hold
-an unequal pair of equal key with a probability below 10^-70.
+another family agree; all three are compared at every level, so a row that differs
+in one of them is never merged.  The texts themselves are not compared again: by the
+birthday bound, 10^12 texts hold an unequal pair that agrees in all three with a
+probability below 10^-70.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..workspace import materialize
@@ -46,11 +48,12 @@ def exact_duplicates(
     """
     if keep not in ("smallest", "largest"):
         raise ValueError("keep must be 'smallest' or 'largest'")
-    best: Column = (F.min if keep == "smallest" else F.max)("_id")
-    value = whole_text(text)
+    # A null id comes last.
+    first: Column = F.col("_id").asc_nulls_last() if keep == "smallest" else F.col("_id").desc_nulls_last()
+    value = whole_text(f"`{text}`")
     rows = materialize(
         docs.select(
-            F.col(id_column).alias("_id"),
+            F.col(f"`{id_column}`").alias("_id"),
             F.unhex(F.sha2(value.cast("binary"), 256)).alias("_sha"),
             F.octet_length(value).cast("long").alias("_size"),
             F.xxhash64(value).alias("_hash"),
@@ -58,10 +61,11 @@ def exact_duplicates(
         ),
         "digests",
     )
+    best = F.min("_id") if keep == "smallest" else F.max("_id")
     runs = rows.groupBy("_run", *_KEY).agg(best.alias("_id"), F.count(F.lit(1)).alias("_n"))
-    runs = materialize(runs, "runs")
+    runs = materialize(runs.sortWithinPartitions("_run", *_KEY), "runs")
     last = runs.agg(F.max("_run")).first()[0] or 0
-    top = _merge(runs, last, best)
+    top = _merge(runs, last, first)
     decided = runs.select("_run", *_KEY).join(
         top.select(*_KEY, F.col("_id").alias("keep_id"), F.col("_n").alias("group_size")), _KEY
     )
@@ -74,17 +78,22 @@ def exact_duplicates(
     )
 
 
-def _merge(runs: DataFrame, last: int, best: Column) -> DataFrame:
-    """Merge the runs 0..last in rounds; the rounds grow with the log of their number."""
+def _merge(runs: DataFrame, last: int, first: Column) -> DataFrame:
+    """Merge the runs 0..last in rounds; the rounds grow with the log of their number.
+
+    The rows of a node are sorted by digest and identifier, and every row that begins
+    a digest takes the counts of those that follow it.
+    """
     level = runs.withColumnRenamed("_run", "_node")
     while True:
-        parent = F.floor(F.col("_node") / FAN_IN).cast("int")
+        level = level.withColumn("_node", F.floor(F.col("_node") / FAN_IN).cast("int"))
+        same = Window.partitionBy("_node", *_KEY).orderBy(first)
+        following = same.rowsBetween(Window.currentRow, Window.unboundedFollowing)
         level = (
-            level.withColumn("_node", parent)
-            .repartition("_node", "_sha")
-            .sortWithinPartitions("_node", "_sha")
-            .groupBy("_node", *_KEY)
-            .agg(best.alias("_id"), F.sum("_n").alias("_n"))
+            level.withColumn("_place", F.row_number().over(same))
+            .withColumn("_n", F.sum("_n").over(following))
+            .where("_place = 1")
+            .drop("_place")
         )
         last //= FAN_IN
         if last == 0:
@@ -94,6 +103,9 @@ def _merge(runs: DataFrame, last: int, best: Column) -> DataFrame:
 def without_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", keep: str = "smallest"
 ) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; ids must be unique."""
-    stays = exact_duplicates(docs, id_column, text, keep).where("kept").select(id_column)
-    return docs.join(stays, id_column, "left_semi").select(*docs.columns)
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Ids must be unique and not null: rows are found again by their id.
+    """
+    stays = exact_duplicates(docs, id_column, text, keep).where("kept").select(F.col(id_column).alias("_stays"))
+    return docs.join(stays, F.col(f"`{id_column}`") == F.col("_stays"), "left_semi").select(*docs.columns)
