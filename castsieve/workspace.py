@@ -31,13 +31,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write the rows once and continue from the written table."""
+def materialize(df: DataFrame, label: str, lasting: bool = False) -> DataFrame:
+    """Write the rows once and continue from the written table.
+
+    A ``lasting`` table stays when the ``scratch`` around it ends.
+    """
     spark = df.sparkSession
     run = f"{shared_folder(spark)}/castsieve/{spark.sparkContext.applicationId}"
     path = f"{run}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    for paths in getattr(_written, "scratch", []):
+    stack = getattr(_written, "scratch", [])
+    for paths in stack[:-1] if lasting else stack:
         paths.append(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._written_to = path
