@@ -32,8 +32,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..workspace import materialize
+from ..workspace import materialize, release, scratch
 from .common import importable_on_executors, slices, text_key
 from .components import components
 from .hashing import SPACED, mix, shingles, words
@@ -71,7 +72,8 @@ def _grouped(docs: DataFrame, n: int, percent: int, id_column: str, text: str) -
     given = _Documents(docs, n, id_column, text)
     rows, classes = _classes(given, percent)
     links = _links(given, rows, classes, percent)
-    found = components(links)
+    with scratch(docs.sparkSession):
+        found = materialize(components(links), "components", lasting=True)
     roots = found.withColumnRenamed("node", "c")
     named = classes.select("sig", "c", "first_id", "first_row").join(roots, "c", "left").withColumn(
         "root", F.coalesce("root", "c")
@@ -98,8 +100,8 @@ class _Documents:
         importable_on_executors(docs.sparkSession)
         self.n = n
         self.kind = docs.schema[id_column].dataType.simpleString()
-        self.id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[self.kind]
-        self.texts = docs.select(F.col(id_column).alias("_id"), text_key(text).alias("_key"), F.col(text).alias("_text"))
+        self.id_type = to_arrow_type(docs.schema[id_column].dataType)
+        self.texts = docs.select(F.col(f"`{id_column}`").alias("_id"), text_key(f"`{text}`").alias("_key"), F.col(f"`{text}`").alias("_text"))
 
 
 def _sets(texts: list[str | None], n: int) -> list[np.ndarray]:
@@ -213,17 +215,19 @@ def _links(given: _Documents, rows: DataFrame, classes: DataFrame, percent: int)
     # Two words of a bitmap are folded out of all, to go with every token.
     folded = [reduce(lambda a, b: a.bitwiseXOR(b), [F.col("bitmap")[k] for k in range(half, _BITMAP, 2)]) for half in (0, 1)]
     sketch = F.struct(folded[0].alias("b0"), folded[1].alias("b1")).alias("sketch")
-    postings = classes.select("c", "n", "length", sketch, F.posexplode("prefix").alias("at", "token"))
+    # Most tokens of a prefix are in no other.  Only token, class and place are shuffled to find the
+    # shared ones, whatever their number; sizes and sketches join those that are left.
+    postings = classes.select("c", "length", F.posexplode("prefix").alias("at", "token"))
     # A prefix may stand there for two classes of sizes.
-    postings = postings.withColumn("at", F.col("at") % F.col("length")).drop("length")
+    postings = postings.select("token", "c", (F.col("at") % F.col("length")).alias("at"))
+    several = postings.groupBy("token").count().where("count > 1").select("token")
+    found = materialize(postings.join(several, "token", "left_semi"), "tokens")
+    shared = found.join(classes.select("c", "n", sketch), "c")
     # The shorter of two sets needs a shorter prefix only.
     inner = F.col("n") - F.ceil(2 * percent * F.col("n") / F.lit(100 + percent)) + 1
-    postings = postings.withColumn("rest", F.col("n") - F.col("at")).withColumn("inner", F.col("at") < inner)
-    # Most tokens of a prefix are in no other; only those that are shared go on, by broadcast if they are few.
-    several = postings.groupBy("token").count().where("count > 1").select("token")
-    several = materialize(several, "tokens")
-    several = F.broadcast(several) if several.count() <= BROADCAST_ROWS else several
-    shared = materialize(postings.join(several, "token", "left_semi"), "shared")
+    shared = shared.withColumn("rest", F.col("n") - F.col("at")).withColumn("inner", F.col("at") < inner).drop("at")
+    shared = materialize(shared, "shared")
+    release(found)
     lists = shared.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("rest")).alias("at"), "n", "c", "rest", "sketch")).alias("head"))
 
     # Step 2: groups around one class of every token, the one with the fewest rarer tokens of its
@@ -236,12 +240,13 @@ def _links(given: _Documents, rows: DataFrame, classes: DataFrame, percent: int)
         & _possible("n", "sketch", "head.n", "head.sketch", percent)
     ).select(head["c"].alias("x"), F.col("c").alias("y"))
     first = _verified(near.distinct(), given, rows, classes, percent)
-    groups = components(first).withColumnRenamed("node", "c")
+    with scratch(rows.sparkSession):
+        groups = components(first).withColumnRenamed("node", "c")
+        members = shared.join(groups, "c", "left").withColumn("root", F.coalesce("root", "c"))
+        members = materialize(members, "members", lasting=True)
+    release(shared)
 
     # Step 3: the matrix of tokens and groups.
-    members = materialize(
-        shared.join(groups, "c", "left").withColumn("root", F.coalesce("root", "c")), "members"
-    )
     matrix = members.groupBy("token", "root").agg(
         F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest")
     )
@@ -270,7 +275,9 @@ def _links(given: _Documents, rows: DataFrame, classes: DataFrame, percent: int)
     opened, right = meeting.join(side("a"), ["token", "root_a"]), side("b")
     own = (opened["token"] == right["token"]) & (opened["root_b"] == right["root_b"])
     pairs = opened.join(right, own & fits).select(F.least("c_a", "c_b").alias("x"), F.greatest("c_a", "c_b").alias("y")).distinct()
-    return first.unionByName(_verified(pairs, given, rows, classes, percent))
+    second = _verified(pairs, given, rows, classes, percent)
+    release(members)
+    return first.unionByName(second)
 
 
 def _verified(pairs: DataFrame, given: _Documents, rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -315,7 +322,9 @@ def _verified(pairs: DataFrame, given: _Documents, rows: DataFrame, classes: Dat
     loaded = pairs.join(whole.select(F.col("_row").alias("x"), F.col("set").alias("set_x")), "x").join(
         whole.select(F.col("_row").alias("y"), F.col("set").alias("set_y")), "y"
     )
-    return materialize(loaded.select("x", "y", "set_x", "set_y").mapInArrow(compare, "x long, y long"), "links")
+    links = materialize(loaded.select("x", "y", "set_x", "set_y").mapInArrow(compare, "x long, y long"), "links")
+    release(pairs, asked, whole)
+    return links
 
 
 def without_similar(
