@@ -21,36 +21,57 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..workspace import materialize
-from .common import SLICE_ROWS, importable_on_executors, slices, whole_text
-from .hashing import LETTERS_DIGITS, mix, words
+from .common import importable_on_executors, parts, slices, whole_text
+from .hashing import LETTERS_DIGITS, Words, mix, words
 
 WINDOW = 10
 # Texts of benchmark items searched for at once; more are searched in turns.
-PATTERN_BYTES = 32 << 20
+PATTERN_BYTES = 16 << 20
+# The largest shift table, as a power of two; beyond it fewer positions are skipped, none is missed.
+MOST_BITS = 25
 _LANES = 1024
 
 
 class _Patterns:
-    """Search tables for windows of one length."""
-
-    def __init__(self, windows: list[tuple[bytes, ...]], hashes: np.ndarray):
-        self.windows, self.hashes, self.length = windows, hashes, hashes.shape[1]
-        self.block = min(2, self.length)
-        blocks = [self._block(hashes, end) for end in range(self.block - 1, self.length)]
-        self.bits = max(12, math.ceil(math.log2(8 * len(windows) * len(blocks))))
-        self.shift = np.full(1 << self.bits, len(blocks), dtype=np.int32)
-        for after, value in zip(range(len(blocks) - 1, -1, -1), blocks):
-            np.minimum.at(self.shift, self._slot(value), after)
-        keys = self._key(blocks[-1], blocks[0])
+    """Search tables for windows of one length, given by the item word that each begins with.
+
+    Windows of the same words are one class.  Tables hold numbers only: the words
+    themselves stay where they are in the items.
+    """
+
+    def __init__(self, hashes: np.ndarray, starts: np.ndarray, length: int):
+        self.item_hashes, self.length = hashes, length
+        self.block = min(2, length)
+        whole = np.full(len(starts), length, dtype=np.uint64)
+        for k in range(length):
+            whole = mix(whole * np.uint64(3) + hashes[starts + k])
+        order = np.argsort(whole, kind="stable")
+        self.members, whole = starts[order].astype(np.int32), whole[order]
+        new = np.concatenate([[True], whole[1:] != whole[:-1]])
+        for k in range(length):
+            own = hashes[self.members + k]
+            new[1:] |= own[1:] != own[:-1]
+        del whole, order
+        first = np.flatnonzero(new)
+        reps = self.members[first]
+        self.bits = min(MOST_BITS, max(12, math.ceil(math.log2(8 * len(reps) * (length - self.block + 1)))))
+        self.shift = np.full(1 << self.bits, min(length - self.block + 1, 255), dtype=np.uint8)
+        for after in range(length - self.block + 1):
+            value = self._block(hashes, reps + (length - 1 - after))
+            np.minimum.at(self.shift, self._slot(value), np.uint8(min(after, 255)))
+        keys = self._key(self._block(hashes, reps + length - 1), self._block(hashes, reps + self.block - 1))
         order = np.argsort(keys, kind="stable")
-        self.keys, self.order = keys[order], order
+        self.keys, self.reps = keys[order], reps[order]
+        # Members of class c: self.members[low[c]:high[c]].
+        self.low, self.high = first[order].astype(np.int32), np.append(first[1:], len(starts))[order].astype(np.int32)
 
     def _block(self, hashes: np.ndarray, end) -> np.ndarray:
         if self.block == 1:
-            return mix(hashes[..., end])
-        return mix(hashes[..., end - 1] * np.uint64(3) + hashes[..., end])
+            return mix(hashes[end])
+        return mix(hashes[end - 1] * np.uint64(3) + hashes[end])
 
     def _slot(self, block: np.ndarray) -> np.ndarray:
         return (block >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -82,51 +103,68 @@ class _Patterns:
         size = high - low
         end = np.repeat(end, size)
         within = np.arange(len(end)) - np.repeat(np.cumsum(size) - size, size)
-        window = self.order[np.repeat(low, size) + within]
+        window = np.repeat(low, size) + within
         for k in range(self.length):
-            same = hashes[end - self.length + 1 + k] == self.hashes[window, k]
+            same = hashes[end - self.length + 1 + k] == self.item_hashes[self.reps[window] + k]
             end, window = end[same], window[same]
         return end, window
 
 
 class Matcher:
-    """All windows of a set of items."""
+    """All windows of a set of items.
+
+    Only the items are sent to workers; each builds the tables when it first scans.
+    """
 
     def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
-        by_length: dict[int, dict[tuple[bytes, ...], set[int]]] = defaultdict(lambda: defaultdict(set))
-        self.ids = [item for item, _ in items]
-        found = words([text for _, text in items], LETTERS_DIGITS)
-        hashes: dict[tuple[bytes, ...], np.ndarray] = {}
-        for i in range(len(items)):
-            low, high = found.first[i], found.first[i + 1]
-            length = min(window, high - low)
-            own = [found.text(w) for w in range(low, high)]
-            for start in range(high - low - length + 1 if length else 0):
-                key = tuple(own[start : start + length])
-                by_length[length][key].add(i)
-                hashes[key] = found.hashes[low + start : low + start + length]
-        self.searches = [
-            (_Patterns(list(wins), np.stack([hashes[w] for w in wins])), [sorted(v) for v in wins.values()])
-            for wins in by_length.values()
-        ]
+        self.ids, self.texts, self.window = [i for i, _ in items], [t for _, t in items], window
+        self._tables = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_tables": None}
+
+    @property
+    def tables(self) -> tuple[Words, list[_Patterns]]:
+        if self._tables is None:
+            found = words(self.texts, LETTERS_DIGITS)
+            n = np.diff(found.first)
+            lengths = np.minimum(n, self.window)
+            searches = []
+            for length in np.unique(lengths[lengths > 0]).tolist():
+                own = np.flatnonzero(lengths == length)
+                count = n[own] - length + 1
+                within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                searches.append(_Patterns(found.hashes, np.repeat(found.first[own], count) + within, length))
+            self._tables = found, searches
+        return self._tables
+
+    def _owners(self, patterns: _Patterns, window: int) -> list[int]:
+        found, _ = self.tables
+        starts = patterns.members[patterns.low[window] : patterns.high[window]]
+        return np.unique(np.searchsorted(found.first, starts, side="right") - 1).tolist()
 
     def scan(self, texts: list[str | None]) -> Iterator[tuple[int, list[tuple[int, int]], list]]:
         """Per text: its number of words, the covered spans of words, the ids of the items found."""
         found = words(texts, LETTERS_DIGITS)
+        own, searches = self.tables
         total = len(found.hashes)
         text_of = np.repeat(np.arange(len(texts)), np.diff(found.first))
         edges = np.zeros(total + 1, dtype=np.int64)
         items: dict[int, set[int]] = defaultdict(set)
-        for patterns, owners in self.searches:
+        for patterns in searches:
+            owners: dict[int, list[int]] = {}
             ends, windows = patterns.find(found.hashes)
             for end, window in zip(ends.tolist(), windows.tolist()):
                 start = end - patterns.length + 1
                 if text_of[start] != text_of[end]:
                     continue
-                if any(found.text(start + k) != word for k, word in enumerate(patterns.windows[window])):
+                first = int(patterns.reps[window])
+                if any(found.text(start + k) != own.text(first + k) for k in range(patterns.length)):
                     continue
                 edges[start] += 1
                 edges[end + 1] -= 1
+                if window not in owners:
+                    owners[window] = self._owners(patterns, window)
                 items[int(text_of[start])].update(owners[window])
         covered = np.cumsum(edges[:-1]) > 0
         for i in range(len(texts)):
@@ -195,15 +233,15 @@ def find_passages(
                     out["items"].append(sorted(str(i) for i in found))
                 yield pa.RecordBatch.from_pydict(out, schema=_arrow_schema(batch_id))
 
-        batch_id = _arrow_id(kind)
+        batch_id = to_arrow_type(docs.schema[id_column].dataType)
         return narrow.mapInArrow(scan, schema)
 
     result = scanned(matcher)
     if more is not None:
-        parts = result.unionByName(scanned(more))
+        turns = result.unionByName(scanned(more))
         for other in matchers:
-            parts = parts.unionByName(scanned(other))
-        result = _merged(parts)
+            turns = turns.unionByName(scanned(other))
+        result = _merged(turns)
     digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
     return result.select(
         F.col("_id").alias(id_column),
@@ -216,10 +254,6 @@ def find_passages(
     )
 
 
-def _arrow_id(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def _arrow_schema(id_type: pa.DataType) -> pa.Schema:
     spans = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
     return pa.schema(
@@ -228,9 +262,9 @@ def _arrow_schema(id_type: pa.DataType) -> pa.Schema:
     )
 
 
-def _merged(parts: DataFrame) -> DataFrame:
+def _merged(turns: DataFrame) -> DataFrame:
     """Results of several turns over the same rows as one: spans united, items joined."""
-    both = parts.groupBy("_row").agg(
+    both = turns.groupBy("_row").agg(
         F.first("_id").alias("_id"),
         F.first("n_words").alias("n_words"),
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("_spans"),
@@ -267,8 +301,7 @@ def without_passages(
     def dropping(shared):
         def keep(batches):
             for batch in batches:
-                for start in range(0, batch.num_rows, SLICE_ROWS):
-                    part = batch.slice(start, SLICE_ROWS)
+                for part in parts(batch):
                     clean = [not spans for _, spans, _ in shared.value.scan(part.column(place).to_pylist())]
                     yield part.filter(pa.array(clean, pa.bool_()))
 
