@@ -559,6 +559,15 @@ _sql(
     _LABELS,
     _SPLIT,
 )
+_sql(
+    "categorize_keywords",
+    """select id, name, coalesce(by_group, by_text, 'Unknown') category from (
+    select c.id, c.name,
+      (select arg_min(category, rank) from keywords where contains(upper(coalesce(c.group_name, '')), keyword)) by_group,
+      (select arg_min(category, rank) from keywords where contains(upper(concat_ws(' ', coalesce(c.name, ''), coalesce(c.tvg_name, ''), coalesce(c.group_name, ''))), keyword)) by_text
+    from channels_fx c)""",
+    "keywords as (select p_brand category, p_partkey rank, upper(p_name || ' ' || p_size) keyword from part)",
+)
 _sql(
     "write_group_files",
     f"""select playlist || '.m3u' file_name, strlen(content)::bigint length, md5(content) md5 from (

@@ -325,6 +325,15 @@ def categorize(spark, sf):
     return enrichment.auto_categorize(views.channels(spark, sf)).select("id", "category", "group_name")
 
 
+@register
+def categorize_keywords(spark, sf):
+    """Keywords from a table: every name of a part with its size, for the brand of the first such part."""
+    parts = views.table(spark, sf, "part")
+    keyword = F.concat_ws(" ", "p_name", F.col("p_size").cast("string"))
+    keywords = parts.select(F.col("p_brand").alias("category"), F.col("p_partkey").alias("rank"), keyword.alias("keyword"))
+    return enrichment.categorize_by_table(views.channels(spark, sf), keywords).select("id", "name", "category")
+
+
 @register
 def categorize_documents(spark, sf):
     return enrichment.auto_categorize(views.documents(spark, sf)).select("id", "category", "group_name")

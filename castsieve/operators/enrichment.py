@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.enrich import (
@@ -30,6 +30,72 @@ def auto_categorize(
     return with_category(df, table, whole_words).withColumn("group_name", filled)
 
 
+def categorize_by_table(df: DataFrame, keywords: DataFrame, whole_words: bool = False) -> DataFrame:
+    """Set ``category`` by a table of keywords of any size; the rule is that of ``with_category``.
+
+    ``keywords`` holds ``category, rank, keyword``: of all keywords in a text the
+    lowest rank decides, equal ranks by category.  The group decides before all
+    texts; without a keyword the category is "Unknown".  Keywords count anywhere,
+    ignoring case; null and empty ones are left out.
+
+    Texts that are equal are looked at once.  Every keyword stands under the one of
+    its runs of three characters that occurs in the fewest texts; texts meet keywords
+    on those runs only, by an equality join, and what meets is compared.  The work
+    grows with the texts and with what they have in common with keywords, not with
+    their product.
+    """
+    folded = fold(F.trim(F.col("keyword")))
+    known = keywords.select("category", "rank", folded.alias("keyword")).where("keyword != ''").groupBy("keyword").agg(
+        F.min(F.struct("rank", "category")).alias("best")
+    )
+    known = materialize(known, "keywords")
+    lengths = [r[0] for r in known.select(F.least(F.length("keyword"), F.lit(_RUN))).distinct().collect()]
+    texts = [F.coalesce(c, F.lit("")) for c in ("name", "tvg_name", "group_name")]
+    given = df.withColumns({"_all": fold(F.concat_ws(" ", *texts)), "_group": fold(F.coalesce("group_name", F.lit("")))})
+    given = given.withColumns({f"{c}_key": F.unhex(F.md5(F.col(c).cast("binary"))) for c in ("_all", "_group")})
+    both = F.explode(F.array(*[F.struct(F.col(f"{c}_key").alias("key"), F.col(c).alias("text")) for c in ("_all", "_group")]))
+    different = given.select(both.alias("t")).groupBy("t.key").agg(F.first("t.text").alias("text")).where("text != ''")
+    different = materialize(different, "texts")
+
+    runs = different.select("key", F.explode(_runs(F.col("text"), lengths)).alias("run"))
+    counts = runs.groupBy("run").agg(F.count("key").alias("texts"))
+    # A keyword with a run that no text has is in none.
+    own = known.select("keyword", F.explode(_runs(F.col("keyword"), lengths, own_length=True)).alias("run"))
+    rarest = own.join(counts, "run", "left").groupBy("keyword").agg(
+        F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "run")).alias("rarest")
+    )
+    index = rarest.where("rarest.texts > 0").join(known, "keyword").select(F.col("rarest.run").alias("run"), "keyword", "best")
+    index = materialize(index, "index")
+    met = runs.join(index, "run").join(different, "key")
+    inside = F.contains("text", "keyword")
+    if whole_words:
+        quoted = F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.replace("keyword", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?!\w)"))
+        inside = inside & F.regexp_like("text", quoted)
+    found = met.where(inside).groupBy("key").agg(F.min("best").alias("best")).select("key", "best.category")
+    found = materialize(found, "categories")
+    for c in ("_group", "_all"):
+        named = found.select(F.col("key").alias(f"{c}_key"), F.col("category").alias(f"{c}_category"))
+        given = given.join(named, f"{c}_key", "left")
+    category = F.coalesce("_group_category", "_all_category", F.lit("Unknown"))
+    return given.withColumn("category", category).select(df.columns if "category" in df.columns else [*df.columns, "category"])
+
+
+# Characters by which texts and keywords meet.
+_RUN = 3
+
+
+def _runs(text: Column, lengths: list[int], own_length: bool = False) -> Column:
+    """The different runs of the given lengths; of shorter texts, or with ``own_length``, of their own length only."""
+
+    def of_length(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+        wanted = F.least(F.length(text), F.lit(_RUN)) == n if own_length else F.length(text) >= n
+        return F.when(wanted, F.transform(places, lambda i: F.substring(text, i, F.lit(n)))).otherwise(none)
+
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(none, *[of_length(n) for n in lengths]))
+
+
 def rename_channels(
     df: DataFrame, pattern: str | None, replacement: str | None = None, use_regex: bool = False
 ) -> DataFrame:
