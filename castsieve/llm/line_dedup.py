@@ -34,7 +34,7 @@ from .common import text_key, whole_text
 LEAST = 1
 # Counters, as a power of two: about 16 per text within these bounds.
 # Only the order of words depends on them, never the result.
-COUNTER_BITS = (10, 20)
+COUNTER_BITS = (10, 18)
 # Up to this many rows of keys (some 40 bytes each) are broadcast, more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 # Words whose hashes are the least of a line, by which families are found.
@@ -186,7 +186,7 @@ def _described(line: Column, levels: Column, bits: int, percent: int) -> Column:
 def _levels(docs: DataFrame, text: str) -> tuple[Column, int]:
     """A constant array with the level of every counter, 0 for one occurrence, and the bits of a counter's number.
 
-    Words are counted over all texts; at most 2^20 levels reach the driver, packed by the thousand.
+    Words are counted over all texts; at most 2^18 levels reach the driver, packed by the thousand.
     """
     bits = min(max(docs.count().bit_length() + 4, COUNTER_BITS[0]), COUNTER_BITS[1])
     words = docs.select(F.explode(F.split(F.replace(_plain(f"`{text}`"), F.lit("\n"), F.lit(" ")), " ")).alias("w"))

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..operators.ordering import renumber
 from ..workspace import materialize
@@ -57,7 +58,7 @@ def cut(
     spark = docs.sparkSession
     importable_on_executors(spark)
     kind = docs.schema[id_column].dataType.simpleString()
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    id_type = to_arrow_type(docs.schema[id_column].dataType)
     rows = docs.select(
         F.monotonically_increasing_id().alias("_row"), F.col(id_column).alias("_id"), F.col(text).alias("_text")
     )

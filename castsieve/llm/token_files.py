@@ -48,6 +48,9 @@ _HAS_CHECKSUMS = 0x80
 _FRAME = struct.Struct("<III")
 _DOCUMENT = np.dtype([("id", "<i8"), ("ids", "<u8"), ("frames", "<u4")])
 _FOOTER = struct.Struct("<IBI")
+# In a document's number of frames: it has no id.  Such documents come first.
+_NO_ID = 1 << 31
+_LEAST_ID = -(1 << 63)
 
 
 def _checksum(data: bytes) -> int:
@@ -66,13 +69,14 @@ class Writer:
         self.stream.write(data)
         self.bytes += len(data)
 
-    def add(self, doc_id: int, ids: bytes) -> None:
+    def add(self, doc_id: int | None, ids: bytes) -> None:
         pieces = [ids[k : k + 4 * FRAME_IDS] for k in range(0, len(ids), 4 * FRAME_IDS)] or [b""]
         for piece in pieces:
             packed = self.compress(piece)
             self._write(packed)
             self.frames.append(_FRAME.pack(len(packed), len(piece), _checksum(piece)))
-        self.documents.append((doc_id, len(ids) // 4, len(pieces)))
+        named = (doc_id, 0) if doc_id is not None else (_LEAST_ID, _NO_ID)
+        self.documents.append((named[0], len(ids) // 4, len(pieces) | named[1]))
 
     def finish(self) -> None:
         table = np.array(self.documents, dtype=_DOCUMENT).tobytes()
@@ -96,7 +100,8 @@ class Reader:
         self.offsets = np.concatenate([[0], np.cumsum(self.frames[:, 0], dtype=np.int64)])
         table = self._at(int(self.offsets[n - 1]), int(self.frames[n - 1, 0]))
         self.documents = np.frombuffer(table[8:], dtype=_DOCUMENT)
-        self.first = np.concatenate([[0], np.cumsum(self.documents["frames"], dtype=np.int64)])
+        self.nameless = int((self.documents["frames"] >= _NO_ID).sum())
+        self.first = np.concatenate([[0], np.cumsum(self.documents["frames"] & (_NO_ID - 1), dtype=np.int64)])
         self.decompress = zstandard.ZstdDecompressor().decompress
 
     def _at(self, offset: int, length: int) -> bytes:
@@ -119,8 +124,13 @@ class Reader:
 
     def places(self, doc_id: int) -> range:
         """The places of a document id."""
-        known = self.documents["id"]
-        return range(int(np.searchsorted(known, doc_id)), int(np.searchsorted(known, doc_id, side="right")))
+        known = self.documents["id"][self.nameless :]
+        low, high = np.searchsorted(known, doc_id), np.searchsorted(known, doc_id, side="right")
+        return range(self.nameless + int(low), self.nameless + int(high))
+
+    def names(self) -> list[int | None]:
+        """The ids of all documents, None for those without one."""
+        return [None] * self.nameless + self.documents["id"][self.nameless :].tolist()
 
 
 def write_tokens(
@@ -136,8 +146,8 @@ def write_tokens(
     """Encode every text, write the token files and return their manifest.
 
     Documents are in ascending order of id within and across files; rows of equal
-    id are ordered by a hash of their text; rows without an id are an error, as the
-    format has no place for them.  Null and empty texts hold the end id only.  The
+    id are ordered by a hash of their text; rows without an id come first and can be
+    read with all others, not by id.  Null and empty texts hold the end id only.  The
     manifest has one row per file: ``part`` (order of files), ``file``,
     ``first_id``, ``last_id``, ``documents``, ``ids``, ``bytes``, ``start`` (ids in
     all files before).  ``files`` defaults to the session's shuffle partitions.
@@ -148,9 +158,9 @@ def write_tokens(
     folder = folder or f"{shared_folder(spark)}/castsieve/{spark.sparkContext.applicationId}/tokens-{uuid.uuid4().hex}"
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(
-        F.coalesce(F.col(id_column).cast("long"), F.raise_error(F.lit("a document has no id")).cast("long")).alias("_id"),
-        F.col(text).alias("_text"),
-        F.xxhash64(text).alias("_tie"),
+        F.col(f"`{id_column}`").cast("long").alias("_id"),
+        F.col(f"`{text}`").alias("_text"),
+        F.xxhash64(f"`{text}`").alias("_tie"),
     )
     ordered = rows.repartitionByRange(files, "_id", "_tie").sortWithinPartitions("_id", "_tie").select("_id", "_text")
 
@@ -223,7 +233,7 @@ def read_tokens(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                 for file, size, start in zip(values["file"], values["bytes"], values["start"]):
                     reader = _open(file, size)
                     starts = accumulate(reader.documents["ids"].tolist(), initial=start)
-                    for place, (doc_id, begin) in enumerate(zip(reader.documents["id"].tolist(), starts)):
+                    for place, (doc_id, begin) in enumerate(zip(reader.names(), starts)):
                         yield doc_id, begin, reader.ids(place)
 
         yield from _emit(rows(), with_ids)

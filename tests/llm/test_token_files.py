@@ -49,8 +49,12 @@ def test_round_trip(spark):
     part = read_documents(manifest, wanted).drop("ids").collect()
     assert sorted(map(tuple, part)) == sorted(r for r in expected(rows) if r[0] in (8, 2, 900))
     assert read_tokens(write_tokens(df.limit(0))).count() == 0
-    with pytest.raises(Exception, match="has no id"):
-        write_tokens(spark.createDataFrame([(None, "x")], "doc_id long, text string"))
+    nameless = [(None, "x"), (None, "y y"), (-(1 << 63), "z"), (4, "w")]
+    manifest = write_tokens(spark.createDataFrame(nameless, "doc_id long, text string"), files=1)
+    found = read_tokens(manifest).collect()
+    assert [r.doc_id for r in sorted(found, key=lambda r: r.start)] == [None, None, -(1 << 63), 4]
+    asked = spark.createDataFrame([(4,), (-(1 << 63),), (None,)], "doc_id long")
+    assert sorted(r.doc_id for r in read_documents(manifest, asked).collect()) == [-(1 << 63), 4]
 
 
 def test_given_documents(spark):
