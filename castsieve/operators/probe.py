@@ -6,8 +6,9 @@ elsewhere or from a fetch function given by the caller.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Future, ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,6 +24,9 @@ from .lookup import lookup
 # fetch(link, timeout_seconds) -> (status, icy_br, first bytes of the body)
 Fetch = Callable[[str, float], tuple[int | None, str | None, bytes | None]]
 
+# Answers that a task holds before it hands them on, some kilobytes each.
+_ANSWERS = 256
+
 
 def probe_results(classified: DataFrame) -> DataFrame:
     """One row per link: alive if one of the first attempts was; its info."""
@@ -93,12 +97,29 @@ def capture(links: DataFrame, fetch: Fetch, attempt: int, concurrency: int, time
                 status, icy_br, body = None, None, None
             return link, attempt, status, icy_br, bytes((body or b"")[:CAPTURE_MAX_BYTES])
 
-        with ThreadPoolExecutor(concurrency) as pool:
-            for batch in batches:
-                rows = list(pool.map(one, batch["link"]))
+        rows: list[tuple] = []
+
+        def held(row: tuple | None) -> Iterator[pd.DataFrame]:
+            """Answers in frames of bounded size; None asks for the rest."""
+            if row is not None:
+                rows.append(row)
+            if rows and (row is None or len(rows) >= _ANSWERS):
                 out = pd.DataFrame(rows, columns=RESPONSE.names)
+                rows.clear()
                 yield out.astype({"status": "Int32", "attempt": "Int32"})
 
+        with ThreadPoolExecutor(concurrency) as pool:
+            # Links are handed out as answers come in; few answers are held at once.
+            waiting: deque[Future] = deque()
+            for batch in batches:
+                for link in batch["link"]:
+                    waiting.append(pool.submit(one, link))
+                    if len(waiting) >= 2 * concurrency:
+                        yield from held(waiting.popleft().result())
+            while waiting:
+                yield from held(waiting.popleft().result())
+            yield from held(None)
+
     return links.select("link").mapInPandas(run, RESPONSE)
 
 
@@ -106,12 +127,20 @@ def capture_once(
     channels: DataFrame, fetch: Fetch, concurrency: int = 10, timeout: float = 10.0
 ) -> DataFrame:
     """One written response for each distinct link of the channels."""
-    links = channels.where(is_probeable(F.col("link"))).select("link").distinct().repartition("link")
-    return materialize(capture(links, fetch, 0, _bounded(concurrency), timeout), "captured")
+    links = channels.where(is_probeable(F.col("link"))).select("link").distinct()
+    tasks, each = _dealt(links, concurrency)
+    return materialize(capture(links.repartition(tasks, "link"), fetch, 0, each, timeout), "captured")
 
 
-def _bounded(concurrency: int) -> int:
-    return max(1, min(50, concurrency))
+def _dealt(links: DataFrame, concurrency: int, partitions: int | None = None) -> tuple[int, int]:
+    """Tasks and requests of each at a time, so that the whole job never has more than ``concurrency`` in flight.
+
+    The limit is from 1 to 50.  There are no more tasks than requests, so it holds
+    however many of them run at once.
+    """
+    limit = max(1, min(50, concurrency))
+    tasks = max(1, min(limit, partitions or links.sparkSession.sparkContext.defaultParallelism))
+    return tasks, limit // tasks
 
 
 def probe_links(
@@ -125,13 +154,14 @@ def probe_links(
 
     Every attempt is one pass over the links not yet alive, written down before
     it is judged, so that a lost executor repeats requests but never mixes two
-    answers.  Requests in flight: partitions running times ``concurrency``.
+    answers.  The whole job has at most ``concurrency`` requests in flight.
     """
+    tasks, each = _dealt(channels, concurrency, partitions)
     todo = materialize(channels.where(is_probeable(F.col("link"))).select("link").distinct(), "links")
     attempts = None
     for attempt in range(MAX_ATTEMPTS):
-        spread = todo.repartition(partitions, "link") if partitions else todo.repartition("link")
-        captured = materialize(capture(spread, fetch, attempt, _bounded(concurrency), timeout), "captured")
+        spread = todo.repartition(tasks, "link")
+        captured = materialize(capture(spread, fetch, attempt, each, timeout), "captured")
         classified = with_verdict(captured).select("link", "attempt", "is_alive", "stream_info")
         attempts = classified if attempts is None else attempts.unionByName(classified)
         todo = todo.join(classified.where("is_alive").select("link"), "link", "left_anti")

@@ -1,5 +1,6 @@
 """Operators against small sequential models, hot keys and long chains."""
 
+import os
 import random
 
 import pytest
@@ -312,3 +313,27 @@ def test_probing_with_a_recorded_fetcher(channels, tmp_path):
     assert results["http://a.tv/ok"].stream_info.bitrate == 64000
     tries = [name.split("-")[0] for name in __import__("os").listdir(folder)]
     assert (tries.count("ok"), tries.count("broken"), tries.count("late")) == (1, 3, 3)
+
+
+@pytest.mark.parametrize("concurrency, partitions", [(3, None), (7, 2), (1, 50), (100, 64)])
+def test_one_limit_for_the_whole_job(spark, channels, tmp_path, concurrency, partitions):
+    """Requests in flight, counted over all tasks by files in one folder."""
+    folder = str(tmp_path)
+
+    def fetch(link, timeout):
+        import time
+        import uuid
+
+        mine = f"{folder}/now-{uuid.uuid4().hex}"
+        open(mine, "w").close()
+        seen = sum(name.startswith("now-") for name in os.listdir(folder))
+        open(f"{folder}/seen-{seen:04d}", "w").close()
+        time.sleep(0.01)
+        os.remove(mine)
+        return 200, None, b"x" * 600
+
+    rows = channels([{"name": str(i), "link": f"http://a.tv/{i}"} for i in range(300)])
+    found = probe.probe_links(rows, fetch, concurrency, partitions=partitions)
+    assert found.count() == 300 and found.where("is_alive").count() == 300
+    most = max(int(name[5:]) for name in os.listdir(folder) if name.startswith("seen-"))
+    assert most <= min(concurrency, 50)
