@@ -302,9 +302,14 @@ _sql("parse_small_playlists", f"select {_ENTRY} from parsed", _parse("small_line
 _sql(
     "read_written_playlists",
     f"select form, regexp_replace(file, '\\.m3u$', '') playlist, {_ENTRY.removeprefix('file, ')} "
-    "from parsed cross join (values ('whole'), ('lines'), ('gzip')) f(form)",
+    "from parsed cross join (values ('whole'), ('lines'), ('gzip'), ('utf16'), ('utf32')) f(form)",
     _parse("small_lines_fx"),
 )
+_sql(
+    "read_fetched_playlists",
+    """select 'https://lists.example/' || s_suppkey || '.m3u' file, 'Supplier ' || s_suppkey "name",
+    'http://s.example/' || s_suppkey link, s_suppkey::varchar tvg_id from supplier""",
+)
 _ENTRIES = f"e as (select file, line_no, {_trim('line')} t from lines_fx where upper(substr({_trim('line')}, 1, 7)) = '#EXTINF')"
 _sql("parse_extra_attributes", f"select file, line_no, {_extras('t')} extra_attributes from e", _ENTRIES)
 _sql(

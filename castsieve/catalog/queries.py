@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from ..functions.text import trim
 from ..operators import dedupe, enrichment, filters, groups, ordering, parse, probe
 from ..plans.clean import CleanOptions, clean_channels
 from ..sources import writers
-from ..sources.playlists import load_parsed, parse_sources, read_playlists
+from ..sources.playlists import fetched_texts, load_parsed, parse_sources, read_playlists
 from ..sources.writers import group_playlist_lines, playlist_lines
 from ..streaming.incremental import start_cleaning
 from ..workspace import materialize, shared_folder
@@ -174,13 +175,36 @@ def _written_playlists(spark, sf, compression: str) -> str:
     return f"{folder}/playlist=*"
 
 
+def _written_wide(spark, sf, encoding: str, mark: bytes) -> str:
+    """The small playlists as files with wide characters, all in one folder."""
+    folder = _new_folder(spark, encoding)
+    # A folder of Spark's own file system; files are put into it through Arrow.
+    views.small_texts(spark, sf).limit(0).write.parquet(folder)
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+    def write(frames):
+        fs, base = pyarrow.fs.FileSystem.from_uri(uri)
+        for frame in frames:
+            for file, text in zip(frame["file"], frame["text"]):
+                name = file.removesuffix(".m3u")
+                with fs.open_output_stream(f"{base}/playlist={name}.txt") as out:
+                    out.write(mark + text.encode(encoding))
+            yield frame[["file"]]
+
+    views.small_texts(spark, sf).select("file", "text").mapInPandas(write, "file string").count()
+    return f"{folder}/playlist=*"
+
+
 @register
 def read_written_playlists(spark, sf):
     plain, packed = (_written_playlists(spark, sf, c) for c in ("none", "gzip"))
     forms = {"whole": (plain, 1 << 24), "lines": (plain, 4096), "gzip": (packed, 1 << 24)}
+    forms["utf16"] = (_written_wide(spark, sf, "utf-16-le", b"\xff\xfe"), 4096)
+    forms["utf32"] = (_written_wide(spark, sf, "utf-32-be", b"\0\0\xfe\xff"), 4096)
     rows = None
     for form, (source, limit) in forms.items():
-        playlist = F.regexp_extract("file", "playlist=([^/]*)", 1)
+        playlist = F.regexp_extract("file", r"playlist=([^/.]*)", 1)
         columns = [c for c in _ENTRY_COLUMNS if c != "file"]
         read = parse_sources(spark, [source], limit).select(
             F.lit(form).alias("form"), playlist.alias("playlist"), *columns, *_extras()
@@ -189,6 +213,23 @@ def read_written_playlists(spark, sf):
     return rows
 
 
+@register
+def read_fetched_playlists(spark, sf):
+    """Playlists behind web links, one per supplier; the bytes of a link follow from the link."""
+    key = F.col("s_suppkey")
+    links = views.table(spark, sf, "supplier").select(
+        key.cast("int").alias("src_ord"), F.concat(F.lit("https://lists.example/"), key.cast("string"), F.lit(".m3u")).alias("url")
+    )
+
+    def fetch(link: str) -> bytes:
+        number = link.rsplit("/", 1)[1].removesuffix(".m3u")
+        text = f"#EXTM3U\n#EXTINF:-1 tvg-id=\"{number}\",Supplier {number}\nhttp://s.example/{number}\n"
+        return text.encode("utf-16" if int(number) % 2 else "utf-8")
+
+    parsed = parse.entries_of_links(parse.links_in_texts(fetched_texts(links, fetch)))
+    return parsed.select("file", "name", "link", "tvg_id")
+
+
 @register
 def merge_sources(spark, sf):
     sources = [_written_playlists(spark, sf, c) for c in ("gzip", "none")]

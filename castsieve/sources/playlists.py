@@ -23,6 +23,8 @@ from ..workspace import materialize
 
 # Files up to this size are parsed whole, inside one row.
 WHOLE_FILE_BYTES = 16 * 1024 * 1024
+# Rows of a file that are put in order together; totals are carried from block to block.
+BLOCK_ROWS = 65_536
 
 
 def decode_text(content: Column) -> Column:
@@ -200,17 +202,23 @@ def _wide_lines(spark: SparkSession, load: list[str], files: DataFrame, encoding
     pieces = marked.join(_with_starts(marked), ["file", "split"]).select(
         "file", (F.col("start") + F.col("mark") - F.col("first_mark")).alias("no"), "line"
     )
-    by_no = Window.partitionBy("file").orderBy("no")
+    pieces = pieces.withColumn("block", F.floor(F.col("no") / BLOCK_ROWS))
+    # A piece begins a line if the pieces before it are a whole number of characters.
     rest = F.length("line") % width
-    odd = pieces.where(rest != 0).withColumn("whole", F.sum(rest).over(by_no) % width == 0)
-    before = F.count_if("whole").over(by_no.rowsBetween(Window.unboundedPreceding, -1))
-    cuts = odd.withColumn("cut", before).groupBy(F.col("file").alias("f"), "cut").agg(
-        F.min("no").alias("from"), F.max("no").alias("to")
-    )
-    inside = (pieces["file"] == cuts["f"]) & F.col("no").between(F.col("from"), F.col("to"))
+    before = _carried(pieces.groupBy("file", "block").agg(F.sum(rest).alias("n")))
+    own = Window.partitionBy("file", "block").orderBy("no")
+    above = F.col("above") + F.coalesce(F.sum(rest).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begun = pieces.join(before, ["file", "block"]).withColumn("begin", F.when(above % width == 0, F.col("no")))
+    begun = materialize(begun.select("file", "block", "no", "line", "begin"), "wide-pieces")
+    # The line that a block goes on with, when its first pieces begin none.
+    open_lines = begun.groupBy("file", "block").agg(F.max("begin").alias("begin"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    open_lines = open_lines.select("file", "block", F.last("begin", ignorenulls=True).over(earlier).alias("open"))
+    last = F.last("begin", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     joined = (
-        pieces.join(cuts, inside, "left")
-        .groupBy("file", F.coalesce("from", "no").alias("no"))
+        begun.withColumn("from", last)
+        .join(open_lines, ["file", "block"])
+        .groupBy("file", F.coalesce("from", "open").alias("no"))
         .agg(F.array_sort(F.collect_list(F.struct("no", "line"))).alias("parts"))
     )
     feed_bytes = F.unhex(F.lit(feed))
@@ -223,17 +231,21 @@ def _wide_lines(spark: SparkSession, load: list[str], files: DataFrame, encoding
     text = F.regexp_replace(text, "^\uFEFF", "")
     lines = joined.select("file", "no", F.split(F.regexp_replace(text, "\r$", ""), "\r", -1).alias("lines"))
     # Lines before a row: those of earlier blocks of rows, and of earlier rows of its block.
-    lines = lines.withColumn("block", F.floor(F.col("no") / 65536))
-    blocks = lines.groupBy("file", "block").agg(F.sum(F.size("lines")).alias("n"))
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("above"))
-    own = Window.partitionBy("file", "block").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
-    placed = lines.withColumn("within", F.coalesce(F.sum(F.size("lines")).over(own), F.lit(0))).join(blocks, ["file", "block"])
+    lines = lines.withColumn("block", F.floor(F.col("no") / BLOCK_ROWS))
+    blocks = _carried(lines.groupBy("file", "block").agg(F.sum(F.size("lines")).alias("n")))
+    within = F.coalesce(F.sum(F.size("lines")).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = lines.withColumn("within", within).join(blocks, ["file", "block"])
     return placed.select(
         "file", (F.col("above") + F.col("within")).alias("first"), F.posexplode("lines").alias("at", "line")
     ).select("file", (F.col("first") + F.col("at")).alias("line_no"), "line")
 
 
+def _carried(totals: DataFrame) -> DataFrame:
+    """``above``: the sum of ``n`` over the earlier blocks of a file; one row per block."""
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select("file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("above"))
+
+
 def parse_sources(
     spark: SparkSession,
     sources: list[str],

@@ -332,3 +332,21 @@ def test_a_failed_attempt_leaves_nothing(spark, channels, tmp_path, monkeypatch)
     with pytest.raises(ZeroDivisionError):
         write_group_files(rows, str(tmp_path / "out"))
     assert os.listdir(tmp_path / "out") == []
+
+
+@pytest.mark.parametrize("encoding", ["utf-16-le", "utf-16-be", "utf-32-le"])
+def test_line_feeds_inside_characters_in_many_splits(spark, tmp_path, monkeypatch, encoding):
+    """Characters whose bytes look like a line end: no line, however it is cut, differs from the whole file's."""
+    entries = "".join(f"#EXTINF:-1,{'\u0a0a' * (i % 9)}n{i}\u0a00\u000a\u0a0ahttp\nhttp://a.tv/{i}\n" for i in range(400))
+    text = "#EXTM3U\n" + "#EXTINF:-1," + "\u0a0a" * 3000 + "\nhttp://a.tv/long\n" + entries
+    path = tmp_path / "wide.m3u"
+    path.write_bytes(WIDE[encoding] + text.encode(encoding))
+    monkeypatch.setattr(playlists, "BLOCK_ROWS", 50)
+    columns = ["line_no", "name", "link", "group_name"]
+    whole = playlists.parse_sources(spark, [str(path)]).select(columns).collect()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(len(path.read_bytes()) // 20))
+    try:
+        cut = playlists.parse_sources(spark, [str(path)], 10).select(columns).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(map(str, cut)) == sorted(map(str, whole)) and len(whole) > 300
