@@ -19,6 +19,8 @@ NON_MEDIA_EXTENSIONS = [
 
 # Hosts that are never a stream.
 LOCAL_HOSTS = ["localhost", "127.0.0.1", "0.0.0.0"]
+# 127.0.0.1 and 0.0.0.0 as numbers.
+LOCAL_ADDRESSES = [0x7F000001, 0]
 
 # Query parameters that do not identify a stream (prefixes).
 TRACKING_PREFIXES = [

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .fixed_values import LOCAL_HOSTS, NON_MEDIA_EXTENSIONS, STREAM_SCHEMES, TRACKING_PREFIXES
+from .fixed_values import LOCAL_ADDRESSES, LOCAL_HOSTS, NON_MEDIA_EXTENSIONS, STREAM_SCHEMES, TRACKING_PREFIXES
 from .text import fold, quote_regex, trim
 
 _TRACKING = "^(?:" + "|".join(quote_regex(p) for p in TRACKING_PREFIXES) + ")"
@@ -19,14 +19,36 @@ _USER = r"(?:[^/?#\\@]*@)?"
 _PORT = r"(?::0*(?:\d{0,4}|[1-5]\d{4}|6[0-4]\d{3}|65[0-4]\d\d|655[0-2]\d|6553[0-5]))?"
 _REST = r"(?:[/?#\\].*)?$"
 
-_NOT_LOCAL = "(?!(?:" + "|".join(quote_regex(h) for h in LOCAL_HOSTS) + r")(?:[:/?#\\]|$))"
+_HOST_END = r"(?:[:/?#\\]|$)"
+
+
+def _number(value: int) -> str:
+    """A number as part of an IPv4 address may be written: decimal, octal or hexadecimal."""
+    return rf"(?:{value:d}|0+{value:o}|0x0*{value:x})" if value else "(?:0+|0x0+)"
+
+
+def _address(value: int) -> str:
+    """All spellings of an IPv4 address: one to four numbers, the last one taking the bytes that are left."""
+    forms = []
+    for parts in range(1, 5):
+        left = 8 * (4 - (parts - 1))
+        heads = [(value >> (24 - 8 * k)) & 255 for k in range(parts - 1)]
+        forms.append(r"\.".join(_number(n) for n in [*heads, value & ((1 << left) - 1)]))
+    return "|".join(forms)
+
+
+# Names of this machine, and its addresses in any spelling.
+_LOCAL = "|".join([*(quote_regex(h) for h in LOCAL_HOSTS), *map(_address, LOCAL_ADDRESSES)])
+_NOT_LOCAL = rf"(?!(?:{_LOCAL}){_HOST_END})"
+# Hosts have three characters or more, but a number of one or two digits is an address as well.
+_SHORT_ADDRESS = rf"(?:[1-9]\d?|0[1-7])(?={_HOST_END})"
 _NOT_NON_MEDIA = r"(?![^?#]*\.(?:" + "|".join(NON_MEDIA_EXTENSIONS) + r")(?:[?#]|$))"
 
 # One pass decides: scheme, host of at least three characters and not this
 # machine, port, and a path that does not end like a picture, page or archive.
 _STREAM_URL = (
     rf"(?iu)^(?:{'|'.join(STREAM_SCHEMES)})://{_USER}{_NOT_LOCAL}"
-    rf"(?:{_IPV6}|(?=[^:/?#\\]{{3}}){_HOST_NAME}){_PORT}{_NOT_NON_MEDIA}{_REST}"
+    rf"(?:{_IPV6}|(?=[^:/?#\\]{{3}}){_HOST_NAME}|{_SHORT_ADDRESS}){_PORT}{_NOT_NON_MEDIA}{_REST}"
 )
 _WEB_URL = rf"(?iu)^https?://{_USER}(?:{_IPV6}|{_HOST_NAME}){_PORT}{_REST}"
 

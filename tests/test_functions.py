@@ -297,3 +297,15 @@ def test_content_signature(spark):
 def test_success_rate(spark):
     df = spark.createDataFrame([(0, 0), (3, 4)], "w long, t long")
     assert [r[0] for r in df.select(responses.success_rate(F.col("w"), F.col("t"))).collect()] == [0.0, 75.0]
+
+
+def test_spellings_of_this_machine(spark):
+    local = ["127.0.0.1", "0x7f.1", "0x7F.0.0.1", "127.1", "127.0.1", "0177.0.0.01", "2130706433", "0x7f000001", "017700000001"]
+    local += ["0.0.0.0", "0", "0x0", "0.0", "00.0x0.0.0", "LOCALHOST"]
+    other = ["127.0.0.2", "0x7f.2", "126.1", "2130706434", "0x7f.1.example", "127.0.0.1.example", "0x7g.1", "9", "12", "07", "1.1"]
+    short = ["08", "a", "ab", "0a"]
+    rows = [(f"{scheme}://{user}{host}{tail}", good) for hosts, good in ((local, False), (other, True), (short, False)) for host in hosts
+            for scheme in ("http", "RTMP") for user in ("", "me@") for tail in ("", "/live", ":8080/x", "?q")]
+    df = spark.createDataFrame(rows, "url string, good boolean")
+    wrong = df.where(urls.is_stream_url(F.col("url")) != F.col("good")).collect()
+    assert not wrong
