@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +41,9 @@ from .hashing import SPACED, mix, shingles, words
 # Counters of n-grams by hash; only the order depends on them, never the result.
 COUNTER_BITS = 20
 _BLOCKS = 1024
-# Longs of the bitmap that bounds an overlap.
-_BITMAP = 8
+# Bits per token, at least, of the bitmap that bounds an overlap; the fewest longs it has.
+_BITS_PER_TOKEN = 2
+_LEAST_LONGS = 8
 # Up to this many identifiers (8 bytes each; a quarter of it for ids with a text key) are
 # broadcast, more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -125,8 +125,9 @@ def _classes(given: _Documents, percent: int) -> tuple[DataFrame, DataFrame]:
     """A written row per document, and the written classes of equal sets."""
     n = given.n
     order = given.texts.sparkSession.sparkContext.broadcast(_rarity(given))
-    names = ["_row", "_id", "_key", "n", "sig", "length", "prefix", "bitmap"]
-    types = [pa.int64(), given.id_type, pa.string(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    names = ["_row", "_id", "_key", "n", "sig", "length", "prefix", "b0", "b1", "bitmap"]
+    types = [pa.int64(), given.id_type, pa.string(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64())]
+    types += [pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
     def describe(batches):
         for values in slices(batches):
@@ -134,7 +135,7 @@ def _classes(given: _Documents, percent: int) -> tuple[DataFrame, DataFrame]:
             for row, doc_id, key, tokens in zip(values["_row"], values["_id"], values["_key"], _sets(values["_text"], n)):
                 size = len(tokens)
                 if not size:
-                    out.append((row, doc_id, key, 0, None, 0, [], []))
+                    out.append((row, doc_id, key, 0, None, 0, [], 0, 0, []))
                     continue
                 sig = hashlib.blake2b(tokens.astype("<u8").tobytes(), digest_size=16).digest()
                 level = order.value[(tokens >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
@@ -142,24 +143,40 @@ def _classes(given: _Documents, percent: int) -> tuple[DataFrame, DataFrame]:
                 rare = tokens[np.lexsort((tokens, level))[:length]]
                 # Only sets of one class of sizes meet on a token.
                 prefix = np.concatenate([mix(rare + np.uint64(k)) for k in _sizes(size, percent)])
-                bits = np.bincount((tokens % np.uint64(64 * _BITMAP)).astype(np.int64), minlength=64 * _BITMAP) & 1
-                bitmap = np.packbits(bits.astype(np.uint8)).view("<i8")
-                out.append((row, doc_id, key, size, sig, length, prefix.view(np.int64).tolist(), bitmap.tolist()))
+                bitmap = _bitmap(tokens)
+                # Two words folded out of all, to go with every token.
+                b0, b1 = np.bitwise_xor.reduce(bitmap.reshape(-1, 2), axis=0).tolist()
+                out.append((row, doc_id, key, size, sig, length, prefix.view(np.int64).tolist(), b0, b1, bitmap.tolist()))
             yield _batch(out, names, types)
 
     numbered = given.texts.withColumn("_row", F.monotonically_increasing_id())
-    schema = f"_row long, _id {given.kind}, _key string, n long, sig binary, length int, prefix array<long>, bitmap array<long>"
+    schema = f"_row long, _id {given.kind}, _key string, n long, sig binary, length int, prefix array<long>, "
+    schema += "b0 long, b1 long, bitmap array<long>"
     rows = materialize(numbered.mapInArrow(describe, schema), "rows")
     smallest = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("best")
     classes = rows.where("n > 0").groupBy("sig").agg(
-        F.min("_row").alias("c"), smallest, *[F.first(c).alias(c) for c in ("n", "length", "prefix", "bitmap")]
+        F.min("_row").alias("c"), smallest, *[F.first(c).alias(c) for c in ("n", "length", "prefix", "b0", "b1", "bitmap")]
     )
     classes = classes.select(
-        "sig", "c", F.col("best._id").alias("first_id"), F.col("best._row").alias("first_row"), "n", "length", "prefix", "bitmap"
+        "sig", "c", F.col("best._id").alias("first_id"), F.col("best._row").alias("first_row"), "n", "length", "prefix", "b0", "b1", "bitmap"
     )
     return rows, materialize(classes, "classes")
 
 
+def _bitmap(tokens: np.ndarray) -> np.ndarray:
+    """Longs of which every bit tells whether an odd number of tokens falls on it.
+
+    Their number is a power of two that grows with the set, so that large sets are
+    told apart as well as small ones; folding the halves upon each other gives the
+    bitmap of half the size.
+    """
+    longs = _LEAST_LONGS
+    while 64 * longs < _BITS_PER_TOKEN * len(tokens):
+        longs *= 2
+    bits = np.bincount((tokens % np.uint64(64 * longs)).astype(np.int64), minlength=64 * longs) & 1
+    return np.packbits(bits.astype(np.uint8)).view("<i8")
+
+
 def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
     columns = list(zip(*rows)) or [[]] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
@@ -212,9 +229,7 @@ def _possible(n: str, sketch: str, m: str, other: str, percent: int) -> Column:
 
 
 def _links(given: _Documents, rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    # Two words of a bitmap are folded out of all, to go with every token.
-    folded = [reduce(lambda a, b: a.bitwiseXOR(b), [F.col("bitmap")[k] for k in range(half, _BITMAP, 2)]) for half in (0, 1)]
-    sketch = F.struct(folded[0].alias("b0"), folded[1].alias("b1")).alias("sketch")
+    sketch = F.struct("b0", "b1").alias("sketch")
     # Most tokens of a prefix are in no other.  Only token, class and place are shuffled to find the
     # shared ones, whatever their number; sizes and sketches join those that are left.
     postings = classes.select("c", "length", F.posexplode("prefix").alias("at", "token"))
@@ -280,15 +295,29 @@ def _links(given: _Documents, rows: DataFrame, classes: DataFrame, percent: int)
     return first.unionByName(second)
 
 
+def _folded(bitmap: str, other: str) -> Column:
+    """A bitmap, folded to the size of the other one if it is larger.
+
+    Sets that are similar enough differ by less than a factor of two for all
+    similarities above one half; further folds are made for others.
+    """
+    size = F.size(other)
+    places = F.sequence(F.lit(0), F.greatest((F.size(bitmap) / size).cast("int") - 1, F.lit(0)))
+    part = lambda k: F.slice(bitmap, k * size + 1, size)
+    added = F.reduce(
+        F.slice(places, 2, F.size(places)), part(F.lit(0)), lambda a, k: F.zip_with(a, part(k), lambda x, y: x.bitwiseXOR(y))
+    )
+    return F.when(F.size(bitmap) > size, added).otherwise(F.col(bitmap))
+
+
 def _verified(pairs: DataFrame, given: _Documents, rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs of classes whose whole sets are similar enough; written."""
     def sketch(name: str) -> DataFrame:
         return classes.select(F.col("c").alias(name), F.col("n").alias(f"n_{name}"), F.col("bitmap").alias(f"bitmap_{name}"))
 
     both = pairs.join(sketch("x"), "x").join(sketch("y"), "y")
-    apart = sum(
-        (F.bit_count(F.col("bitmap_x")[k].bitwiseXOR(F.col("bitmap_y")[k])) for k in range(_BITMAP)), F.lit(0)
-    )
+    one, other = _folded("bitmap_x", "bitmap_y"), _folded("bitmap_y", "bitmap_x")
+    apart = F.reduce(F.zip_with(one, other, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, k: n + k)
     # Every bit that differs stands for a token that only one of the sets has.
     possible = F.floor((F.col("n_x") + F.col("n_y") - apart) / 2) >= _needed(percent, F.col("n_x"), F.col("n_y"))
     pairs = materialize(both.where(possible).select("x", "y"), "pairs")
@@ -305,9 +334,11 @@ def _verified(pairs: DataFrame, given: _Documents, rows: DataFrame, classes: Dat
             tokens = [t.astype("<u8").tobytes() for t in _sets(values["_text"], n)]
             yield _batch(list(zip(values["c"], tokens)), ["_row", "set"], [pa.int64(), pa.binary()])
 
-    # Rows of equal id and text have one set.
-    whole = texts.mapInArrow(load, "_row long, set binary").groupBy("_row").agg(F.first("set").alias("set"))
-    whole = materialize(whole, "compared")
+    loaded = materialize(texts.mapInArrow(load, "_row long, set binary"), "loaded")
+    whole = loaded
+    if loaded.count() > asked.count():
+        # Rows of equal id and text have one set.
+        whole = materialize(loaded.groupBy("_row").agg(F.first("set").alias("set")), "compared")
 
     def compare(batches):
         for values in slices(batches):
@@ -319,11 +350,11 @@ def _verified(pairs: DataFrame, given: _Documents, rows: DataFrame, classes: Dat
                     out.append((x, y))
             yield _batch(out, ["x", "y"], [pa.int64(), pa.int64()])
 
-    loaded = pairs.join(whole.select(F.col("_row").alias("x"), F.col("set").alias("set_x")), "x").join(
+    both = pairs.join(whole.select(F.col("_row").alias("x"), F.col("set").alias("set_x")), "x").join(
         whole.select(F.col("_row").alias("y"), F.col("set").alias("set_y")), "y"
     )
-    links = materialize(loaded.select("x", "y", "set_x", "set_y").mapInArrow(compare, "x long, y long"), "links")
-    release(pairs, asked, whole)
+    links = materialize(both.select("x", "y", "set_x", "set_y").mapInArrow(compare, "x long, y long"), "links")
+    release(pairs, asked, loaded, whole)
     return links
 
 
