@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.enrich import with_language
 from ..operators.dedupe import remove_duplicates
@@ -15,7 +17,7 @@ from ..operators.enrichment import (
     rename_channels,
 )
 from ..operators.filters import filter_channels
-from ..operators.groups import processing_report
+from ..operators.groups import group_count
 from ..operators.ordering import sort_channels
 from ..operators.probe import (
     Fetch,
@@ -87,11 +89,16 @@ def clean_channels(
     from ``responses``; what is not given is fetched.  Duplicates go before the
     filters, as a filtered-out row can still push out a later one.
     """
+    # Figures of the report are counted while the rows go by, in the jobs that write them.
+    figures = {name: Observation() for name in ("loaded", "kept", "enriched", "working")}
+    rows = F.count(F.lit(1)).alias("rows")
+    named = [F.count_if(F.col("category") != "Unknown").alias("categorized"), F.count("language").alias("languages")]
+    loaded = loaded.observe(figures["loaded"], rows)
     kept = remove_duplicates(loaded, earlier=earlier.kept if earlier else None) if options.remove_doubles else loaded
     if earlier:
         # Read for this run and for those that continue it.
         kept = materialize(kept, "kept-rows")
-    chosen = filter_channels(kept, options.group_filter, options.name_filter, options.use_regex)
+    chosen = filter_channels(kept.observe(figures["kept"], rows, *named), options.group_filter, options.name_filter, options.use_regex)
     chosen = rename_channels(
         chosen, options.rename_pattern, options.rename_replacement, options.use_regex
     )
@@ -100,7 +107,7 @@ def clean_channels(
     if options.detect_language:
         chosen = with_language(chosen)
     # Read by the report, by sorting (twice) and by the link join.
-    enriched = materialize(chosen, "enriched")
+    enriched = materialize(chosen.observe(figures["enriched"], rows, *named), "enriched")
     working = enriched
     if options.content_duplicates:
         if responses is None:
@@ -118,17 +125,49 @@ def clean_channels(
         working = filter_working(working, probes)
     if options.content_duplicates or not options.skip_validation:
         # Read by the report, the writers and the caller.
-        working = materialize(working, "working")
+        working = materialize(working.observe(figures["working"], rows), "working")
+    else:
+        figures["working"] = figures["enriched"]
     if options.export_path and options.split_by_group and options.group_files:
         write_group_files(working, options.export_path, options.export_name)
     elif options.export_path and options.split_by_group:
         write_group_playlists(working, options.export_path, options.export_name)
     elif options.export_path:
         write_playlist(working, options.export_path)
-    report = processing_report(loaded, kept, enriched, working, options.categorize, options.detect_language)
+    tables = {"loaded": loaded, "kept": kept, "enriched": enriched, "working": working}
+    wanted = {"loaded": [rows], "kept": [rows, *named], "enriched": [rows, *named], "working": [rows]}
+    seen = {name: _seen(figures[name], tables[name], wanted[name]) for name in tables}
+    report = _report(working, seen, options)
     return CleanResult(working, report, kept if options.remove_doubles else None, flagged)
 
 
+def _seen(observation: Observation, table: DataFrame, figures: list[Column]) -> dict[str, int]:
+    try:
+        return observation.get
+    except Py4JJavaError:
+        # Spark does not count where it knows beforehand that there are no rows.
+        return table.agg(*figures).first().asDict()
+
+
+def _report(working: DataFrame, seen: dict[str, dict[str, int]], options: CleanOptions) -> DataFrame:
+    """The figures of a run; only the groups are counted on the written rows, from one column."""
+
+    def added(name: str, on: bool) -> int:
+        return seen["enriched"][name] - seen["kept"][name] if on else 0
+
+    counted = {
+        "working_count": seen["working"]["rows"],
+        "total_count": seen["enriched"]["rows"],
+        "doubles_removed_count": seen["loaded"]["rows"] - seen["kept"]["rows"],
+        "original_count": seen["loaded"]["rows"],
+        "group_count": None,
+        "categorized_count": added("categorized", options.categorize),
+        "languages_count": added("languages", options.detect_language),
+    }
+    groups = working.agg(group_count().cast("bigint").alias("group_count"))
+    return groups.select(*[F.col(c) if n is None else F.lit(n).cast("bigint").alias(c) for c, n in counted.items()])
+
+
 def clean_playlists(
     spark: SparkSession,
     sources: list[str],

@@ -78,3 +78,20 @@ def test_chosen_rows_are_removed_by_plain_joins_spark_can_split(rows):
     # Scan, exchange, sort on both sides: the form adaptive skew handling knows.
     assert plan.count("Exchange hashpartitioning(link_key") == 2
     assert "Aggregate" not in plan
+
+
+def test_figures_of_a_run_need_no_scan_of_their_own(spark, rows):
+    from castsieve.operators.groups import processing_report
+    from castsieve.operators.dedupe import remove_duplicates
+    from castsieve.plans.clean import CleanOptions, clean_channels
+
+    for options in (CleanOptions(skip_validation=True), CleanOptions(skip_validation=True, remove_doubles=False, categorize=False)):
+        result = clean_channels(rows, options)
+        plan = plan_of(result.report)
+        # Groups are counted from one column of the written rows.
+        assert plan.count("Scan parquet") == 1 and "ReadSchema: struct<group_name:string>" in plan
+        kept = remove_duplicates(rows) if options.remove_doubles else rows
+        scanned = processing_report(rows, kept, result.channels, result.channels, options.categorize).first()
+        assert result.report.first() == scanned
+    empty = clean_channels(rows.limit(0), CleanOptions(skip_validation=True)).report.first()
+    assert list(empty) == [0] * 7
