@@ -130,7 +130,7 @@ class StoredVectors:
 
     def __init__(self, vectors: DataFrame, id_column: str, vector: str, label: str, parts: int, scale: int):
         importable_on_executors(vectors.sparkSession)
-        rows = vectors.where(is_finite(vector)).select(
+        rows = vectors.where(is_finite(f"`{vector}`")).select(
             F.col(f"`{id_column}`").alias("id"),
             F.col(f"`{label}`").alias("label"),
             F.col(f"`{vector}`").cast("array<double>").alias("vector"),

@@ -20,6 +20,9 @@ def test_rates_are_recovered():
     assert np.abs(found.speaks_on_poor - on_poor).max() < 0.03
     assert np.abs(found.speaks_on_sound - on_sound).max() < 0.01
     assert ((found.posterior(codes) > 0.5) == poor).mean() > 0.98
+    # How often each labeller is right when it speaks, though nobody told.
+    right = [poor[fired[:, i]].mean() for i in range(k)]
+    assert np.abs(np.array(list(found.accuracies().values())) - right).max() < 0.05
 
 
 def test_a_clean_corpus_stays():
