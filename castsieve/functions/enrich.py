@@ -8,12 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import PySparkException
 
-from .fixed_values import CATEGORY_KEYWORDS, LANGUAGES
+from .fixed_values import CATEGORY_KEYWORDS, COUNTRY_BRACKET, COUNTRY_PREFIX, LANGUAGES
 from .names import display_name
 from .text import any_of, fold, quote_regex, trim
 
-_PREFIX_CODE = r"(?U)^([A-Za-z]{2})[\s:|-]+"
-_BRACKET_CODE = r"\[[A-Za-z]{2}\]|\([A-Za-z]{2}\)"
 
 
 def _keyword_pattern(keywords: list[str], whole_words: bool) -> str:
@@ -76,7 +74,7 @@ def with_language(df: DataFrame) -> DataFrame:
     marks = [mark for mark, *_ in LANGUAGES]
     listed = F.array(*map(F.lit, marks))
     languages = F.array(*[_language_value(*value) for _, *value in LANGUAGES])
-    bracketed = F.substring(F.regexp_extract(shown, _BRACKET_CODE, 0), 2, 2)
+    bracketed = F.substring(F.regexp_extract(shown, COUNTRY_BRACKET, 0), 2, 2)
 
     def known(code: Column) -> Column:
         return F.nullif(F.array_position(listed, F.upper(code)), F.lit(0))
@@ -88,7 +86,7 @@ def with_language(df: DataFrame) -> DataFrame:
             if len(mark) > 2
         ]
     )
-    place = F.coalesce(known(F.regexp_extract(shown, _PREFIX_CODE, 1)), known(bracketed), anywhere)
+    place = F.coalesce(known(F.regexp_extract(shown, COUNTRY_PREFIX, 1)), known(bracketed), anywhere)
     return (
         df.withColumn("_shown", display_name(F.col("name"), F.col("tvg_name")))
         .withColumn("_text", F.concat_ws("\x00", F.coalesce("group_name", F.lit("")), "_shown"))

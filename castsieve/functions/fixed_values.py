@@ -174,3 +174,13 @@ CAPTURE_MAX_BYTES = 8192
 
 # Fixed value: how often a link is tried.
 MAX_ATTEMPTS = 3
+
+# Patterns of the formats that are read.
+# The fields of a stream manifest, and the start of an XHTML page.
+MANIFEST_RESOLUTION = r"(?i)RESOLUTION=(\d+)x(\d+)"
+MANIFEST_BANDWIDTH = r"(?i)BANDWIDTH=(\d+)"
+MANIFEST_CODECS = r'(?i)CODECS="([^"]+)"'
+XHTML_START = r"(?is)^<\?xml.*<html"
+# A country code before or within a name.
+COUNTRY_PREFIX = r"(?U)^([A-Za-z]{2})[\s:|-]+"
+COUNTRY_BRACKET = r"\[[A-Za-z]{2}\]|\([A-Za-z]{2}\)"

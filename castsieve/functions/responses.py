@@ -15,20 +15,20 @@ from .fixed_values import (
     AUDIO_CODECS,
     ERROR_PAGE_STARTS,
     ERROR_PAGE_TEXTS,
+    MANIFEST_BANDWIDTH,
+    MANIFEST_CODECS,
+    MANIFEST_RESOLUTION,
     PAGE_PREFIX_BYTES,
     SIGNATURE_HEX_CHARS,
     SIGNATURE_MIN_BYTES,
     VIDEO_CODECS,
+    XHTML_START,
 )
 from .text import quote_regex
 from .urls import is_probeable
 
 _PAGE_START = "(?i)^(?:" + "|".join(quote_regex(t) for t in ERROR_PAGE_STARTS) + ")"
 _PAGE_TEXT = "(?i)" + "|".join(quote_regex(t) for t in ERROR_PAGE_TEXTS)
-_XHTML = r"(?is)^<\?xml.*<html"
-_RESOLUTION = r"(?i)RESOLUTION=(\d+)x(\d+)"
-_BANDWIDTH = r"(?i)BANDWIDTH=(\d+)"
-_CODECS = r'(?i)CODECS="([^"]+)"'
 
 
 def is_success(status: Column) -> Column:
@@ -43,7 +43,7 @@ def page_text(body: Column) -> Column:
 
 def is_error_page(text: Column) -> Column:
     """True if the text is a web page or an error message, not a stream."""
-    return text.rlike(_PAGE_START) | text.rlike(_XHTML) | text.rlike(_PAGE_TEXT)
+    return text.rlike(_PAGE_START) | text.rlike(XHTML_START) | text.rlike(_PAGE_TEXT)
 
 
 def header_bitrate(icy_br: Column) -> Column:
@@ -83,7 +83,7 @@ def with_verdict(responses: DataFrame) -> DataFrame:
     does not fit 32 bits counts as dead; an info without any field is null.
     """
     text, manifest, alive = F.col("_text"), F.col("_manifest"), F.col("is_alive")
-    numbers = {"width": (_RESOLUTION, 1), "height": (_RESOLUTION, 2), "bitrate": (_BANDWIDTH, 1)}
+    numbers = {"width": (MANIFEST_RESOLUTION, 1), "height": (MANIFEST_RESOLUTION, 2), "bitrate": (MANIFEST_BANDWIDTH, 1)}
     digits = {
         f"_{name}_digits": F.when(manifest, F.regexp_extract(text, pattern, group))
         for name, (pattern, group) in numbers.items()
@@ -122,7 +122,7 @@ def with_verdict(responses: DataFrame) -> DataFrame:
             }
         )
         .withColumn("_manifest", F.upper(F.substring(text, 1, 7)) == "#EXTM3U")
-        .withColumns(digits | {"_codecs": F.when(manifest, F.regexp_extract(text, _CODECS, 1))})
+        .withColumns(digits | {"_codecs": F.when(manifest, F.regexp_extract(text, MANIFEST_CODECS, 1))})
         .withColumns({f"_{name}": F.col(f"_{name}_digits").try_cast("int") for name in numbers})
         .withColumn("is_alive", F.coalesce(success & ~is_error_page(text) & ~unreadable, F.lit(False)))
         .withColumns({f"_found_{name}": F.when(alive, field) for name, field in fields.items()})
