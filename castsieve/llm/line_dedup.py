@@ -13,8 +13,8 @@ no part and stay; by default every line with a word takes part.
 3. Lines of equal text form a class, placed at its first line; all its other lines
    go, so frequent lines cost nothing further.
 4. Families of similar lines are settled around their first class: each class is
-   compared with one earlier class only, the earliest that shares one of its two
-   least word hashes.  Classes found to go need no other partner.
+   compared with two earlier classes at most, the earliest that share one of
+   its two least word hashes each.  Classes found to go need no other partner.
 5. The classes still open are joined with all others on the words of their prefixes,
    filtered in the join by length, by the positions of the word in both lines and by
    a sketch of all words that bounds the overlap.  A pair counts only if its later class is open.
@@ -128,7 +128,7 @@ def _decided(docs: DataFrame, id_column: str, text: str, percent: int, least: in
     comparison = _Comparison(docs, id_column, text, classes, percent)
 
     settled = comparison.later(_family_heads(classes))
-    rest = comparison.later(_sharing(classes, settled, percent), settled)
+    rest = comparison.later(_sharing(classes, settled, percent))
 
     # Lines that go: all but the first of a class, and the first of a class with an earlier partner.
     gone = settled.unionByName(rest).withColumn("gone", F.lit(True))
@@ -169,12 +169,12 @@ def _described(line: Column, levels: Column, bits: int, percent: int) -> Column:
         size = F.size(t)
         length = (size - F.ceil(percent * size / 100) + 1).cast("int")
         prefix = F.slice(F.sort_array(F.transform(t, ordered)), F.lit(1), F.when(size > 0, length).otherwise(0))
-        several = F.filter(prefix, lambda o: o >= (1 << _HASH_BITS))
+        several = F.transform(F.filter(prefix, lambda o: o >= (1 << _HASH_BITS)), short)
         return F.struct(
             *_signature(line),
             size.alias("n"),
             F.transform(F.slice(t, 1, _LEAST_WORDS), short).alias("least"),
-            F.transform(several, short).alias("prefix"),
+            several.alias("prefix"),
             # Every bit tells whether an odd number of words falls on it.
             F.reduce(t, F.lit(0).cast("long"), flipped).alias("sketch"),
         )
@@ -205,29 +205,29 @@ def _levels(docs: DataFrame, text: str) -> tuple[Column, int]:
 
 
 def _family_heads(classes: DataFrame) -> DataFrame:
-    """``x``, ``y``: every class ``y`` with the earliest class ``x`` that shares one of its two least words."""
+    """``x``, ``y``: every class ``y`` with the earliest class ``x`` of each of its two least words."""
     keys = classes.select("c", "place", F.explode("least").alias("w"))
     heads = keys.groupBy("w").agg(F.min(F.struct("place", "c")).alias("h"), F.count("c").alias("n")).where("n > 1")
     heads = materialize(heads.select("w", "h"), "heads")
     near = keys.join(heads, "w").where(F.col("c") != F.col("h.c"))
-    return near.groupBy(F.col("c").alias("y")).agg(F.min("h").alias("h")).select(F.col("h.c").alias("x"), "y")
+    return near.select(F.col("h.c").alias("x"), F.col("c").alias("y")).distinct()
 
 
 def _sharing(classes: DataFrame, settled: DataFrame, percent: int) -> DataFrame:
-    """``x``, ``y``: pairs of classes, not both settled, that share a word of their prefixes at fitting positions."""
+    """``x``, ``y``: a class and a later one, not settled, that share a word of their prefixes at fitting positions."""
     gone = settled.withColumn("gone", F.lit(True))
     dropped = _prefix_length("n", percent) - F.size("prefix")
-    postings = classes.select("c", "n", "prefix", "sketch").join(gone, "c", "left").select(
-        F.posexplode("prefix").alias("at", "w"), "c", "n", "sketch", F.coalesce("gone", F.lit(False)).alias("gone"), dropped.alias("dropped")
+    postings = classes.select("c", "place", "n", "prefix", "sketch").join(gone, "c", "left").select(
+        F.posexplode("prefix").alias("at", "w"), "c", "place", "n", "sketch", F.coalesce("gone", F.lit(False)).alias("gone"), dropped.alias("dropped")
     )
-    postings = postings.select("w", "c", "n", "sketch", (F.col("at") + F.col("dropped")).alias("at"), "gone")
-    a, b = (postings.select("w", *[F.col(c).alias(f"{c}_{s}") for c in ("c", "n", "sketch", "at", "gone")]) for s in "ab")
+    postings = postings.select("w", "c", "place", "n", "sketch", (F.col("at") + F.col("dropped")).alias("at"), "gone")
+    a, b = (postings.select("w", *[F.col(c).alias(f"{c}_{s}") for c in ("c", "place", "n", "sketch", "at", "gone")]) for s in "ab")
     na, nb = F.col("n_a"), F.col("n_b")
     pairs = a.join(
         b,
         (a["w"] == b["w"])
-        & (F.col("c_a") < F.col("c_b"))
-        & ~(F.col("gone_a") & F.col("gone_b"))
+        & (F.col("place_a") < F.col("place_b"))
+        & ~F.col("gone_b")
         & (F.least(na - F.col("at_a"), nb - F.col("at_b")) >= _needed(na, nb, percent))
         & (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
         # A bit that differs stands for a word of one line only.
@@ -256,9 +256,9 @@ class _Comparison:
         self.docs = docs.select(F.col(f"`{id_column}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
         self.classes, self.percent = classes, percent
 
-    def later(self, pairs: DataFrame, settled: DataFrame | None = None) -> DataFrame:
-        """``c`` of the classes that are similar to an earlier one of their pair, but for those settled; written."""
-        open_pairs = self._possible(pairs, settled)
+    def later(self, pairs: DataFrame) -> DataFrame:
+        """``c`` of the classes ``y`` that are similar to the earlier class ``x`` of their pair; written."""
+        open_pairs = self._possible(pairs)
         asked = open_pairs.select(F.explode(F.array("x", "y")).alias("c")).distinct()
         asked = materialize(asked.join(self.classes.select("c", "s1", "s2", "place"), "c"), "asked")
         # Only documents that hold the first line of a class asked for are cut into lines.
@@ -280,15 +280,15 @@ class _Comparison:
         release(open_pairs, asked, sets)
         return later
 
-    def _possible(self, pairs: DataFrame, settled: DataFrame | None) -> DataFrame:
-        """The pairs, the earlier class as ``x``, whose prefixes share enough words; written.
+    def _possible(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose prefixes share enough words; written.
 
         Of two prefixes in the same order of words, one ends first: up to there all
         common words are in both, beyond it there are only the rest of its words.
         Words that are equal in their 31 bits only are allowed for.
         """
         length = _prefix_length("n", self.percent)
-        facts = self.classes.select("c", F.struct("place", "c", "n", "prefix", (F.col("n") - length).alias("rest")).alias("f"))
+        facts = self.classes.select("c", F.struct("n", "prefix", (F.col("n") - length).alias("rest")).alias("f"))
         x, y = (facts.select(F.col("c").alias(s), F.col("f").alias(f"f{s}")) for s in "xy")
         both = pairs.join(x, "x").join(y, "y")
         shared = F.size(F.array_intersect("fx.prefix", "fy.prefix"))
@@ -296,10 +296,4 @@ class _Comparison:
         n, m = F.col("fx.n"), F.col("fy.n")
         bound = shared + F.least(*alike) + F.greatest("fx.rest", "fy.rest")
         both = both.where((bound >= _needed(n, m, self.percent)) & (100 * F.least(n, m) >= self.percent * F.greatest(n, m)))
-        swapped = F.col("fy.place") < F.col("fx.place")
-        placed = both.select(
-            F.when(swapped, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(swapped, F.col("x")).otherwise(F.col("y")).alias("y")
-        )
-        if settled is not None:
-            placed = placed.join(settled.select(F.col("c").alias("y")), "y", "left_anti")
-        return materialize(placed.select("x", "y"), "pairs")
+        return materialize(both.select("x", "y"), "pairs")
