@@ -204,30 +204,41 @@ class GatedModel:
         p *= weight[:, None]
         up["to_class"], up["class_bias"] = flat.T @ p, p.sum(0)
         dh = p @ self.to_class.T
-        # Words within their classes.
-        for c, own in self._by_class(target):
-            mine = flat[own]
-            p = _softmax(mine @ self.to_word[c] + self.word_bias[c])
-            p[np.arange(len(own)), target[own] % CLASS_SIZE] -= 1
-            p *= weight[own, None]
-            dh[own] += p @ self.to_word[c].T
-            _adagrad(self.to_word[c], mine.T @ p, sums["to_word"][c], rate)
+        # Words within their classes, which lie side by side here.
+        order = np.argsort(target // CLASS_SIZE, kind="stable")
+        mine, places, shares = flat[order], target[order] % CLASS_SIZE, weight[order]
+        within = np.empty_like(mine)
+        ends = np.cumsum(np.bincount(target // CLASS_SIZE, minlength=len(self.to_word))).tolist()
+        counting = np.arange(len(target))
+        for c, (a, b) in enumerate(zip([0, *ends], ends)):
+            if a == b:
+                continue
+            p = _softmax(mine[a:b] @ self.to_word[c] + self.word_bias[c])
+            p[counting[: b - a], places[a:b]] -= 1
+            p *= shares[a:b, None]
+            np.matmul(p, self.to_word[c].T, out=within[a:b])
+            _adagrad(self.to_word[c], mine[a:b].T @ p, sums["to_word"][c], rate)
             _adagrad(self.word_bias[c], p.sum(0), sums["word_bias"][c], rate)
+        dh[order] += within
         # Back through the window.
         dh = dh.reshape(steps, n, s)
         da = np.empty((steps, n, 3 * s), np.float32)
         back = np.zeros((n, s), np.float32)
         turned_back = np.ascontiguousarray(self.turn.T)
         tail = np.empty((steps, n, s), np.float32)
+        z, r = gates[:, :, :s], gates[:, :, s:]
+        by_news = (1 - z) * (1 - news**2)
+        by_z = (begun - news) * z * (1 - z)
+        by_r = turned * r * (1 - r)
         for t in range(steps - 1, -1, -1):
             back += dh[t]
-            z, r = gates[t, :, :s], gates[t, :, s:]
-            new = back * (1 - z) * (1 - news[t] ** 2)
-            da[t, :, :s] = back * (begun[t] - news[t]) * z * (1 - z)
-            da[t, :, s : 2 * s] = new * turned[t] * r * (1 - r)
-            tail[t] = new
-            da[t, :, 2 * s :] = new * r
-            back = (back * z + da[t] @ turned_back) * keep[t]
+            new = np.multiply(back, by_news[t], out=tail[t])
+            np.multiply(back, by_z[t], out=da[t, :, :s])
+            np.multiply(new, by_r[t], out=da[t, :, s : 2 * s])
+            np.multiply(new, r[t], out=da[t, :, 2 * s :])
+            back *= z[t]
+            back += da[t] @ turned_back
+            back *= keep[t]
         up["turn"] = begun.reshape(-1, s).T @ da.reshape(-1, 3 * s)
         da[:, :, 2 * s :] = tail
         # Gradients of the words before, added up per word.
@@ -248,8 +259,10 @@ class GatedModel:
 
 
 def _adagrad(weights: np.ndarray, gradient: np.ndarray, squares: np.ndarray, rate: float) -> None:
-    squares += gradient**2
-    weights -= rate * gradient / np.sqrt(squares)
+    squares += gradient * gradient
+    gradient *= rate
+    gradient /= np.sqrt(squares)
+    weights -= gradient
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:

@@ -12,8 +12,8 @@ probabilities of all words add up to one.
 
 Training is spread over the cluster: in every round each task trains on its own
 texts, starting from the same parameters, and the mean of all tasks' parameters,
-by words seen, starts the next round.  A round takes one of ``ROUNDS * SHARE``
-parts of the texts, chosen by a hash, so what is learned from grows with the input.
+by words seen, starts the next round.  A round takes one of ``ROUNDS`` parts of the
+texts, dealt by a hash, so every text is learned from once.
 """
 
 from __future__ import annotations
@@ -36,8 +36,8 @@ WORDS = 4096
 OTHER, END = 0, 1
 # Words whose counts every worker holds, 16 bytes each.
 LISTED = 1 << 16
-# Rounds of training; one text of SHARE is trained on.
-ROUNDS, SHARE = 4, 4
+# Rounds of training, each on its part of all texts.
+ROUNDS = 4
 RATE = 0.2
 # Words worked on at a time, and parts in which parameters are added up.
 CHUNK_WORDS = 1 << 20
@@ -151,7 +151,7 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Fitte
     vocabulary = Vocabulary.of([(r.key, r.n) for r in top], tokens or 0, distinct or 0, ends or 0)
     model = GatedModel(WORDS, vocabulary.known_counts(), END)
     for number in range(ROUNDS):
-        part = texts.where(F.pmod("_hash", F.lit(ROUNDS * SHARE)) == number).select("_text")
+        part = texts.where(F.pmod("_hash", F.lit(ROUNDS)) == number).select("_text")
         model = _round(part, model, vocabulary)
     return Fitted(counts, vocabulary, model)
 

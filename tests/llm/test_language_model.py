@@ -98,6 +98,19 @@ def test_learns(spark):
     assert per_token("score") > per_token("base_score")
 
 
+def test_every_text_is_learned_from_once(spark, monkeypatch):
+    taken = []
+
+    def round_of(texts, model, vocabulary):
+        taken.extend(r[0] for r in texts.collect())
+        return model
+
+    monkeypatch.setattr(language_model, "_round", round_of)
+    texts = [f"a b{i}" for i in range(400)]
+    fit(spark.createDataFrame(list(enumerate([*texts, None, "a b7"])), "doc_id long, text string"))
+    assert sorted(taken, key=str) == sorted([*texts, None, "a b7"], key=str)
+
+
 def test_odd_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     fitted = fit(empty)
