@@ -6,6 +6,7 @@ have the same names as in the comparison SQL.
 
 from __future__ import annotations
 
+import gzip
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
@@ -167,41 +168,46 @@ def parse_small_playlists(spark, sf):
     return parse.entries_of_links(links).select(*_ENTRY_COLUMNS, *_extras())
 
 
-def _written_playlists(spark, sf, compression: str) -> str:
-    """The small playlists as files, one folder each, in the shared folder; a glob of the folders."""
-    folder = _new_folder(spark, "playlists")
-    texts = views.small_texts(spark, sf).select(F.regexp_replace("file", r"\.m3u$", "").alias("playlist"), "text")
-    texts.write.partitionBy("playlist").option("compression", compression).text(folder)
-    return f"{folder}/playlist=*"
-
-
-def _written_wide(spark, sf, encoding: str, mark: bytes) -> str:
-    """The small playlists as files with wide characters, all in one folder."""
-    folder = _new_folder(spark, encoding)
+def _written_texts(texts: DataFrame, folder: str, encoding: str = "utf-8", mark: bytes = b"", packed: bool = False) -> str:
+    """Playlists (``file``, ``text``) as files, all in one new folder; a glob of the files."""
+    spark = texts.sparkSession
     # A folder of Spark's own file system; files are put into it through Arrow.
-    views.small_texts(spark, sf).limit(0).write.parquet(folder)
     place = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    uri = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(place)
+    uri = fs.makeQualified(place).toString()
+    ending = ".txt.gz" if packed else ".txt"
 
     def write(frames):
         fs, base = pyarrow.fs.FileSystem.from_uri(uri)
         for frame in frames:
             for file, text in zip(frame["file"], frame["text"]):
-                name = file.removesuffix(".m3u")
-                with fs.open_output_stream(f"{base}/playlist={name}.txt") as out:
-                    out.write(mark + text.encode(encoding))
+                content = mark + text.encode(encoding)
+                with fs.open_output_stream(f"{base}/playlist={file.removesuffix('.m3u')}{ending}", compression=None) as out:
+                    out.write(gzip.compress(content, 6, mtime=0) if packed else content)
             yield frame[["file"]]
 
-    views.small_texts(spark, sf).select("file", "text").mapInPandas(write, "file string").count()
+    texts.select("file", "text").mapInPandas(write, "file string").count()
     return f"{folder}/playlist=*"
 
 
+def _small_texts(spark, sf) -> DataFrame:
+    """The small playlists, worked out once for several folders of files."""
+    return materialize(views.small_texts(spark, sf).select("file", "text"), "texts")
+
+
+def _ended(texts: DataFrame) -> DataFrame:
+    """Texts with a line end behind the last line."""
+    return texts.withColumn("text", F.concat("text", F.lit("\n")))
+
+
 @register
 def read_written_playlists(spark, sf):
-    plain, packed = (_written_playlists(spark, sf, c) for c in ("none", "gzip"))
+    texts = _small_texts(spark, sf)
+    plain, packed = (_written_texts(_ended(texts), _new_folder(spark, "playlists"), packed=p) for p in (False, True))
     forms = {"whole": (plain, 1 << 24), "lines": (plain, 4096), "gzip": (packed, 1 << 24)}
-    forms["utf16"] = (_written_wide(spark, sf, "utf-16-le", b"\xff\xfe"), 4096)
-    forms["utf32"] = (_written_wide(spark, sf, "utf-32-be", b"\0\0\xfe\xff"), 4096)
+    forms["utf16"] = (_written_texts(texts, _new_folder(spark, "utf-16-le"), "utf-16-le", b"\xff\xfe"), 4096)
+    forms["utf32"] = (_written_texts(texts, _new_folder(spark, "utf-32-be"), "utf-32-be", b"\0\0\xfe\xff"), 4096)
     rows = None
     for form, (source, limit) in forms.items():
         playlist = F.regexp_extract("file", r"playlist=([^/.]*)", 1)
@@ -232,7 +238,8 @@ def read_fetched_playlists(spark, sf):
 
 @register
 def merge_sources(spark, sf):
-    sources = [_written_playlists(spark, sf, c) for c in ("gzip", "none")]
+    texts = _ended(_small_texts(spark, sf))
+    sources = [_written_texts(texts, _new_folder(spark, "playlists"), packed=p) for p in (True, False)]
     return read_playlists(spark, sources, merge=True, whole_file_bytes=4096).select("id", "name", "link", "epg_url")
 
 
@@ -668,9 +675,11 @@ def stream_playlists(spark, sf):
     """Two deliveries of compressed playlists to a watched folder, the second cleaned against the first."""
     folder, out, mark = (_new_folder(spark, name) for name in ("arriving", "cleaned", "mark"))
     options = replace(_CLEAN, sort_by="none")
-    texts = views.small_texts(spark, sf).select(F.regexp_replace("file", r"\.m3u$", "").alias("playlist"), "text")
-    for delivery in (F.col("playlist") < "small5", F.col("playlist") >= "small5"):
-        texts.where(delivery).write.mode("append").partitionBy("playlist").option("compression", "gzip").text(folder)
+    texts = _ended(_small_texts(spark, sf))
+    playlist = F.regexp_replace("file", r"\.m3u$", "")
+    # Each delivery has a folder of its own in the watched one.
+    for number, delivery in enumerate((playlist < "small5", playlist >= "small5")):
+        _written_texts(texts.where(delivery), f"{folder}/delivery={number}", packed=True)
         start_cleaning(spark, folder, out, mark, options).awaitTermination()
     cleaned = spark.read.parquet(out)
     return cleaned.select("id", "name", "link", "tvg_name", "group_name", "category", *_language())

@@ -23,6 +23,8 @@ from ..workspace import materialize
 
 # Files up to this size are parsed whole, inside one row.
 WHOLE_FILE_BYTES = 16 * 1024 * 1024
+# So many files of a folder are named one by one; more are listed with their folder, if they are all it holds.
+NAMED_FILES = 32
 # Rows of a file that are put in order together; totals are carried from block to block.
 BLOCK_ROWS = 65_536
 
@@ -67,6 +69,13 @@ def find_files(spark: SparkSession, sources: list[tuple[int, str]]) -> tuple[lis
         path = jvm.org.apache.hadoop.fs.Path(source)
         fs = path.getFileSystem(conf)
         exists = fs.exists(path)
+        folder = None if exists else _folder_of_all(jvm, fs, path)
+        if folder is not None:
+            name = folder.toString()
+            load[name] = folder.getParent().toString()
+            folders.add(name)
+            places.append((order, _plain_path(folder.toUri().toString())))
+            continue
         found = [fs.getFileStatus(path)] if exists else list(fs.globStatus(path) or [])
         usable = 0
         for status in found:
@@ -88,6 +97,52 @@ def find_files(spark: SparkSession, sources: list[tuple[int, str]]) -> tuple[lis
     return [_escaped(name) for name in names], places
 
 
+def _folder_of_all(jvm, fs, pattern):
+    """The qualified folder whose files a glob names, many and without exception; None for any other glob.
+
+    Such a folder is listed once, where single names are asked for one by one.
+    """
+    folder = pattern.getParent()
+    if folder is None or folder.getParent() is None or not fs.exists(folder):
+        return None
+    found = fs.globStatus(pattern)
+    if found is None or len(found) <= NAMED_FILES:
+        return None
+    same_names = jvm.org.apache.hadoop.fs.GlobPattern(pattern.getName())
+    hidden = _hidden(jvm, fs, folder)
+    number = len(found) - sum(same_names.matches(name) for name in hidden)
+    return fs.makeQualified(folder) if number and _holds_only(fs, folder, number, hidden) else None
+
+
+def _hidden(jvm, fs, folder) -> list[str]:
+    """Names in a folder that Spark leaves out."""
+    return [s.getPath().getName() for s in fs.globStatus(jvm.org.apache.hadoop.fs.Path(folder, "[_.]*"))]
+
+
+def _holds_only(fs, folder, number: int, hidden: list[str]) -> bool:
+    """Whether a folder holds so many files besides the hidden ones, and no folders."""
+    held = fs.getContentSummary(folder)
+    return held.getDirectoryCount() == 1 and held.getFileCount() == number + len(hidden)
+
+
+def _gathered(spark: SparkSession, paths: list[str]) -> list[str]:
+    """What Spark has to load for some existing files: folders where all their files are named."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    by_folder: dict[str, list[str]] = {}
+    for path in dict.fromkeys(paths):
+        by_folder.setdefault(path.rpartition("/")[0], []).append(path)
+    load = []
+    for folder, own in by_folder.items():
+        if len(own) > NAMED_FILES:
+            place = jvm.org.apache.hadoop.fs.Path(folder)
+            fs = place.getFileSystem(conf)
+            if _holds_only(fs, place, len(own), _hidden(jvm, fs, place)):
+                load.append(_escaped(folder))
+                continue
+        load += [_escaped(path) for path in own]
+    return load
+
+
 def _escaped(name: str) -> str:
     """A name without characters that a glob would read otherwise."""
     return re.sub(r"([\[\]{}*?\\])", r"\\\1", name)
@@ -274,7 +329,7 @@ def parse_sources(
 def parse_files(spark: SparkSession, paths: list[str], whole_file_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
     """Channels of existing files, given by full paths as Spark lists them, in this order."""
     places = [(i, _plain_path(path)) for i, path in enumerate(paths)]
-    return _parse_found(spark, [_escaped(path) for path in paths], places, whole_file_bytes)
+    return _parse_found(spark, _gathered(spark, paths), places, whole_file_bytes)
 
 
 def _parse_found(

@@ -350,3 +350,23 @@ def test_line_feeds_inside_characters_in_many_splits(spark, tmp_path, monkeypatc
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert sorted(map(str, cut)) == sorted(map(str, whole)) and len(whole) > 300
+
+
+def test_a_glob_of_all_files_of_a_folder_lists_the_folder_once(spark, tmp_path):
+    from castsieve.sources.playlists import _gathered, find_files, parse_sources
+
+    for k in range(40):
+        put(tmp_path / "lists", f"list {k}.m3u", f"#EXTM3U\n#EXTINF:-1,n{k}\nhttp://a.tv/{k}\n".encode())
+    folder = str(tmp_path / "lists")
+    names = [f"file:{folder}/list {k}.m3u" for k in range(40)]
+    links = [f"http://a.tv/{k}" for k in sorted(range(40), key=lambda k: f"list {k}.m3u")]
+    source = [(0, f"{folder}/list*")]
+    put(tmp_path / "lists", "_SUCCESS", b"")
+    assert find_files(spark, source)[0] == [f"file:{folder}"] == _gathered(spark, names)
+    read = lambda df: [r.link for r in df.orderBy("src_ord", "file", "line_no").collect()]
+    assert read(parse_sources(spark, [f"{folder}/list*"])) == links
+    # A file more: the others are named.
+    put(tmp_path / "lists", "other.m3u", b"#EXTINF:-1,o\nhttp://a.tv/o\n")
+    assert len(find_files(spark, source)[0]) == 40 == len(_gathered(spark, names))
+    assert read(parse_sources(spark, [f"{folder}/list*"])) == links
+    assert find_files(spark, [(0, f"{folder}/*")])[0] == [f"file:{folder}"]
