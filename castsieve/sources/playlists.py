@@ -18,6 +18,7 @@ from ..operators.parse import (
     links_in_lines,
     links_in_texts,
     number_channels,
+    split_lines,
 )
 from ..workspace import materialize
 
@@ -108,7 +109,11 @@ def _folder_of_all(jvm, fs, pattern):
     found = fs.globStatus(pattern)
     if found is None or len(found) <= NAMED_FILES:
         return None
-    same_names = jvm.org.apache.hadoop.fs.GlobPattern(pattern.getName())
+    name = pattern.getName()
+    # Names that begin with a character of the pattern's own are not hidden ones; these are looked for only where they count.
+    if name[0] not in "_.[]{}*?\\" and _holds_only(fs, folder, len(found), []):
+        return fs.makeQualified(folder)
+    same_names = jvm.org.apache.hadoop.fs.GlobPattern(name)
     hidden = _hidden(jvm, fs, folder)
     number = len(found) - sum(same_names.matches(name) for name in hidden)
     return fs.makeQualified(folder) if number and _holds_only(fs, folder, number, hidden) else None
@@ -153,35 +158,62 @@ def _plain_path(place: str) -> str:
     return re.sub("^([A-Za-z0-9+.-]+):///", r"\1:/", place)
 
 
-def list_files(spark: SparkSession, load: list[str], places: list[tuple[int, str]], limit: int) -> DataFrame:
-    """``src_ord, file, by_lines`` of all files, one row each time a file is named; written."""
-    file = F.col("_metadata.file_path")
-    files = spark.read.format("binaryFile").load(load).select(
-        file.alias("file"), ((F.col("length") > limit) | file.rlike(_COMPRESSED)).alias("by_lines")
-    )
+def list_files(content: DataFrame, places: list[tuple[int, str]], limit: int) -> DataFrame:
+    """``src_ord, file, length, by_lines, encoding`` of all files, one row each time a file is named; written.
+
+    ``encoding`` tells by the first bytes how a file that is read by lines has to be read: empty for UTF-8, null if
+    it is not known yet.  Compressed files and those above ``WHOLE_FILE_BYTES`` are not opened here.
+    """
+    file, length = F.col("_metadata.file_path"), F.col("length")
+    compressed = file.rlike(_COMPRESSED)
+
+    def described(some: DataFrame, encoding: Column) -> DataFrame:
+        return some.select(file.alias("file"), "length", ((length > limit) | compressed).alias("by_lines"), encoding.alias("encoding"))
+
+    unknown = F.lit(None).cast("string")
+    opened = (length > limit) & (length <= WHOLE_FILE_BYTES)
+    files = described(content.where(~opened), unknown)
+    if limit < WHOLE_FILE_BYTES:
+        head = F.hex(F.substring("content", 1, 4))
+        files = files.unionByName(described(content.where(opened), F.when(~compressed, F.coalesce(_wide(head), F.lit("")))))
     # An empty authority may be written or not.
     plain = F.regexp_replace("file", "^([A-Za-z0-9+.-]+):///", "$1:/")
     folder = F.regexp_extract(plain, "^(.*)/[^/]*$", 1)
     keyed = files.withColumn("place", F.explode(F.array(plain, folder)))
-    named = spark.createDataFrame(places, "src_ord int, place string")
-    return materialize(keyed.join(named, "place").select("src_ord", "file", "by_lines"), "files")
+    named = content.sparkSession.createDataFrame(places, "src_ord int, place string")
+    return materialize(keyed.join(named, "place").select("src_ord", *files.columns), "files")
+
+
+def _wide(head: Column) -> Column:
+    """The encoding that a byte order mark, as hex, stands for; null if it has no wide characters."""
+    return F.coalesce(*[F.when(head.startswith(mark), F.lit(name)) for mark, name in WIDE.items()])
 
 
 def read_texts(
-    spark: SparkSession, load: list[str], limit: int, order: int = 0, files: DataFrame | None = None
+    spark: SparkSession,
+    load: list[str],
+    limit: int,
+    order: int = 0,
+    files: DataFrame | None = None,
+    content: DataFrame | None = None,
 ) -> DataFrame:
     """``src_ord, file, text`` of the files up to a size.  Larger and compressed ones are not opened.
 
-    ``files`` gives the order of every file where it is not ``order`` for all.
+    ``files`` gives the order of every file where it is not ``order`` for all; ``content`` are the files if they
+    have been listed before.
     """
-    content = spark.read.format("binaryFile").load(load).where(F.col("length") <= limit)
-    texts = content.select(F.col("_metadata.file_path").alias("file"), decode_text(F.col("content")).alias("text"))
+    content = _contents(spark, load) if content is None else content
+    texts = content.where(F.col("length") <= limit).select(F.col("_metadata.file_path").alias("file"), decode_text(F.col("content")).alias("text"))
     texts = texts.where(~F.col("file").rlike(_COMPRESSED))
     if files is None:
         return texts.select(F.lit(order).alias("src_ord"), "file", "text")
     return texts.join(files.select("src_ord", "file"), "file").select("src_ord", "file", "text")
 
 
+def _contents(spark: SparkSession, load: list[str]) -> DataFrame:
+    return spark.read.format("binaryFile").load(load)
+
+
 def _marked_lines(spark: SparkSession, load: list[str], **options: str) -> DataFrame:
     """Lines with their file, split and the mark of their place in the scan."""
     return spark.read.options(**options).text(load).select(
@@ -199,37 +231,48 @@ def read_numbered_lines(spark: SparkSession, load: list[str], files: DataFrame)
 
     The lines are written once with the mark of their place in the scan; the number
     of lines per split then gives every line its number, and the first line of a
-    file its header and its encoding.  Files with wide characters are read once more
-    with theirs.
+    file its header and, where it is not known, its encoding.  Files with wide
+    characters are read with theirs.
     """
-    chosen = files.where("by_lines").select("file").distinct()
-    if chosen.isEmpty():
+    chosen = files.where("by_lines").select("file", "length", "encoding").distinct()
+    encodings = {r[0] for r in chosen.select("encoding").distinct().collect()}
+    if not encodings:
         return None
-    scan = _marked_lines(spark, load).join(F.broadcast(chosen), "file")
-    written = materialize(scan.withColumn("header_epg", header_epg(F.make_valid_utf8("line"))), "lines")
-    head = F.hex(F.substring(F.col("line").cast("binary"), 1, 4))
-    splits = materialize(
-        _with_starts(written, F.min_by(head, "mark").alias("head"), F.min_by("header_epg", "mark").alias("header_epg")),
-        "splits",
-    )
-    wide = F.coalesce(*[F.when(F.col("head").startswith(mark), F.lit(name)) for mark, name in WIDE.items()])
-    first = splits.where("start = 0").select("file", "header_epg", wide.alias("encoding"))
-    encodings = sorted(r[0] for r in first.select("encoding").distinct().collect() if r[0])
-    lines = written.join(splits.drop("head", "header_epg"), ["file", "split"]).select(
-        "file",
-        (F.col("start") + F.col("mark") - F.col("first_mark")).alias("line_no"),
-        F.make_valid_utf8("line").alias("line"),
-    )
-    headers = first.where("encoding is null").select("file", "header_epg")
-    if encodings:
-        lines = lines.join(first.where("encoding is null").select("file"), "file", "left_semi")
-    for encoding in encodings:
-        own = materialize(_wide_lines(spark, load, first.where(F.col("encoding") == encoding), encoding), "lines")
-        lines = lines.unionByName(own)
-        top = own.where("line_no = 0").select("file", header_epg(F.col("line")).alias("header_epg"))
-        headers = headers.unionByName(top)
+    wide = chosen.where("encoding != ''")
+    lines, headers = [], []
+    if encodings & {None, ""}:
+        plain = chosen.where("coalesce(encoding, '') = ''").select("file")
+        written = materialize(_marked_lines(spark, load).join(F.broadcast(plain), "file"), "lines")
+        splits = materialize(_with_starts(written), "splits")
+        first = splits.where("start = 0").select("file", F.col("first_mark").alias("mark"))
+        first = written.join(first, ["file", "mark"]).select(
+            "file",
+            header_epg(F.make_valid_utf8("line")).alias("header_epg"),
+            _wide(F.hex(F.substring(F.col("line").cast("binary"), 1, 4))).alias("encoding"),
+        )
+        numbered = written.join(splits, ["file", "split"]).select(
+            "file",
+            (F.col("start") + F.col("mark") - F.col("first_mark")).alias("line_no"),
+            F.make_valid_utf8("line").alias("line"),
+        )
+        first = materialize(first, "first-lines")
+        found = first.where("encoding is not null") if None in encodings else None
+        if found is not None and not found.isEmpty():
+            encodings |= {r[0] for r in found.select("encoding").distinct().collect()}
+            wide = wide.unionByName(found.join(chosen.drop("encoding"), "file").select("file", "length", "encoding"))
+            numbered = numbered.join(first.where("encoding is null").select("file"), "file", "left_semi")
+        lines.append(numbered)
+        headers.append(first.where("encoding is null").select("file", "header_epg"))
+    for encoding in sorted(encodings - {None, ""}):
+        own = wide.where(F.col("encoding") == encoding)
+        # A piece of a line is a character at least: such files have no more than a block of them.
+        short = F.col("length") <= 2 * BLOCK_ROWS
+        for part, read in ((own.where(short), _short_wide_lines), (own.where(~short), _wide_lines)):
+            if not part.isEmpty():
+                lines.append(materialize(read(spark, load, part, encoding), "lines"))
+                headers.append(lines[-1].where("line_no = 0").select("file", header_epg(F.col("line")).alias("header_epg")))
     named = files.where("by_lines").select("src_ord", "file")
-    return lines.join(named, "file"), headers.join(named, "file")
+    return tuple(reduce(DataFrame.unionByName, parts).join(named, "file") for parts in (lines, headers))
 
 
 def _with_starts(marked: DataFrame, *more: Column) -> DataFrame:
@@ -243,17 +286,50 @@ def _with_starts(marked: DataFrame, *more: Column) -> DataFrame:
     )
 
 
+def _wide_pieces(spark: SparkSession, load: list[str], files: DataFrame, encoding: str) -> DataFrame:
+    """Pieces between line feeds, as bytes, with their file, split and mark."""
+    scan = _marked_lines(spark, load, encoding=encoding, lineSep="\n").join(F.broadcast(files.select("file")), "file")
+    return scan.withColumn("line", F.col("line").cast("binary"))
+
+
+def _wide_feed(encoding: str) -> str:
+    """A line feed in an encoding with wide characters, as hex."""
+    width = _width(encoding)
+    return {"LE": "0A", "BE": "0A".zfill(2 * width)}[encoding[-2:]].ljust(2 * width, "0")
+
+
+def _width(encoding: str) -> int:
+    return 4 if "32" in encoding else 2
+
+
+def _decoded(content: Column, encoding: str, first: Column) -> Column:
+    """Text of a file or of one line; the first one without a mark."""
+    mark = {"UTF-32LE": "FFFE0000", "UTF-32BE": "0000FEFF"}.get(encoding)
+    text = F.decode(F.concat(F.unhex(F.lit(mark)), content), "UTF-32") if mark else F.decode(content, encoding)
+    return F.when(first, F.regexp_replace(text, "^\uFEFF", "")).otherwise(text)
+
+
+def _short_wide_lines(spark: SparkSession, load: list[str], files: DataFrame, encoding: str) -> DataFrame:
+    """``file, line_no, line`` of files of at most ``BLOCK_ROWS`` pieces with wide characters.
+
+    The pieces of a file are put together again in one aggregate and decoded at once.
+    """
+    pieces = _wide_pieces(spark, load, files, encoding)
+    whole = F.expr(f"listagg(line, X'{_wide_feed(encoding)}') within group (order by split, mark)")
+    texts = pieces.groupBy("file").agg(whole.alias("content"))
+    lines = texts.select("file", F.posexplode(split_lines(_decoded(F.col("content"), encoding, F.lit(True)))).alias("line_no", "line"))
+    return lines.withColumn("line_no", F.col("line_no").cast("long"))
+
+
 def _wide_lines(spark: SparkSession, load: list[str], files: DataFrame, encoding: str) -> DataFrame:
-    """``file, line_no, line`` of files whose characters have two or four bytes.
+    """``file, line_no, line`` of files of any size whose characters have two or four bytes.
 
     The line reader looks for the bytes of a line feed and can find them across two
     characters.  Such a cut leaves pieces that are no whole number of characters;
     these are joined again before decoding.  Other line ends are split afterwards.
     """
-    width = 4 if "32" in encoding else 2
-    feed = {"LE": "0A", "BE": "0A".zfill(2 * width)}[encoding[-2:]].ljust(2 * width, "0")
-    scan = _marked_lines(spark, load, encoding=encoding, lineSep="\n").join(F.broadcast(files.select("file")), "file")
-    marked = materialize(scan.withColumn("line", F.col("line").cast("binary")), "wide")
+    width = _width(encoding)
+    marked = materialize(_wide_pieces(spark, load, files, encoding), "wide")
     pieces = marked.join(_with_starts(marked), ["file", "split"]).select(
         "file", (F.col("start") + F.col("mark") - F.col("first_mark")).alias("no"), "line"
     )
@@ -276,15 +352,11 @@ def _wide_lines(spark: SparkSession, load: list[str], files: DataFrame, encoding
         .groupBy("file", F.coalesce("from", "open").alias("no"))
         .agg(F.array_sort(F.collect_list(F.struct("no", "line"))).alias("parts"))
     )
-    feed_bytes = F.unhex(F.lit(feed))
+    feed_bytes = F.unhex(F.lit(_wide_feed(encoding)))
     whole = F.expr("parts[0].line")
     more = F.aggregate(F.slice("parts", F.lit(2), F.size("parts")), whole, lambda a, p: F.concat(a, feed_bytes, p["line"]))
-    # UTF-32 without a mark is big-endian to Spark.
-    text = F.decode(F.concat(F.unhex(F.lit("FFFE0000")), more), "UTF-32") if encoding == "UTF-32LE" else F.decode(
-        more, "UTF-32" if encoding == "UTF-32BE" else encoding
-    )
-    text = F.regexp_replace(text, "^\uFEFF", "")
-    lines = joined.select("file", "no", F.split(F.regexp_replace(text, "\r$", ""), "\r", -1).alias("lines"))
+    text = _decoded(more, encoding, F.col("no") == 0)
+    lines = joined.select("file", "no", F.split(F.regexp_replace(text, r"\r\z", ""), "\r", -1).alias("lines"))
     # Lines before a row: those of earlier blocks of rows, and of earlier rows of its block.
     lines = lines.withColumn("block", F.floor(F.col("no") / BLOCK_ROWS))
     blocks = _carried(lines.groupBy("file", "block").agg(F.sum(F.size("lines")).alias("n")))
@@ -335,15 +407,16 @@ def parse_files(spark: SparkSession, paths: list[str], whole_file_bytes: int = W
 def _parse_found(
     spark: SparkSession, load: list[str], places: list[tuple[int, str]], whole_file_bytes: int
 ) -> DataFrame:
-    files = list_files(spark, load, places, whole_file_bytes)
+    content = _contents(spark, load)
+    files = list_files(content, places, whole_file_bytes)
     # One source, nothing named twice: all files have its order.
     single = len(load) == len(places) == 1
-    texts = read_texts(spark, load, whole_file_bytes, places[0][0], None if single else files)
-    parsed = entries_of_links(links_in_texts(texts))
     by_lines = read_numbered_lines(spark, load, files)
-    if by_lines is not None:
-        parsed = parsed.unionByName(entries_of_links(links_in_lines(*by_lines)))
-    return parsed
+    links = [] if by_lines is None else [links_in_lines(*by_lines)]
+    if by_lines is None or not files.where("not by_lines").isEmpty():
+        texts = read_texts(spark, load, whole_file_bytes, places[0][0], None if single else files, content)
+        links.append(links_in_texts(texts))
+    return reduce(DataFrame.unionByName, map(entries_of_links, links))
 
 
 def read_playlists(

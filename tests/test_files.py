@@ -370,3 +370,20 @@ def test_a_glob_of_all_files_of_a_folder_lists_the_folder_once(spark, tmp_path):
     assert len(find_files(spark, source)[0]) == 40 == len(_gathered(spark, names))
     assert read(parse_sources(spark, [f"{folder}/list*"])) == links
     assert find_files(spark, [(0, f"{folder}/*")])[0] == [f"file:{folder}"]
+
+
+@pytest.mark.parametrize("encoding", ["utf-16-le", "utf-32-be"])
+def test_wide_files_are_read_once(spark, tmp_path, monkeypatch, encoding):
+    """Their encoding is known before their lines are read; marks inside a text are text, as in whole files."""
+    for k in range(3):
+        text = f"#EXTM3U\r\r\n#EXTINF:-1,\u0a0a{k}\rhttp://a.tv/{k}\n\ufeff#EXTINF:-1,no entry\nhttp://b.tv/{k}\n#EXTINF:-1,b\n\nhttp://c.tv/{k}"
+        (tmp_path / f"{k}.m3u").write_bytes(WIDE[encoding] + text.encode(encoding))
+    columns = ["file", "line_no", "name", "link", "group_name"]
+    read = lambda limit: sorted(map(str, playlists.parse_sources(spark, [str(tmp_path)], limit).select(columns).collect()))
+    whole, scans, scan = read(1 << 20), [], playlists._marked_lines
+    monkeypatch.setattr(playlists, "_marked_lines", lambda *a, **options: scans.append(options) or scan(*a, **options))
+    assert read(10) == whole and len(whole) == 6
+    assert [len(options) for options in scans] == [2]
+    # Longer files, whose pieces are brought together by blocks.
+    monkeypatch.setattr(playlists, "BLOCK_ROWS", 2)
+    assert read(10) == whole
