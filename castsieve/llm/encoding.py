@@ -25,6 +25,13 @@ REMEMBERED = 200_000
 
 # Outside these characters classes or cases could differ between libraries.
 _UNUSUAL = regex.compile(r"[^\t\n\r\x20-\x7E¡-ɏ]")
+_USUAL_ASCII = bytes([0x09, 0x0A, 0x0D, *range(0x20, 0x7F)])
+
+
+def _unusual(text: str) -> bool:
+    if text.isascii():
+        return bool(text.encode().translate(None, _USUAL_ASCII))
+    return _UNUSUAL.search(text) is not None
 
 
 _PUNCTUATION = string.punctuation
@@ -38,6 +45,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTER = _byte_letters()
+_BLANK = _LETTER[0x20]
 
 
 class WordEncoder:
@@ -73,20 +81,17 @@ class WordEncoder:
         if "\0" in text:
             return self._whole(text)
         words = self._split(text)
-        try:
-            return b"".join([self.young[w] for w in words])
-        except KeyError:
-            pass
-        if _UNUSUAL.search(text):
+        young, old = self.young, self.old
+        new = set(words).difference(young)
+        if new and _unusual(text):
             return self._whole(text)
-        for word in set(words):
-            if word not in self.young:
-                if self.keeps_blanks and not word.rstrip():
-                    if word != "\n":
-                        # A run of white space: its pieces span what was split.
-                        return b"".join([self._piece(p) for p in self.pattern.findall(text)])
-                self.young[word] = self.old.get(word) or self._word(word)
-        return b"".join([self.young[w] for w in words])
+        for word in new:
+            if self.keeps_blanks and not word.rstrip():
+                if word != "\n":
+                    # A run of white space: its pieces span what was split.
+                    return b"".join([self._piece(p) for p in self.pattern.findall(text)])
+            young[word] = old.get(word) or self._word(word)
+        return b"".join(map(young.__getitem__, words))
 
     def _split(self, text: str) -> list[str]:
         """Parts of the text whose ids do not depend on each other."""
@@ -116,7 +121,11 @@ class WordEncoder:
         return ids
 
     def _ids(self, piece: str) -> bytes:
-        letters = piece.encode().decode("latin-1").translate(_LETTER)
+        if piece.isascii() and piece.isprintable():
+            # Of these only the blank has another letter.
+            letters = piece.replace(" ", _BLANK)
+        else:
+            letters = piece.encode().decode("latin-1").translate(_LETTER)
         return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def _whole(self, text: str) -> bytes:

@@ -9,7 +9,7 @@ import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from castsieve.llm import token_files
+from castsieve.llm import encoding, token_files
 from castsieve.llm.encoding import WordEncoder
 from castsieve.llm.token_files import Reader, Writer, read_documents, read_tokens, write_tokens
 
@@ -29,6 +29,11 @@ def test_encoding_equals_the_library(text):
         assert encoder.encode([text, text]) == [library(encoder, text)] * 2
 
 
+def test_usual_characters():
+    for c in map(chr, range(0x300)):
+        assert encoding._unusual(f"a{c}") == (encoding._UNUSUAL.search(c) is not None)
+
+
 def expected(rows):
     out, start = [], 0
     for doc_id, text in sorted(rows, key=lambda r: r[0]):
