@@ -15,9 +15,11 @@ no part and stay; by default every line with a word takes part.
 4. Families of similar lines are settled around their first class: each class is
    compared with two earlier classes at most, the earliest that share one of
    its two least word hashes each.  Classes found to go need no other partner.
-5. The classes still open are joined with all others on the words of their prefixes,
+5. The classes still open are joined with earlier ones on the words of their prefixes,
    filtered in the join by length, by the positions of the word in both lines and by
-   a sketch of all words that bounds the overlap.  A pair counts only if its later class is open.
+   a sketch of all words that bounds the overlap.  A pair counts only if its later class is
+   open.  The number of a class begins with the stretch of ids its first line is in, so the join
+   knows which class is later; within a stretch both ways are kept.
 6. Before a pair is verified, the words that the two prefixes share bound the overlap
    of the whole sets.  What passes is verified on all words of both lines.
 """
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, StringType
 
 from ..workspace import materialize, release
 from .common import text_key, whole_text
@@ -39,6 +42,12 @@ COUNTER_BITS = (10, 18)
 BROADCAST_ROWS = 1_000_000
 # Words whose hashes are the least of a line, by which families are found.
 _LEAST_WORDS = 2
+# The ids are cut into so many stretches, as a power of two, by a sample of about _STRETCH_IDS.
+# Only the pairs that the join keeps for later steps depend on them, never the result.
+STRETCH_BITS = 6
+_STRETCH_IDS = 4096
+# Bits of a class's number below its stretch.
+_NUMBER_BITS = 63 - STRETCH_BITS
 # Bits of a word's hash below its level.
 _HASH_BITS = 59
 
@@ -110,21 +119,26 @@ def _signature(line: Column) -> list[Column]:
 
 def _decided(docs: DataFrame, id_column: str, text: str, percent: int, least: int) -> DataFrame:
     """``_id``, ``_key``, ``_row``, ``n_lines``, ``removed`` and ``_copy`` per row, written."""
-    levels, bits = _levels(docs, text)
+    n_rows = docs.count()
+    levels, bits = _levels(docs, text, n_rows)
+    own = F.col(f"`{id_column}`")
     rows = docs.select(
         F.monotonically_increasing_id().alias("_row"),
-        F.col(f"`{id_column}`").alias("_id"),
+        own.alias("_id"),
         text_key(f"`{text}`").alias("_key"),
+        _stretch(own, _bounds(docs.select(own.alias("_id")), n_rows)).alias("stretch"),
         F.transform(F.split(_plain(f"`{text}`"), "\n", -1), lambda x: _described(x, levels, bits, percent)).alias("lines"),
     )
     rows = materialize(rows, "lines")
-    lines = rows.select("_id", "_row", F.posexplode("lines").alias("k", "line"))
+    lines = rows.select("_id", "_row", "stretch", F.posexplode("lines").alias("k", "line"))
     classes = lines.where(F.col("line.n") >= max(1, least)).groupBy("line.s1", "line.s2").agg(
-        F.min(F.struct("_id", "_row", "k")).alias("place"),
+        F.min(F.struct("_id", "_row", "k", "stretch")).alias("place"),
         F.count("k").alias("times"),
         *[F.first(f"line.{c}").alias(c) for c in ("n", "least", "prefix", "sketch")],
     )
-    classes = materialize(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
+    number = F.shiftleft(F.col("place.stretch").cast("long"), _NUMBER_BITS).bitwiseOR(F.monotonically_increasing_id())
+    classes = classes.withColumn("c", number).withColumn("place", F.col("place").dropFields("stretch"))
+    classes = materialize(classes, "classes")
     comparison = _Comparison(docs, id_column, text, classes, percent)
 
     settled = comparison.later(_family_heads(classes))
@@ -183,12 +197,28 @@ def _described(line: Column, levels: Column, bits: int, percent: int) -> Column:
     return F.get(F.transform(F.array(_words(line)), with_words), F.lit(0))
 
 
-def _levels(docs: DataFrame, text: str) -> tuple[Column, int]:
+def _bounds(ids: DataFrame, n_rows: int) -> list:
+    """The first ids of all stretches of ids but the first, in order; none for ids of unusual types."""
+    if not isinstance(ids.schema["_id"].dataType, (NumericType, StringType, DateType)):
+        return []
+    some = ids.where(F.pmod(F.xxhash64("_id"), F.lit(max(1, n_rows // _STRETCH_IDS))) == 0).where(F.col("_id").isNotNull())
+    held = some.distinct().agg(F.sort_array(F.collect_list("_id")).alias("held"))
+    stretches = 1 << STRETCH_BITS
+    at = [F.floor(F.size("held") * k / stretches).cast("int") for k in range(1, stretches)]
+    return held.select(F.array_compact(F.array(*[F.get("held", k) for k in at]))).first()[0]
+
+
+def _stretch(own: Column, bounds: list) -> Column:
+    """The number of the stretch an id is in, 0 for null."""
+    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= own)) if bounds else F.lit(0)
+
+
+def _levels(docs: DataFrame, text: str, n_rows: int) -> tuple[Column, int]:
     """A constant array with the level of every counter, 0 for one occurrence, and the bits of a counter's number.
 
     Words are counted over all texts; at most 2^18 levels reach the driver, packed by the thousand.
     """
-    bits = min(max(docs.count().bit_length() + 4, COUNTER_BITS[0]), COUNTER_BITS[1])
+    bits = min(max(n_rows.bit_length() + 4, COUNTER_BITS[0]), COUNTER_BITS[1])
     words = docs.select(F.explode(F.split(F.replace(_plain(f"`{text}`"), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     slot = F.shiftrightunsigned(F.xxhash64("w"), 64 - bits).alias("slot")
     level = F.least(F.floor(F.log2("count")), F.lit(15)).cast("int").alias("level")
@@ -214,7 +244,10 @@ def _family_heads(classes: DataFrame) -> DataFrame:
 
 
 def _sharing(classes: DataFrame, settled: DataFrame, percent: int) -> DataFrame:
-    """``x``, ``y``: pairs of classes, not both settled, that share a word of their prefixes at fitting positions."""
+    """``x``, ``y``: pairs of classes that share a word of their prefixes at fitting positions, the later one not settled.
+
+    Of pairs within a stretch of ids, one of them is not settled.
+    """
     gone = settled.withColumn("gone", F.lit(True))
     dropped = _prefix_length("n", percent) - F.size("prefix")
     postings = classes.select("c", "n", "prefix", "sketch").join(gone, "c", "left").select(
@@ -223,11 +256,13 @@ def _sharing(classes: DataFrame, settled: DataFrame, percent: int) -> DataFrame:
     postings = postings.select("w", "c", "n", "sketch", (F.col("at") + F.col("dropped")).alias("at"), "gone")
     a, b = (postings.select("w", *[F.col(c).alias(f"{c}_{s}") for c in ("c", "n", "sketch", "at", "gone")]) for s in "ab")
     na, nb = F.col("n_a"), F.col("n_b")
+    same_stretch = F.shiftright("c_a", _NUMBER_BITS) == F.shiftright("c_b", _NUMBER_BITS)
     pairs = a.join(
         b,
         (a["w"] == b["w"])
         & (F.col("c_a") < F.col("c_b"))
-        & ~(F.col("gone_a") & F.col("gone_b"))
+        # Of different stretches, b is the later one.
+        & (~F.col("gone_b") | (same_stretch & ~F.col("gone_a")))
         & (F.least(na - F.col("at_a"), nb - F.col("at_b")) >= _needed(na, nb, percent))
         & (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
         # A bit that differs stands for a word of one line only.

@@ -92,3 +92,24 @@ def test_no_python_runs(spark):
     df = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
     plan = repeated_lines(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_pairs_with_a_settled_later_line_are_not_joined(spark, monkeypatch):
+    from castsieve.llm import line_dedup
+
+    sharing, seen = line_dedup._sharing, []
+
+    def watched(classes, settled, percent):
+        pairs = sharing(classes, settled, percent)
+        places = {r.c: tuple(r.place) for r in classes.collect()}
+        gone = {r.c for r in settled.collect()}
+        seen.extend((*sorted((places[r.x], places[r.y])), *(c in gone for c in sorted((r.x, r.y), key=places.get))) for r in pairs.collect())
+        return pairs
+
+    monkeypatch.setattr(line_dedup, "_sharing", watched)
+    rows = [r for r in made(7) if r[0] < 60]
+    repeated_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).count()
+    # With few ids most stretches hold one; documents two apart are never in the same.
+    apart = [(gone_a, gone_b) for a, b, gone_a, gone_b in seen if b[0] - a[0] > 1]
+    assert len(apart) > 20 and any(a for a, _ in apart)
+    assert not any(b for _, b in apart)
