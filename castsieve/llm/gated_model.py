@@ -141,22 +141,35 @@ class GatedModel:
             held[t + 1] += new
         return held, begun, gates, news, turned, keep
 
-    def _by_class(self, words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        classes = words // CLASS_SIZE
-        order = np.argsort(classes, kind="stable")
-        found, starts = np.unique(classes[order], return_index=True)
-        for c, a, b in zip(found.tolist(), starts.tolist(), [*starts[1:].tolist(), len(words)]):
-            yield c, order[a:b]
+    def _runs(self, words: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """An order of the words by class, and class, start and end of every run in it."""
+        classes = (words // CLASS_SIZE).astype(np.min_scalar_type(len(self.to_word)))
+        ends = np.cumsum(np.bincount(classes, minlength=len(self.to_word))).tolist()
+        runs = [(c, a, b) for c, (a, b) in enumerate(zip([0, *ends], ends)) if a < b]
+        return np.argsort(classes, kind="stable"), runs
+
+    def _within(self, h: np.ndarray, runs: list[tuple[int, int, int]]) -> np.ndarray:
+        """Logits of the words of each state's class; states lie in runs of one class."""
+        out = np.empty((len(h), CLASS_SIZE), np.float32)
+        for c, a, b in runs:
+            np.matmul(h[a:b], self.to_word[c], out=out[a:b])
+            out[a:b] += self.word_bias[c]
+        return out
 
     def log_probabilities(self, h: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Natural logarithms for states and the words that follow them."""
-        logits = h @ self.to_class + self.class_bias
-        out = np.minimum(logits[np.arange(len(words)), words // CLASS_SIZE], _MOST)
-        out -= _log_sum(logits)
-        for c, some in self._by_class(words):
-            logits = h[some] @ self.to_word[c] + self.word_bias[c]
-            target = np.minimum(logits[np.arange(len(some)), words[some] % CLASS_SIZE], _MOST)
-            out[some] += target - _log_sum(logits)
+        out = np.empty(len(words), np.float32)
+        for start in range(0, len(words), LANES * WINDOW):
+            own, target = h[start : start + LANES * WINDOW], words[start : start + LANES * WINDOW]
+            counting = np.arange(len(target))
+            logits = own @ self.to_class + self.class_bias
+            found = np.minimum(logits[counting, target // CLASS_SIZE], _MOST)
+            found -= _log_sum(logits)
+            order, runs = self._runs(target)
+            logits = self._within(own[order], runs)
+            within = np.minimum(logits[counting, target[order] % CLASS_SIZE], _MOST)
+            found[order] += within - _log_sum(logits)
+            out[start : start + LANES * WINDOW] = found
         return out
 
     # -- whole texts ------------------------------------------------------------------
@@ -199,26 +212,23 @@ class GatedModel:
         weight = (counted.ravel() / (LANES * WINDOW)).astype(np.float32)
         up: dict[str, np.ndarray] = {}
         # Classes.
-        p = _softmax(flat @ self.to_class + self.class_bias)
-        p[np.arange(len(target)), target // CLASS_SIZE] -= 1
-        p *= weight[:, None]
+        counting = np.arange(len(target))
+        p = _softmax(flat @ self.to_class + self.class_bias, weight)
+        p[counting, target // CLASS_SIZE] -= weight
         up["to_class"], up["class_bias"] = flat.T @ p, p.sum(0)
         dh = p @ self.to_class.T
         # Words within their classes, which lie side by side here.
-        order = np.argsort(target // CLASS_SIZE, kind="stable")
+        order, runs = self._runs(target)
         mine, places, shares = flat[order], target[order] % CLASS_SIZE, weight[order]
-        within = np.empty_like(mine)
-        ends = np.cumsum(np.bincount(target // CLASS_SIZE, minlength=len(self.to_word))).tolist()
-        counting = np.arange(len(target))
-        for c, (a, b) in enumerate(zip([0, *ends], ends)):
-            if a == b:
-                continue
-            p = _softmax(mine[a:b] @ self.to_word[c] + self.word_bias[c])
-            p[counting[: b - a], places[a:b]] -= 1
-            p *= shares[a:b, None]
-            np.matmul(p, self.to_word[c].T, out=within[a:b])
-            _adagrad(self.to_word[c], mine[a:b].T @ p, sums["to_word"][c], rate)
-            _adagrad(self.word_bias[c], p.sum(0), sums["word_bias"][c], rate)
+        p = _softmax(self._within(mine, runs), shares)
+        p[counting, places] -= shares
+        within, ones = np.empty_like(mine), np.ones(len(mine), np.float32)
+        # Classes without words get no gradient and stay as they are.
+        up["to_word"], up["word_bias"] = np.zeros_like(self.to_word), np.zeros_like(self.word_bias)
+        for c, a, b in runs:
+            np.matmul(p[a:b], self.to_word[c].T, out=within[a:b])
+            np.matmul(mine[a:b].T, p[a:b], out=up["to_word"][c])
+            np.matmul(ones[a:b], p[a:b], out=up["word_bias"][c])
         dh[order] += within
         # Back through the window.
         dh = dh.reshape(steps, n, s)
@@ -265,10 +275,11 @@ def _adagrad(weights: np.ndarray, gradient: np.ndarray, squares: np.ndarray, rat
     weights -= gradient
 
 
-def _softmax(logits: np.ndarray) -> np.ndarray:
+def _softmax(logits: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Probabilities times the weight of each row."""
     np.minimum(logits, _MOST, out=logits)
     np.exp(logits, out=logits)
-    logits /= (logits @ np.ones(logits.shape[1], np.float32))[:, None]
+    logits *= (weight / (logits @ np.ones(logits.shape[1], np.float32)))[:, None]
     return logits
 
 

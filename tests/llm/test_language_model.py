@@ -186,3 +186,21 @@ def test_lanes():
     for text, (lane, start, end) in zip(texts, side.place):
         assert (side.words[start:end, lane] == text).all() and side.first[start, lane]
     assert side.first.sum() == 5
+
+
+def test_words_of_many_blocks(monkeypatch):
+    """Blocks of a few words, most of them without words of some class."""
+    from castsieve.llm import gated_model
+
+    monkeypatch.setattr(gated_model, "LANES", 2)
+    monkeypatch.setattr(gated_model, "WINDOW", 3)
+    rng = np.random.default_rng(6)
+    model = GatedModel(400, rng.integers(1, 50, 400), 1, 8)
+    model = model.with_weights(rng.standard_normal(len(model.weights)) * 0.5)
+    texts = [rng.integers(0, 400, n).astype(np.int32) for n in (31, 1, 6, 7)]
+    assert model.score(texts, 3, 7) == pytest.approx([one_by_one(model, t) for t in texts], rel=1e-4)
+    # A class without words is left as it is.
+    trained = model.with_weights(model.weights)
+    trained.train([np.full(20, 70, np.int32)], trained.squares())
+    assert (trained.to_word[[0, 2, 3]] == model.to_word[[0, 2, 3]]).all()
+    assert not (trained.to_word[1] == model.to_word[1]).all()
